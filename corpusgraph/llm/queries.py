@@ -1,11 +1,12 @@
 """The queries of this subpackage, and SQL for those that it can express."""
 
-from . import langid, mixing, pieces, quality, sharding, simhash, topk, toxicity, transport
+from . import html, langid, mixing, pieces, quality, sharding, simhash, topk, toxicity, transport
 
 QUERIES = {
     f.__name__: f
     for f in (
         sharding.op1_reshard_flow,
+        html.op2_html_tree_model,
         langid.op3_naive_bayes_langid,
         simhash.op4_simhash_bktree,
         mixing.op5_mix_sources,
