@@ -30,35 +30,50 @@ RADIUS = 3
 SHARD_ROWS = 512
 
 
-def fingerprint(text: bytes | None, width: int) -> int:
-    """Of lower-cased (A-Z) UTF-8, as a signed 64-bit number."""
+def bit_majorities(hashes: np.ndarray) -> np.ndarray:
+    """Of big-endian bytes (a row for each hash): the bits set in over half the rows, as bytes."""
+    n, ones = len(hashes), np.zeros(hashes.shape[1] * 8, np.int64)
+    for i in range(0, n, 255):  # sums of 255 bits fit a byte
+        ones += np.unpackbits(hashes[i : i + 255], axis=1).sum(axis=0, dtype=np.uint8)
+    return np.packbits(ones * 2 > n)
+
+
+def fingerprint(text: bytes | None, width: int, many: int = 1) -> list[int]:
+    """Of lower-cased (A-Z) UTF-8: `many` signed 64-bit numbers. The first is made from the XXH64 of shingles, others from mixes of it."""
     words = (text or b"").lower().split()
     if not words:
-        return 0
+        return [0] * many
     shingles = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False)) if len(words) >= width else [b" ".join(words)]
     digests = np.frombuffer(b"".join(map(xxhash.xxh64_digest, shingles, repeat(42))), np.uint8).reshape(-1, 8)
-    ones = np.zeros(64, np.int64)
-    for i in range(0, len(digests), 1 << 14):
-        ones += np.unpackbits(digests[i : i + (1 << 14)], axis=1).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(digests)).view(">i8")[0])
+    if many > 1:
+        h = digests.view(">u8").astype(np.uint64)
+        mixed = (h ^ h >> np.uint64(29)) * (2 * np.arange(1, many, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
+        mixed = (mixed ^ mixed >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+        digests = np.hstack([digests, (mixed ^ mixed >> np.uint64(32)).astype(">u8").view(np.uint8)])
+    return bit_majorities(digests).view(">i8").tolist()
 
 
-def fingerprints(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id and fp (long) of each row."""
+def fingerprints(docs: DataFrame, width: int, many: int = 1) -> DataFrame:
+    """doc_id and prints (array<long>) of each row."""
 
     def run(batch: pa.RecordBatch) -> dict:
         texts = batch.column("text").cast(pa.binary()).to_pylist()
-        return {"doc_id": batch.column("doc_id"), "fp": [fingerprint(t, width) for t in texts]}
+        return {"doc_id": batch.column("doc_id"), "prints": [fingerprint(t, width, many) for t in texts]}
+
+    return map_slices(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, prints array<long>")
+
 
-    return map_slices(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, fp long")
+def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of rows of 64-bit words. (bitwise_count counts the bits of a signed number's absolute value.)"""
+    return np.bitwise_count((a ^ b).view(np.uint64)).sum(axis=1, dtype=np.int64)
 
 
 class Forest:
     """BK-trees, one for each group of distinct keys, built and searched level by level for all groups at once."""
 
     def __init__(self, keys: np.ndarray, group: np.ndarray):
-        """group: of each key, in ascending order; the first key of a group is its root."""
-        self.keys, n = keys, len(keys)
+        """keys: rows of 64-bit words. group: of each key, in ascending order; the first key of a group is its root."""
+        self.keys, n, self.span = keys, len(keys), 64 * keys.shape[1] + 1
         self.groups, first = np.unique(group, return_index=True)
         self.roots = first
         parent, edge = np.full(n, -1), np.zeros(n, np.int64)
@@ -66,8 +81,8 @@ class Forest:
         todo = np.flatnonzero(at != np.arange(n))
         at = at[todo]
         while len(todo):
-            d = np.bitwise_count(keys[todo] ^ keys[at]).astype(np.int64)
-            slot = at * 65 + d
+            d = distance(keys[todo], keys[at])
+            slot = at * self.span + d
             _, new, inverse = np.unique(slot, return_index=True, return_inverse=True)
             child = todo[new]
             parent[child], edge[child] = at[new], d[new]
@@ -75,7 +90,7 @@ class Forest:
             stay[new] = False
             at, todo = child[inverse][stay], todo[stay]
         self.child = np.flatnonzero(parent >= 0)
-        slot = parent[self.child] * 65 + edge[self.child]
+        slot = parent[self.child] * self.span + edge[self.child]
         order = np.argsort(slot, kind="stable")
         self.child, self.slot = self.child[order], slot[order]
 
@@ -85,11 +100,11 @@ class Forest:
         q = np.flatnonzero(self.groups[g] == group)
         node = self.roots[g[q]]
         while len(q):
-            d = np.bitwise_count(queries[q] ^ self.keys[node]).astype(np.int64)
+            d = distance(queries[q], self.keys[node])
             near = d <= radius
             yield q[near], node[near]
-            low = np.searchsorted(self.slot, node * 65 + np.maximum(d - radius, 0))
-            n = np.searchsorted(self.slot, node * 65 + np.minimum(d + radius, 64), side="right") - low
+            low = np.searchsorted(self.slot, node * self.span + np.maximum(d - radius, 0))
+            n = np.searchsorted(self.slot, node * self.span + np.minimum(d + radius, self.span - 1), side="right") - low
             q = np.repeat(q, n)
             node = self.child[np.arange(len(q)) + np.repeat(low - np.concatenate(([0], np.cumsum(n)[:-1])), n)]
 
@@ -108,32 +123,21 @@ def union(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             label[:] = up
 
 
-def local_links(fp: np.ndarray, task: np.ndarray, indexed: np.ndarray, asks: np.ndarray, radius: int, most: int = 1 << 14) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links in each task: fp pairs. Rows come sorted by task; indexed rows stand in its tree, asking rows search it."""
-    label, tree = np.arange(len(fp)), np.flatnonzero(indexed)
+def local_links(keys: np.ndarray, task: np.ndarray, indexed: np.ndarray, asks: np.ndarray, radius: int, most: int = 1 << 14) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links in each task, as pairs of positions. Rows come sorted by task; indexed rows stand in its tree, asking rows search it."""
+    label, tree = np.arange(len(keys)), np.flatnonzero(indexed)
     if len(tree):
-        forest, ask = Forest(fp[tree], task[tree]), np.flatnonzero(asks)
+        forest, ask = Forest(keys[tree], task[tree]), np.flatnonzero(asks)
         for i in range(0, len(ask), most):
             part = ask[i : i + most]
-            for q, node in forest.search(fp[part], task[part], radius):
+            for q, node in forest.search(keys[part], task[part], radius):
                 union(label, part[q], tree[node])
-    moved = np.flatnonzero(label != np.arange(len(fp)))
-    return fp[moved], fp[label[moved]]
+    moved = np.flatnonzero(label != np.arange(len(keys)))
+    return moved, label[moved]
 
 
-def links(nodes: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """(u, v): enough of the links between distinct fingerprints fp within the radius to connect what all of them connect."""
-    n, bits = radius + 1, 64 // (radius + 1)
-    wide = [bits + (b < 64 - bits * n) for b in range(n)]
-    low = [sum(wide[:b]) for b in range(n)]
-    shard = F.explode(F.array(*[F.shiftrightunsigned("fp", low[b]).bitwiseAND(F.lit((1 << wide[b]) - 1)) * n + b for b in range(n)]))
-    spread = materialize(nodes.select("fp", shard.alias("shard")))
-    sizes = spread.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1")
-    parts = spread.join(sizes, "shard").withColumn("parts", F.ceil(F.col("n") / shard_rows).cast("int"))
-    parts = parts.withColumn("own", F.pmod(F.xxhash64("fp", F.lit(5)), F.col("parts")).cast("int"))
-    meets = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))  # its own part also builds the tree there
-    tasks = parts.select("fp", "shard", "own", "parts", meets.alias("other"))
-    tasks = tasks.select("fp", "shard", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
+def linked(tasks: DataFrame, words: list[str], radius: int) -> DataFrame:
+    """(u, v): a spanning forest of the links in each task. tasks: id, shard, i, j, indexed, asks and the fingerprint's words."""
     tasks = tasks.repartition("shard", "i", "j").sortWithinPartitions("shard", "i", "j")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,27 +145,43 @@ def links(nodes: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS)
             col = {c: t.column(c).to_numpy() for c in t.column_names}
             same = (np.diff(col["shard"]) == 0) & (np.diff(col["i"]) == 0) & (np.diff(col["j"]) == 0)
             task = np.concatenate(([0], np.cumsum(~same)))
-            u, v = local_links(col["fp"], task, col["own"] == col["i"], col["own"] == col["j"], radius)
-            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+            u, v = local_links(np.stack([col[w] for w in words], axis=1), task, col["indexed"], col["asks"], radius)
+            return pa.RecordBatch.from_arrays([pa.array(col["id"][u]), pa.array(col["id"][v])], ["u", "v"])
 
-        rest = None
+        held: list = []
         for batch in batches:
-            t = pa.Table.from_batches([batch])
-            rest = t if rest is None else pa.concat_tables([rest, t])
-            if rest.num_rows < 5000:
-                continue
-            key = [rest.column(c).to_numpy() for c in ("shard", "i", "j")]
-            last = np.flatnonzero(np.any([k != k[-1] for k in key], axis=0))
-            cut = int(last[-1]) + 1 if len(last) else 0  # the last task may go on in the next batch
-            if cut:
+            for k in range(0, batch.num_rows, 5000):
+                held.append(pa.Table.from_batches([batch.slice(k, 5000)]))
+                ends = [[held[x].column(c)[y].as_py() for c in ("shard", "i", "j")] for x, y in ((0, 0), (-1, -1))]
+                if ends[0] == ends[1] or sum(t.num_rows for t in held) < 5000:
+                    continue
+                rest = pa.concat_tables(held)
+                key = [rest.column(c).to_numpy() for c in ("shard", "i", "j")]
+                cut = int(np.flatnonzero(np.any([k != k[-1] for k in key], axis=0))[-1]) + 1  # the last task may go on in the next batch
                 yield solved(rest.slice(0, cut))
-                rest = rest.slice(cut)
-        if rest is not None and rest.num_rows:
-            yield solved(rest)
+                held = [rest.slice(cut)]
+        if held:
+            yield solved(pa.concat_tables(held))
 
     return tasks.mapInArrow(run, "u long, v long").distinct()
 
 
+def links(nodes: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """(u, v): enough of the links between distinct fingerprints fp within the radius to connect what all of them connect."""
+    n, bits = radius + 1, 64 // (radius + 1)
+    wide = [bits + (b < 64 - bits * n) for b in range(n)]
+    low = [sum(wide[:b]) for b in range(n)]
+    shard = F.explode(F.array(*[F.shiftrightunsigned("fp", low[b]).bitwiseAND(F.lit((1 << wide[b]) - 1)) * n + b for b in range(n)]))
+    spread = materialize(nodes.select("fp", shard.alias("shard")))
+    sizes = spread.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1")
+    parts = spread.join(sizes, "shard").withColumn("parts", F.ceil(F.col("n") / shard_rows).cast("int"))
+    parts = parts.withColumn("own", F.pmod(F.xxhash64("fp", F.lit(5)), F.col("parts")).cast("int"))
+    meets = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))  # its own part also builds the tree there
+    tasks = parts.select("fp", "shard", "own", meets.alias("other"))
+    tasks = tasks.select("shard", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("fp").alias("id"), "fp", "own")
+    return linked(tasks.withColumn("indexed", F.col("own") == F.col("i")).withColumn("asks", F.col("own") == F.col("j")).drop("own"), ["fp"], radius)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(fp, label) for every fp in edges; label is the same over a component. Each round maps nodes to smaller neighbours and contracts."""
     edges = materialize(edges)
@@ -182,8 +202,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, width: int, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fp and component_id of every row; docs needs doc_id and text."""
-    prints = materialize(fingerprints(docs, width))
+    """doc_id, fp and component_id of every row, by one fingerprint; docs needs doc_id and text."""
+    prints = materialize(fingerprints(docs, width).select("doc_id", F.col("prints")[0].alias("fp")))
     nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     label = components(links(nodes, radius))
     named = materialize(nodes.join(label, "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label")))
@@ -192,6 +212,46 @@ def near_duplicates(docs: DataFrame, width: int, radius: int = RADIUS) -> DataFr
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+#: For a similarity of 0.8: PRINTS fingerprints of 64 bits give TABLES keys of KEY_BITS, one of which two such texts
+#: share with a probability of 0.95 (0.9 similar: 0.999); DECIDING words of fingerprint decide, within WIDE_RADIUS bits.
+PRINTS, KEY_BITS, DECIDING, WIDE_RADIUS = 10, 16, 4, 42
+
+
+def similar(docs: DataFrame, width: int = 5) -> DataFrame:
+    """doc_id and component_id of every row, doc_id being a key without nulls: components of texts whose shingles are
+    0.8 similar or more, as far as wide fingerprints tell.
+
+    Shards are keys of all fingerprints. Where a shard is large, its parts are searched by themselves first; then every
+    fingerprint outside the shard's largest component so far meets all parts. Links between two members of that
+    component would connect nothing new, so none is lost.
+    """
+    prints = materialize(fingerprints(docs, width, PRINTS))
+    nodes = materialize(prints.groupBy("prints").agg(F.min("doc_id").alias("id")))
+    words = [f"w{k}" for k in range(DECIDING)]
+    keys = [F.shiftrightunsigned(F.col("prints")[f], b).bitwiseAND(F.lit((1 << KEY_BITS) - 1)) * 1024 + f * (64 // KEY_BITS) + b // KEY_BITS for f in range(PRINTS) for b in range(0, 64, KEY_BITS)]
+    sizes = nodes.select(F.explode(F.array(*keys)).alias("shard")).groupBy("shard").agg(F.count("*").alias("n")).where("n > 1")
+    spread = nodes.select("id", *[F.col("prints")[k].alias(w) for k, w in enumerate(words)], F.explode(F.array(*keys)).alias("shard"))
+    spread = spread.join(sizes, "shard").withColumn("parts", F.ceil(F.col("n") / SHARD_ROWS).cast("int"))
+    spread = materialize(spread.withColumn("i", F.pmod(F.xxhash64("id", "shard"), F.col("parts")).cast("int")).drop("n"))
+    yes, no = F.lit(True), F.lit(False)
+    first = materialize(linked(spread.withColumn("j", F.lit(0)).withColumn("indexed", yes).withColumn("asks", yes).drop("parts"), words, WIDE_RADIUS))
+    label = components(first)
+    hot = spread.where("parts > 1")
+    if hot.limit(1).count():
+        hot = materialize(hot.join(label.withColumnRenamed("fp", "id"), "id", "left").withColumn("label", F.coalesce("label", "id")))
+        large = hot.groupBy("shard", "label").agg(F.count("*").alias("n")).groupBy("shard").agg(F.max_by("label", F.struct("n", "label")).alias("largest"))
+        outside = hot.join(large, "shard").where(F.col("label") != F.col("largest")).drop("largest")
+        asking = outside.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("indexed", no).withColumn("asks", yes)
+        wanted = outside.select("shard").distinct()
+        standing = hot.join(wanted, "shard", "left_semi").withColumn("indexed", yes).withColumn("asks", no)
+        second = linked(standing.unionByName(asking).withColumn("j", F.lit(0)).drop("parts", "label"), words, WIDE_RADIUS)
+        label = components(first.unionByName(second))
+    named = materialize(nodes.join(label.withColumnRenamed("fp", "id"), "id", "left").select("id", "prints", F.coalesce("label", "id").alias("label")))
+    least = named.groupBy("label").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
+    named = named.join(least, "label", "left").select("prints", F.coalesce("least", "id").alias("component_id"))
+    return prints.join(named, "prints").select("doc_id", "component_id")
+
+
 def op4_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(read(spark, sf_dir, "documents"), 3)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
