@@ -28,13 +28,12 @@ WINDOW, STRIDE = 32, 16
 WORD_BUCKETS, GRAM_BITS, WIDTH, HIDDEN, ATTENTION = 1 << 15, 18, 8, 8, 8
 #: Of a position: both directions' states and the word's own input.
 STATE = 2 * HIDDEN + 2 * WIDTH
-COLUMNS = 6 * HIDDEN + 2 * WIDTH
 POSITIVES, NEGATIVES, TRAIN_BYTES = 1200, 2000, 8000
 EPOCHS, BATCH, RATE = 14, 64, 0.05
 #: Of word and n-gram vectors: the rate, and where Adagrad's sums begin.
 VECTOR_RATE, SEEN = 0.1, 1e-2
 #: Words that a worker keeps inputs of.
-VOCABULARY = 300_000
+VOCABULARY = 150_000
 find_words = re.compile(r"[^\W_]+").findall
 
 
@@ -96,18 +95,18 @@ class Net:
         e = np.concatenate([self.word[bucket], sums / np.maximum(count, 1)[:, None]], axis=1)
         return np.vstack([e, np.zeros((1, 2 * WIDTH))]).astype(np.float32), count
 
-    def project(self, e: np.ndarray) -> np.ndarray:
-        """What words add to the gates of both directions, and their inputs: (words, COLUMNS)."""
-        return np.concatenate([*(e @ self.p["wx"][k] + self.p["bx"][k] for k in (0, 1)), e], axis=1)
+    def project(self, e: np.ndarray) -> list[np.ndarray]:
+        """What words add to the gates of each direction, and their inputs."""
+        return [*(e @ self.p["wx"][k] + self.p["bx"][k] for k in (0, 1)), e]
 
-    def forward(self, table: np.ndarray, win: np.ndarray, keep: bool = False):
-        """Logits of windows of rows of `table`, the last of which is padding."""
-        p, pad, n = self.p, len(table) - 1, len(win)
+    def forward(self, table: list[np.ndarray], win: np.ndarray, pad: int, keep: bool = False):
+        """Logits of windows of rows of `table` (see project), of which `pad` is padding."""
+        p, n = self.p, len(win)
         real = (win != pad).astype(np.float32)
         hs = np.empty((2, WINDOW, n, HIDDEN), np.float32)
         steps: dict = {}
         for k in (0, 1):
-            h, x_of, u = np.zeros((n, HIDDEN), np.float32), np.ascontiguousarray(table[:, 3 * HIDDEN * k : 3 * HIDDEN * (k + 1)]), p["u"][k]
+            h, x_of, u = np.zeros((n, HIDDEN), np.float32), table[k], p["u"][k]
             for t in range(WINDOW) if k == 0 else range(WINDOW - 1, -1, -1):
                 x, hu = x_of[win[:, t]], h @ u
                 zr = 1 / (1 + np.exp(-np.clip(x[:, : 2 * HIDDEN] + hu[:, : 2 * HIDDEN], -30, 30)))
@@ -117,7 +116,7 @@ class Net:
                 if keep:
                     steps[k, t] = h, z, r, c, hu[:, 2 * HIDDEN :]
                 hs[k, t] = h = new
-        both = np.concatenate([hs[0], hs[1], np.ascontiguousarray(table[:, 6 * HIDDEN :])[win.T]], axis=2)
+        both = np.concatenate([hs[0], hs[1], table[2][win.T]], axis=2)
         q = np.tanh(both @ p["a"] + p["ba"])
         s = np.where(real.T > 0, q @ p["v"], -1e9)
         w = np.exp(s - s.max(axis=0))
@@ -130,7 +129,7 @@ class Net:
         """One step on windows of local rows of words."""
         p, n = self.p, len(win)
         e, count = self.inputs(bucket, ids, own)
-        out, (real, steps, both, q, w, c) = self.forward(self.project(e), win, keep=True)
+        out, (real, steps, both, q, w, c) = self.forward(self.project(e), win, len(e) - 1, keep=True)
         g = {k: np.zeros_like(x) for k, x in p.items()}
         d_out = (sigmoid(out) - y).astype(np.float32) / n
         g["w"], g["b"] = c.T @ d_out, d_out.sum(keepdims=True)
@@ -193,7 +192,7 @@ def fit(texts: list[str], toxic: list[int], seed: int = 5) -> Net:
             pick = rng.integers(starts[:-1], starts[1:])
         else:
             table = net.project(net.inputs(bucket, ids, own_sorted)[0])
-            logits = np.concatenate([net.forward(table, all_windows[i : i + 4096]) for i in range(0, len(all_windows), 4096)])
+            logits = np.concatenate([net.forward(table, all_windows[i : i + 4096], pad) for i in range(0, len(all_windows), 4096)])
             order = np.lexsort((logits, of))
             pick = order[starts[1:] - 1]
         clean = np.flatnonzero(y_of == 0)
@@ -221,16 +220,20 @@ class Scorer:
 
     def clear(self) -> None:
         self.rows: dict[str, int] = {}
-        self.table, self.used = np.zeros((1 << 12, COLUMNS), np.float32), 0
+        self.table = [np.zeros((1 << 12, n), np.float32) for n in (3 * HIDDEN, 3 * HIDDEN, 2 * WIDTH)]
+        self.used = 1  # row 0 is padding
 
     def learn_words(self, words: list[str]) -> None:
         new = [w for w in dict.fromkeys(words) if w not in self.rows]
         if not new:
             return
-        got = self.net.project(self.net.inputs(word_buckets(new), *grams(new))[0])[:-1]
-        while self.used + len(new) > len(self.table):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        self.table[self.used : self.used + len(new)] = got
+        got = self.net.project(self.net.inputs(word_buckets(new), *grams(new))[0])
+        for k in range(3):
+            if (need := self.used + len(new)) > len(self.table[k]):
+                grown = np.zeros((need * 5 // 4, self.table[k].shape[1]), np.float32)
+                grown[: self.used] = self.table[k][: self.used]
+                self.table[k] = grown
+            self.table[k][self.used : self.used + len(new)] = got[k][:-1]
         self.rows.update(zip(new, range(self.used, self.used + len(new)), strict=True))
         self.used += len(new)
 
@@ -239,13 +242,12 @@ class Scorer:
             self.clear()
         docs = [find_words(t.lower()) for t in texts]
         self.learn_words([w for d in docs for w in d])
-        table = np.concatenate([self.table[: self.used], np.zeros((1, COLUMNS), np.float32)])
         out, some = np.zeros(len(texts)), [i for i, d in enumerate(docs) if d]
         if not some:
             return out
-        parts = [windowed(np.array(list(map(self.rows.__getitem__, docs[i])), np.int32), self.used) for i in some]
+        parts = [windowed(np.array(list(map(self.rows.__getitem__, docs[i])), np.int32), 0) for i in some]
         of, win = np.repeat(some, [len(p) for p in parts]), np.concatenate(parts)
-        logits = np.concatenate([self.net.forward(table, win[i : i + 4096]) for i in range(0, len(win), 4096)])
+        logits = np.concatenate([self.net.forward(self.table, win[i : i + 2048], 0) for i in range(0, len(win), 2048)])
         best = np.maximum.reduceat(logits, np.concatenate(([0], np.cumsum([len(p) for p in parts])[:-1])))
         out[some] = sigmoid(best.astype(np.float64))
         return out
