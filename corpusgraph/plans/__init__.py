@@ -1,11 +1,6 @@
 """Queries over the driver's tables: one for each operator, and the SQL that each must agree with."""
 
-from __future__ import annotations
+from .tables import ORACLE_SQL, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = "weighted_lane_search"
+FLAGSHIP = "multi_lane_topk"
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
