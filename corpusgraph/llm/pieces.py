@@ -18,6 +18,7 @@ import heapq
 import re
 import struct
 import zlib
+from array import array
 from itertools import groupby
 
 import ahocorasick
@@ -31,8 +32,8 @@ from .common import map_slices, read
 #: The default vocabulary: a parameter everywhere.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Entries of the cache of stretches.
-CACHE = 500_000
+#: Entries of a generation of the caches.
+CACHE = 400_000
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: What an unknown character scores below the worst piece, in unigram models.
@@ -68,14 +69,18 @@ def fields(data: bytes):
 
 
 class Cache(dict):
+    """What make gives, in two generations: when the newer is full, the older goes."""
+
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.older = make, {}
 
     def __missing__(self, key):
         if len(self) >= CACHE:
+            self.older = dict(self)
             self.clear()
-        self[key] = value = self.make(key)
+        value = self.older.get(key)
+        self[key] = value = self.make(key) if value is None else value
         return value
 
 
@@ -107,13 +112,14 @@ class Model:
             self.automaton.add_word(p, (len(p), i))
         self.automaton.make_automaton()
         self.letters = frozenset(p for p in self.usable if len(p) == 1)
-        self.follows: dict[int, bool] = {}
+        self.lengths = [*map(len, self.pieces), 0]
+        self.follows = Cache(lambda key: self.can_follow(*divmod(key, len(self.pieces))))
         self.floor = min((self.scores[i] for i in self.ids.values()), default=0.0) - UNKNOWN_PENALTY
         spans = any(MARK in p.lstrip(MARK) for p in self.ids)
         loose = [c for c in "\n\t\r" if not any(c in p and len(p) > 1 for p in self.ids)]
         stop = re.escape("".join(loose))
         self.cut = re.compile(rf"[{stop}]|{MARK}+[^{MARK}{stop}]*|[^{MARK}{stop}]+" if loose else rf"{MARK}+[^{MARK}]*|[^{MARK}]+").findall if not spans else lambda t: [t]
-        self.cache = Cache(lambda stretch: np.array(self.stretch(stretch), np.int32).tobytes())
+        self.cache = Cache(lambda stretch: array("i", self.stretch(stretch)).tobytes())
         self.raw = [bytes([int(p[3:5], 16)]) if k == BYTE else b" \xe2\x81\x87 " if k == UNKNOWN else b"" if k == CONTROL else p.replace(MARK, " ").encode() for p, k in zip(self.pieces, self.kinds, strict=True)]
 
     def merged(self, text: str) -> list[int]:
@@ -140,12 +146,7 @@ class Model:
         return [self.ids.get(p, -1) for p in part if p]
 
     def can_follow(self, a: int, b: int) -> bool:
-        key = a * len(self.pieces) + b
-        if (known := self.follows.get(key)) is None:
-            known = self.follows[key] = self.merged(self.pieces[a] + self.pieces[b]) == [a, b]
-            if len(self.follows) > 4 * CACHE:
-                self.follows.clear()
-        return known
+        return self.merged(self.pieces[a] + self.pieces[b]) == [a, b]
 
     def stretch(self, text: str) -> list[int]:
         """The ids of a stretch."""
@@ -153,15 +154,16 @@ class Model:
         if self.algorithm == BPE and self.letters.issuperset(text):
             # ends[e]: the last piece of the text up to character e; the extra place at the end is reached by index -1, the start
             ends: list = [None] * n + [-1]
+            follows, many = self.follows, len(self.pieces)
             for end, (length, i) in self.automaton.iter(text):
-                if ends[end] is None and (p := ends[end - length]) is not None and (p < 0 or self.can_follow(p, i)):
+                if ends[end] is None and (p := ends[end - length]) is not None and (p < 0 or follows[p * many + i]):
                     ends[end] = i
             if None in ends:
                 return self.merged(text)  # not a vocabulary made by merging
-            at, out = n - 1, []
+            at, out, lengths = n - 1, [], self.lengths
             while at >= 0:
-                out.append(ends[at])
-                at -= len(self.pieces[ends[at]])
+                out.append(i := ends[at])
+                at -= lengths[i]
             return out[::-1]
         if self.algorithm == BPE:
             parts = [(known, "".join(part)) for known, part in groupby(text, self.letters.__contains__)]
