@@ -54,6 +54,14 @@ def split_large(text: Column) -> Column:
     return F.when(approx_tokens(text) > MAX_TOKENS, whole).otherwise(F.array(text))
 
 
+def file_pieces(text: Column, name: Column, kind: Column) -> Column:
+    """PIECES of a file: whole if it is small; else its paragraphs, small ones merged, then large ones split. Null for null."""
+    piece = lambda x: F.struct(x.alias("text"), name.alias("name"), kind.alias("type"))
+    merged = merge_small(F.transform(paragraphs(text), piece).cast(PIECES))
+    parts = F.flatten(F.transform(merged, lambda p: F.transform(split_large(p["text"]), piece)))
+    return F.when(approx_tokens(text) < SMALL_FILE, F.array(piece(text)).cast(PIECES)).when(text.isNotNull(), parts.cast(PIECES))
+
+
 def markdown_sections(df: DataFrame, key: str, column: str) -> DataFrame:
     """Sections at headings of levels 1 to 3: key, pos, level, title, path ("A > B"), text. Front matter and what precedes the first heading go."""
     body = F.regexp_replace(column, r"(?s)\A---\n.*?\n---\n?", "")

@@ -1,5 +1,6 @@
 """Queries over the driver's tables: one for each operator, and the SQL that each must agree with."""
 
+from . import texts  # noqa: F401  (adds its queries)
 from .tables import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "multi_lane_topk"
