@@ -201,6 +201,17 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("fp"), F.col("v").alias("label")) if label is None else label
 
 
+def joined(label: DataFrame, edges: DataFrame) -> DataFrame:
+    """components of the edges that label (fp, label) comes from and of more edges: those are laid between labels first."""
+    of = lambda c: label.select(F.col("fp").alias(c), F.col("label").alias(f"{c}l"))
+    between = edges.join(of("u"), "u", "left").join(of("v"), "v", "left").select(F.coalesce("ul", "u").alias("u"), F.coalesce("vl", "v").alias("v"))
+    more = components(between.where("u <> v").distinct())
+    moved = more.select(F.col("fp").alias("label"), F.col("label").alias("up"))
+    old = label.join(moved, "label", "left").select("fp", F.coalesce("up", "label").alias("label"))
+    new = more.join(label.select("fp"), "fp", "left_anti").select("fp", "label")
+    return materialize(old.unionByName(new))
+
+
 def near_duplicates(docs: DataFrame, width: int, radius: int = RADIUS) -> DataFrame:
     """doc_id, fp and component_id of every row, by one fingerprint; docs needs doc_id and text."""
     prints = materialize(fingerprints(docs, width).select("doc_id", F.col("prints")[0].alias("fp")))
@@ -245,7 +256,7 @@ def similar(docs: DataFrame, width: int = 5) -> DataFrame:
         wanted = outside.select("shard").distinct()
         standing = hot.join(wanted, "shard", "left_semi").withColumn("indexed", yes).withColumn("asks", no)
         second = linked(standing.unionByName(asking).withColumn("j", F.lit(0)).drop("parts", "label"), words, WIDE_RADIUS)
-        label = components(first.unionByName(second))
+        label = joined(label, second)
     named = materialize(nodes.join(label.withColumnRenamed("fp", "id"), "id", "left").select("id", "prints", F.coalesce("label", "id").alias("label")))
     least = named.groupBy("label").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
     named = named.join(least, "label", "left").select("prints", F.coalesce("least", "id").alias("component_id"))

@@ -201,6 +201,26 @@ def test_similar_texts_of_five_word_shingles(spark):
     assert got == {i: i - i % 2 for i, _ in rows}
 
 
+def test_more_links_join_components(spark):
+    edge = lambda *rows: spark.createDataFrame(list(rows), "u long, v long")
+    got = simhash.joined(simhash.components(edge((1, 2), (3, 4), (8, 9))), edge((4, 2), (5, 6), (7, 9), (3, 4)))
+    got = got.collect()
+    label = dict((r["fp"], r["label"]) for r in got)
+    assert len(got) == len(label)
+    groups = {}
+    for node, of in label.items():
+        groups.setdefault(of, set()).add(node)
+    assert sorted(map(sorted, groups.values())) == [[1, 2, 3, 4], [5, 6], [7, 8, 9]]
+
+
+def test_large_shards_lose_no_near_duplicates(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SHARD_ROWS", 2)
+    texts = {k: " ".join(f"w{k // 8}x{j}" for j in range(200)) + f" end{k}" for k in range(24)}
+    rows = [(k, t) for k, t in texts.items()] + [(100, None), (101, "")]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {**{k: k // 8 * 8 for k in texts}, 100: 100, 101: 100}
+
+
 def test_pieces_equal_the_library():
     sentencepiece = pytest.importorskip("sentencepiece")
     lib, own = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL), pieces.model_of(pieces.model_bytes())
