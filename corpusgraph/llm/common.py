@@ -34,7 +34,7 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about `most` bytes of `column` each, so that working arrays stay small; a longer row is a part."""
     n = batch.num_rows
     if not n:
@@ -49,6 +49,17 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 2 << 20) -> Iterator[
     yield batch.slice(begin, n - begin)
 
 
+_kept: dict = {}
+
+
+def held(owner: str, key: object, make: Callable[[], object]) -> object:
+    """What a worker keeps between tasks, made once. Workers outlive a stage, so only one operator's is kept at a time."""
+    if _kept.get("of") != (owner, key):
+        _kept.clear()
+        _kept.update({"value": make(), "of": (owner, key)})
+    return _kept["value"]
+
+
 def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str, column: str = "text") -> DataFrame:
     """mapInArrow over slices: fn gets a RecordBatch and returns a dict of columns, in the order of schema."""
     from pyspark.sql.pandas.types import to_arrow_schema

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_slices, read, slices
+from .common import held, map_slices, read, slices
 
 BUCKETS = 1 << 16
 #: Labelled rows that are learned from, for each language.
@@ -38,17 +38,13 @@ def letter_table() -> np.ndarray:
     return table
 
 
-_letters: list[np.ndarray] = []
-
-
 def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Buckets of all n-grams of texts, the text that each is of, and for each text whether it has a letter."""
-    if not _letters:
-        _letters.append(letter_table())
+    table = held("letters", None, letter_table)
     a = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     of = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
     far = a >= 1 << 16
-    c = _letters[0][np.where(far, SPACE, a)]
+    c = table[np.where(far, SPACE, a)]
     if far.any():
         letters = np.array([x for x in np.unique(a[far]) if chr(x).isalpha()], np.uint32)
         c = np.where(far & np.isin(a, letters), a, c)

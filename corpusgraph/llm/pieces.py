@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_slices, read
+from .common import held, map_slices, read
 
 #: The default vocabulary: a parameter everywhere.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -216,15 +216,9 @@ class Model:
         return text[1:] if self.prefix and text[:1] == " " else text
 
 
-_models: dict[int, Model] = {}
-
-
 def model_of(data: bytes) -> Model:
     """The model of a file's bytes, made once in each worker."""
-    key = zlib.crc32(data)
-    if key not in _models:
-        _models[key] = Model(data)
-    return _models[key]
+    return held("pieces", zlib.crc32(data), lambda: Model(data))
 
 
 def model_bytes(path: str = MODEL) -> bytes:

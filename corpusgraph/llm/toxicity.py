@@ -12,15 +12,17 @@ gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_slices, read
+from .common import held, map_slices, read
 from .langid import fold
 from .quality import bounded_ids, chosen, sigmoid
 
@@ -260,11 +262,15 @@ def learn(docs: DataFrame, labels: DataFrame, keep) -> Net | None:
     if not bad or not good:
         return None
     short = docs.where(F.octet_length("text") <= TRAIN_BYTES)
-    rows = sorted(chosen(short, bad | good).collect())
-    return fit([r[1] for r in rows], [int(r[0] in bad) for r in rows])
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((i, t) for b in batches for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        net = fit([t for _, t in rows], [int(i in bad) for i, _ in rows])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], ["net"])
 
-_scorers: dict[int, Scorer] = {}
+    sample = chosen(short, bad | good).repartition(1)  # bounded: one task fits the network, outside the driver
+    got = sample.mapInArrow(run, "net binary").first()
+    return got and pickle.loads(got[0])
 
 
 def score(docs: DataFrame, net: Net | None) -> DataFrame:
@@ -275,10 +281,8 @@ def score(docs: DataFrame, net: Net | None) -> DataFrame:
         texts = [t or "" for t in batch.column("text").to_pylist()]
         if sent.value is None:
             return {"doc_id": batch.column("doc_id"), "score": np.zeros(len(texts))}
-        if id(sent.value) not in _scorers:
-            _scorers.clear()
-            _scorers[id(sent.value)] = Scorer(sent.value)
-        return {"doc_id": batch.column("doc_id"), "score": _scorers[id(sent.value)].scores(texts)}
+        scorer = held("toxicity", id(sent.value), lambda: Scorer(sent.value))
+        return {"doc_id": batch.column("doc_id"), "score": scorer.scores(texts)}
 
     return map_slices(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, score double")
 
