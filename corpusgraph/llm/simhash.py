@@ -14,7 +14,7 @@ doc_ids never name a component unless it has no other. An empty table gives no r
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -38,13 +38,21 @@ def bit_majorities(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(ones * 2 > n)
 
 
+def shingle_digests(text: bytes | None, width: int) -> np.ndarray:
+    """XXH64 of each word shingle of lower-cased (A-Z) UTF-8, a row of 8 bytes each; a text of fewer words is one shingle."""
+    words = (text or b"").lower().split()
+    shingles = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False)) if len(words) >= width else [b" ".join(words)] if words else []
+    return np.frombuffer(b"".join(map(xxhash.xxh64_digest, shingles, repeat(42))), np.uint8).reshape(-1, 8)
+
+
 def fingerprint(text: bytes | None, width: int, many: int = 1) -> list[int]:
     """Of lower-cased (A-Z) UTF-8: `many` signed 64-bit numbers. The first is made from the XXH64 of shingles, others from mixes of it."""
-    words = (text or b"").lower().split()
-    if not words:
-        return [0] * many
-    shingles = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False)) if len(words) >= width else [b" ".join(words)]
-    digests = np.frombuffer(b"".join(map(xxhash.xxh64_digest, shingles, repeat(42))), np.uint8).reshape(-1, 8)
+    digests = shingle_digests(text, width)
+    return majority_words(digests, many) if len(digests) else [0] * many
+
+
+def majority_words(digests: np.ndarray, many: int) -> list[int]:
+    """The fingerprint of shingles that have these digests (a row of 8 bytes each)."""
     if many > 1:
         h = digests.view(">u8").astype(np.uint64)
         mixed = (h ^ h >> np.uint64(29)) * (2 * np.arange(1, many, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
@@ -136,8 +144,8 @@ def local_links(keys: np.ndarray, task: np.ndarray, indexed: np.ndarray, asks: n
     return moved, label[moved]
 
 
-def linked(tasks: DataFrame, words: list[str], radius: int) -> DataFrame:
-    """(u, v): a spanning forest of the links in each task. tasks: id, shard, i, j, indexed, asks and the fingerprint's words."""
+def tasked(tasks: DataFrame, solve: Callable[[dict[str, np.ndarray], np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """(u, v): the pairs of ids that solve gets from the columns of whole tasks and the number of each row's task. tasks: id, shard, i, j and what solve reads."""
     tasks = tasks.repartition("shard", "i", "j").sortWithinPartitions("shard", "i", "j")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +153,7 @@ def linked(tasks: DataFrame, words: list[str], radius: int) -> DataFrame:
             col = {c: t.column(c).to_numpy() for c in t.column_names}
             same = (np.diff(col["shard"]) == 0) & (np.diff(col["i"]) == 0) & (np.diff(col["j"]) == 0)
             task = np.concatenate(([0], np.cumsum(~same)))
-            u, v = local_links(np.stack([col[w] for w in words], axis=1), task, col["indexed"], col["asks"], radius)
+            u, v = solve(col, task)
             return pa.RecordBatch.from_arrays([pa.array(col["id"][u]), pa.array(col["id"][v])], ["u", "v"])
 
         held: list = []
@@ -166,6 +174,11 @@ def linked(tasks: DataFrame, words: list[str], radius: int) -> DataFrame:
     return tasks.mapInArrow(run, "u long, v long").distinct()
 
 
+def linked(tasks: DataFrame, words: list[str], radius: int) -> DataFrame:
+    """(u, v): a spanning forest of the links in each task. tasks: id, shard, i, j, indexed, asks and the fingerprint's words."""
+    return tasked(tasks, lambda col, task: local_links(np.stack([col[w] for w in words], axis=1), task, col["indexed"], col["asks"], radius))
+
+
 def links(nodes: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(u, v): enough of the links between distinct fingerprints fp within the radius to connect what all of them connect."""
     n, bits = radius + 1, 64 // (radius + 1)
@@ -223,44 +236,150 @@ def near_duplicates(docs: DataFrame, width: int, radius: int = RADIUS) -> DataFr
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-#: For a similarity of 0.8: PRINTS fingerprints of 64 bits give TABLES keys of KEY_BITS, one of which two such texts
-#: share with a probability of 0.95 (0.9 similar: 0.999); DECIDING words of fingerprint decide, within WIDE_RADIUS bits.
-PRINTS, KEY_BITS, DECIDING, WIDE_RADIUS = 10, 16, 4, 42
+#: The least similarity of near duplicates: common shingles to all shingles of two texts.
+SIMILAR = (4, 5)
+#: Two texts of it differ in 39 of 256 fingerprint bits (48 where they have 4 and 5 shingles); pairs beyond WIDE_RADIUS
+#: aren't compared, which by the binomial model leaves out one in a million of the latter and far fewer of others.
+DECIDING, WIDE_RADIUS = 4, 80
+#: Documents whose shingles are counted for the order of shingles, and how many of the common ones are told apart. The
+#: order only decides how much is compared, never what is found.
+COUNTED, COMMON = 20_000, 1 << 16
+
+
+def shingle_set(text: bytes | None, width: int) -> np.ndarray:
+    """The distinct hashes of a text's shingles, sorted."""
+    return np.unique(shingle_digests(text, width).view(">i8").ravel().astype(np.int64))
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets of shingles are SIMILAR or more."""
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return SIMILAR[1] * common >= SIMILAR[0] * (len(a) + len(b) - common)
+
+
+def leading(hashes: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The shingles of a set that come first, rare ones before common ones: of two SIMILAR sets these have one in common."""
+    rank = np.zeros(len(hashes), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+        rank = np.where(common[at] == hashes, counts[at], 0)
+    most = len(hashes) + SIMILAR[0] * len(hashes) // -SIMILAR[1] + 1 if len(hashes) else 0
+    return hashes[np.lexsort((hashes, rank))[:most]]
+
+
+def common_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, ascending, and counts of shingles that many of COUNTED documents have."""
+    every = max(1, docs.count() // COUNTED)
+
+    def run(batch: pa.RecordBatch) -> dict:
+        return {"hashes": [shingle_set(t, width) for t in batch.column("text").cast(pa.binary()).to_pylist()]}
+
+    some = map_slices(docs.where(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(every)) == 0).select("text"), run, "hashes array<long>")
+    n = some.select(F.explode("hashes").alias("hash")).groupBy("hash").agg(F.count("*").alias("n")).where("n >= 8")
+    top = n.orderBy(F.col("n").desc(), "hash").limit(COMMON).toPandas().sort_values("hash")
+    return top["hash"].to_numpy(np.int64), top["n"].to_numpy(np.int64)
+
+
+def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
+    """Of each row: doc_id, text, id (a hash of its shingles), n (how many), w0 to w3 (the fingerprint) and keys (the leading shingles)."""
+    common, counts = common_shingles(docs, width)
+
+    def run(batch: pa.RecordBatch) -> dict:
+        sets = [shingle_set(t, width) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+        prints = [majority_words(h.astype(">i8").view(np.uint8).reshape(-1, 8), DECIDING) if len(h) else [0] * DECIDING for h in sets]
+        ids = np.array([xxhash.xxh64_intdigest(h.tobytes(), 42) for h in sets], np.uint64).view(np.int64)
+        out = {"doc_id": batch.column("doc_id"), "text": batch.column("text"), "id": ids, "n": [len(h) for h in sets], "keys": [leading(h, common, counts) for h in sets]}
+        return out | {f"w{k}": [p[k] for p in prints] for k in range(DECIDING)}
+
+    words = ", ".join(f"w{k} long" for k in range(DECIDING))
+    return map_slices(docs.select(F.col("doc_id").cast("long"), "text"), run, f"doc_id long, text string, id long, n long, keys array<long>, {words}")
+
+
+def near_pairs(col: dict[str, np.ndarray], task: np.ndarray, nearest: bool, below: bool, most: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of positions, an asking and an indexed row of one task, whose labels differ and that may be SIMILAR.
+
+    nearest: of each asking row only the nearest partner. below: only partners of a smaller label."""
+    keys, n, label = np.stack([col[f"w{k}"] for k in range(DECIDING)], axis=1), col["n"], col["label"]
+    stand, ask = np.flatnonzero(col["indexed"]), np.flatnonzero(col["asks"])
+    low = np.searchsorted(task[stand], task[ask])
+    many = np.searchsorted(task[stand], task[ask], side="right") - low
+    found: list = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for part in np.split(np.arange(len(ask)), np.flatnonzero(np.diff(np.cumsum(many) // most)) + 1):
+        m = many[part]
+        a = np.repeat(ask[part], m)
+        b = stand[np.arange(len(a)) + np.repeat(low[part] - (np.cumsum(m) - m), m)]
+        may = label[b] < label[a] if below else label[b] != label[a]
+        may &= SIMILAR[1] * np.minimum(n[a], n[b]) >= SIMILAR[0] * np.maximum(n[a], n[b])
+        a, b = a[may], b[may]
+        d = distance(keys[a], keys[b])
+        may = d <= WIDE_RADIUS
+        a, b, d = a[may], b[may], d[may]
+        if nearest:
+            order = np.lexsort((col["id"][b], d, a))
+            a, b = a[order], b[order]
+            first = np.concatenate(([True], a[1:] != a[:-1]))[: len(a)]
+            a, b = a[first], b[first]
+        found.append((a, b))
+    return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
+
+
+def verified(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """The pairs (u, v) whose texts (id, text) are SIMILAR or more by their shingles."""
+    ids = pairs.select(F.col("u").alias("id")).union(pairs.select(F.col("v").alias("id"))).distinct()
+    texts = materialize(texts.join(ids, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text")))
+    of = lambda c: texts.select(F.col("id").alias(c), F.col("text").alias(f"{c}t"))
+    both = pairs.join(of("u"), "u").join(of("v"), "v")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep, last = [], (None, None)
+            for u, a, b in zip(batch.column("u").to_pylist(), batch.column("ut"), batch.column("vt"), strict=True):
+                if last[0] != u:
+                    last = (u, shingle_set(a.as_py().encode(), width))
+                keep.append(alike(last[1], shingle_set(b.as_py().encode(), width)))
+            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.select("u", "v", "ut", "vt").mapInArrow(run, "u long, v long")
 
 
 def similar(docs: DataFrame, width: int = 5) -> DataFrame:
     """doc_id and component_id of every row, doc_id being a key without nulls: components of texts whose shingles are
-    0.8 similar or more, as far as wide fingerprints tell.
+    0.8 similar or more. Every link is decided by the texts' own shingles.
 
-    Shards are keys of all fingerprints. Where a shard is large, its parts are searched by themselves first; then every
-    fingerprint outside the shard's largest component so far meets all parts. Links between two members of that
-    component would connect nothing new, so none is lost.
+    Two such texts share a leading shingle, which is their shard. First each row of a part of a shard is held against
+    its nearest one there; then rows outside the shard's largest component so far against the nearest of every part,
+    and last against all. Two members of a component needn't be compared: a link would connect nothing new.
     """
-    prints = materialize(fingerprints(docs, width, PRINTS))
-    nodes = materialize(prints.groupBy("prints").agg(F.min("doc_id").alias("id")))
+    sets = materialize(shingle_sets(docs, width))
     words = [f"w{k}" for k in range(DECIDING)]
-    keys = [F.shiftrightunsigned(F.col("prints")[f], b).bitwiseAND(F.lit((1 << KEY_BITS) - 1)) * 1024 + f * (64 // KEY_BITS) + b // KEY_BITS for f in range(PRINTS) for b in range(0, 64, KEY_BITS)]
-    sizes = nodes.select(F.explode(F.array(*keys)).alias("shard")).groupBy("shard").agg(F.count("*").alias("n")).where("n > 1")
-    spread = nodes.select("id", *[F.col("prints")[k].alias(w) for k, w in enumerate(words)], F.explode(F.array(*keys)).alias("shard"))
-    spread = spread.join(sizes, "shard").withColumn("parts", F.ceil(F.col("n") / SHARD_ROWS).cast("int"))
-    spread = materialize(spread.withColumn("i", F.pmod(F.xxhash64("id", "shard"), F.col("parts")).cast("int")).drop("n"))
+    nodes = sets.groupBy("id").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("n", *words)])
+    nodes = materialize(nodes)
+    spread = sets.groupBy("id").agg(F.first("keys").alias("keys")).select("id", F.explode("keys").alias("shard"))
+    sizes = spread.groupBy("shard").agg(F.count("*").alias("size")).where("size > 1")
+    spread = spread.join(sizes, "shard").join(nodes.drop("least"), "id").withColumn("parts", F.ceil(F.col("size") / SHARD_ROWS).cast("int"))
+    spread = materialize(spread.withColumn("i", F.pmod(F.xxhash64("id", "shard"), F.col("parts")).cast("int")).withColumn("j", F.lit(0)).drop("size"))
     yes, no = F.lit(True), F.lit(False)
-    first = materialize(linked(spread.withColumn("j", F.lit(0)).withColumn("indexed", yes).withColumn("asks", yes).drop("parts"), words, WIDE_RADIUS))
-    label = components(first)
-    hot = spread.where("parts > 1")
-    if hot.limit(1).count():
-        hot = materialize(hot.join(label.withColumnRenamed("fp", "id"), "id", "left").withColumn("label", F.coalesce("label", "id")))
-        large = hot.groupBy("shard", "label").agg(F.count("*").alias("n")).groupBy("shard").agg(F.max_by("label", F.struct("n", "label")).alias("largest"))
-        outside = hot.join(large, "shard").where(F.col("label") != F.col("largest")).drop("largest")
+
+    def decided(tasks: DataFrame, nearest: bool, below: bool, tried: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        pairs = tasked(tasks, lambda col, task: near_pairs(col, task, nearest, below))
+        pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        pairs = materialize(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"))
+        return pairs, materialize(verified(pairs, sets.select("id", "text"), width))
+
+    own = spread.withColumn("label", F.col("id")).withColumn("indexed", yes).withColumn("asks", yes).drop("parts")
+    tried, links = decided(own, True, True, None)
+    label = components(links)
+    for nearest in (True, False):
+        now = materialize(spread.join(label.withColumnRenamed("fp", "id"), "id", "left").withColumn("label", F.coalesce("label", "id")))
+        large = now.groupBy("shard", "label").agg(F.count("*").alias("m")).groupBy("shard").agg(F.max_by("label", F.struct("m", "label")).alias("largest"), F.count("*").alias("labels"))
+        outside = now.join(large.where("labels > 1").select("shard", "largest"), "shard").where(F.col("label") != F.col("largest")).drop("largest")
         asking = outside.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("indexed", no).withColumn("asks", yes)
-        wanted = outside.select("shard").distinct()
-        standing = hot.join(wanted, "shard", "left_semi").withColumn("indexed", yes).withColumn("asks", no)
-        second = linked(standing.unionByName(asking).withColumn("j", F.lit(0)).drop("parts", "label"), words, WIDE_RADIUS)
-        label = joined(label, second)
-    named = materialize(nodes.join(label.withColumnRenamed("fp", "id"), "id", "left").select("id", "prints", F.coalesce("label", "id").alias("label")))
-    least = named.groupBy("label").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
-    named = named.join(least, "label", "left").select("prints", F.coalesce("least", "id").alias("component_id"))
-    return prints.join(named, "prints").select("doc_id", "component_id")
+        standing = now.join(outside.select("shard").distinct(), "shard", "left_semi").withColumn("indexed", yes).withColumn("asks", no)
+        more, links = decided(standing.unionByName(asking).drop("parts"), nearest, False, tried)
+        tried, label = tried.unionByName(more), joined(label, links)
+    named = materialize(nodes.select("id", "least").join(label.withColumnRenamed("fp", "id"), "id", "left").select("id", "least", F.coalesce("label", "id").alias("label")))
+    first = named.groupBy("label").agg(F.min("least").alias("component_id"))
+    return sets.select("doc_id", "id").join(named.join(first, "label").select("id", "component_id"), "id").select("doc_id", "component_id")
 
 
 def op4_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:

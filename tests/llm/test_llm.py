@@ -201,6 +201,33 @@ def test_similar_texts_of_five_word_shingles(spark):
     assert got == {i: i - i % 2 for i, _ in rows}
 
 
+@pytest.mark.parametrize("rows, counted", [(512, 20_000), (2, 1)])
+def test_near_duplicates_are_decided_by_their_shingles(spark, monkeypatch, rows, counted):
+    """Chains of texts around a similarity of 0.8, on both sides of it, against all pairs compared; whatever the order of shingles and the parts."""
+    monkeypatch.setattr(simhash, "SHARD_ROWS", rows)
+    monkeypatch.setattr(simhash, "COUNTED", counted)
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    texts = []
+    for size in (8, 9, 12, 40, 100, 240):
+        for changes in (1, 2, 3, 4, 5, 6):
+            for _ in range(3):
+                base = [word() for _ in range(size)]
+                other = list(base)
+                for k in rng.sample(range(size), min(size, max(1, changes * size // 250))) if size > 40 else range(size - changes, size):
+                    other[k] = word()
+                texts += [" ".join(base), " ".join(other), " ".join([*base, word()])]
+    texts += [None, "", "one two", "ONE two"]
+    sets = [simhash.shingle_set((t or "").encode(), 5) for t in texts]
+    name = list(range(len(texts)))
+    link = [(i, j) for i in range(len(texts)) for j in range(i) if len(set(sets[i]) & set(sets[j])) >= 0.8 * len(set(sets[i]) | set(sets[j]))]
+    for _ in texts:
+        for i, j in link:
+            name[i] = name[j] = min(name[i], name[j])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in simhash.similar(docs).collect()} == dict(enumerate(name))
+
+
 def test_more_links_join_components(spark):
     edge = lambda *rows: spark.createDataFrame(list(rows), "u long, v long")
     got = simhash.joined(simhash.components(edge((1, 2), (3, 4), (8, 9))), edge((4, 2), (5, 6), (7, 9), (3, 4)))
