@@ -59,6 +59,16 @@ def module_level(headings: DataFrame, document: str, level: str, least: int = 2,
     return n.where(F.col("n").between(least, most)).groupBy(document).agg(F.min(level).alias(level))
 
 
+def module_candidates(headings: DataFrame, document: str, pos: str, level: str, least: int = 2, most: int = 25, children: int = 4) -> DataFrame:
+    """The headings of the shallowest level that has `least` to `most`, or, of more, at least `least` with `children` descendants: those. A document without such a level keeps all."""
+    h = descendants(headings, document, pos, level).withColumn("_owns", F.col("descendants") >= children).drop("descendants")
+    n = h.groupBy(document, level).agg(F.count("*").alias("_n"), F.count_if("_owns").alias("_m"))
+    fits = F.col("_n").between(least, most) | ((F.col("_n") > most) & (F.col("_m") >= least))
+    chosen = n.where(fits).groupBy(document).agg(F.min_by(F.struct(F.col(level).alias("l"), F.col("_n").alias("n")), level).alias("_c"))
+    keep = F.col("_c").isNull() | ((F.col(level) == F.col("_c.l")) & ((F.col("_c.n") <= most) | F.col("_owns")))
+    return h.join(chosen, document, "left").where(keep).drop("_owns", "_c")
+
+
 def clean_headings(headings: DataFrame, document: str, pos: str, level: str, text: str) -> DataFrame:
     """Not blank, of the three shallowest levels, 150 characters at most, no symbol in front, no label; the first of equals."""
     ok = (F.trim(text) != "") & (F.length(text) <= 150) & (F.ascii(F.trim(text)) < 0x2600) & ~F.col(text).rlike(r":\s*$")

@@ -333,6 +333,15 @@ def module_levels(spark, sf_dir):
     return aggregate.module_level(headings(spark, sf_dir), "conv_id", "level")
 
 
+@query(f"""WITH {HEADINGS}, s AS (SELECT a.*, (SELECT min(b.turn) FROM h b WHERE b.conv_id = a.conv_id AND b.turn > a.turn AND b.level <= a.level) AS stop FROM h a),
+d AS (SELECT *, (SELECT count(*) FROM h b WHERE b.conv_id = s.conv_id AND b.turn > s.turn AND (s.stop IS NULL OR b.turn < s.stop)) >= 4 AS owns FROM s),
+n AS (SELECT conv_id, level, count(*) AS n, count(*) FILTER (WHERE owns) AS m FROM d GROUP BY ALL),
+c AS (SELECT conv_id, min(level) AS l, arg_min(n, level) AS n FROM n WHERE n BETWEEN 2 AND 25 OR (n > 25 AND m >= 2) GROUP BY conv_id)
+SELECT d.conv_id, d.turn, d.level FROM d LEFT JOIN c ON d.conv_id = c.conv_id WHERE c.l IS NULL OR (d.level = c.l AND (c.n <= 25 OR d.owns))""")
+def module_candidates(spark, sf_dir):
+    return aggregate.module_candidates(headings(spark, sf_dir), "conv_id", "turn", "level").select("conv_id", "turn", "level")
+
+
 @query(f"""WITH {HEADINGS}, c AS (SELECT *, dense_rank() OVER (PARTITION BY conv_id ORDER BY level) AS l FROM h WHERE trim(title) <> '' AND length(title) <= 150 AND unicode(trim(title)) < 9728 AND NOT regexp_matches(title, ':\\s*$')),
 d AS (SELECT *, row_number() OVER (PARTITION BY conv_id, title ORDER BY turn) AS r FROM c WHERE l <= 3) SELECT conv_id, turn, level, title FROM d WHERE r = 1""")
 def preclean_headings(spark, sf_dir):

@@ -127,3 +127,12 @@ def test_descendants_and_latest(spark):
     log = spark.createDataFrame([("j", "pending", None, 1), ("j", "completed", "r", 2), ("k", "failed", "no", 1)], "j string, s string, r string, t int")
     got = {r["j"]: (r["s"], r["r"]) for r in aggregate.job_view(log, "j", [F.col("t")], "s", "r").collect()}
     assert got == {"j": ("completed", "r"), "k": ("failed", None)}
+
+
+def test_module_candidates_of_crowded_and_single_levels(spark):
+    docs = {1: [1] + [2, 3] * 3, 2: [1, 2, 3], 3: [1] * 26, 4: [1] * 24 + [1, 2, 3, 3, 3] * 2, 5: [1] * 26 + [2, 2], 6: [1, 2, 2, 2, 2] + [1] * 25 + [2]}
+    h = spark.createDataFrame([(d, i, lv) for d, levels in docs.items() for i, lv in enumerate(levels)], "d int, p int, l int")
+    got = {d: [] for d in docs}
+    for r in aggregate.module_candidates(h, "d", "p", "l").orderBy("d", "p").collect():
+        got[r["d"]].append(r["p"])
+    assert got == {1: [1, 3, 5], 2: [0, 1, 2], 3: list(range(26)), 4: [24, 29], 5: [26, 27], 6: [1, 2, 3, 4, 30]}
