@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Words are runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -19,19 +23,54 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where it is unset (a local session), a temporary one."""
+    """The folder of spark.checkpoint.dir. Where it is unset: a temporary one in a local session, else an error, because
+    executors of a cluster don't share local folders."""
     if not (at := spark.conf.get("spark.checkpoint.dir", None)):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="corpusgraph-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
+#: Folders written by materialize and not yet released, oldest first.
+_written: list[str] = []
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends, and a lost executor costs no recomputation."""
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/corpusgraph/{uuid.uuid4().hex}"
     df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    _written.append(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    out._written_at = at
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of materialize that nothing reads any more."""
+    for df in tables:
+        if (at := getattr(df, "_written_at", None)) in _written:
+            _delete(df.sparkSession, at)
+
+
+def release_before(df: DataFrame) -> None:
+    """Delete every table that materialize wrote before df, which is one of its own."""
+    for at in _written[: _written.index(df._written_at)]:
+        _delete(df.sparkSession, at)
+
+
+def _delete(spark: SparkSession, at: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _written.remove(at)
+
+
+def row_key(*columns: str) -> Column:
+    """A key of a row's content, the same for equal rows only: 128 bits of a hash over every column and its length."""
+    parts = [F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("-")) for c in (F.col(x).cast("string") for x in columns)]
+    return F.md5(F.concat(*parts).cast("binary"))
 
 
 def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
@@ -55,24 +94,30 @@ _kept: dict = {}
 def held(owner: str, key: object, make: Callable[[], object]) -> object:
     """What a worker keeps between tasks, made once. Workers outlive a stage, so only one operator's is kept at a time."""
     if _kept.get("of") != (owner, key):
-        _kept.clear()
+        forget()
         _kept.update({"value": make(), "of": (owner, key)})
     return _kept["value"]
 
 
-def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str, column: str = "text") -> DataFrame:
-    """mapInArrow over slices: fn gets a RecordBatch and returns a dict of columns, in the order of schema."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType, _parse_datatype_string
+def forget() -> None:
+    """A worker drops what an operator left in it."""
+    _kept.clear()
+
+
+def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str, column: str = "text", whole: bool = False) -> DataFrame:
+    """mapInArrow over slices: fn gets a RecordBatch and returns a dict of columns, in the order of schema.
 
-    kind = _parse_datatype_string(schema)
-    assert isinstance(kind, StructType)
-    arrow = to_arrow_schema(kind)
+    whole: the rows' own columns stand before those of schema, so that a row needn't be found again by a join."""
+    own = StructType(list(df.schema.fields) if whole else [])
+    more = StructType.fromDDL(schema)
+    kind = StructType(own.fields + more.fields)
+    kept, arrow, out_schema = own.names, to_arrow_schema(more), to_arrow_schema(kind)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, column):
                 out = fn(part)
-                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type, from_pandas=True) for f in arrow], schema=arrow)
+                columns = [part.column(c) for c in kept] + [pa.array(out[f.name], type=f.type, from_pandas=True) for f in arrow]
+                yield pa.RecordBatch.from_arrays(columns, names=out_schema.names)
 
     return df.mapInArrow(run, kind)
