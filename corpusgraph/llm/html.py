@@ -6,9 +6,10 @@ parent-child potentials are a table for each kind of parent. Messages pass upwar
 marginal is above one half. Both kinds of potentials are trained by exact likelihood on labelled pages, which are made
 by rule (labelled_page), because the tables have no labels.
 
-A null html, or one without main text, gives the empty text. Scripts, styles, forms and the like never are text.
-Unclosed and crossed tags are closed as browsers do for the common cases; nesting of any depth and pages of any length
-are read whole. Repeated rows each get a row; an empty table gives no rows; other columns are not read.
+A null html, or one without main text, gives the empty text. Scripts, styles, controls and the like never are text.
+Unclosed and crossed tags are closed as browsers do for the common cases, and a head or body tag may be absent; controls
+of a form are dropped, the form itself is judged like other elements. Nesting of any depth and pages of any length are
+read whole, in time that grows with the page only. Repeated rows each get a row; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,16 +27,20 @@ from pyspark.sql import functions as F
 
 from .common import map_slices, read
 
-TOKEN = re.compile(
-    r"<!--(?:>|->|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S
-)
+#: A tag whose quoted values have no angle brackets; others are read by Tags.slow.
+PLAIN_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/><"']*)([^<>"']*+(?:"[^"<>]*"[^<>"']*+|'[^'<>]*'[^<>"']*+)*+)>""")
+TAG_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+TAG_STOP = re.compile(r"[>\"']")
+COMMENT_END = re.compile(r"--!?>")
 ATTRIBUTE = re.compile(r"\b(class|id|role|data-y)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 NAME_PART = re.compile(r"[a-z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is not markup; all but noscript and title end at their own end tag only.
 RAW = frozenset("script style textarea title iframe xmp noembed noframes template".split())
 #: Nothing in them is text of the page.
-DROPPED = frozenset("head form button select option datalist svg math canvas object audio video noscript dialog".split())
+DROPPED = frozenset("head button select option datalist svg math canvas object audio video noscript dialog".split())
+#: Any other start tag, or text, ends an open head.
+OF_HEAD = frozenset("head title meta link base script style noscript template noframes".split())
 BLOCKS = frozenset(
     "html body address article aside blockquote center dd details dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table tbody tfoot thead td th tr caption ul".split()
 )
@@ -64,7 +69,7 @@ NAMES = {
     "text": "content article post entry main story body text page copy prose blog",
 }
 GROUP = {w: g for g, words in enumerate(NAMES.values()) for w in words.split()}
-TAGS = "html body article main section div p nav header footer aside h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tr td th blockquote pre figure figcaption address details summary #run".split()
+TAGS = "html body article main section div form p nav header footer aside h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tr td th blockquote pre figure figcaption address details summary #run".split()
 TAG = {t: i for i, t in enumerate(TAGS)}
 N_TAGS, N_NAMES = len(TAGS) + 1, len(NAMES)
 #: Tag, names, names of an element inside an article, the parent's tag for runs, lengths and links.
@@ -81,11 +86,41 @@ class Node:
         self.text = ""
 
 
+class Tags:
+    """Where the tags of a page end, in time that grows with the page only."""
+
+    def __init__(self, page: str):
+        self.page, self.hopeless = page, set()
+
+    def slow(self, at: int) -> int:
+        """The end of a tag that begins before at: its first > outside quotes; without one the first >; 0 if there is none.
+
+        A quote that leads to no such > is remembered, so that no stretch is read for two tags."""
+        page, tried, i = self.page, [], at
+        while (m := TAG_STOP.search(page, i)) is not None and m.start() not in self.hopeless:
+            if m[0] == ">":
+                return m.end()
+            tried.append(m.start())
+            if (close := page.find(m[0], m.end())) < 0:
+                break
+            i = close + 1
+        self.hopeless.update(tried)
+        return page.find(">", at) + 1
+
+
+@cache
+def raw_end(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}\s*/?>", re.I)
+
+
 def tree(page: str) -> list[Node]:
     """Nodes in page order, parents first; runs are nodes with tag #run."""
     nodes = [Node("html", -1)]
     stack = [("html", 0)]  # open elements, inline ones too, with the node that each is in
-    drops: list[str] = []
+    opened: dict[str, list[int]] = {"html": [0]}  # of each tag, where it stands in the stack
+    blocks = [0]  # where blocks stand in the stack
+    drops: list[int] = []  # where dropped elements stand in the stack
+    tags = Tags(page)
     links = 0
     run: list[str] = []
     linked = 0
@@ -104,8 +139,18 @@ def tree(page: str) -> list[Node]:
                 nodes.append(node)
         linked = 0
 
+    def nearest(of) -> int:
+        """Where the innermost open element of some tags stands, or 0."""
+        return max((x[-1] for t in of if (x := opened.get(t))), default=0)
+
+    def end_head() -> None:
+        if len(drops) == 1 and stack[drops[0]][0] == "head":
+            close_to(drops[0])
+
     def add(text: str) -> None:
         nonlocal linked
+        if drops and text and not text.isspace():
+            end_head()
         if text and not drops:
             if "&" in text:
                 text = entities.unescape(text)
@@ -115,40 +160,59 @@ def tree(page: str) -> list[Node]:
 
     def close_to(k: int) -> None:
         nonlocal links
-        if any(t in BLOCKS for t, _ in stack[k:]):
+        if blocks[-1] >= k:
             flush()
         for t, _ in stack[k:]:
+            opened[t].pop()
             if t == "a":
                 links = max(0, links - 1)
-            if drops and t == drops[-1]:
-                drops.pop()
+        while blocks[-1] >= k:
+            blocks.pop()
+        while drops and drops[-1] >= k:
+            drops.pop()
         del stack[k:]
 
     while at < n:
-        m = TOKEN.search(page, at)
-        if m is None:
+        begin = page.find("<", at)
+        if begin < 0:
             add(page[at:])
             break
-        add(page[at : m.start()])
-        at = m.end()
-        tag = m[2] or m[5]
-        if tag is None:
+        m = PLAIN_TAG.match(page, begin)
+        if m is not None:
+            add(page[at:begin])
+            at = m.end()
+            closing, tag, attrs = m[1], m[2].lower(), m[3]
+        elif (m := TAG_NAME.match(page, begin)) is not None:
+            add(page[at:begin])
+            if not (at := tags.slow(m.end())):  # no tag can end from here on
+                add(page[begin:])
+                break
+            closing, tag, attrs = m[1], m[2].lower(), page[m.end() : at - 1]
+        elif page[begin + 1 : begin + 2] in ("!", "?"):
+            add(page[at:begin])
+            if page.startswith("<!--", begin):
+                end = page.startswith((">", "->"), begin + 4) and page.find(">", begin) + 1 or ((c := COMMENT_END.search(page, begin + 4)) and c.end())
+            elif page.startswith("<![CDATA[", begin):
+                end = page.find("]]>", begin) + 3
+                end = end if end > 2 else 0
+            else:
+                end = page.find(">", begin) + 1
+            at = end or n
             continue
-        tag, attrs = tag.lower(), m[3] or m[6] or ""
-        if m[1] or m[4]:
+        else:
+            add(page[at : begin + 1])
+            at = begin + 1
+            continue
+        if closing:
             if tag == "br":
                 add(" ")
-                continue
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    close_to(k)
-                    break
-                if tag not in BLOCKS and stack[k][0] in BLOCKS:  # an inline end tag doesn't end blocks
-                    break
-            else:
-                if tag == "p":
-                    flush()
+            elif (k := nearest((tag,))) and (tag in BLOCKS or k > blocks[-1]):  # an inline end tag doesn't end blocks
+                close_to(k)
+            elif tag == "p":
+                flush()
             continue
+        if drops and tag not in OF_HEAD:
+            end_head()
         if tag in VOID:
             if tag == "hr":
                 flush()
@@ -156,29 +220,15 @@ def tree(page: str) -> list[Node]:
                 add(" ")
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*/?>", re.I).search(page, at)
+            end = raw_end(tag).search(page, at)
             at = end.end() if end else n
             continue
-        if tag in CLOSES_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == "p":
-                    close_to(k)
-                    break
-                if stack[k][0] in SCOPES:
-                    break
+        if tag in CLOSES_P and (k := nearest(("p",))) > nearest(SCOPES):
+            close_to(k)
         if tag in IMPLIED:
             over, stops = IMPLIED[tag]
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in over:
-                    close_to(k)
-                    break
-                if stack[k][0] in stops:
-                    break
-        if tag == "body":
-            while drops and drops[-1] == "head":
-                drops.pop()
-        if tag in DROPPED:
-            drops.append(tag)
+            if (k := nearest(over)) > nearest(stops):
+                close_to(k)
         where = stack[-1][1]
         if tag in BLOCKS:
             flush()
@@ -190,12 +240,15 @@ def tree(page: str) -> list[Node]:
             node = Node(tag, where, groups, label or nodes[where].label, nodes[where].article or nodes[where].tag == "article")
             nodes.append(node)
             where = len(nodes) - 1
-        elif tag == "a":
+            blocks.append(len(stack))
+        elif attrs.endswith("/"):
+            continue
+        if tag == "a":
             links += 1
-        if not attrs.endswith("/") or tag in BLOCKS:
-            stack.append((tag, where))
-        elif tag == "a":
-            links -= 1
+        if tag in DROPPED:
+            drops.append(len(stack))
+        opened.setdefault(tag, []).append(len(stack))
+        stack.append((tag, where))
     flush()
     for i in range(len(nodes) - 1, 0, -1):
         a, b = nodes[i], nodes[nodes[i].parent]
@@ -229,7 +282,7 @@ def active(node: Node, nodes: list[Node]) -> list[tuple[int, float]]:
 
 
 def kind(node: Node) -> int:
-    return ROOT if node.parent < 0 else OUTER if node.tag in ("body", "div", "section", "main") else INNER
+    return ROOT if node.parent < 0 else OUTER if node.tag in ("body", "div", "section", "main", "form") else INNER
 
 
 def marginals(nodes: list[Node], unary: list[float], pair: list) -> tuple[list[float], list]:
@@ -307,7 +360,8 @@ def labelled_page(rng: random.Random) -> str:
         if pick == 6:
             return named("aside", "side advert notice", rng.choice((prose(1, 2), items(), sentence())), 0, 0.5)
         if pick == 7:
-            return f'<form data-y="0">{words(1, 4)}<input></form>'
+            label = lambda: rng.choice((f"<label>{words(1, 3)}</label><input>", f"<p>{words(1, 6)}</p><input>", f"{words(1, 4)}<input>", f"<fieldset><legend>{words(1, 3)}</legend><input>{words(1, 2)}</fieldset>"))
+            return named("form", "form", "".join(label() for _ in range(rng.randint(1, 4))) + f"<button>{word()}</button>" * rng.randint(0, 1), 0, 0.6)
         return named("div", "foot head", rng.choice((words(1, 5), items(), sentence())), 0, 0)
 
     body = [f"<h1>{words(1, 9)}</h1>"] if rng.random() < 0.8 else []
@@ -333,7 +387,10 @@ def labelled_page(rng: random.Random) -> str:
     page = "".join([*around[0], article, *around[1]])
     for _ in range(rng.choice((0, 0, 1, 2))):
         page = named("div", rng.choice(("", "text")), page, None, 0.5)
-    return f"<html><body>{page}{''.join(foot)}</body></html>"
+    whole = f"{page}{''.join(foot)}"
+    if rng.random() < 0.08:  # pages made by some servers are one form
+        whole = f'<form action="/{word()}" method="post"><input type="hidden">{whole}</form>'
+    return f"<html><body>{whole}</body></html>"
 
 
 def truth(nodes: list[Node]) -> list[int]:
