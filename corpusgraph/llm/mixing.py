@@ -1,12 +1,15 @@
 """Mixing sources to target weights, with DataFrame operations only.
 
-Every row gets a hash-random key (MD5 of doc_id). A source's rows are ranged by that key into buckets; sums per bucket
-and their prefix sums, then prefix sums inside a bucket, give each row's place in words. The budget of a source is cut
-there: whole epochs are repeated for every row, and the rest goes to the rows before the cut, the last of them in part.
+Every row gets a hash-random key (MD5 of doc_id and size). Rows that are alike in doc_id, source and size are counted
+first, so that a hot doc_id is one group of a number of copies, whatever its share. A source's groups are ranged by
+their key into buckets; sums per bucket and their prefix sums, then prefix sums inside a bucket, give each group's place
+in words, and its copies follow each other there. The budget of a source is cut at that place: whole epochs are repeated
+for every row, and the rest goes to the rows before the cut, the last of them in part.
 
 Nulls: a null text has no words, a null source is a source of its own that sorts last, a null doc_id is a key like any
 other. Equal keys are ordered by doc_id and size. Repeated rows count each. Without words all targets are zero. An
-empty table gives no rows. Columns that clash with those made here can't: inputs are projected first.
+empty table gives no rows. Columns that clash with those made here can't: inputs are projected first. The windows over
+sources have one row for each source.
 """
 
 from __future__ import annotations
@@ -14,10 +17,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize, read
+from .common import WORD, materialize, read, row_key
 
 #: Rows of a bucket of keys, on average over all sources.
 BUCKET_ROWS = 2000
+#: Copies of a row that one task makes at once.
+COPIES = 10_000
 #: No source and no document is taken more often.
 MOST_EPOCHS = 3
 
@@ -47,43 +52,61 @@ def targets(sources: DataFrame) -> DataFrame:
     return s.select("sk", "source_size", "target", "epochs", (budget - F.col("epochs") * F.col("source_size")).alias("rest"))
 
 
-def mix(rows: DataFrame) -> DataFrame:
-    """Add source_size, target, taken and before (words of the source's rows with smaller keys) to thin rows of doc_id, source, size."""
-    rows = materialize(rows.withColumn("sk", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))).withColumn("key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))))
+def mix(groups: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """Places of groups of alike rows (doc_id, source, size, more, n: how many): adds source_size, target, epochs, rest and
+    before (words of the source's rows that come earlier)."""
+    key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("/"), F.col("size").cast("string")).cast("binary"))
+    rows = materialize(groups.withColumn("sk", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))).withColumn("key", key).withColumn("all", F.col("n") * F.col("size")))
     buckets = max(1, rows.count() // BUCKET_ROWS)
     rows = rows.withColumn("bucket", F.expr(f"cast(conv(substring(key, 1, 8), 16, 10) as bigint) * {buckets} div 4294967296"))
-    sums = materialize(rows.groupBy("sk", "source", "bucket").agg(F.sum("size").alias("size")))
+    sums = materialize(rows.groupBy("sk", "source", "bucket").agg(F.sum("all").alias("all")))
     before = Window.partitionBy("sk").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    cuts = sums.select("sk", "bucket", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("base"))
-    cuts = cuts.join(targets(sums.groupBy("sk", "source").agg(F.sum("size").alias("source_size"))), "sk")
-    inside = Window.partitionBy("sk", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    out = rows.join(cuts, ["sk", "bucket"]).withColumn("before", F.col("base") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before")))
-    return out.withColumn("taken", (F.col("epochs") * F.col("size") + part).cast("long"))
+    cuts = sums.select("sk", "bucket", F.coalesce(F.sum("all").over(before), F.lit(0)).alias("base"))
+    cuts = cuts.join(targets(sums.groupBy("sk", "source").agg(F.sum("all").alias("source_size"))), "sk")
+    inside = Window.partitionBy("sk", "bucket").orderBy("key", "doc_id", "size", *more).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.join(cuts, ["sk", "bucket"]).withColumn("before", F.col("base") + F.coalesce(F.sum("all").over(inside), F.lit(0)))
+
+
+def rows_again(groups: DataFrame) -> DataFrame:
+    """A row for each of a group's n, with its number _i. Large groups are cut into pieces of COPIES that any task may take."""
+    pieces = groups.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(COPIES).cast("long"))))
+    if (groups.agg(F.max("n")).first()[0] or 0) > COPIES:
+        pieces = materialize(pieces).repartition(*[F.col(c) for c in ("sk", "key", "_from")])
+    return pieces.withColumn("_i", F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + COPIES, F.col("n")) - 1)))
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    return mix(docs.select("doc_id", "source", words(F.col("text")).alias("size"))).select("doc_id", "size", "source_size", "target", "taken")
+    thin = docs.select("doc_id", "source", words(F.col("text")).alias("size"))
+    placed = materialize(mix(thin.groupBy("doc_id", "source", "size").agg(F.count("*").alias("n"))))
+    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before") - F.col("_i") * F.col("size")))
+    taken = (F.col("epochs") * F.col("size") + part).cast("long").alias("taken")
+    return rows_again(placed).select("doc_id", "size", "source_size", "target", taken)
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The mix itself: each document once for each time that it is taken whole.
+    """The mix itself, of rows with doc_id, text, source and any other columns: each row once for each time that it is taken whole.
 
-    The document at a source's cut comes once more if at least half of it is within the budget; texts are never cut.
-    doc_id must tell rows apart here. Documents without words belong to every epoch, and to the rest if before the cut.
+    The row at a source's cut comes once more if at least half of it is within the budget; texts are never cut. Rows
+    without words belong to every epoch, and to the rest if before the cut. Rows that are alike in all columns are
+    counted and come as often as all of them are taken; nothing is matched by doc_id.
     """
-    thin = mix(docs.select("doc_id", "source", words(F.col("text")).alias("size")))
-    more = F.when(F.col("size") > 0, (F.col("taken") - F.col("epochs") * F.col("size")) * 2 >= F.col("size")).otherwise(F.col("before") < F.col("rest"))
-    times = thin.select("doc_id", (F.col("epochs") + more.cast("long")).alias("_times")).where("_times > 0")
-    out = docs.join(times, docs["doc_id"].eqNullSafe(times["doc_id"])).drop(times["doc_id"])
-    return out.withColumn("_times", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_times")
+    own, key = docs.columns, row_key(*docs.columns)
+    thin = docs.select(key.alias("_row"), "doc_id", "source", words(F.col("text")).alias("size"))
+    placed = mix(thin.groupBy("_row", "doc_id", "source", "size").agg(F.count("*").alias("n")), ("_row",))
+    left = F.col("rest") - F.col("before")
+    # copy i is taken once more if (left - i * size) * 2 >= size
+    again = F.when(F.col("size") > 0, F.floor((left * 2 + F.col("size")) / (2 * F.col("size")))).otherwise(F.when(left > 0, F.col("n")).otherwise(0))
+    times = F.col("n") * F.col("epochs") + F.greatest(F.lit(0), F.least(F.col("n"), again.cast("long")))
+    often = placed.select("_row", times.alias("_times")).where("_times > 0")
+    one = docs.withColumn("_row", key).dropDuplicates(["_row"])
+    return one.join(often, "_row").withColumn("_time", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).select(*own)
 
 
 SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS key
+         md5(coalesce(CAST(doc_id AS VARCHAR), '') || '/' || CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS VARCHAR)) AS key
   FROM documents),
 s AS (
   SELECT *, 3 * source_size AS cap, CAST(3 * source_size AS DOUBLE) / weight AS ratio FROM (
