@@ -5,6 +5,8 @@ i -> j costs one per byte, so the cheapest flow moves the fewest bytes. Each old
 hash of doc_id and cut where the flow says: the first part stays, the others are the blocks that move. Offsets are
 distributed prefix sums over hash buckets, so no task holds more than a bucket and the driver sees shard sizes only.
 
+Rows are laid out by a hash of key, size and the row's own number, so a hot key is spread over all buckets of its shard.
+
 Nulls: a null text has no bytes (size 1, CRC-32 of the empty string); a null doc_id is a key like any other.
 Repeated rows each get a place of their own. An empty table gives no rows. Extra columns are ignored by the query.
 """
@@ -77,22 +79,22 @@ def even(total: int, shards: int) -> list[int]:
     return [total // shards + (j < total % shards) for j in range(shards)]
 
 
-def reshard(rows: DataFrame, old: str, key: str, size: str, n_old: int, n_new: int) -> DataFrame:
+def reshard(rows: DataFrame, old: str, number: str, size: str, n_old: int, n_new: int) -> DataFrame:
     """Add shard and slot to rows, moving the fewest bytes from the old shards 0..n_old-1 to n_new even ones.
 
-    rows should be thin and cheap to read again (see materialize). Each new shard is within a few rows of its capacity:
+    rows should be a written table (see materialize): thin, cheap to read again, and with a number that tells rows apart. Each new shard is within a few rows of its capacity:
     a flow has at most n_old + n_new - 1 arcs in use, and each cut is at the row boundary nearest to it.
     """
     held = {r[0]: (r[1], r[2]) for r in rows.groupBy(old).agg(F.sum(size), F.count("*")).collect()}
     sizes = [held.get(i, (0, 0))[0] for i in range(n_old)]
     moved = plan_transfers(sizes, even(sum(sizes), n_new))
     buckets = max(1, sum(n for _, n in held.values()) // (BUCKET_ROWS * n_old))
-    order = F.xxhash64(F.col(key), F.lit(17))
+    order = F.xxhash64(F.col(number), F.lit(17))
     rows = rows.withColumn("_at", order).withColumn("_bucket", F.shiftrightunsigned("_at", 33) * buckets / F.lit(1 << 31)).withColumn("_bucket", F.floor("_bucket"))
     sums = rows.groupBy(old, "_bucket").agg(F.sum(size).alias("_sum"))
     before = Window.partitionBy(old).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(old, "_bucket", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy(old, "_bucket").orderBy("_at", key, size).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(old, "_bucket").orderBy("_at", number).rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.join(sums, [old, "_bucket"]).withColumn("_start", F.col("_base") + F.coalesce(F.sum(size).over(inside), F.lit(0)))
 
     shard: Column = F.lit(0)
@@ -107,7 +109,7 @@ def reshard(rows: DataFrame, old: str, key: str, size: str, n_old: int, n_new: i
     counts = placed.groupBy("shard", old, "_bucket").agg(F.count("*").alias("_n"))
     earlier = Window.partitionBy("shard").orderBy(old, "_bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("shard", old, "_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_first"))
-    place = Window.partitionBy(old, "_bucket", "shard").orderBy("_start", "_at", key, size)
+    place = Window.partitionBy(old, "_bucket", "shard").orderBy("_start", "_at", number)
     out = placed.join(counts, [old, "_bucket", "shard"]).withColumn("slot", F.col("_first") + F.row_number().over(place) - 1)
     return out.drop("_at", "_bucket", "_start", "_first")
 
@@ -125,12 +127,13 @@ def op1_reshard_flow(spark: SparkSession, sf_dir: str, n_old: int = 6, n_new: in
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
         old_layout(F.col("doc_id"), n_old).alias("old_shard"),
+        F.monotonically_increasing_id().alias("number"),
     ))
-    out = reshard(rows, "old_shard", "doc_id", "size", n_old, n_new)
+    out = reshard(rows, "old_shard", "number", "size", n_old, n_new)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
 
 
-def rewrite_shards(spark: SparkSession, src: str, dst: str, n_new: int, key: str = "doc_id", text: str = "text") -> dict[str, list[int]]:
+def rewrite_shards(spark: SparkSession, src: str, dst: str, n_new: int, text: str = "text") -> dict[str, list[int]]:
     """Reshard a Parquet table partitioned by an int column `shard`, to n_new shards of even bytes under dst.
 
     Only the shards whose rows change are rewritten there; the others are named in the answer and keep their files.
@@ -139,7 +142,8 @@ def rewrite_shards(spark: SparkSession, src: str, dst: str, n_new: int, key: str
     data = [c for c in table.columns if c != "shard"]
     n_old = (table.agg(F.max("shard")).first()[0] or 0) + 1
     sized = table.withColumn("_size", (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long")).withColumnRenamed("shard", "_old")
-    out = materialize(reshard(sized, "_old", key, "_size", n_old, n_new))
+    sized = materialize(sized.withColumn("_number", F.monotonically_increasing_id()))
+    out = materialize(reshard(sized, "_old", "_number", "_size", n_old, n_new))
     moved = out.where(F.col("_old") != F.col("shard")).select(F.explode(F.array("_old", "shard")).alias("s")).distinct()
     touched = sorted(r[0] for r in moved.collect())
     at = out.where(F.col("shard").isin(touched)).repartition("shard", F.pmod(F.col("slot"), F.lit(64))) if touched else out.limit(0)
