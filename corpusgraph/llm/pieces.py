@@ -1,14 +1,13 @@
 """SentencePiece encoding and decoding from a model file, without the library.
 
 An Aho-Corasick automaton over the pieces reads a stretch of text once; at each position its output links give every
-piece that ends there, and one forward pass keeps the best way to reach the position. For a unigram model, the best is
-the greatest sum of scores (Viterbi). For a BPE model, the sum of scores isn't what the model means: there a piece is
-taken if it can follow the last piece of the text before it, that is, if merging the two pieces' text by rank gives
-the two again; the encoding of a prefix has one last piece only, so one piece per position remains. Both give the
-library's ids. Characters outside the vocabulary become byte pieces, or the unknown piece.
-
-Texts are cut before runs of the space mark, which no piece of the vocabulary spans (else they stay whole), and the
-stretches are kept in a bounded cache. Null texts have null ids, empty texts none; texts of any length are whole.
+piece that ends there, and each relaxes the best score of a way to the position (Viterbi, a single pass). In a BPE model
+a step from one piece to the next is possible only if merging the two pieces' text by rank gives the two again; the
+scores' sum alone isn't what such a model means. A unigram model allows every step. Both give the library's ids.
+Characters outside the vocabulary become byte pieces, or the unknown piece.
+
+Texts are cut before runs of the space mark, which no piece of the vocabulary spans (else they stay whole). Short
+stretches and the answers to possible steps are kept in caches bounded by bytes. Null texts have null ids, empty texts none; texts of any length are whole.
 Repeated rows each get a row; an empty table gives no rows; other columns are not read.
 """
 
@@ -32,12 +31,15 @@ from .common import held, map_slices, read
 #: The default vocabulary: a parameter everywhere.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Entries of a generation of the caches.
-CACHE = 400_000
+#: Bytes of a generation of each cache, about, and characters of a stretch that is kept at most.
+CACHE_BYTES, CACHED_CHARS = 16 << 20, 64
+#: What an entry takes besides its key and value.
+ENTRY_BYTES = 120
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: What an unknown character scores below the worst piece, in unigram models.
 UNKNOWN_PENALTY = 10.0
+NEVER = float("-inf")
 
 
 def fields(data: bytes):
@@ -69,18 +71,19 @@ def fields(data: bytes):
 
 
 class Cache(dict):
-    """What make gives, in two generations: when the newer is full, the older goes."""
+    """What make gives, in two generations: when the newer has its bytes, the older goes. size: of a value."""
 
-    def __init__(self, make):
+    def __init__(self, make, size):
         super().__init__()
-        self.make, self.older = make, {}
+        self.make, self.size, self.older, self.bytes = make, size, {}, 0
 
     def __missing__(self, key):
-        if len(self) >= CACHE:
-            self.older = dict(self)
+        if self.bytes >= CACHE_BYTES:
+            self.older, self.bytes = dict(self), 0
             self.clear()
         value = self.older.get(key)
         self[key] = value = self.make(key) if value is None else value
+        self.bytes += ENTRY_BYTES + self.size(key, value)
         return value
 
 
@@ -112,14 +115,14 @@ class Model:
             self.automaton.add_word(p, (len(p), i))
         self.automaton.make_automaton()
         self.letters = frozenset(p for p in self.usable if len(p) == 1)
-        self.lengths = [*map(len, self.pieces), 0]
-        self.follows = Cache(lambda key: self.can_follow(*divmod(key, len(self.pieces))))
+        self.lengths = list(map(len, self.pieces))
+        self.follows = Cache(lambda key: self.can_follow(*divmod(key, len(self.pieces))), lambda _, __: 0)
         self.floor = min((self.scores[i] for i in self.ids.values()), default=0.0) - UNKNOWN_PENALTY
         spans = any(MARK in p.lstrip(MARK) for p in self.ids)
         loose = [c for c in "\n\t\r" if not any(c in p and len(p) > 1 for p in self.ids)]
         stop = re.escape("".join(loose))
         self.cut = re.compile(rf"[{stop}]|{MARK}+[^{MARK}{stop}]*|[^{MARK}{stop}]+" if loose else rf"{MARK}+[^{MARK}]*|[^{MARK}]+").findall if not spans else lambda t: [t]
-        self.cache = Cache(lambda stretch: array("i", self.stretch(stretch)).tobytes())
+        self.cache = Cache(self.packed, lambda k, v: 4 * len(k) + len(v))
         self.raw = [bytes([int(p[3:5], 16)]) if k == BYTE else b" \xe2\x81\x87 " if k == UNKNOWN else b"" if k == CONTROL else p.replace(MARK, " ").encode() for p, k in zip(self.pieces, self.kinds, strict=True)]
 
     def merged(self, text: str) -> list[int]:
@@ -148,42 +151,50 @@ class Model:
     def can_follow(self, a: int, b: int) -> bool:
         return self.merged(self.pieces[a] + self.pieces[b]) == [a, b]
 
+    def packed(self, text: str) -> bytes:
+        return array("i", self.stretch(text)).tobytes()
+
+    def best_path(self, text: str) -> list[int] | None:
+        """The pieces of the best way through a text, -1 for a character outside the vocabulary; None if no way is possible.
+
+        best[e], last[e]: the score of the best way up to character e, and its last piece. The extra place at the end of
+        both is reached by index -1: the start."""
+        n, free = len(text), self.algorithm == UNIGRAM
+        scores, follows, many, lengths = self.scores, self.follows, len(self.pieces), self.lengths
+        best, last = [NEVER] * n + [0.0], [-1] * (n + 1)
+        found: list = [()] * n
+        if free:
+            found = [[] for _ in range(n)]
+            for end, match in self.automaton.iter(text):
+                found[end].append(match)
+            for end in range(n):
+                for length, i in found[end]:
+                    if (score := best[end - length] + scores[i]) > best[end]:
+                        best[end], last[end] = score, i
+                if text[end] not in self.ids and (score := best[end - 1] + self.floor) > best[end]:
+                    best[end], last[end] = score, -1
+        else:
+            for end, (length, i) in self.automaton.iter(text):
+                start = end - length
+                if (score := best[start] + scores[i]) > best[end] and ((p := last[start]) < 0 or follows[p * many + i]):
+                    best[end], last[end] = score, i
+        if n and best[n - 1] == NEVER:
+            return None
+        at, out = n - 1, []
+        while at >= 0:
+            out.append(i := last[at])
+            at -= lengths[i] if i >= 0 else 1
+        return out[::-1]
+
     def stretch(self, text: str) -> list[int]:
         """The ids of a stretch."""
-        n = len(text)
-        if self.algorithm == BPE and self.letters.issuperset(text):
-            # ends[e]: the last piece of the text up to character e; the extra place at the end is reached by index -1, the start
-            ends: list = [None] * n + [-1]
-            follows, many = self.follows, len(self.pieces)
-            for end, (length, i) in self.automaton.iter(text):
-                if ends[end] is None and (p := ends[end - length]) is not None and (p < 0 or follows[p * many + i]):
-                    ends[end] = i
-            if None in ends:
-                return self.merged(text)  # not a vocabulary made by merging
-            at, out, lengths = n - 1, [], self.lengths
-            while at >= 0:
-                out.append(i := ends[at])
-                at -= lengths[i]
-            return out[::-1]
-        if self.algorithm == BPE:
+        if self.algorithm == BPE and not self.letters.issuperset(text):
             parts = [(known, "".join(part)) for known, part in groupby(text, self.letters.__contains__)]
             return [i for known, part in parts for i in (self.stretch(part) if known else self.spelt([-1] * len(part), part))]
-        last, size = [-1] * (n + 1), [0] * (n + 1)  # the piece that ends at a position (-1: a character outside the vocabulary), and its length
-        best = [0.0] + [float("-inf")] * n
-        found: dict[int, list] = {}
-        for end, match in self.automaton.iter(text):
-            found.setdefault(end + 1, []).append(match)
-        for end in range(1, n + 1):
-            for length, i in found.get(end, ()):
-                if (score := best[end - length] + self.scores[i]) > best[end]:
-                    best[end], last[end], size[end] = score, i, length
-            if text[end - 1] not in self.ids and best[end - 1] + self.floor > best[end]:
-                best[end], last[end], size[end] = best[end - 1] + self.floor, -1, 1
-        out: list[int] = []
-        while n:
-            out.append(last[n])
-            n -= size[n]
-        return self.spelt(out[::-1], text)
+        path = self.best_path(text)
+        if path is None:
+            return self.merged(text)  # not a vocabulary made by merging
+        return self.spelt(path, text)
 
     def spelt(self, ids: list[int], text: str) -> list[int]:
         if -1 not in ids:
@@ -208,7 +219,8 @@ class Model:
         if not text:
             return np.zeros(0, np.int32)
         text = (MARK if self.prefix else "") + text.replace(" ", MARK)
-        return np.frombuffer(b"".join(map(self.cache.__getitem__, self.cut(text))), np.int32)
+        kept, packed = self.cache, self.packed
+        return np.frombuffer(b"".join([kept[x] if len(x) <= CACHED_CHARS else packed(x) for x in self.cut(text)]), np.int32)
 
     def decode(self, ids: np.ndarray) -> str:
         data = b"".join(map(self.raw.__getitem__, ids.tolist()))
@@ -223,8 +235,11 @@ def model_of(data: bytes) -> Model:
 
 def model_bytes(path: str = MODEL) -> bytes:
     """A vocabulary file is at most a few MB; it is read on the driver and sent to the executors."""
-    with open(path, "rb") as f:
-        return f.read()
+    try:
+        with open(path, "rb") as f:
+            return f.read()
+    except FileNotFoundError as e:
+        raise FileNotFoundError(f"no vocabulary at {path}: give the path of a SentencePiece model file") from e
 
 
 def encode_texts(docs: DataFrame, path: str = MODEL) -> DataFrame:
