@@ -1,9 +1,10 @@
 """SimHash near-duplicates by BK-trees.
 
-A fingerprint is made from the XXH64 of word shingles. Fingerprints within the radius agree on one of radius + 1 blocks
-of bits, so a shard of the search is a block and its value; a BK-tree over the shard's distinct fingerprints (children
-keyed by Hamming distance to their parent) is searched along the edges within the radius. A shard of more than
-SHARD_ROWS fingerprints is split by a hash; the tree of each part meets the fingerprints of every part. Trees reach
+A fingerprint is made from the XXH64 of word shingles. Cut into radius + k blocks of bits, fingerprints within the
+radius agree on k of them, so a shard of the search is k blocks and their values; k grows with the number of
+fingerprints (see agreeing), so that shards stay small, and whatever it is, no link is lost. A BK-tree over the shard's
+distinct fingerprints (children keyed by Hamming distance to their parent) is searched along the edges within the
+radius. A shard of more than SHARD_ROWS fingerprints is split by a hash; the tree of each part meets the fingerprints of every part. Trees reach
 their queries through the shuffle, not through the driver: all of them together grow with the corpus, so a broadcast
 would have no bound. A search hands on a spanning forest of its links, never all pairs; components come from rounds of
 contraction, cut by written tables.
@@ -15,7 +16,7 @@ doc_ids never name a component unless it has no other. An empty table gives no r
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
-from itertools import repeat
+from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_slices, materialize, read
+from .common import map_slices, materialize, read, release
 
 RADIUS = 3
 #: Fingerprints of a part of a shard.
@@ -179,12 +180,20 @@ def linked(tasks: DataFrame, words: list[str], radius: int) -> DataFrame:
     return tasked(tasks, lambda col, task: local_links(np.stack([col[w] for w in words], axis=1), task, col["indexed"], col["asks"], radius))
 
 
-def links(nodes: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def agreeing(n: int, radius: int) -> int:
+    """How many blocks a shard's key has, for n fingerprints: the fewest that leave SHARD_ROWS or fewer random ones in a shard."""
+    return next((k for k in (1, 2) if n >> 64 * k // (radius + k) <= SHARD_ROWS), 3)
+
+
+def links(nodes: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS, agree: int | None = None) -> DataFrame:
     """(u, v): enough of the links between distinct fingerprints fp within the radius to connect what all of them connect."""
-    n, bits = radius + 1, 64 // (radius + 1)
-    wide = [bits + (b < 64 - bits * n) for b in range(n)]
-    low = [sum(wide[:b]) for b in range(n)]
-    shard = F.explode(F.array(*[F.shiftrightunsigned("fp", low[b]).bitwiseAND(F.lit((1 << wide[b]) - 1)) * n + b for b in range(n)]))
+    agree = agree or agreeing(nodes.count(), radius)
+    n = radius + agree
+    cut = [64 * b // n for b in range(n + 1)]
+    masks = [sum(((1 << cut[b + 1]) - (1 << cut[b])) for b in chosen) for chosen in combinations(range(n), agree)]
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    # the key: the bits of the chosen blocks, mixed with the number of the choice; equal keys of unlike bits only cost a comparison
+    shard = F.explode(F.array(*[F.xxhash64(F.col("fp").bitwiseAND(F.lit(m)), F.lit(i)) for i, m in enumerate(signed)]))
     spread = materialize(nodes.select("fp", shard.alias("shard")))
     sizes = spread.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1")
     parts = spread.join(sizes, "shard").withColumn("parts", F.ceil(F.col("n") / shard_rows).cast("int"))
@@ -206,7 +215,8 @@ def components(edges: DataFrame) -> DataFrame:
             p = p.join(p.select(F.col("u").alias("p"), F.col("p").alias("up")), "p", "left").select("u", F.coalesce("up", "p").alias("p"))
         p = materialize(p)
         to = lambda c: p.select(F.col("u").alias(c), F.col("p").alias(f"{c}p"))
-        edges = materialize(edges.join(to("u"), "u").join(to("v"), "v").where("up <> vp").select(F.col("up").alias("u"), F.col("vp").alias("v")).distinct())
+        old, edges = edges, materialize(edges.join(to("u"), "u").join(to("v"), "v").where("up <> vp").select(F.col("up").alias("u"), F.col("vp").alias("v")).distinct())
+        release(old)
         if label is None:
             label = p.select(F.col("u").alias("fp"), F.col("p").alias("label"))
         else:
@@ -241,9 +251,14 @@ SIMILAR = (4, 5)
 #: Two texts of it differ in 39 of 256 fingerprint bits (48 where they have 4 and 5 shingles); pairs beyond WIDE_RADIUS
 #: aren't compared, which by the binomial model leaves out one in a million of the latter and far fewer of others.
 DECIDING, WIDE_RADIUS = 4, 80
+#: 64-bit words of a set's parities: bit b is the parity of the number of its shingles whose hash falls on b. Parities of
+#: two sets differ in no more bits than the sets have unshared shingles, so too many differing bits prove a pair unlike.
+PARITIES = 16
 #: Documents whose shingles are counted for the order of shingles, and how many of the common ones are told apart. The
 #: order only decides how much is compared, never what is found.
 COUNTED, COMMON = 20_000, 1 << 16
+#: Ids that are broadcast at most, 8 bytes each; more are met by a shuffle.
+BROADCAST_IDS = 1 << 20
 
 
 def shingle_set(text: bytes | None, width: int) -> np.ndarray:
@@ -257,6 +272,12 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
     return SIMILAR[1] * common >= SIMILAR[0] * (len(a) + len(b) - common)
 
 
+def parities(hashes: np.ndarray) -> list[int]:
+    """PARITIES words of a set's parities."""
+    at = (hashes.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(64 * PARITIES)
+    return np.packbits(np.bincount(at.astype(np.int64), minlength=64 * PARITIES).astype(np.uint8) & 1).view(np.int64).tolist()
+
+
 def leading(hashes: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The shingles of a set that come first, rare ones before common ones: of two SIMILAR sets these have one in common."""
     rank = np.zeros(len(hashes), np.int64)
@@ -274,32 +295,32 @@ def common_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray
     def run(batch: pa.RecordBatch) -> dict:
         return {"hashes": [shingle_set(t, width) for t in batch.column("text").cast(pa.binary()).to_pylist()]}
 
-    some = map_slices(docs.where(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(every)) == 0).select("text"), run, "hashes array<long>")
+    some = map_slices(docs.where(F.pmod(F.xxhash64("key", F.lit(9)), F.lit(every)) == 0).select("text"), run, "hashes array<long>")
     n = some.select(F.explode("hashes").alias("hash")).groupBy("hash").agg(F.count("*").alias("n")).where("n >= 8")
     top = n.orderBy(F.col("n").desc(), "hash").limit(COMMON).toPandas().sort_values("hash")
     return top["hash"].to_numpy(np.int64), top["n"].to_numpy(np.int64)
 
 
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
-    """Of each row: doc_id, text, id (a hash of its shingles), n (how many), w0 to w3 (the fingerprint) and keys (the leading shingles)."""
+    """Of each row (key, text): key, id (a hash of its shingles), n (how many), w (the fingerprint, then the parities) and keys (the leading shingles)."""
     common, counts = common_shingles(docs, width)
 
     def run(batch: pa.RecordBatch) -> dict:
         sets = [shingle_set(t, width) for t in batch.column("text").cast(pa.binary()).to_pylist()]
         prints = [majority_words(h.astype(">i8").view(np.uint8).reshape(-1, 8), DECIDING) if len(h) else [0] * DECIDING for h in sets]
         ids = np.array([xxhash.xxh64_intdigest(h.tobytes(), 42) for h in sets], np.uint64).view(np.int64)
-        out = {"doc_id": batch.column("doc_id"), "text": batch.column("text"), "id": ids, "n": [len(h) for h in sets], "keys": [leading(h, common, counts) for h in sets]}
-        return out | {f"w{k}": [p[k] for p in prints] for k in range(DECIDING)}
+        return {"key": batch.column("key"), "id": ids, "n": [len(h) for h in sets], "w": [p + parities(h) for p, h in zip(prints, sets, strict=True)], "keys": [leading(h, common, counts) for h in sets]}
 
-    words = ", ".join(f"w{k} long" for k in range(DECIDING))
-    return map_slices(docs.select(F.col("doc_id").cast("long"), "text"), run, f"doc_id long, text string, id long, n long, keys array<long>, {words}")
+    kind = docs.schema["key"].dataType.simpleString()
+    return map_slices(docs.select("key", "text"), run, f"key {kind}, id long, n long, w array<long>, keys array<long>")
 
 
-def near_pairs(col: dict[str, np.ndarray], task: np.ndarray, nearest: bool, below: bool, most: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
+def near_pairs(col: dict[str, np.ndarray], task: np.ndarray, nearest: bool, below: bool, most: int = 1 << 17) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of positions, an asking and an indexed row of one task, whose labels differ and that may be SIMILAR.
 
     nearest: of each asking row only the nearest partner. below: only partners of a smaller label."""
-    keys, n, label = np.stack([col[f"w{k}"] for k in range(DECIDING)], axis=1), col["n"], col["label"]
+    words, n, label = np.stack(col["w"]) if len(col["w"]) else np.zeros((0, DECIDING + PARITIES), np.int64), col["n"], col["label"]
+    prints, odd = np.ascontiguousarray(words[:, :DECIDING]), np.ascontiguousarray(words[:, DECIDING:])
     stand, ask = np.flatnonzero(col["indexed"]), np.flatnonzero(col["asks"])
     low = np.searchsorted(task[stand], task[ask])
     many = np.searchsorted(task[stand], task[ask], side="right") - low
@@ -311,9 +332,12 @@ def near_pairs(col: dict[str, np.ndarray], task: np.ndarray, nearest: bool, belo
         may = label[b] < label[a] if below else label[b] != label[a]
         may &= SIMILAR[1] * np.minimum(n[a], n[b]) >= SIMILAR[0] * np.maximum(n[a], n[b])
         a, b = a[may], b[may]
-        d = distance(keys[a], keys[b])
+        d = distance(prints[a], prints[b])
         may = d <= WIDE_RADIUS
         a, b, d = a[may], b[may], d[may]
+        # unshared shingles of a SIMILAR pair are a ninth of both sets at most
+        may = (SIMILAR[0] + SIMILAR[1]) * distance(odd[a], odd[b]) <= (SIMILAR[1] - SIMILAR[0]) * (n[a] + n[b])
+        a, b, d = a[may], b[may], d[may]
         if nearest:
             order = np.lexsort((col["id"][b], d, a))
             a, b = a[order], b[order]
@@ -323,54 +347,75 @@ def near_pairs(col: dict[str, np.ndarray], task: np.ndarray, nearest: bool, belo
     return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
 
 
-def verified(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """The pairs (u, v) whose texts (id, text) are SIMILAR or more by their shingles."""
-    ids = pairs.select(F.col("u").alias("id")).union(pairs.select(F.col("v").alias("id"))).distinct()
-    texts = materialize(texts.join(ids, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text")))
-    of = lambda c: texts.select(F.col("id").alias(c), F.col("text").alias(f"{c}t"))
-    both = pairs.join(of("u"), "u").join(of("v"), "v")
+def shared_counts(us: pa.ListArray, vs: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each pair of sets (lists of distinct numbers): how many both have, and how many there are in both lists together."""
+    nu, nv = (x.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) for x in (us, vs))
+    pair = np.concatenate([np.repeat(np.arange(len(us)), nu), np.repeat(np.arange(len(vs)), nv)])
+    hashes = np.concatenate([us.flatten().to_numpy(), vs.flatten().to_numpy()])
+    order = np.lexsort((hashes, pair))
+    pair, hashes = pair[order], hashes[order]
+    twice = (pair[1:] == pair[:-1]) & (hashes[1:] == hashes[:-1])
+    return np.bincount(pair[1:][twice], minlength=len(us)), nu + nv
+
+
+def bodies(docs: DataFrame, owners: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """(id, hashes): the whole sets of shingles of some ids, made again from the text of the row that owners (id, key) names."""
+    first = materialize(owners.join(ids, "id", "left_semi"))
+    few = first.count() <= BROADCAST_IDS
+    rows = docs.join(F.broadcast(first) if few else first, "key").select("id", "text")
+
+    def run(batch: pa.RecordBatch) -> dict:
+        return {"id": batch.column("id"), "hashes": [shingle_set(t, width) for t in batch.column("text").cast(pa.binary()).to_pylist()]}
+
+    return materialize(map_slices(rows, run, "id long, hashes array<long>").dropDuplicates(["id"]))
+
+
+def verified(pairs: DataFrame, of_id: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The pairs (u, v) whose shingles are SIMILAR or more. of_id gets ids and gives (id, hashes)."""
+    found = of_id(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct())
+    of = lambda c: found.select(F.col("id").alias(c), F.col("hashes").alias(f"{c}h"))
+    both = pairs.join(of("u"), "u").join(of("v"), "v").select("u", "v", "uh", "vh")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep, last = [], (None, None)
-            for u, a, b in zip(batch.column("u").to_pylist(), batch.column("ut"), batch.column("vt"), strict=True):
-                if last[0] != u:
-                    last = (u, shingle_set(a.as_py().encode(), width))
-                keep.append(alike(last[1], shingle_set(b.as_py().encode(), width)))
-            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                common, total = shared_counts(part.column("uh"), part.column("vh"))
+                yield part.select(["u", "v"]).filter(pa.array(SIMILAR[1] * common >= SIMILAR[0] * (total - common)))
 
-    return both.select("u", "v", "ut", "vt").mapInArrow(run, "u long, v long")
+    return both.mapInArrow(run, "u long, v long")
 
 
 def similar(docs: DataFrame, width: int = 5) -> DataFrame:
-    """doc_id and component_id of every row, doc_id being a key without nulls: components of texts whose shingles are
-    0.8 similar or more. Every link is decided by the texts' own shingles.
+    """key and component_id (the least key) of every row of docs (key, text), which should be cheap to read again; keys aren't
+    null. Components of texts whose shingles are 0.8 similar or more; every link is decided by the texts' own shingles.
 
     Two such texts share a leading shingle, which is their shard. First each row of a part of a shard is held against
     its nearest one there; then rows outside the shard's largest component so far against the nearest of every part,
-    and last against all. Two members of a component needn't be compared: a link would connect nothing new.
+    and last against all. Two members of a component needn't be compared: a link would connect nothing new. Of pairs in
+    a shard only those go on that sizes, fingerprints and parities can't tell apart from a link.
     """
     sets = materialize(shingle_sets(docs, width))
-    words = [f"w{k}" for k in range(DECIDING)]
-    nodes = sets.groupBy("id").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("n", *words)])
-    nodes = materialize(nodes)
+    nodes = materialize(sets.groupBy("id").agg(F.first("n").alias("n"), F.first("w").alias("w"), F.min("key").alias("least")))
     spread = sets.groupBy("id").agg(F.first("keys").alias("keys")).select("id", F.explode("keys").alias("shard"))
+    spread = materialize(spread)
     sizes = spread.groupBy("shard").agg(F.count("*").alias("size")).where("size > 1")
-    spread = spread.join(sizes, "shard").join(nodes.drop("least"), "id").withColumn("parts", F.ceil(F.col("size") / SHARD_ROWS).cast("int"))
-    spread = materialize(spread.withColumn("i", F.pmod(F.xxhash64("id", "shard"), F.col("parts")).cast("int")).withColumn("j", F.lit(0)).drop("size"))
+    met = spread.join(sizes, "shard").withColumn("parts", F.ceil(F.col("size") / SHARD_ROWS).cast("int"))
+    met = materialize(met.withColumn("i", F.pmod(F.xxhash64("id", "shard"), F.col("parts")).cast("int")).withColumn("j", F.lit(0)).drop("size"))
+    release(spread)
     yes, no = F.lit(True), F.lit(False)
 
     def decided(tasks: DataFrame, nearest: bool, below: bool, tried: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        pairs = tasked(tasks, lambda col, task: near_pairs(col, task, nearest, below))
+        pairs = tasked(tasks.join(nodes.select("id", "n", "w"), "id"), lambda col, task: near_pairs(col, task, nearest, below))
         pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
         pairs = materialize(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"))
-        return pairs, materialize(verified(pairs, sets.select("id", "text"), width))
+        return pairs, materialize(verified(pairs, lambda ids: bodies(docs, nodes.select("id", F.col("least").alias("key")), ids, width)))
 
-    own = spread.withColumn("label", F.col("id")).withColumn("indexed", yes).withColumn("asks", yes).drop("parts")
+    own = met.withColumn("label", F.col("id")).withColumn("indexed", yes).withColumn("asks", yes).drop("parts")
     tried, links = decided(own, True, True, None)
     label = components(links)
     for nearest in (True, False):
-        now = materialize(spread.join(label.withColumnRenamed("fp", "id"), "id", "left").withColumn("label", F.coalesce("label", "id")))
+        now = materialize(met.join(label.withColumnRenamed("fp", "id"), "id", "left").withColumn("label", F.coalesce("label", "id")))
         large = now.groupBy("shard", "label").agg(F.count("*").alias("m")).groupBy("shard").agg(F.max_by("label", F.struct("m", "label")).alias("largest"), F.count("*").alias("labels"))
         outside = now.join(large.where("labels > 1").select("shard", "largest"), "shard").where(F.col("label") != F.col("largest")).drop("largest")
         asking = outside.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("indexed", no).withColumn("asks", yes)
@@ -379,7 +424,8 @@ def similar(docs: DataFrame, width: int = 5) -> DataFrame:
         tried, label = tried.unionByName(more), joined(label, links)
     named = materialize(nodes.select("id", "least").join(label.withColumnRenamed("fp", "id"), "id", "left").select("id", "least", F.coalesce("label", "id").alias("label")))
     first = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    return sets.select("doc_id", "id").join(named.join(first, "label").select("id", "component_id"), "id").select("doc_id", "component_id")
+    release(met)
+    return sets.select("key", "id").join(named.join(first, "label").select("id", "component_id"), "id").select("key", "component_id")
 
 
 def op4_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
