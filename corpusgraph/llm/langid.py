@@ -105,8 +105,8 @@ def learn(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str
     return langs, np.vstack([table, np.full((1, len(langs)), -np.log(len(langs) or 1))]).astype(np.float32)
 
 
-def predict(docs: DataFrame, langs: list[str], table: np.ndarray) -> DataFrame:
-    """doc_id, lang_pred and score of every row."""
+def predicted(docs: DataFrame, langs: list[str], table: np.ndarray) -> DataFrame:
+    """Every row with all its columns, lang_pred and score."""
     matrix = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batch: pa.RecordBatch) -> dict:
@@ -123,12 +123,16 @@ def predict(docs: DataFrame, langs: list[str], table: np.ndarray) -> DataFrame:
             best = total.argmax(axis=1)
             p = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
         return {
-            "doc_id": batch.column("doc_id"),
             "lang_pred": [langs[best[i]] if ok else "und" for i, ok in enumerate(lettered)],
             "score": [float(p[i]) if ok else 0.0 for i, ok in enumerate(lettered)],
         }
 
-    return map_slices(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, lang_pred string, score double")
+    return map_slices(docs, run, "lang_pred string, score double", whole=True)
+
+
+def predict(docs: DataFrame, langs: list[str], table: np.ndarray) -> DataFrame:
+    """doc_id, lang_pred and score of every row."""
+    return predicted(docs.select(F.col("doc_id").cast("long"), "text"), langs, table)
 
 
 def fold(of: int):

@@ -129,6 +129,16 @@ def class_prior(positive: np.ndarray, unlabelled: np.ndarray, rng: np.random.Gen
     return float(np.clip(np.median(found), 0.02, 0.98))
 
 
+def risk(out: np.ndarray, positives: int, prior: float) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """Of outputs, positives first: prior * R+, the unbiased R- (unlabelled less the prior's share), and the gradients of both.
+    The loss is the sigmoid's."""
+    minus, n, m = sigmoid(out), positives, len(out) - positives  # the loss of a positive call where the truth is negative
+    slope, part = minus * (1 - minus), np.arange(len(out)) < positives
+    plus, negative = prior * (1 - minus[:n]).mean(), minus[n:].mean() - prior * minus[:n].mean()
+    g_plus, g_negative = np.where(part, -prior * slope / n, 0.0), np.where(part, -prior * slope / n, slope / m)
+    return float(plus), float(negative), g_plus, g_negative
+
+
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None, seed: int = 11) -> tuple[Net, float]:
     """Non-negative risk with the sigmoid loss."""
     rng = np.random.default_rng(seed)
@@ -139,12 +149,8 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None
         a, b = zp[rng.integers(0, len(zp), BATCH)], zu[rng.integers(0, len(zu), BATCH)]
         z = np.vstack([a, b])
         out, h = net.forward(z)
-        minus = sigmoid(out)  # the loss of calling it negative when it is called positive: sigmoid(f)
-        slope = minus * (1 - minus)
-        negative = minus[BATCH:].mean() - prior * minus[:BATCH].mean()
-        g_neg = np.concatenate([-prior * slope[:BATCH], slope[BATCH:]]) / BATCH
-        g_pos = np.concatenate([-prior * slope[:BATCH], np.zeros(BATCH)]) / BATCH
-        net.step(z, h, g_pos + g_neg if negative >= 0 else -g_neg, 0.01 * (1 - t / STEPS) + 1e-4)
+        _, negative, g_plus, g_negative = risk(out, BATCH, prior)
+        net.step(z, h, g_plus + g_negative if negative >= 0 else -g_negative, 0.01 * (1 - t / STEPS) + 1e-4)
     return net, prior
 
 

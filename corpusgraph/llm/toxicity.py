@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held, map_slices, read
+from .common import forget, held, map_slices, read
 from .langid import fold
 from .quality import bounded_ids, chosen, sigmoid
 
@@ -35,7 +35,7 @@ EPOCHS, BATCH, RATE = 14, 64, 0.05
 #: Of word and n-gram vectors: the rate, and where Adagrad's sums begin.
 VECTOR_RATE, SEEN = 0.1, 1e-2
 #: Words that a worker keeps inputs of.
-VOCABULARY = 150_000
+VOCABULARY = 100_000
 find_words = re.compile(r"[^\W_]+").findall
 
 
@@ -127,8 +127,8 @@ class Net:
         out = c @ p["w"] + p["b"]
         return (out, (real, steps, both, q, w, c)) if keep else out
 
-    def train(self, bucket: np.ndarray, ids: np.ndarray, own: np.ndarray, win: np.ndarray, y: np.ndarray) -> None:
-        """One step on windows of local rows of words."""
+    def gradients(self, bucket: np.ndarray, ids: np.ndarray, own: np.ndarray, win: np.ndarray, y: np.ndarray) -> tuple[dict, np.ndarray, np.ndarray]:
+        """Of the mean cross-entropy of windows of local rows of words: by each parameter, by word inputs, and by the inputs' n-grams."""
         p, n = self.p, len(win)
         e, count = self.inputs(bucket, ids, own)
         out, (real, steps, both, q, w, c) = self.forward(self.project(e), win, len(e) - 1, keep=True)
@@ -162,10 +162,15 @@ class Net:
         de = de[:-1]
         for k in (0, 1):
             g["wx"][k], g["bx"][k] = e.T @ d_table[:, k], d_table[:-1, k].sum(axis=0)
+        return g, de, de[own, WIDTH:] / np.maximum(count, 1)[own, None]
+
+    def train(self, bucket: np.ndarray, ids: np.ndarray, own: np.ndarray, win: np.ndarray, y: np.ndarray) -> None:
+        """One step of Adagrad."""
+        p, n = self.p, len(win)
+        g, de, dg = self.gradients(bucket, ids, own, win, y)
         for k, d in g.items():
             self.seen[k] += d * d
             p[k] -= RATE * d / np.sqrt(self.seen[k])
-        dg = de[own, WIDTH:] / np.maximum(count, 1)[own, None]
         for table, seen, at, d in ((self.word, self.seen_word, bucket, de[:, :WIDTH]), (self.gram, self.seen_gram, ids, dg)):
             rows, inverse = np.unique(at, return_inverse=True)
             total = np.stack([np.bincount(inverse, d[:, j], len(rows)) for j in range(WIDTH)], axis=1).astype(np.float32)
@@ -178,7 +183,7 @@ def fit(texts: list[str], toxic: list[int], seed: int = 5) -> Net:
     """Multiple-instance learning: a text is toxic if its worst window is."""
     rng, net = np.random.default_rng(seed), Net(seed)
     vocabulary: dict[str, int] = {}
-    docs = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in find_words(t.lower())], np.int64) for t in texts]
+    docs = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in find_words(t.lower())], np.int32) for t in texts]
     pairs = [(d, y) for d, y in zip(docs, toxic, strict=True) if len(d)]
     if not pairs or len({y for _, y in pairs}) < 2:
         return net
@@ -189,6 +194,7 @@ def fit(texts: list[str], toxic: list[int], seed: int = 5) -> Net:
     every = [windowed(d, pad) for d, _ in pairs]
     of, all_windows = np.repeat(np.arange(len(pairs)), [len(w) for w in every]), np.concatenate(every)
     y_of, starts = np.array([y for _, y in pairs]), np.concatenate(([0], np.cumsum([len(w) for w in every])))
+    del docs, every, vocabulary
     for epoch in range(EPOCHS):
         if epoch < 2:
             pick = rng.integers(starts[:-1], starts[1:])
@@ -264,6 +270,7 @@ def learn(docs: DataFrame, labels: DataFrame, keep) -> Net | None:
     short = docs.where(F.octet_length("text") <= TRAIN_BYTES)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         rows = sorted((i, t) for b in batches for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
         net = fit([t for _, t in rows], [int(i in bad) for i, _ in rows])
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], ["net"])
@@ -273,18 +280,23 @@ def learn(docs: DataFrame, labels: DataFrame, keep) -> Net | None:
     return got and pickle.loads(got[0])
 
 
-def score(docs: DataFrame, net: Net | None) -> DataFrame:
-    """doc_id and score of every row."""
+def scored(docs: DataFrame, net: Net | None) -> DataFrame:
+    """Every row with all its columns, and score."""
     sent = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batch: pa.RecordBatch) -> dict:
         texts = [t or "" for t in batch.column("text").to_pylist()]
         if sent.value is None:
-            return {"doc_id": batch.column("doc_id"), "score": np.zeros(len(texts))}
+            return {"score": np.zeros(len(texts))}
         scorer = held("toxicity", id(sent.value), lambda: Scorer(sent.value))
-        return {"doc_id": batch.column("doc_id"), "score": scorer.scores(texts)}
+        return {"score": scorer.scores(texts)}
+
+    return map_slices(docs, run, "score double", whole=True)
+
 
-    return map_slices(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, score double")
+def score(docs: DataFrame, net: Net | None) -> DataFrame:
+    """doc_id and score of every row."""
+    return scored(docs.select(F.col("doc_id").cast("long"), "text"), net).select("doc_id", "score")
 
 
 def op9_gru_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
