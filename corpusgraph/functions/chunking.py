@@ -1,16 +1,11 @@
-"""Chunking: pieces by separator, folds that merge small and split large ones, Markdown sections, headers."""
+"""Chunking: pieces by separator, Markdown sections, headers of what is embedded. Chunks of source files: see syntax and sections."""
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .text import approx_tokens
-
-#: Fixed values, in approximate tokens, and in characters for the older bounds.
-MIN_TOKENS, MAX_TOKENS, SMALL_FILE = 200, 800, 500
+#: Fixed values, in characters.
 MIN_CHARS, MAX_CHARS = 80, 6000
 PIECES = "array<struct<text:string,name:string,type:string>>"
 
@@ -26,63 +21,48 @@ def paragraphs(text: Column) -> Column:
     return F.when(F.size(parts) > 0, parts).otherwise(F.array(text))
 
 
-def merge_small(chunks: Column) -> Column:
-    """A left fold over PIECES: while the pending piece is small, the next joins it and gives name and type. A small last one stays."""
-    pending = lambda done: F.element_at(done, -1)
-
-    def step(done: Column, x: Column) -> Column:
-        joined = F.struct(F.concat(F.regexp_replace(pending(done)["text"], r"\s+$", ""), F.lit("\n\n"), x["text"]).alias("text"), x["name"].alias("name"), x["type"].alias("type"))
-        grown = F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(joined))
-        fresh = F.array_append(done, x)
-        return F.when(F.size(done) == 0, fresh).when(approx_tokens(pending(done)["text"]) < MIN_TOKENS, grown).otherwise(fresh).cast(PIECES)
-
-    return F.aggregate(chunks, F.array().cast(PIECES), step)
-
-
-def split_large(text: Column) -> Column:
-    """Paragraphs gathered until they exceed the most tokens; then all but the last are one part. One huge paragraph stays whole."""
-    kind = "struct<done:array<string>,now:array<string>>"
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.array().cast("array<string>").alias("now")).cast(kind)
-
-    def step(s: Column, x: Column) -> Column:
-        total = F.array_join(F.array_append(s["now"], x), "\n\n")
-        flush = F.struct(F.array_append(s["done"], F.array_join(s["now"], "\n\n")).alias("done"), F.array(x).alias("now"))
-        more = F.struct(s["done"].alias("done"), F.array_append(s["now"], x).alias("now"))
-        return F.when((approx_tokens(total) > MAX_TOKENS) & (F.size(s["now"]) > 0), flush).otherwise(more).cast(kind)
+# Front matter, and the headings that begin a section.
+FRONT_MATTER = r"(?s)\A---\s*\n.*?\n---\s*\n"
+HEADING = r"^(#{1,3})\s+.+$"
 
-    whole = F.aggregate(F.split(text, r"\n{2,}"), start, step, lambda s: F.array_append(s["done"], F.array_join(s["now"], "\n\n")))
-    return F.when(approx_tokens(text) > MAX_TOKENS, whole).otherwise(F.array(text))
 
-
-def file_pieces(text: Column, name: Column, kind: Column) -> Column:
-    """PIECES of a file: whole if it is small; else its paragraphs, small ones merged, then large ones split. Null for null."""
-    piece = lambda x: F.struct(x.alias("text"), name.alias("name"), kind.alias("type"))
-    merged = merge_small(F.transform(paragraphs(text), piece).cast(PIECES))
-    parts = F.flatten(F.transform(merged, lambda p: F.transform(split_large(p["text"]), piece)))
-    return F.when(approx_tokens(text) < SMALL_FILE, F.array(piece(text)).cast(PIECES)).when(text.isNotNull(), parts.cast(PIECES))
-
-
-def markdown_sections(df: DataFrame, key: str, column: str) -> DataFrame:
-    """Sections at headings of levels 1 to 3: key, pos, level, title, path ("A > B"), text. Front matter and what precedes the first heading go."""
-    body = F.regexp_replace(column, r"(?s)\A---\n.*?\n---\n?", "")
-    lines = df.select(key, F.posexplode(F.split(body, "\n")).alias("at", "line"))
-    mark = F.regexp_extract("line", r"^(#{1,3})\s+\S", 1)
+def markdown_sections(df: DataFrame, key: str, column: str, name: str | None = None) -> DataFrame:
+    """Sections at headings of levels 1 to 3: key, pos, level, title, parent, path ("A > B"), text. Front matter and what
+    precedes the first heading go. A text without headings is one section, titled by the column `name`, level 0."""
+    rows = df.select(key, F.regexp_replace(column, FRONT_MATTER, "").alias("_body"), (F.lit("") if name is None else F.col(name)).alias("_name"))
+    lines = rows.select(key, "_name", F.posexplode(F.split("_body", "\n")).alias("at", "line"))
     by = Window.partitionBy(key).orderBy("at")
-    lines = lines.withColumn("level", F.length(mark)).withColumn("pos", F.sum(F.when(F.col("level") > 0, 1).otherwise(0)).over(by)).where("pos > 0")
-    sections = lines.groupBy(key, "pos").agg(
-        F.max("level").alias("level"),
-        F.min_by("line", "at").alias("title"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), "\n").alias("text"),
-    )
-    sections = sections.withColumn("title", F.trim(F.regexp_replace("title", r"^#+", "")))
+    lines = lines.withColumn("level", F.length(F.regexp_extract("line", HEADING, 1)))
+    lines = lines.withColumn("pos", F.sum(F.when(F.col("level") > 0, 1).otherwise(0)).over(by)).withColumn("_any", F.max("level").over(Window.partitionBy(key)))
+    lines = lines.where("pos > 0 OR _any = 0")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), "\n")
+    sections = lines.groupBy(key, "pos").agg(F.max("level").alias("level"), F.min_by("line", "at").alias("title"), F.max("_name").alias("_name"), text.alias("text"))
+    sections = sections.withColumn("text", F.regexp_replace("text", r"(?U)^\s+|\s+$", ""))
+    sections = sections.withColumn("title", F.when(F.col("level") > 0, F.regexp_replace(F.regexp_replace("title", r"^#+", ""), r"(?U)^\s+|\s+$", "")).otherwise(F.col("_name")))
     order = Window.partitionBy(key).orderBy("pos")
     for n in (1, 2, 3):  # the last heading of a level, unless a higher one came later
         sections = sections.withColumn(f"_p{n}", F.max(F.when(F.col("level") == n, F.col("pos"))).over(order)).withColumn(f"_t{n}", F.last(F.when(F.col("level") == n, F.col("title")), ignorenulls=True).over(order))
     sections = sections.withColumn("_t2", F.when(F.col("_p2") > F.coalesce("_p1", F.lit(0)), F.col("_t2"))).withColumn("_t3", F.when(F.col("_p3") > F.greatest(F.coalesce("_p1", F.lit(0)), F.coalesce("_p2", F.lit(0))), F.col("_t3")))
-    path = F.concat_ws(" > ", "_t1", F.when(F.col("level") >= 2, F.col("_t2")), F.when(F.col("level") >= 3, F.col("_t3")))
-    return sections.select(key, F.col("pos").cast("int").alias("pos"), "level", "title", path.alias("path"), "text")
-
-
-def with_header(lines: Mapping[str, Column], text: Column) -> Column:
-    """Lines "name: value" for values that aren't null, a rule, and the text."""
-    return F.concat_ws("\n", *[F.when(v.isNotNull(), F.concat(F.lit(f"{k}: "), v)) for k, v in lines.items()], F.lit("---"), text)
+    above = F.when(F.col("level") >= 3, F.coalesce("_t2", "_t1")).when(F.col("level") == 2, F.col("_t1"))
+    path = F.when(F.col("level") > 0, F.concat_ws(" > ", "_t1", F.when(F.col("level") >= 2, F.col("_t2")), F.when(F.col("level") >= 3, F.col("_t3")))).otherwise(F.lit(""))
+    return sections.select(key, F.greatest(F.col("pos"), F.lit(1)).cast("int").alias("pos"), "level", "title", F.coalesce(above, F.lit("")).alias("parent"), path.alias("path"), "text")
+
+
+def embed_text(text: Column, kind: Column, symbol: Column, namespace: Column, category: Column, name: Column, imports: Column, exports: Column, use: Column | None = None, avoid: Column | None = None, label: str = "Imports: ") -> Column:
+    """What is embedded of a chunk: lines on what and where it is, when to use it, the first 8 imports and exports, a rule, and the text.
+
+    use, avoid: arrays of guidance for a known symbol. label: what stands before the imports."""
+    first8 = lambda x: F.array_join(F.slice(x, 1, 8), ", ")
+    some = lambda head, x, body: F.when(F.size(x) > 0, F.concat(F.lit(head), body))
+    what = F.when(F.coalesce(symbol, F.lit("")) != "", F.concat(kind, F.lit(": "), symbol)).otherwise(kind)
+    return F.concat_ws(
+        "\n",
+        F.concat(F.lit("["), what, F.lit("] ["), namespace, F.lit(" / "), category, F.lit("]")),
+        F.concat(F.lit("Package: "), namespace, F.lit(" | File: "), name),
+        some("Use when: ", use, F.array_join(use, " | ")) if use is not None else F.lit(None).cast("string"),
+        some("Do not use when: ", avoid, F.array_join(avoid, " | ")) if avoid is not None else F.lit(None).cast("string"),
+        some(label, imports, first8(imports)),
+        some("Exports: ", exports, first8(exports)),
+        F.lit("---"),
+        text,
+    )

@@ -80,3 +80,20 @@ def plan_modules(answer: Column) -> Column:
         return pd.Series([one(a) for a in answers], dtype=object)
 
     return run(answer)
+
+
+def coerced(item: Column) -> Column:
+    """A component's JSON with its values coerced; null where it is no JSON object."""
+
+    @F.pandas_udf("string")
+    def run(items: pd.Series) -> pd.Series:
+        def one(t: str | None) -> str | None:
+            try:
+                x = None if t is None else json.loads(t)
+                return json.dumps(component(x)) if isinstance(x, dict) else None
+            except (ValueError, TypeError, AttributeError):
+                return None
+
+        return items.map(one).astype(object)
+
+    return run(item)

@@ -40,3 +40,8 @@ def collection_name(prefix: Column, model: Column, dims: Column) -> Column:
 
 def module_id(name: Column) -> Column:
     return F.lower(F.translate(name, " -", "__"))
+
+
+def all_collection_names(model: Column, dims: Column, kinds: tuple[str, ...] = ("unified", "examples")) -> Column:
+    """A map from each kind to its collection's name."""
+    return F.create_map(*[x for k in kinds for x in (F.lit(k), collection_name(F.lit(k), model, dims))])

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 def dominant(df: DataFrame, group: str, value: str, order: str, ignored: str = "unknown") -> DataFrame:
     """The most frequent value of a group, ties to the one seen first; `ignored` where there is none."""
     n = df.where(F.col(value) != ignored).groupBy(group, value).agg(F.count("*").alias("n"), F.min(order).alias("first"))
-    best = n.groupBy(group).agg(F.max_by(value, F.struct("n", -F.col("first"))).alias(value))
+    best = n.groupBy(group).agg(F.min_by(value, F.struct(-F.col("n"), "first")).alias(value))
     return df.select(group).distinct().join(best, group, "left").withColumn(value, F.coalesce(value, F.lit(ignored)))
 
 
@@ -25,8 +25,10 @@ def ordinal_max(df: DataFrame, group: str, value: str, ranks: Sequence[str]) ->
     return df.groupBy(group).agg(F.element_at(F.array(*[F.lit(r) for r in ranks]), top + 1).alias(value))
 
 
-def union_flags(df: DataFrame, group: str, flags: Sequence[str]) -> DataFrame:
-    return df.groupBy(group).agg(*[F.bool_or(f).alias(f) for f in flags])
+def union_flags(df: DataFrame, group: str, flags: Sequence[str], lists: Sequence[str] = ()) -> DataFrame:
+    """True if any is; of lists the distinct members, sorted."""
+    members = [F.array_sort(F.array_distinct(F.flatten(F.collect_set(x)))).alias(x) for x in lists]
+    return df.groupBy(group).agg(*[F.bool_or(f).alias(f) for f in flags], *members)
 
 
 def first_wins(df: DataFrame, keys: Sequence[str], order: Sequence[str], keep_unnamed: str | None = None) -> DataFrame:
@@ -38,19 +40,25 @@ def first_wins(df: DataFrame, keys: Sequence[str], order: Sequence[str], keep_un
     return df.withColumn("_r", F.row_number().over(by)).where(keep).drop("_r")
 
 
-def numbered_merge(results: DataFrame, modules: DataFrame, name: str, order: str, unknown: int = 999) -> DataFrame:
-    """Results numbered by the order of their module, unknown ones last; the result's own name stands."""
-    joined = results.join(modules.select(name, order), name, "left").withColumn(order, F.coalesce(order, F.lit(unknown)))
-    return joined.withColumn("number", F.row_number().over(Window.orderBy(order, name)))
+def numbered_merge(results: DataFrame, modules: DataFrame, name: str, order: str, unknown: int = 999, run: str | None = None) -> DataFrame:
+    """Results numbered by the order of their module, unknown ones last; the result's own name stands. `run` tells apart
+    several documents' results, each numbered by itself; without it all are one document's, and few."""
+    keys = [name] if run is None else [run, name]
+    joined = results.join(modules.select(*keys, order), keys, "left").withColumn(order, F.coalesce(order, F.lit(unknown)))
+    by = Window.partitionBy(F.lit(0) if run is None else F.col(run)).orderBy(order, name)
+    return joined.withColumn("number", F.row_number().over(by))
 
 
-def descendants(headings: DataFrame, document: str, pos: str, level: str) -> DataFrame:
-    """How many headings follow each before one of its own level or above; a document's headings are one window."""
+def descendants(headings: DataFrame, document: str, pos: str, level: str, levels: int = 12) -> DataFrame:
+    """How many headings follow each before one of its own level or above. Levels are integers from 0 to `levels` - 1.
+
+    A document's headings are one window, read backwards: the next place of each level is a running minimum, so the work
+    grows with headings times levels, never with their square."""
     by = Window.partitionBy(document).orderBy(pos)
-    rest = F.collect_list(F.struct(pos, level)).over(by.rowsBetween(1, Window.unboundedFollowing))
-    stop = F.array_min(F.transform(F.filter(rest, lambda x: x[level] <= F.col(level)), lambda x: x[pos]))
-    inside = F.size(F.filter(rest, lambda x: stop.isNull() | (x[pos] < stop)))
-    return headings.withColumn("descendants", inside)
+    later = Window.partitionBy(document).orderBy(F.col(pos).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    h = headings.withColumn("_i", F.row_number().over(by)).withColumn("_n", F.count("*").over(Window.partitionBy(document)))
+    stops = [F.when(F.col(level) >= k, F.min(F.when(F.col(level) == k, F.col("_i"))).over(later)) for k in range(levels)]
+    return h.withColumn("descendants", (F.coalesce(F.least(*stops), F.col("_n") + 1) - F.col("_i") - 1).cast("int")).drop("_i", "_n")
 
 
 def module_level(headings: DataFrame, document: str, level: str, least: int = 2, most: int = 25) -> DataFrame:
@@ -69,11 +77,17 @@ def module_candidates(headings: DataFrame, document: str, pos: str, level: str,
     return h.join(chosen, document, "left").where(keep).drop("_owns", "_c")
 
 
+#: Fixed value: headings that are labels of a field.
+LABEL = r"(?i)^(module\s*(name|no\.?|number|title)|section\s+title)\s*[:—\-]"
+
+
 def clean_headings(headings: DataFrame, document: str, pos: str, level: str, text: str) -> DataFrame:
-    """Not blank, of the three shallowest levels, 150 characters at most, no symbol in front, no label; the first of equals."""
-    ok = (F.trim(text) != "") & (F.length(text) <= 150) & (F.ascii(F.trim(text)) < 0x2600) & ~F.col(text).rlike(r":\s*$")
-    h = headings.where(ok).withColumn("_l", F.dense_rank().over(Window.partitionBy(document).orderBy(level))).where("_l <= 3").drop("_l")
-    return first_wins(h, [document, text], [pos])
+    """Headings of the three shallowest levels of a document (blank ones don't count), without those of more than 150
+    characters, with a symbol in front, or that label a field; the first of equals. Their text comes trimmed."""
+    h = headings.withColumn(text, F.regexp_replace(text, r"(?U)^\s+|\s+$", "")).where(F.col(text) != "")
+    h = h.withColumn("_l", F.dense_rank().over(Window.partitionBy(document).orderBy(level))).where("_l <= 3").drop("_l")
+    ok = (F.length(text) <= 150) & (F.ascii(text) < 0x2600) & ~F.col(text).rlike(LABEL)
+    return first_wins(h.where(ok), [document, text], [pos])
 
 
 def latest(df: DataFrame, key: str, order: Sequence[Column]) -> DataFrame:

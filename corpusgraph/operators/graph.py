@@ -62,10 +62,16 @@ def sibling_counts(files: DataFrame, parent: str, path: str) -> DataFrame:
     return files.select(parent, path).distinct().join(n, parent).select(path, parent, (F.col("n") - 1).alias("siblings"))
 
 
+def folder_members(files: DataFrame, parent: str, path: str) -> DataFrame:
+    """Each folder once, with the sorted list of its files: a file's siblings are the others of its folder, so the lists
+    of all files follow by a join, and nothing grows with a folder's square."""
+    return files.groupBy(parent).agg(F.array_sort(F.collect_set(path)).alias("members"))
+
+
 def siblings(files: DataFrame, parent: str, path: str) -> DataFrame:
-    """The other files of the same folder as an array, for folders of source trees."""
-    by = Window.partitionBy(parent)
-    return files.withColumn("siblings", F.array_sort(F.array_remove(F.collect_set(path).over(by), F.col(path))))
+    """The other files of the same folder as an array, for folders of source trees: the folder's list is joined to each file."""
+    members = folder_members(files, parent, path)
+    return files.join(members, parent).withColumn("siblings", F.array_remove("members", F.col(path))).drop("members")
 
 
 def hygiene(nodes: DataFrame, edges: DataFrame, valid: DataFrame, inbound: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:

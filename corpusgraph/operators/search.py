@@ -51,6 +51,27 @@ def top_k(points: DataFrame, query: Sequence[float], key: str, k: int = TOP_K, c
     return scored.orderBy(F.col("score").desc(), key).limit(k)
 
 
+def as_hits(scored: DataFrame, text: str = "text", score: str = "score") -> DataFrame:
+    """score, text and metadata: a struct of all other columns."""
+    return scored.select(score, text, F.struct(*[c for c in scored.columns if c not in (score, text)]).alias("metadata"))
+
+
+def by_key(rows: DataFrame, key: str, value: object, columns: Sequence[str] = (), as_json: Sequence[str] = ()) -> DataFrame:
+    """The row of a key, if there is one; columns of JSON text come as variants."""
+    found = rows.where(F.col(key) == value).limit(1)
+    return found.select(*[F.try_parse_json(c).alias(c) if c in as_json else F.col(c) for c in (columns or rows.columns)])
+
+
+def all_by_name(rows: DataFrame, columns: Sequence[str], name: str) -> DataFrame:
+    return rows.select(*columns).orderBy(name)
+
+
+def members(nested: DataFrame, array: str, keep: Mapping[str, object]) -> DataFrame:
+    """The rows with only those members of an array of structs that have the values in `keep`."""
+    fits = lambda x: reduce(lambda a, b: a & b, [x[k] == v for k, v in keep.items()])
+    return nested.withColumn(array, F.filter(array, fits))
+
+
 def lane_top_k(points: DataFrame, query: Sequence[float], lane: str, weights: Mapping[object, float], key: str, k: int = TOP_K, overall: int | None = None, vector: str = "embedding") -> DataFrame:
     """The k best of each lane, weighted; of all, the best k for each lane (or `overall`)."""
     scored = points.where(F.col(lane).isin(list(weights))).withColumn("score", cosine(F.col(vector), vector_literal(query)))
@@ -61,11 +82,11 @@ def lane_top_k(points: DataFrame, query: Sequence[float], lane: str, weights: Ma
     return best.orderBy(F.col("score").desc(), key).limit(k * len(weights) if overall is None else overall)
 
 
-#: Rules in order: the lane, and words that ask for it (the third tells the case of letters).
+#: Rules in order, the lane that each raises (the third tells the case of letters).
 INTENT_RULES = (
-    ("doc", r"(?i)\b(how to|how do|what is|explain|guide|documentation|readme|tutorial)\b"),
-    ("config", r"(?i)\b(config|configuration|package\.json|tsconfig|dependency|dependencies|setup)\b"),
-    ("code", r"\b([A-Z][a-z]+[A-Z][A-Za-z]*|use[A-Z][A-Za-z]*|hook|component|function|interface|type)\b"),
+    ("doc", r"(?i)\b(how\s+to|what\s+is|explain|guide|tutorial|usage|example|storybook|readme|docs?)\b"),
+    ("config", r"(?i)\b(interface|type\s+alias|schema|props?\b|config\s+type|extends|enum)\b"),
+    ("code", r"\b(use[A-Z]\w+|[A-Z][a-z]+(?:[A-Z][a-z]+)+|import|component|hook)\b"),
 )
 
 
@@ -98,3 +119,35 @@ def ranked_files(members: DataFrame, role: str, ranks: Mapping[str, int], other:
 def combined(lanes: DataFrame, examples: DataFrame) -> DataFrame:
     """Both result lists, told apart by _source."""
     return lanes.withColumn("_source", F.lit("unified")).unionByName(examples.withColumn("_source", F.lit("examples")))
+
+
+#: The languages of the code lane unless a query says otherwise.
+CODE_LANGUAGES = ("typescript", "tsx")
+
+
+def intent_search(
+    points: DataFrame, examples: DataFrame, query: str, vector: Sequence[float], key: str, k: int = TOP_K, conditions: Mapping[str, object] | None = None,
+    example_conditions: Mapping[str, object] | None = None, expand_files: bool = False, file: str = "file_id", lane: str = "content_type", language: str = "language", example: str = "example_id",
+) -> tuple[DataFrame, DataFrame, dict[str, float]]:
+    """Hits of the three lanes, weighted by the query's intent and best first; hits of the examples; the weights.
+
+    The code lane is limited to CODE_LANGUAGES unless the conditions name a language. expand_files: lanes give files
+    (their best score, weighted; of a file in several lanes the best), examples give all members of the hits' sets."""
+    weights, conditions = classify_intent(query), conditions or {}
+    own = {"code": {language: list(CODE_LANGUAGES)} | dict(conditions), "doc": conditions, "config": conditions}
+    parts = [top_k(points.where(F.col(lane) == name), vector, key, k, own[name]).withColumn("score", F.col("score") * weights[name]) for name in own]
+    hits = reduce(DataFrame.unionByName, parts)
+    if expand_files:
+        hits = hits.groupBy(file).agg(F.max("score").alias("score"), F.max_by(lane, "score").alias(lane))
+    found = top_k(examples, vector, key, k, example_conditions)
+    if expand_files:
+        found = expand(found, examples, example).withColumnRenamed("best_score", "score")
+    return hits.orderBy(F.col("score").desc(), file if expand_files else key), found, weights
+
+
+def as_result(hits: DataFrame, found: DataFrame, query: str, weights: Mapping[str, float], columns: Sequence[str]) -> DataFrame:
+    """One row of a search: query, weights, both lists (bounded by the search's k) and their lengths."""
+    listed = lambda df, name: df.agg(F.sort_array(F.collect_list(F.struct(F.col("score"), *columns)), asc=False).alias(name))
+    both = listed(hits, "unified_results").withColumn("_one", F.lit(1)).join(listed(found, "example_results").withColumn("_one", F.lit(1)), "_one").drop("_one")
+    both = both.withColumn("total_unified", F.size("unified_results")).withColumn("total_examples", F.size("example_results"))
+    return both.withColumn("query", F.lit(query)).withColumn("intent_weights", F.create_map(*[F.lit(x) for p in weights.items() for x in p]))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import chunking, classify, ids, text
+from ..functions import chunking, ids, text
 from ..operators import aggregate, graph, search, sync
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,25 +65,19 @@ def collections_topk(spark, sf_dir):
     return search.lane_top_k(points, probe(points), "label", WEIGHTS, "vec_id", overall=5).select("vec_id", "label", F.round("score", 6).alias("score"))
 
 
-@query(f"""WITH {LANES}, x AS (SELECT vec_id, label, score FROM s WHERE label = 5 ORDER BY s.score DESC, vec_id LIMIT 5)
-SELECT vec_id, label, round(score, 6) AS score, 'unified' AS _source FROM (SELECT * FROM w ORDER BY w.score DESC, vec_id LIMIT 20)
-UNION ALL SELECT vec_id, label, round(score, 6), 'examples' FROM x""")
-def combined_search(spark, sf_dir):
-    points = read(spark, sf_dir, "embeddings")
-    q, cols = probe(points), ("vec_id", "label", F.round("score", 6).alias("score"))
-    return search.combined(search.lane_top_k(points, q, "label", WEIGHTS, "vec_id").select(*cols), search.top_k(points, q, "vec_id", 5, {"label": 5}).select(*cols))
-
-
-INTENT = """CASE WHEN regexp_matches(text, '(?i)\\b(how to|how do|what is|explain|guide|documentation|readme|tutorial)\\b') THEN 'doc'
-WHEN regexp_matches(text, '(?i)\\b(config|configuration|package\\.json|tsconfig|dependency|dependencies|setup)\\b') THEN 'config'
-WHEN regexp_matches(text, '\\b([A-Z][a-z]+[A-Z][A-Za-z]*|use[A-Z][A-Za-z]*|hook|component|function|interface|type)\\b') THEN 'code' END"""
+MADE = """CASE (conv_id + turn) % 16 WHEN 0 THEN 'How  TO filter' WHEN 1 THEN 'docs' WHEN 2 THEN 'usage of it' WHEN 3 THEN 'STORYBOOK' WHEN 4 THEN 'setup it' WHEN 5 THEN 'the interface' WHEN 6 THEN 'Type Alias'
+WHEN 7 THEN 'props' WHEN 8 THEN 'an enum' WHEN 9 THEN 'useForm now' WHEN 10 THEN 'DataGrid' WHEN 11 THEN 'import it' WHEN 12 THEN 'Import it' WHEN 13 THEN 'a schema example' WHEN 14 THEN 'hooked' ELSE text END"""
+#: The rules of intent as they are, for texts of any kind.
+INTENT = f"""CASE WHEN regexp_matches({MADE}, '(?i)\\b(how\\s+to|what\\s+is|explain|guide|tutorial|usage|example|storybook|readme|docs?)\\b') THEN 'doc'
+WHEN regexp_matches({MADE}, '(?i)\\b(interface|type\\s+alias|schema|props?\\b|config\\s+type|extends|enum)\\b') THEN 'config'
+WHEN regexp_matches({MADE}, '\\b(use[A-Z]\\w+|[A-Z][a-z]+(?:[A-Z][a-z]+)+|import|component|hook)\\b') THEN 'code' END"""
 
 
 @query(f"""WITH c AS (SELECT conv_id, turn, role, {INTENT} AS lane FROM conversations)
 SELECT conv_id, turn, role, CASE WHEN lane = 'code' THEN 1.1 ELSE 1.0 END::DOUBLE AS code,
 CASE WHEN lane = 'config' THEN 1.2 ELSE 0.9 END::DOUBLE AS config, CASE WHEN lane = 'doc' THEN 1.2 ELSE 0.7 END::DOUBLE AS doc FROM c""")
 def intent_weights(spark, sf_dir):
-    w = search.intent_weights(F.col("text"))
+    w = search.intent_weights(F.expr(MADE))
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", *[w[k].alias(k) for k in ("code", "config", "doc")])
 
 
@@ -107,15 +101,18 @@ def example_set_expand(spark, sf_dir):
 
 
 def disk(docs: DataFrame) -> DataFrame:
-    return docs.where("doc_id % 10 <> 0").select("doc_id", "source", F.when(F.col("doc_id") % 7 == 0, ids.text_hash(F.concat("text", F.lit("!")))).otherwise(ids.text_hash(F.col("text"))).alias("digest"))
+    """Documents as files; those of one language have changed since they were stored."""
+    return docs.select("doc_id", "source", F.when(F.col("lang") == "de", ids.text_hash(F.concat("text", F.lit("!")))).otherwise(ids.text_hash(F.col("text"))).alias("digest"))
 
 
 def stored(docs: DataFrame) -> DataFrame:
-    return docs.where("doc_id % 11 <> 0").select("doc_id", "source", ids.text_hash(F.col("text")).alias("digest"))
+    """What is stored of them: a path for each document, moved for French ones, so that those are deleted and added."""
+    moved = F.when(F.col("lang") == "fr", -F.col("doc_id") - 1).otherwise(F.col("doc_id"))
+    return docs.select(moved.alias("doc_id"), "source", ids.text_hash(F.col("text")).alias("digest"))
 
 
-SIDES = """d AS (SELECT doc_id, source, sha256(CASE WHEN doc_id % 7 = 0 THEN text || '!' ELSE text END) AS digest FROM documents WHERE doc_id % 10 <> 0),
-s AS (SELECT doc_id, source, sha256(text) AS digest FROM documents WHERE doc_id % 11 <> 0)"""
+SIDES = """d AS (SELECT doc_id, source, sha256(CASE WHEN lang = 'de' THEN text || '!' ELSE text END) AS digest FROM documents),
+s AS (SELECT CASE WHEN lang = 'fr' THEN -doc_id - 1 ELSE doc_id END AS doc_id, source, sha256(text) AS digest FROM documents)"""
 
 
 @query(f"""WITH {SIDES} SELECT coalesce(d.doc_id, s.doc_id) AS doc_id,
@@ -132,10 +129,10 @@ def sync_apply(spark, sf_dir):
     return sync.upsert(stored(docs), disk(docs), "doc_id").select("doc_id", "source", "digest")
 
 
-@query(f"WITH {SIDES} SELECT doc_id, digest FROM s WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'fr')")
+@query(f"WITH {SIDES} SELECT doc_id, digest FROM s WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'de')")
 def sync_delete(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
-    return sync.delete(stored(docs), docs.where("lang = 'fr'"), "doc_id").select("doc_id", "digest")
+    return sync.delete(stored(docs), docs.where("lang = 'de'"), "doc_id").select("doc_id", "digest")
 
 
 @query(f"WITH {SIDES} SELECT source, arg_min(digest, doc_id) AS digest FROM s WHERE source <> '' AND digest <> '' GROUP BY source")
@@ -216,20 +213,18 @@ def bridge_by_name(spark, sf_dir):
     return graph.bridge(part.select("p_partkey", "p_type"), part.select("p_type", F.col("p_partkey").alias("k")), "p_type", "p_partkey", "k")
 
 
-LINK = r'href="([^"]+)"'
-
-
-@query(f"""WITH l AS (SELECT page_id, split_part(split_part(url, '://', 2), '/', 1) AS host, unnest(regexp_extract_all(html, '{LINK}', 1)) AS target FROM pages)
-SELECT DISTINCT page_id, host, target FROM l WHERE NOT (target LIKE '%' || host || '%')""")
-def import_edges(spark, sf_dir):
-    host = F.split_part(F.split_part("url", F.lit("://"), F.lit(2)), F.lit("/"), F.lit(1))
-    links = read(spark, sf_dir, "pages").select("page_id", host.alias("host"), F.explode(F.regexp_extract_all("html", F.lit(LINK), 1)).alias("target"))
-    return links.where(~F.contains("target", F.col("host"))).distinct()
+@query("""SELECT source, doc_id, n AS members, sha256(l) AS digest FROM documents JOIN (SELECT source, count(DISTINCT doc_id) AS n, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS l FROM (SELECT DISTINCT source, doc_id FROM documents) GROUP BY source) USING (source)""")
+def sibling_map(spark, sf_dir):
+    """Each file's folder with all its members once: siblings are the others, without a list for each file."""
+    files = read(spark, sf_dir, "documents").select("source", "doc_id")
+    folders = graph.folder_members(files, "source", "doc_id").select("source", F.size("members").cast("long").alias("members"), ids.text_hash(F.array_join(F.transform("members", lambda x: x.cast("string")), ",")).alias("digest"))
+    return files.join(folders, "source").select("source", "doc_id", "members", "digest")
 
 
-@query("SELECT d.doc_id, d.source, n - 1 AS siblings FROM documents d JOIN (SELECT source, count(DISTINCT doc_id) AS n FROM documents GROUP BY source) s ON d.source = s.source")
-def sibling_map(spark, sf_dir):
-    return graph.sibling_counts(read(spark, sf_dir, "documents"), "source", "doc_id")
+@query("""SELECT s.s_suppkey, string_agg(t.s_suppkey::VARCHAR, ',' ORDER BY t.s_suppkey) AS siblings FROM supplier s JOIN supplier t ON s.s_nationkey = t.s_nationkey AND s.s_suppkey <> t.s_suppkey GROUP BY s.s_suppkey""")
+def sibling_lists(spark, sf_dir):
+    out = graph.siblings(read(spark, sf_dir, "supplier").select("s_nationkey", "s_suppkey"), "s_nationkey", "s_suppkey").where(F.size("siblings") > 0)
+    return out.select("s_suppkey", F.array_join(F.transform("siblings", lambda x: x.cast("string")), ",").alias("siblings"))
 
 
 @query("""SELECT DISTINCT c.n_name AS used, s.n_name AS user FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
@@ -313,12 +308,13 @@ def ordered_merge(spark, sf_dir):
 
 
 def headings(spark, sf_dir):
-    """Messages as headings: the level is what the role says."""
+    """Messages as headings: the level is what the role says, the title the whole message; some are made to be labels, symbols, blanks or repeats."""
     level = F.when(F.col("role") == "system", 1).when(F.col("role") == "user", 2).otherwise(3)
-    return read(spark, sf_dir, "conversations").select("conv_id", "turn", level.alias("level"), F.substring("text", 1, 60).alias("title"))
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", level.alias("level"), F.expr(TITLE).alias("title"))
 
 
-HEADINGS = "h AS (SELECT conv_id, turn, CASE role WHEN 'system' THEN 1 WHEN 'user' THEN 2 ELSE 3 END AS level, substr(text, 1, 60) AS title FROM conversations)"
+TITLE = """CASE (conv_id * 7 + turn) % 9 WHEN 0 THEN 'Module Name: ' || role WHEN 1 THEN 'section title - x' WHEN 2 THEN '★ Star' WHEN 3 THEN ' ' WHEN 4 THEN ' Stock ' WHEN 5 THEN 'Rules:' WHEN 6 THEN 'Module x' ELSE text END"""
+HEADINGS = f"h AS (SELECT conv_id, turn, CASE role WHEN 'system' THEN 1 WHEN 'user' THEN 2 ELSE 3 END AS level, {TITLE} AS title FROM conversations)"
 
 
 @query(f"""WITH {HEADINGS}, s AS (SELECT a.conv_id, a.turn, a.level, (SELECT min(b.turn) FROM h b WHERE b.conv_id = a.conv_id AND b.turn > a.turn AND b.level <= a.level) AS stop FROM h a)
@@ -342,8 +338,9 @@ def module_candidates(spark, sf_dir):
     return aggregate.module_candidates(headings(spark, sf_dir), "conv_id", "turn", "level").select("conv_id", "turn", "level")
 
 
-@query(f"""WITH {HEADINGS}, c AS (SELECT *, dense_rank() OVER (PARTITION BY conv_id ORDER BY level) AS l FROM h WHERE trim(title) <> '' AND length(title) <= 150 AND unicode(trim(title)) < 9728 AND NOT regexp_matches(title, ':\\s*$')),
-d AS (SELECT *, row_number() OVER (PARTITION BY conv_id, title ORDER BY turn) AS r FROM c WHERE l <= 3) SELECT conv_id, turn, level, title FROM d WHERE r = 1""")
+@query(f"""WITH {HEADINGS}, t AS (SELECT conv_id, turn, level, regexp_replace(title, '^\\s+|\\s+$', '', 'g') AS title FROM h), c AS (SELECT *, dense_rank() OVER (PARTITION BY conv_id ORDER BY level) AS l FROM t WHERE title <> ''),
+d AS (SELECT *, row_number() OVER (PARTITION BY conv_id, title ORDER BY turn) AS r FROM c WHERE l <= 3 AND length(title) <= 150 AND unicode(title) < 9728
+AND NOT regexp_matches(title, '(?i)^(module\\s*(name|no\\.?|number|title)|section\\s+title)\\s*[:—\\-]')) SELECT conv_id, turn, level, title FROM d WHERE r = 1""")
 def preclean_headings(spark, sf_dir):
     return aggregate.clean_headings(headings(spark, sf_dir), "conv_id", "turn", "level", "title")
 
@@ -371,13 +368,14 @@ def job_state(spark, sf_dir):
 
 
 @query("""SELECT doc_id, source || '/' || doc_id || '__chunk_0' AS chunk_id, substr(sha256(source || '/' || doc_id || '::0'), 1, 16) AS hashed_id, sha256(text) AS digest,
-greatest(1, length(text) // 4)::INTEGER AS tokens, lower(regexp_replace(substr(text, 1, 12), '[^a-zA-Z0-9]+', '_', 'g')).trim('_') AS slug FROM documents""")
+greatest(1, length(text) // 4)::INTEGER AS tokens, sha256(lower(regexp_replace(text, '[^a-zA-Z0-9]+', '_', 'g')).trim('_')) AS slug FROM documents""")
 def chunk_ids(spark, sf_dir):
     path, zero = F.concat("source", F.lit("/"), F.col("doc_id").cast("string")), F.lit(0)
-    return read(spark, sf_dir, "documents").select("doc_id", ids.path_chunk_id(F.concat(F.lit("/"), path), zero).alias("chunk_id"), ids.hashed_chunk_id(path, zero).alias("hashed_id"), ids.text_hash(F.col("text")).alias("digest"), text.approx_tokens(F.col("text")).alias("tokens"), ids.slug(F.substring("text", 1, 12)).alias("slug"))
+    return read(spark, sf_dir, "documents").select("doc_id", ids.path_chunk_id(F.concat(F.lit("/"), path), zero).alias("chunk_id"), ids.hashed_chunk_id(path, zero).alias("hashed_id"), ids.text_hash(F.col("text")).alias("digest"), text.approx_tokens(F.col("text")).alias("tokens"), ids.text_hash(ids.slug(F.col("text"))).alias("slug"))
 
 
-@query(None)
+@query("""WITH h AS (SELECT doc_id, sha1(from_hex('6ba7b8109dad11d180b400c04fd430c8') || encode(source || '__chunk_' || doc_id)) AS h FROM documents)
+SELECT doc_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', CAST(('0x' || substr(h, 17, 1))::INTEGER % 4 AS INTEGER) + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS point_id FROM h""")
 def point_ids(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", ids.point_id(ids.path_chunk_id(F.col("source"), F.col("doc_id"))).alias("point_id"))
 
@@ -391,22 +389,6 @@ def clean_text(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", ids.text_hash(x).alias("digest"), F.length(x).cast("long").alias("n"))
 
 
-@query("""WITH f AS (SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN 'README.md' WHEN 1 THEN 'useThing.ts' WHEN 2 THEN 'Thing.tsx' WHEN 3 THEN 'thing.types.ts' WHEN 4 THEN 'package.json' WHEN 5 THEN 'index.ts' WHEN 6 THEN 'theme.css' ELSE 'helpers.ts' END AS file_name FROM documents)
-SELECT doc_id, file_name, CASE doc_id % 8 WHEN 0 THEN 'documentation' WHEN 1 THEN 'hook' WHEN 2 THEN 'component' WHEN 3 THEN 'types' WHEN 4 THEN 'config' WHEN 5 THEN 'index' WHEN 6 THEN 'style' ELSE 'utility' END AS category,
-CASE doc_id % 8 WHEN 0 THEN 'doc' WHEN 4 THEN 'config' WHEN 6 THEN 'style' ELSE 'code' END AS content_type,
-CASE doc_id % 8 WHEN 0 THEN 'markdown' WHEN 2 THEN 'tsx' WHEN 4 THEN 'json' WHEN 6 THEN 'css' ELSE 'typescript' END AS language FROM f""")
-def classify_case(spark, sf_dir):
-    names = ["README.md", "useThing.ts", "Thing.tsx", "thing.types.ts", "package.json", "index.ts", "theme.css", "helpers.ts"]
-    name = F.element_at(F.array(*[F.lit(x) for x in names]), (F.col("doc_id") % 8 + 1).cast("int"))
-    out = read(spark, sf_dir, "documents").select("doc_id", name.alias("file_name"))
-    return out.select("doc_id", "file_name", classify.category(F.col("file_name")).alias("category"), classify.content_type(F.col("file_name")).alias("content_type"), classify.language(F.col("file_name")).alias("language"))
-
-
-@query(r"SELECT DISTINCT page_id, unnest(regexp_extract_all(html, '([A-Z][a-z]{6,})', 1)) AS mention FROM pages")
-def mentions(spark, sf_dir):
-    return read(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r"([A-Z][a-z]{6,})"), 1)).alias("mention")).distinct()
-
-
 @query("""WITH w AS (SELECT doc_id, text, split_part(text, chr(10), 2) AS h, split_part(text, chr(10), 3) AS f FROM documents WHERE text LIKE '%' || chr(10) || '%' || chr(10) || '%')
 SELECT doc_id, sha256(CASE WHEN instr(text, h) = 0 THEN text WHEN instr(substr(text, instr(text, h) + length(h)), f) = 0 THEN substr(text, instr(text, h))
 ELSE substr(text, instr(text, h), length(h) + instr(substr(text, instr(text, h) + length(h)), f) - 1) END) AS digest FROM w WHERE h <> '' AND f <> ''""")
@@ -423,12 +405,6 @@ def line_chunks(spark, sf_dir):
     return out.where(F.trim("piece") != "").select("doc_id", F.col("pos").cast("long").alias("pos"), ids.text_hash(F.col("piece")).alias("digest"))
 
 
-@query("""SELECT doc_id, sha256('Type: ' || lang || chr(10) || 'Package: ' || source || chr(10) || 'File: ' || doc_id || chr(10) || '---' || chr(10) || text) AS digest FROM documents""")
-def embed_text_header(spark, sf_dir):
-    x = chunking.with_header({"Type": F.col("lang"), "Package": F.col("source"), "Use when": F.lit(None).cast("string"), "File": F.col("doc_id").cast("string")}, F.col("text"))
-    return read(spark, sf_dir, "documents").select("doc_id", ids.text_hash(x).alias("digest"))
-
-
 @query("SELECT o_orderkey, l_linenumber, l_partkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_returnflag = 'R'")
 def flatten_nested(spark, sf_dir):
     lines = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_returnflag")).alias("lines"))
@@ -436,23 +412,12 @@ def flatten_nested(spark, sf_dir):
     return nested.select("o_orderkey", F.explode("lines").alias("x")).select("o_orderkey", "x.l_linenumber", "x.l_partkey")
 
 
-@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, json_extract_string(props, '$.missing') AS missing FROM events")
-def coerce_json(spark, sf_dir):
-    v = F.try_parse_json("props")
-    return read(spark, sf_dir, "events").select("event_id", F.try_variant_get(v, "$.k", "long").alias("k"), F.try_variant_get(v, "$.missing", "string").alias("missing"))
-
-
 @query("""SELECT c_custkey, c_name, CASE WHEN c_acctbal <= 1000 THEN NULL ELSE c_acctbal END AS c_acctbal FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')""")
 def guarded_projection(spark, sf_dir):
     rows = search.filtered(read(spark, sf_dir, "customer"), {"c_mktsegment": ["BUILDING", "MACHINERY"], "ignored": {"a": 1}, "other": 3}, ["c_mktsegment"])
     return rows.select("c_custkey", "c_name", F.when(F.col("c_acctbal") > 1000, F.col("c_acctbal")).alias("c_acctbal"))
 
 
-@query("SELECT p_partkey, p_name, p_brand FROM part WHERE p_partkey = 42")
-def point_lookup(spark, sf_dir):
-    return read(spark, sf_dir, "part").where("p_partkey = 42").select("p_partkey", "p_name", "p_brand")
-
-
 @query("SELECT p_type, p_size, 'T' || p_type || '-' || p_size AS pair FROM (SELECT DISTINCT p_type FROM part), (SELECT DISTINCT p_size FROM part WHERE p_size <= 5)")
 def static_edges(spark, sf_dir):
     part = read(spark, sf_dir, "part")
@@ -465,8 +430,3 @@ def static_edges(spark, sf_dir):
 def top_per_group(spark, sf_dir):
     by = Window.partitionBy("o_custkey").orderBy(F.col("o_totalprice").desc(), "o_orderkey")
     return read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.row_number().over(by).cast("long").alias("position")).where("position <= 3")
-
-
-@query("SELECT event_id, CASE WHEN value > 1e6 OR value < -1e6 OR event_type = '' THEN '\"' || event_type || '\"' ELSE event_type END AS quoted FROM events")
-def quoting(spark, sf_dir):
-    return read(spark, sf_dir, "events").select("event_id", text.quoted(F.col("event_type")).alias("quoted"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import chunking, coercion, ids, indented, sections
+from ..functions import coercion, ids, indented, sections, syntax
 from .tables import query, read
 
 
@@ -37,7 +37,7 @@ def module_parts(spark, sf_dir):
 
 @query(None)
 def file_pieces(spark, sf_dir):
-    found = chunking.file_pieces(F.col("text"), F.col("source"), F.col("lang"))
+    found = syntax.parts(F.col("text"), F.concat("source", F.lit(".md")))
     out = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(found).alias("pos", "x"))
     return out.select("doc_id", "pos", F.col("x")["name"].alias("name"), ids.text_hash(F.col("x")["text"]).alias("digest"))
 

@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-#: What may follow what.
-NEXT = {"pending": ("processing", "failed"), "processing": ("completed", "failed")}
+from ..operators import store
 
 
 def latest_states(log: DataFrame, job: str, status: str, at: str, late: str = "1 hour") -> DataFrame:
@@ -17,9 +16,14 @@ def latest_states(log: DataFrame, job: str, status: str, at: str, late: str = "1
 
 
 def keep_table(states: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Write the whole table of states after each batch; a restart goes on from the checkpoint."""
+    """Write the whole table of states after each batch, as a version of its own (store.current reads the newest finished
+    one); a batch that is repeated after a crash writes its version again, and a restart goes on from the checkpoint."""
 
     def put(df: DataFrame, batch: int) -> None:
-        df.write.mode("overwrite").parquet(path)
+        spark = df.sparkSession
+        df.write.mode("overwrite").parquet(f"{path}/v{batch + 1}")
+        for old in store.versions(spark, path)[: -1 - store.KEPT_VERSIONS]:
+            folder, fs = store._folder(spark, f"{path}/v{old}")
+            fs.delete(folder, True)
 
     return states.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

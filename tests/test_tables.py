@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusgraph import plans
-from corpusgraph.functions import chunking, classify, ids, text
+from corpusgraph.functions import chunking, ids, indented, modules, syntax, text
 from corpusgraph.operators import aggregate, graph, search, sync
 
 AT = "/root/testdata/sf0.001"
@@ -53,9 +53,10 @@ def test_sizes_names_and_levels(spark):
 
 
 def test_quoting(spark):
-    values = ["true", "007", "-x", "plain", "", " a", "a,b", 'q"', "1.5"]
+    values = ["true", "007", "-x", "plain", "", " a", "a,b", 'q"', "1.5", "True", "1x"]
+    assert [indented.string(v) for v in values] == ['"true"', '"007"', '"-x"', "plain", '""', '" a"', '"a,b"', '"q\\""', '"1.5"', "True", "1x"]
     got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v string").select(text.quoted(F.col("v"))).collect()]
-    assert got == ['"true"', '"007"', '"-x"', "plain", '""', '" a"', '"a,b"', '"q\\""', '"1.5"']
+    assert got == [indented.string(v) for v in values]
 
 
 def test_filters_and_intent(spark):
@@ -64,7 +65,7 @@ def test_filters_and_intent(spark):
     assert search.filtered(df, {"a": ["x", "z"], "b": 1}).count() == 1
     assert search.filtered(df, {"a": "x", "b": 2}, ["a"]).count() == 1
     assert search.classify_intent("how to filter") == {"code": 1.0, "config": 0.9, "doc": 1.2}
-    assert search.classify_intent("FooBar hook")["code"] == 1.1
+    assert search.classify_intent("FooBar hook")["code"] == 1.1 and search.classify_intent("an enum")["config"] == 1.2
     assert search.classify_intent("zzz") == {"code": 1.0, "config": 0.9, "doc": 0.7}
     assert search.classify_intent("how to set the config")["doc"] == 1.2
 
@@ -93,32 +94,27 @@ def test_renamed_file_makes_its_folder_dirty(spark):
     assert {r["f"]: r["dirty"] for r in sync.dirty_folders(d, s, "f", "p", "h").collect()} == {"f": True, "g": False}
 
 
-def test_merge_and_split(spark):
+def test_merge_and_split():
     small, large = "a" * 400, "b" * 900
-    row = lambda *t: [[(x, f"n{i}", "t") for i, x in enumerate(t)]]
-    df = spark.createDataFrame([row(small, large, small)], f"c {chunking.PIECES}")
-    got = df.select(chunking.merge_small(F.col("c"))).first()[0]
-    assert [x["text"] for x in got] == [f"{small}\n\n{large}", small] and [x["name"] for x in got] == ["n1", "n2"]
+    assert syntax.merged([(small, "n0", "t"), (large, "n1", "t"), (small, "n2", "t")], 200) == [(f"{small}\n\n{large}", "n1", "t"), (small, "n2", "t")]
     para = "c" * 2000
-    parts = one(spark, chunking.split_large(F.col("t")), t="\n\n".join([para, para, para]))[0]
-    assert parts == [para, para, para]
-    assert one(spark, chunking.split_large(F.col("t")), t="d" * 9000)[0] == ["d" * 9000]
+    assert syntax.divided("\n\n".join([para, para, para]), 800) == [para, para, para]
+    assert syntax.divided("d" * 9000, 800) == ["d" * 9000]
 
 
 def test_markdown_sections(spark):
     t = "---\nx: 1\n---\nbefore\n# A\na\n## B\nb\n### C\nc\n## D\nd\n# E\ne"
-    got = chunking.markdown_sections(spark.createDataFrame([(1, t)], "k int, t string"), "k", "t").orderBy("pos").collect()
-    assert [r["path"] for r in got] == ["A", "A > B", "A > B > C", "A > D", "E"]
-    assert got[1]["text"] == "## B\nb"
+    got = chunking.markdown_sections(spark.createDataFrame([(1, t), (2, "no heading\n#hash")], "k int, t string"), "k", "t").orderBy("k", "pos").collect()
+    assert [r["path"] for r in got] == ["A", "A > B", "A > B > C", "A > D", "E", ""]
+    assert got[1]["text"] == "## B\nb" and got[2]["parent"] == "B" and got[5]["text"] == "no heading\n#hash"
 
 
 def test_source_files(spark):
-    src = "import { A, type B } from './x'\nimport React from \"react\"\nexport const one = 1\nexport async function two() {}\nexport { three as four, type five }\n"
-    r = one(spark, classify.imports(F.col("s")).alias("i"), classify.exports(F.col("s")).alias("e"), s=src)
-    assert r["i"] == ["./x", "react"] and r["e"] == ["one", "two", "four", "five"]
-    assert one(spark, classify.candidate_paths(F.lit("src/a"), F.lit("../b/./c")))[0] == ["src/b/c.ts", "src/b/c.tsx", "src/b/c/index.ts", "src/b/c/index.tsx"]
-    skip = spark.createDataFrame([("a/b.ts", 1), ("a/b.test.ts", 1), ("a/b.d.ts", 1), ("node_modules/x.ts", 1), ("a/b.ts", 0), ("a/b.exe", 1)], "p string, n int")
-    assert [r[0] for r in skip.select(classify.skipped(F.col("p"), F.col("n"))).collect()] == [False, True, True, True, True, True]
+    src = "import { A, type B } from './x'\nimport React from \"react\"\nimport './side.css'\nexport const one = 1\nexport async function two() {}\nexport { three as four, five }\n"
+    r = one(spark, modules.imports(F.col("s")).alias("i"), modules.exports(F.col("s")).alias("e"), modules.scoped_imports(F.lit("import { typeX, type Y } from '@a/b'"), "@a/", strip_letters=True).alias("c"), s=src)
+    assert r["i"] == ["./x", "react", "./side.css"] and r["e"] == ["one", "two", "four", "five"]
+    assert r["c"]["symbols"] == ["X", "Y"]
+    assert one(spark, modules.candidate_paths(F.lit("src/a"), F.lit("../b/./c")))[0] == ["src/b/c.ts", "src/b/c.tsx", "src/b/c.d.ts", "src/b/c/index.ts", "src/b/c/index.tsx"]
 
 
 def test_descendants_and_latest(spark):

@@ -7,7 +7,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from corpusgraph.functions import chunking, coercion, indented, sections
+from corpusgraph.functions import coercion, indented, sections, syntax
 from corpusgraph.sources import word
 
 
@@ -132,5 +132,5 @@ def test_column_forms(spark):
 def test_file_pieces(spark):
     long = "\n\n".join(["p" * 1000, "q" * 1000, "r" * 5000])
     df = spark.createDataFrame([(1, "small"), (2, long), (3, None)], "k int, t string")
-    got = {r["k"]: r["x"] for r in df.select("k", chunking.file_pieces(F.col("t"), F.lit("n"), F.lit("m")).alias("x")).collect()}
+    got = {r["k"]: r["x"] for r in df.select("k", syntax.parts(F.col("t"), F.lit("n.md")).alias("x")).collect()}
     assert [x["text"] for x in got[1]] == ["small"] and [x["text"] for x in got[2]] == ["p" * 1000, "q" * 1000, "r" * 5000]
