@@ -2,8 +2,9 @@
 
 An Aho-Corasick automaton over the pieces reads a stretch of text once; at each position its output links give every
 piece that ends there, and each relaxes the best score of a way to the position (Viterbi, a single pass). In a BPE model
-a step from one piece to the next is possible only if merging the two pieces' text by rank gives the two again; the
-scores' sum alone isn't what such a model means. A unigram model allows every step. Both give the library's ids.
+a step from one piece to the next is possible only if merging the two pieces' text by rank gives the two again: the
+scores' sum alone isn't what such a model means. Then at most one step into a position is possible, so a position that
+is reached has its best score. A unigram model allows every step. Both give the library's ids.
 Characters outside the vocabulary become byte pieces, or the unknown piece.
 
 Texts are cut before runs of the space mark, which no piece of the vocabulary spans (else they stay whole). Short
@@ -31,15 +32,14 @@ from .common import held, map_slices, read
 #: The default vocabulary: a parameter everywhere.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Bytes of a generation of each cache, about, and characters of a stretch that is kept at most.
-CACHE_BYTES, CACHED_CHARS = 16 << 20, 64
+#: Bytes of a generation of the caches of stretches and of steps, about, and characters of a stretch that is kept at most.
+STRETCH_BYTES, STEP_BYTES, CACHED_CHARS = 40 << 20, 24 << 20, 64
 #: What an entry takes besides its key and value.
 ENTRY_BYTES = 120
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: What an unknown character scores below the worst piece, in unigram models.
 UNKNOWN_PENALTY = 10.0
-NEVER = float("-inf")
 
 
 def fields(data: bytes):
@@ -73,12 +73,12 @@ def fields(data: bytes):
 class Cache(dict):
     """What make gives, in two generations: when the newer has its bytes, the older goes. size: of a value."""
 
-    def __init__(self, make, size):
+    def __init__(self, make, size, most):
         super().__init__()
-        self.make, self.size, self.older, self.bytes = make, size, {}, 0
+        self.make, self.size, self.most, self.older, self.bytes = make, size, most, {}, 0
 
     def __missing__(self, key):
-        if self.bytes >= CACHE_BYTES:
+        if self.bytes >= self.most:
             self.older, self.bytes = dict(self), 0
             self.clear()
         value = self.older.get(key)
@@ -116,13 +116,13 @@ class Model:
         self.automaton.make_automaton()
         self.letters = frozenset(p for p in self.usable if len(p) == 1)
         self.lengths = list(map(len, self.pieces))
-        self.follows = Cache(lambda key: self.can_follow(*divmod(key, len(self.pieces))), lambda _, __: 0)
+        self.follows = Cache(lambda key: self.can_follow(*divmod(key, len(self.pieces))), lambda _, __: 0, STEP_BYTES)
         self.floor = min((self.scores[i] for i in self.ids.values()), default=0.0) - UNKNOWN_PENALTY
         spans = any(MARK in p.lstrip(MARK) for p in self.ids)
         loose = [c for c in "\n\t\r" if not any(c in p and len(p) > 1 for p in self.ids)]
         stop = re.escape("".join(loose))
         self.cut = re.compile(rf"[{stop}]|{MARK}+[^{MARK}{stop}]*|[^{MARK}{stop}]+" if loose else rf"{MARK}+[^{MARK}]*|[^{MARK}]+").findall if not spans else lambda t: [t]
-        self.cache = Cache(self.packed, lambda k, v: 4 * len(k) + len(v))
+        self.cache = Cache(self.packed, lambda k, v: 4 * len(k) + len(v), STRETCH_BYTES)
         self.raw = [bytes([int(p[3:5], 16)]) if k == BYTE else b" \xe2\x81\x87 " if k == UNKNOWN else b"" if k == CONTROL else p.replace(MARK, " ").encode() for p, k in zip(self.pieces, self.kinds, strict=True)]
 
     def merged(self, text: str) -> list[int]:
@@ -159,26 +159,26 @@ class Model:
 
         best[e], last[e]: the score of the best way up to character e, and its last piece. The extra place at the end of
         both is reached by index -1: the start."""
-        n, free = len(text), self.algorithm == UNIGRAM
-        scores, follows, many, lengths = self.scores, self.follows, len(self.pieces), self.lengths
-        best, last = [NEVER] * n + [0.0], [-1] * (n + 1)
-        found: list = [()] * n
-        if free:
-            found = [[] for _ in range(n)]
+        n, scores, lengths = len(text), self.scores, self.lengths
+        best: list = [None] * n + [0.0]
+        last = [-1] * (n + 1)
+        if self.algorithm == BPE:
+            follows, many = self.follows, len(self.pieces)
+            for end, (length, i) in self.automaton.iter(text):
+                # one step into a position is possible at most, so the first is the best
+                if best[end] is None and (score := best[end - length]) is not None and ((p := last[end - length]) < 0 or follows[p * many + i]):
+                    best[end], last[end] = score + scores[i], i
+        else:
+            found: list = [[] for _ in range(n)]
             for end, match in self.automaton.iter(text):
                 found[end].append(match)
             for end in range(n):
                 for length, i in found[end]:
-                    if (score := best[end - length] + scores[i]) > best[end]:
-                        best[end], last[end] = score, i
-                if text[end] not in self.ids and (score := best[end - 1] + self.floor) > best[end]:
-                    best[end], last[end] = score, -1
-        else:
-            for end, (length, i) in self.automaton.iter(text):
-                start = end - length
-                if (score := best[start] + scores[i]) > best[end] and ((p := last[start]) < 0 or follows[p * many + i]):
-                    best[end], last[end] = score, i
-        if n and best[n - 1] == NEVER:
+                    if (score := best[end - length]) is not None and (best[end] is None or score + scores[i] > best[end]):
+                        best[end], last[end] = score + scores[i], i
+                if text[end] not in self.ids and best[end - 1] is not None and (best[end] is None or best[end - 1] + self.floor > best[end]):
+                    best[end], last[end] = best[end - 1] + self.floor, -1
+        if n and best[n - 1] is None:
             return None
         at, out = n - 1, []
         while at >= 0:
