@@ -1,18 +1,21 @@
 """Quality classifier: positive-unlabelled learning with the non-negative unbiased risk.
 
-Trusted positives are labelled rows of quality 1; unlabelled web text is a draw from the documents. The share of
-positives in it, the class prior, is estimated by the best bin of a classifier of positives against unlabelled text
-(the least ratio of the two distributions' upper tails). A small network on features of the whole text is then fitted
+Trusted positives are labelled rows of quality 1; unlabelled web text is what the documents say, without their labels. The
+share of positives in it, the class prior, is estimated by the best bin of a classifier of positives against unlabelled
+text: the least ratio of the two distributions' upper tails, that of the positives from rows that the classifier didn't
+see, that of unlabelled text from all documents, whose scores are counted in one distributed histogram. A small network on features of the whole text is then fitted
 to prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives)); where the second part turns negative, the
 step goes back along it. Labels of quality 0 are never used.
 
-POSITIVES and UNLABELLED bound the rows that are fitted; only their features reach the driver. Nulls are empty texts;
+POSITIVES and UNLABELLED bound the rows that networks are fitted on; only their features reach the driver. Nulls are empty texts;
 an empty text gets the score of its features like any other. Very long texts are used whole. Without positives every
 score is 0.5. Repeated rows each get a row; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterable, Iterator
 from itertools import islice
 from operator import eq
 
@@ -21,11 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_slices, read
+from .common import map_slices, read, slices
 from .langid import fold
 
 POSITIVES, UNLABELLED = 3000, 4000
 HIDDEN, STEPS, BATCH = 24, 1500, 256
+#: Bins of scores in the histogram of all unlabelled rows.
+BINS = 1000
 #: What a short tail costs when the best bin is chosen, in standard deviations of a share.
 SLACK = 0.5
 CLASSES = {"upper": range(65, 91), "lower": range(97, 123), "digit": range(48, 58), "far": range(128, 256), "space": (9, 10, 11, 12, 13, 32)}
@@ -59,12 +64,18 @@ def features(text: bytes | None) -> np.ndarray:
     return out
 
 
+def text_hash(text: bytes | None) -> int:
+    return zlib.crc32(text or b"")
+
+
 def featured(docs: DataFrame) -> DataFrame:
+    """doc_id, x and hash of every row."""
+
     def run(batch: pa.RecordBatch) -> dict:
         texts = batch.column("text").cast(pa.binary()).to_pylist()
-        return {"doc_id": batch.column("doc_id"), "x": [features(t) for t in texts]}
+        return {"doc_id": batch.column("doc_id"), "x": [features(t) for t in texts], "hash": [text_hash(t) for t in texts]}
 
-    return map_slices(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, x array<float>")
+    return map_slices(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, x array<float>, hash long")
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -101,32 +112,72 @@ class Net:
         return sigmoid(self.forward(self.scaled(x))[0])
 
 
-def class_prior(positive: np.ndarray, unlabelled: np.ndarray, rng: np.random.Generator, repeats: int = 3) -> float:
-    """The share of positives in unlabelled rows: the best bin of scores that a classifier of the two gives to rows it didn't see.
-
-    Of several splits into halves that score each other, the median.
-    """
-    x = np.vstack([positive, unlabelled])
-    s = np.arange(len(x)) < len(positive)
-    found = []
-    for _ in range(repeats):
-        half, score = rng.random(len(x)) < 0.5, np.zeros(len(x))
-        for seen in (half, ~half):
-            net = Net(x[seen], rng)
-            z, y = net.scaled(x[seen]), s[seen].astype(float)
-            w = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
+def binned(scores: np.ndarray) -> np.ndarray:
+    return np.bincount(np.minimum((scores * BINS).astype(int), BINS - 1), minlength=BINS)
+
+
+class Splits:
+    """Classifiers of positives against unlabelled rows, each fitted on a half of both, and the scores of the positives that
+    it didn't see. An unlabelled row's halves are bits of its hash, so that of all rows those of the other half can be told."""
+
+    def __init__(self, positive: np.ndarray, unlabelled: np.ndarray, hashes: np.ndarray, rng: np.random.Generator, repeats: int = 3):
+        self.nets, self.held, self.sides = [], [], [(r, side) for r in range(repeats) for side in (0, 1)]
+        halves = [rng.random(len(positive)) < 0.5 for _ in range(repeats)]
+        for r, side in self.sides:
+            seen, own = halves[r] == bool(side), unlabelled[(hashes >> r & 1) == side]
+            x, y = np.vstack([positive[seen], own]), np.repeat([1.0, 0.0], [seen.sum(), len(own)])
+            net = Net(x if len(x) else np.zeros((1, positive.shape[1])), rng)
+            z, w = net.scaled(x), np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
             for _ in range(150):
                 out, h = net.forward(z)
                 net.step(z, h, w * (sigmoid(out) - y), 0.01)
-            score[~seen] = net.score(x[~seen])
-        p, u = np.sort(score[s]), np.sort(score[~s])
-        cuts = np.quantile(p, np.linspace(0.02, 0.8, 79))
-        above = lambda a: 1 - np.searchsorted(a, cuts) / len(a)
-        tail, part = np.maximum(above(p), 1e-9), above(u)
-        slack = SLACK * (np.sqrt(1 / len(p)) + np.sqrt(1 / len(u)))
-        best = int(np.argmin((part + slack) / tail))
-        found.append(part[best] / tail[best])
-    return float(np.clip(np.median(found), 0.02, 0.98))
+            self.nets.append(net)
+            self.held.append(net.score(positive[~seen]))
+
+    def counts(self, x: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """How many rows of x that a classifier didn't see fall on each of BINS bins of its scores; a row of counts for each."""
+        return np.stack([binned(net.score(x[(hashes >> r & 1) != side])) for net, (r, side) in zip(self.nets, self.sides, strict=True)])
+
+    def prior(self, counts: np.ndarray) -> float:
+        """From the counts of all unlabelled rows: the median of the classifiers' best bins."""
+        found = []
+        for held, n in zip(self.held, counts, strict=True):
+            if not len(held) or not n.sum():
+                continue
+            tail, part = (np.cumsum(x[::-1])[::-1] / x.sum() for x in (binned(held), n))
+            fits = (tail >= 0.2) & (tail <= 0.98)
+            slack = SLACK * (np.sqrt(1 / len(held)) + np.sqrt(1 / n.sum()))
+            if fits.any():
+                best = int(np.argmin(np.where(fits, (part + slack) / np.maximum(tail, 1e-9), np.inf)))
+                found.append(part[best] / tail[best])
+        return float(np.clip(np.median(found), 0.02, 0.98)) if found else 0.5
+
+
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray, rng: np.random.Generator) -> float:
+    """The share of positives in unlabelled rows that are all at hand."""
+    hashes = rng.integers(0, 1 << 16, len(unlabelled))
+    splits = Splits(positive, unlabelled, hashes, rng)
+    return splits.prior(splits.counts(unlabelled, hashes))
+
+
+def counted(docs: DataFrame, splits: Splits) -> np.ndarray:
+    """Splits.counts over the texts of all rows: each task sums its own, what arrives has BINS numbers a classifier."""
+    sent, many = docs.sparkSession.sparkContext.broadcast(splits), len(splits.nets)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((many, BINS), np.int64)
+        for batch in batches:
+            for part in slices(batch, "text"):
+                texts = part.column("text").cast(pa.binary()).to_pylist()
+                if texts:
+                    total += sent.value.counts(np.stack([features(t) for t in texts]), np.array([text_hash(t) for t in texts]))
+        net, bin_ = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(net), pa.array(bin_), pa.array(total[net, bin_])], ["net", "bin", "n"])
+
+    out = np.zeros((many, BINS), np.int64)
+    for r in docs.select("text").mapInArrow(run, "net long, bin long, n long").groupBy("net", "bin").agg(F.sum("n").alias("n")).collect():
+        out[r["net"], r["bin"]] = r["n"]
+    return out
 
 
 def risk(out: np.ndarray, positives: int, prior: float) -> tuple[float, float, np.ndarray, np.ndarray]:
@@ -172,9 +223,13 @@ def learn(docs: DataFrame, labels: DataFrame, keep) -> Net | None:
     others = set(bounded_ids(docs.where(keep), UNLABELLED, 22))
     if not ids or not others:
         return None
-    x = {r[0]: np.array(r[1], np.float64) for r in featured(chosen(docs, ids | others)).collect()}
-    p, u = [x[i] for i in sorted(ids) if i in x], [x[i] for i in sorted(others) if i in x]
-    return fit(np.stack(p), np.stack(u))[0] if p and u else None
+    x = {r[0]: (np.array(r[1], np.float64), r[2]) for r in featured(chosen(docs, ids | others)).collect()}
+    p, u = [x[i][0] for i in sorted(ids) if i in x], [x[i] for i in sorted(others) if i in x]
+    if not p or not u:
+        return None
+    p, hashes, u = np.stack(p), np.array([h for _, h in u]), np.stack([v for v, _ in u])
+    splits = Splits(p, u, hashes, np.random.default_rng(13))
+    return fit(p, u, splits.prior(counted(docs, splits)))[0]
 
 
 def score(docs: DataFrame, net: Net | None) -> DataFrame:
