@@ -33,16 +33,22 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-#: Folders written by materialize and not yet released, oldest first.
+#: Folders that scratch gave out and that aren't yet released, oldest first.
 _written: list[str] = []
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder's path in the shared folder, for an operator to write to."""
+    at = f"{shared_dir(spark)}/corpusgraph/{uuid.uuid4().hex}"
+    _written.append(at)
+    return at
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends, and a lost executor costs no recomputation."""
     spark = df.sparkSession
-    at = f"{shared_dir(spark)}/corpusgraph/{uuid.uuid4().hex}"
+    at = scratch(spark)
     df.write.parquet(at)
-    _written.append(at)
     out = spark.read.schema(df.schema).parquet(at)
     out._written_at = at
     return out

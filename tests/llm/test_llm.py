@@ -136,6 +136,11 @@ def test_rewrite_touches_changed_shards_only(spark, tmp_path):
     assert told["kept"] == [] or set(told["kept"]) < {0, 1, 2}
     new = spark.read.parquet(f"{tmp_path}/b").toPandas()
     assert sorted(new["doc_id"]) == sorted(d[0] for d in docs if d[2] not in told["kept"])
+    texts = dict((d[0], d[1]) for d in docs)
+    assert all(texts[i] == t for i, t in zip(new["doc_id"], new["text"], strict=True)) and set(new.columns) == {"doc_id", "text", "old_shard", "slot", "shard"}
+    same = [(i, "same bytes", i % 2) for i in range(40)]
+    spark.createDataFrame(same, "doc_id long, text string, shard int").write.partitionBy("shard").parquet(f"{tmp_path}/even")
+    assert sharding.rewrite_shards(spark, f"{tmp_path}/even", f"{tmp_path}/still", 2) == {"rewritten": [], "emptied": [], "kept": [0, 1]}
 
 
 def test_mixed_documents_keep_texts_whole(spark, plain):
