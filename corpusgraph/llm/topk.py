@@ -25,7 +25,7 @@ from .common import materialize, read
 
 LEVELS = 64
 BLOCK_ROWS = 16384
-QUERY_CHUNK = 4096
+QUERY_CHUNK = 16384
 
 
 class Block:
@@ -149,6 +149,9 @@ def topk(vectors: DataFrame, is_query, k: int) -> DataFrame:
     while True:
         more = asking if last is None else asking.where(F.col("vec_id") > last)
         chunk = more.groupBy("vec_id").agg(F.min("v").alias("v")).orderBy("vec_id").limit(QUERY_CHUNK).collect()
+        if len(chunk) == QUERY_CHUNK and not parts:  # more rounds follow: they read vectors that are ready
+            vectors = materialize(vectors)
+            asking = vectors.where(is_query)
         if chunk:
             last = chunk[-1]["vec_id"]
             top = chunk_top(vectors, chunk, k)
