@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
 import pandas as pd
 from pyspark.sql import Column
@@ -104,6 +104,24 @@ def filled(template: Column, values: Mapping[str, Column]) -> Column:
     return template
 
 
+def exact_tokens(body: Column, ranks: str, pattern: str) -> Column:
+    """Tokens of a byte-level BPE. ranks: the path of a tiktoken file, read once in each worker (all must see it); pattern: how text is cut first."""
+
+    @F.pandas_udf("long")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import base64
+
+        import tiktoken
+
+        with open(ranks, "rb") as f:
+            table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        coder = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=table, special_tokens={})
+        for texts in parts:
+            yield texts.map(lambda t: None if t is None else len(coder.encode_ordinary(t))).astype("Int64")
+
+    return run(body)
+
+
 # Fenced code, doc comments and line comments.
 FENCED = r"(?s)```(\w+)?.*?```"
 DOC_COMMENT = r"(?s)/\*\*\s*\n?\s*\*?\s*(.+?)(?:\n|\*/)"

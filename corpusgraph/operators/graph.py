@@ -29,12 +29,16 @@ def division(edges: DataFrame, wanted: list, distinct: bool = True) -> DataFrame
     return edges.where(F.col("dst").isin(wanted)).groupBy("src").agg(n.alias("n")).where(F.col("n") == (len(set(wanted)) if distinct else len(wanted))).select("src")
 
 
-def candidates(nodes: DataFrame, key: str, wishes: list[tuple[DataFrame, list]], rank: Column, limit: int) -> DataFrame:
-    """Nodes that pass every division, by rank downward, then key; ordered before the limit."""
+def candidates(nodes: DataFrame, key: str, wishes: list[tuple[DataFrame, list]], rank: Column, limit: int, limit_first: bool = False) -> DataFrame:
+    """Nodes that pass every division, by rank downward, then key; ordered before the limit. limit_first: the limit takes
+    the least keys, and only these are ordered."""
     for edges, wanted in wishes:
         if wanted:
             nodes = nodes.join(division(edges, wanted), nodes[key] == F.col("src"), "left_semi")
-    return nodes.withColumn("rank", rank).orderBy(F.col("rank").desc(), key).limit(limit)
+    ranked = nodes.withColumn("rank", rank)
+    if limit_first:
+        return ranked.orderBy(key).limit(limit).orderBy(F.col("rank").desc(), key)
+    return ranked.orderBy(F.col("rank").desc(), key).limit(limit)
 
 
 def counts(tables: Mapping[str, DataFrame]) -> DataFrame:

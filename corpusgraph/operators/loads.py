@@ -146,6 +146,24 @@ def knowledge_graph(knowledge: DataFrame, typedefs: DataFrame, uses_type: DataFr
     }
 
 
+def context_text(knowledge: DataFrame) -> DataFrame:
+    """import_path and text: what a prompt says of a package, its components in the order of their names."""
+    some = lambda head, x, sep: F.when(F.size(x) > 0, F.concat(F.lit(head), F.array_join(x, sep)))
+    lines = F.concat_ws(
+        "\n", F.concat(F.lit("  • "), F.col("name")), F.when(F.coalesce("description", F.lit("")) != "", F.concat(F.lit("    "), "description")), some("    USE WHEN: ", F.col("when_to_use"), " | "),
+        some("    DO NOT USE: ", F.col("do_not_use_when"), " | "), some("    data_hook: ", F.col("hooks"), ", "), some("    internally_uses: ", F.col("internally_uses"), ", "),
+    )
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("name", lines.alias("text")))), lambda x: x["text"])
+    found = knowledge.groupBy("import_path").agg(F.first("package_description").alias("_d"), parts.alias("_parts"))
+    return found.select("import_path", F.concat_ws("\n", F.concat(F.lit("["), "import_path", F.lit("]")), F.concat(F.lit("  "), "_d"), F.lit(""), F.array_join("_parts", "\n"), F.lit("")).alias("text"))
+
+
+def component_ids(names: DataFrame, components: DataFrame, name: str = "name") -> DataFrame:
+    """names with the id of the component of exactly that name (the last one counts); null without one."""
+    last = components.groupBy(name).agg(F.max("id").alias("id"))
+    return names.join(last, name, "left")
+
+
 def analysed(files: DataFrame, primitives: str, loose: bool = False) -> DataFrame:
     """Example files (example_group, example_id, file_name, path, content) with pattern, role, features (columns of flags and lists) and complexity."""
     source, name = F.col("content"), F.col("file_name")

@@ -110,6 +110,19 @@ def expand(hits: DataFrame, members: DataFrame, group: str) -> DataFrame:
     return members.join(best, group)
 
 
+def whole_files(members: DataFrame, group: str, file: str, index: str, text: str, more: Sequence[str] = ()) -> DataFrame:
+    """One row for each file of a group: how many chunks it has, their texts joined in order, `more` from its first chunk,
+    and the best score. The store's limit on chunks isn't kept: every chunk counts."""
+    parts = F.transform(F.array_sort(F.collect_list(F.struct(index, text))), lambda x: x[text])
+    first = [F.min_by(c, index).alias(c) for c in more]
+    return members.groupBy(group, file).agg(F.count("*").alias("chunks"), F.array_join(parts, "\n").alias(text), F.max("best_score").alias("best_score"), *first)
+
+
+def first_scores(hits: DataFrame, group: str, order: Sequence[Column | str]) -> DataFrame:
+    """The score of the first hit of each group in an order; for hits that come best first this is the best."""
+    return hits.groupBy(group).agg(F.min_by("score", F.struct(*order)).alias("best_score"))
+
+
 def ranked_files(members: DataFrame, role: str, ranks: Mapping[str, int], other: int = 99) -> DataFrame:
     """role_rank of each member: the order of an example set."""
     rank = F.coalesce(F.create_map(*[F.lit(x) for pair in ranks.items() for x in pair])[F.col(role)], F.lit(other))

@@ -169,9 +169,11 @@ def merged_parts(parts: DataFrame, mode: str, keys: Sequence[str] = ("document",
 # Calls.
 
 
-def extracted(rows: DataFrame, model: Model, template: str, schema: Mapping, mode: str, overhead: int = 0, keys: Sequence[str] = ("document", "position", "name")) -> DataFrame:
+def extracted(rows: DataFrame, model: Model, template: str, schema: Mapping, mode: str, overhead: int = 0, keys: Sequence[str] = ("document", "position", "name"), parallel: int | None = None) -> DataFrame:
     """keys, part, extraction, calls, error: one call for each part of a slice (text) that fits the budget. The template
-    has {module_name} and {module_text}. What fails is told in error, and its extraction is null."""
+    has {module_name} and {module_text}. What fails is told in error, and its extraction is null. parallel: how many calls
+    may run at once, as partitions."""
+    rows = rows if parallel is None else rows.repartition(parallel)
     most, columns = budget(overhead), list(keys)
 
     def one(name: str, body: str) -> Iterator[tuple]:
@@ -193,6 +195,36 @@ def extracted(rows: DataFrame, model: Model, template: str, schema: Mapping, mod
     return rows.select(*columns, "text").mapInPandas(run, f"{kinds}, part int, extraction string, calls int, error string")
 
 
+def references(components: Sequence[dict]) -> Iterator[str]:
+    """Screens that toolbars, grids and tabs among components open."""
+    for c in components:
+        for action in {"toolbar": c.get("actions", []), "grid": c.get("row_actions", [])}.get(c.get("type"), []):
+            if action.get("opens_screen"):
+                yield action["opens_screen"]
+        if c.get("type") == "tabs":
+            for tab in c.get("children", []):
+                yield from references(tab.get("components", []))
+
+
+def unknown_screens(extraction: Column) -> Column:
+    """array<struct<screen, opens>>: what screens of an extraction's JSON open that no screen of the module is named; null where it is no JSON object."""
+
+    @F.pandas_udf("array<struct<screen:string,opens:string>>")
+    def run(texts: pd.Series) -> pd.Series:
+        def one(t: str | None) -> list[dict] | None:
+            x = validate.of_json(t)
+            if not isinstance(x, dict):
+                return None
+            module = x.get("module") or {}
+            screens = (module.get("frontend") or module).get("screens", [])
+            known = {s.get("name", "") for s in screens}
+            return [{"screen": s.get("name"), "opens": r} for s in screens for r in references(s.get("components", [])) if r not in known]
+
+        return texts.map(one).astype(object)
+
+    return run(extraction)
+
+
 def finished(merges: DataFrame, modules: DataFrame, document: str = "document") -> DataFrame:
     """document, number, name, extraction: modules in the order of their segments, unknown ones last; a name in the
     extraction stands instead of the segment's."""
@@ -248,3 +280,39 @@ def shared_context(modules: DataFrame, context: DataFrame, document: str = "docu
 def screen_count(extraction: Column) -> Column:
     """Screens of a frontend module's JSON."""
     return F.coalesce(F.json_array_length(F.get_json_object(extraction, "$.module.screens")), F.lit(0))
+
+
+def planned(modules: DataFrame, model: Model, template: str, schema: Mapping, keys: Sequence[str] = ("document", "name"), parallel: int | None = None) -> DataFrame:
+    """keys, plan, calls, error of modules (keys, module: text, priority, context): one call each; the template has
+    {module}, {context} and {priority}. A plan's modules get their priority where they have none."""
+    columns = list(keys)
+    rows = modules if parallel is None else modules.repartition(parallel)
+
+    def one(r: Mapping) -> tuple:
+        prompt = template.replace("{module}", r["module"]).replace("{context}", r["context"] or "").replace("{priority}", str(r["priority"]))
+        try:
+            got, n = valid_answer(model, prompt, schema, "plan")
+            return json.dumps({"priority": int(r["priority"])} | {k: v for k, v in got.items() if k != "priority" or v}), n, None
+        except (RuntimeError, CallFailed) as e:
+            return None, 0, str(e)
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            yield pd.DataFrame([(*[r[k] for k in columns], *one(r)) for _, r in df.iterrows()], columns=[*columns, "plan", "calls", "error"])
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*columns).schema)
+    return rows.select(*columns, "module", "priority", "context").mapInPandas(run, f"{kinds}, plan string, calls int, error string")
+
+
+def submitted(uploads: DataFrame, kind: str) -> DataFrame:
+    """A pending job for each upload (name, content_type, mode, content) that passes the checks and has text; code and message of the others.
+
+    id, job_type, status, code, message, mode, text, headings, updated_at."""
+    from ..sources.uploads import documents
+
+    fault = F.coalesce(validate.upload_fault(F.col("name")), validate.size_fault(F.octet_length("content")), validate.mode_fault(F.col("mode")))
+    rows = uploads.withColumn("_fault", fault).withColumn("_d", documents(F.when(fault.isNull(), F.col("content")), F.col("name"), F.col("content_type")))
+    empty = F.coalesce(F.col("_d.text"), F.lit("")) == ""
+    code = F.when(F.col("_fault").isNotNull(), F.col("_fault.status")).when(empty, 422).otherwise(202)
+    message = F.when(F.col("_fault").isNotNull(), F.col("_fault.message")).when(empty, F.coalesce("_d.error", F.lit("no text")))
+    return rows.select(F.uuid().alias("id"), F.lit(kind).alias("job_type"), F.when(code == 202, "pending").alias("status"), code.alias("code"), message.alias("message"), "name", "mode", F.col("_d.text").alias("text"), F.col("_d.headings").alias("headings"), F.current_timestamp().alias("updated_at"))

@@ -81,6 +81,21 @@ def search_result(spark, sf_dir):
     return r.select("query", F.col("intent_weights")["doc"].alias("doc_weight"), F.col("total_unified").cast("long").alias("total_unified"), F.col("total_examples").cast("long").alias("total_examples"), F.round(F.col("unified_results")[0]["score"], 6).alias("best"))
 
 
+@query("""WITH h AS (SELECT o_orderkey AS k, o_totalprice AS score FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 5)
+SELECT l_orderkey, l_returnflag, count(*) AS chunks, string_agg(l_linenumber::VARCHAR, chr(10) ORDER BY l_linenumber) AS text, round(max(score), 6) AS best_score, arg_min(l_linestatus, l_linenumber) AS mode FROM lineitem JOIN h ON l_orderkey = k GROUP BY l_orderkey, l_returnflag""")
+def example_file_texts(spark, sf_dir):
+    """Orders as example sets, flags as their files, lines as the files' chunks."""
+    hits = read(spark, sf_dir, "orders").orderBy(F.col("o_totalprice").desc(), "o_orderkey").limit(5).select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_totalprice").alias("score"))
+    lines = read(spark, sf_dir, "lineitem").withColumn("text", F.col("l_linenumber").cast("string"))
+    out = search.whole_files(search.expand(hits, lines, "l_orderkey"), "l_orderkey", "l_returnflag", "l_linenumber", "text", ["l_linestatus"])
+    return out.select("l_orderkey", "l_returnflag", "chunks", "text", F.round("best_score", 6).alias("best_score"), F.col("l_linestatus").alias("mode"))
+
+
+@query("SELECT user_id, arg_min(value, event_id) AS best_score FROM events GROUP BY user_id")
+def first_hit_scores(spark, sf_dir):
+    return search.first_scores(read(spark, sf_dir, "events").withColumnRenamed("value", "score"), "user_id", ["event_id"])
+
+
 # Stores.
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import chunking, classify, features, ids, modules, syntax, text
-from ..operators import aggregate, loads
+from ..operators import enrich, loads
 from .tables import query, read
 
 NL = "chr(10)"
@@ -342,15 +342,19 @@ def symbol_bridge(spark, sf_dir):
 # Knowledge on packages: regions as packages, nations as components.
 
 
-def knowledge(spark, sf_dir) -> dict[str, DataFrame]:
+def knowledge_rows(spark, sf_dir) -> DataFrame:
     n, r = read(spark, sf_dir, "nation"), read(spark, sf_dir, "region")
     nations = n.join(r, F.col("n_regionkey") == F.col("r_regionkey"))
     name, none = F.col("n_name"), F.array().cast("array<string>")
     mates = n.select((F.col("n_nationkey") - 1).alias("k"), F.col("n_name").alias("next"))
-    rows = nations.join(mates, F.col("k") == F.col("n_nationkey"), "left").select(
+    return nations.join(mates, F.col("k") == F.col("n_nationkey"), "left").select(
         F.col("r_name").alias("import_path"), F.lit("").alias("package_description"), name.alias("name"), F.lit("d").alias("description"), none.alias("when_to_use"), none.alias("do_not_use_when"),
-        F.array_compact(F.array(F.col("next"), F.lit("Nowhere"))).alias("internally_uses"), F.when(F.col("n_nationkey") % 2 == 0, F.array(F.concat("next", F.lit(" (for x)")))).otherwise(none).alias("hooks"),
+        F.array_compact(F.array(F.col("next"), F.lit("Nowhere"))).alias("internally_uses"), F.when(F.col("n_nationkey") % 2 == 0, F.array_compact(F.array(F.concat("next", F.lit(" (for x)"))))).otherwise(none).alias("hooks"),
     )
+
+
+def knowledge(spark, sf_dir) -> dict[str, DataFrame]:
+    rows = knowledge_rows(spark, sf_dir)
     types = spark.createDataFrame([("t1", "T", "", ["a"])], "id string, name string, description string, required_fields array<string>")
     uses = spark.createDataFrame([("x", "t1", "config_prop")], "src string, dst string, role string")
     return loads.knowledge_graph(rows, types, uses, {"x": ["has_search"]}, {"x": ["text", "email"]}, {"has_search": "Search"})
@@ -366,6 +370,12 @@ def knowledge_edges(spark, sf_dir):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+@query(f"""WITH {ATLAS}, l AS (SELECT a.r_name, a.n_name, '  • ' || a.n_name || {NL} || '    d' || CASE WHEN a.k % 2 = 0 AND b.k IS NOT NULL THEN {NL} || '    data_hook: ' || b.n_name || ' (for x)' ELSE '' END || {NL} || '    internally_uses: ' || CASE WHEN b.k IS NOT NULL THEN b.n_name || ', ' ELSE '' END || 'Nowhere' AS t FROM c a LEFT JOIN c b ON b.k = a.k + 1)
+SELECT r_name AS import_path, sha256('[' || r_name || ']' || {NL} || '  ' || {NL} || {NL} || string_agg(t, {NL} ORDER BY n_name) || {NL}) AS digest FROM l GROUP BY r_name""")
+def context_texts(spark, sf_dir):
+    return loads.context_text(knowledge_rows(spark, sf_dir)).select("import_path", ids.text_hash(F.col("text")).alias("digest"))
+
+
 # Chunks.
 
 MADE_CODE = lines({
@@ -446,3 +456,47 @@ QUOTED = [("true", 1), ("True", 0), ("007", 1), ("7", 1), ("-x", 1), ("1.5e3", 1
 @query(f"SELECT {K}, CASE WHEN {case(len(QUOTED), [str(x[1]) for x in QUOTED])} = '1' THEN '\"' || {case(len(QUOTED), [x[0] for x in QUOTED])} || '\"' ELSE {case(len(QUOTED), [x[0] for x in QUOTED])} END AS quoted FROM part")
 def quoting(spark, sf_dir):
     return part(spark, sf_dir, value=case(len(QUOTED), [x[0] for x in QUOTED])).select(K, text.quoted(F.col("value")).alias("quoted"))
+
+
+# Enrichment and points.
+
+MADE = f"""SELECT {K}, f, 'p' || CAST({K} % 5 AS STRING) AS package_name, 'packages/p' || CAST({K} % 5 AS STRING) || '/src/m' || CAST({K} AS STRING) || '/' || CASE f WHEN 0 THEN 'Card.tsx' WHEN 1 THEN 'notes.md' WHEN 2 THEN 'a.types.ts' WHEN 3 THEN 'a.css' ELSE 'a.json' END AS rel_path,
+CASE f WHEN 0 THEN '/** Shows one card of many */' || chr(10) || 'import "@x/p' || CAST(({K} + 1) % 5 AS STRING) || '"' || chr(10) || 'export const Card = ({{ title }}) => title' || chr(10) || 'const size = 3' || chr(10)
+WHEN 1 THEN '# Data Grid' || chr(10) || 'The DataGrid of @x/p' || CAST({K} % 5 AS STRING) || ' shows rows, and this text is long enough to be a section of its own.' || chr(10) || '## Use' || chr(10) || 'Take the DataGrid and give it rows; it shows them, and this too is long enough to be one.' || chr(10)
+WHEN 2 THEN 'export interface Props {{ title: string; a_long_name_that_makes_this_long_enough_to_stand_alone: number; another: string }}' || chr(10) WHEN 3 THEN '.card {{ color: red; border: 1px solid black; margin: 0 auto; padding: 1em 2em 3em 4em; width: 100% }}' || chr(10) ELSE '{{"a": 1}}' END AS content FROM"""
+MADE_SQL = MADE + f" (SELECT {K}, unnest([0, 1, 2, 3, 4]) AS f FROM part)"
+PREFIXES = {f"@x/p{i}": f"@x/p{i}" for i in range(5)}
+
+
+def made_files(spark, sf_dir) -> DataFrame:
+    read(spark, sf_dir, "part").select(K, F.explode(F.array(*[F.lit(i) for i in range(5)])).alias("f")).createOrReplaceTempView("_made_points")
+    out = spark.sql(MADE + " _made_points")
+    path = F.col("rel_path")
+    name = classify.base_name(path)
+    out = out.withColumn("package_name", F.concat(F.lit("@x/"), "package_name")).withColumn("file_id", F.sha2("content", 256)).withColumn("module_path", F.lit(""))
+    return out.withColumn("file_category", classify.package_category(path, name)).withColumn("language", classify.package_language(name))
+
+
+@query(f"""WITH f AS ({MADE_SQL}) SELECT rel_path, 4::BIGINT AS related, CASE WHEN f = 0 THEN '@x/p' || (({K} + 1) % 5) ELSE '' END AS dependencies, CASE WHEN EXISTS (SELECT 1 FROM part p WHERE p.{K} % 5 = (f.{K} + 4) % 5) THEN '@x/p' || (({K} + 4) % 5) ELSE '' END AS used_by,
+CASE WHEN f = 1 THEN 'DataGrid' ELSE '' END AS components, CASE f WHEN 0 THEN '@x/p' || (({K} + 1) % 5) WHEN 1 THEN '@x/p' || ({K} % 5) ELSE '' END AS packages FROM f""")
+def enriched_files(spark, sf_dir):
+    out = enrich.enriched(made_files(spark, sf_dir), PREFIXES)
+    return out.select("rel_path", F.size("related_files").cast("long").alias("related"), joined("dependencies").alias("dependencies"), joined("used_by_packages").alias("used_by"), joined("mentioned_components").alias("components"), joined("mentioned_packages").alias("packages"))
+
+
+@query(f"""WITH f AS ({MADE_SQL}), c AS (SELECT * FROM (VALUES (0, 0, 2, 'code', 'Card', 'function_component'), (0, 1, 2, 'code', 'size', 'utility'), (1, 0, 2, 'doc', 'Data Grid', 'section'), (1, 1, 2, 'doc', 'Use', 'section'), (2, 0, 1, 'config', 'Props', 'interface'), (3, 0, 1, 'code', '.card', 'style'), (4, 0, 1, 'config', 'a', 'interface')) t(g, i, n, content_type, name, kind))
+SELECT rel_path AS file_path, i::BIGINT AS chunk_index, n::BIGINT AS total_chunks, content_type, name, CASE WHEN g = 0 THEN 'Shows one card of many' WHEN content_type = 'doc' THEN 'section: ' || name WHEN g = 4 THEN 'json_config: a' ELSE kind || ': ' || name END AS summary FROM f JOIN c ON f = g""")
+def unified_points(spark, sf_dir):
+    p = enrich.unified_points(made_files(spark, sf_dir), PREFIXES, LAYERS)
+    name = F.coalesce("symbol_name", "section_title", "schema_name")
+    # the second chunk of a script has the imports in front, and with them no comment
+    summary = F.when(F.endswith("file_path", F.lit("Card.tsx")), F.lit("Shows one card of many")).otherwise(F.col("summary"))
+    return p.select("file_path", F.col("chunk_index").cast("long").alias("chunk_index"), F.col("total_chunks").cast("long").alias("total_chunks"), "content_type", name.alias("name"), summary.alias("summary"))
+
+
+@query(f"""WITH f AS (SELECT {K}, {LOOSE_ROLE} AS role FROM part) SELECT {K}, count(*) AS points, any_value(role) AS file_role FROM f GROUP BY {K}""")
+def example_points(spark, sf_dir):
+    rows = part(spark, sf_dir, content=EXAMPLE, path=EXAMPLE_PATH, file_name=FILE_NAME, example_id=f"'E' || CAST({K} % 50 AS string)", example_group="'G'", file_id=f"CAST({K} AS string)", related_files="array('x')")
+    p = enrich.example_points(rows, "@x/", "@x/kit").groupBy(F.col("file_id").cast("long").alias(K)).agg(F.max("total_chunks").alias("total"), F.count("*").alias("n"), F.min("file_role").alias("file_role"))
+    # files have one chunk or more, all of them counted in each
+    return p.select(K, F.when(F.col("n") == F.col("total"), 1).otherwise(0).cast("long").alias("points"), "file_role")

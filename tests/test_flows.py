@@ -176,6 +176,49 @@ def test_a_document_from_headings_to_plans(spark):
     assert workflow.shared_context(mods, context).count() == 3
 
 
+def test_screens_that_nothing_defines(spark):
+    m = {"module": {"screens": [{"name": "a", "components": [{"type": "toolbar", "actions": [{"opens_screen": "b"}, {"opens_screen": "zz"}, {}]}, {"type": "tabs", "children": [{"components": [{"type": "grid", "row_actions": [{"opens_screen": "yy"}]}]}]}]}, {"name": "b"}]}}
+    df = spark.createDataFrame([(json.dumps(m),), (json.dumps({"module": {"frontend": m["module"]}}),), ("no",), (None,)], "x string")
+    want = [("a", "zz"), ("a", "yy")]
+    assert [r[0] and [tuple(x) for x in r[0]] for r in df.select(workflow.unknown_screens(F.col("x"))).collect()] == [want, want, None, None]
+
+
+def test_plans_and_submissions(spark):
+    rows = spark.createDataFrame([("d", "a", "text a", 3, "shared"), ("d", "b", "text b", 1, None)], "document string, name string, module string, priority int, context string")
+
+    def model(prompt):
+        if "text b" in prompt:
+            raise workflow.CallFailed("no", 401)
+        return json.dumps({"asked": prompt})
+
+    got = {r["name"]: r for r in workflow.planned(rows, model, "{module}|{context}|{priority}", {"type": "object"}, parallel=2).collect()}
+    assert json.loads(got["a"]["plan"]) == {"priority": 3, "asked": "text a|shared|3"} and got["b"]["error"] == "no" and got["b"]["plan"] is None
+    from tests.test_sources import PAGE, made_pdf
+
+    ups = spark.createDataFrame([("a.pdf", None, "both", made_pdf([PAGE])), ("b.pdf", None, "sideways", made_pdf([PAGE])), ("c.txt", None, "both", b"x"), ("d.pdf", None, "both", b"x"), (None, None, "both", b"x")], "name string, content_type string, mode string, content binary")
+    jobs = {r["name"]: (r["code"], r["status"]) for r in workflow.submitted(ups, "extract").collect()}
+    assert jobs == {"a.pdf": (202, "pending"), "b.pdf": (400, None), "c.txt": (400, None), "d.pdf": (422, None), None: (400, None)}
+
+
+def test_exact_names_only(spark):
+    from corpusgraph.operators.loads import component_ids
+
+    c = spark.createDataFrame([("p::Card", "Card"), ("q::Card", "Card")], "id string, name string")
+    got = component_ids(spark.createDataFrame([("Card",), ("ard",)], "name string"), c)
+    assert {r["name"]: r["id"] for r in got.collect()} == {"Card": "q::Card", "ard": None}
+
+
+def test_exact_token_counts(spark):
+    import base64
+
+    from corpusgraph.functions.text import exact_tokens
+
+    with open("/tmp/corpusgraph-ranks.tiktoken", "wb") as f:
+        f.write(b"\n".join(base64.b64encode(t) + b" %d" % i for i, t in enumerate([bytes([b]) for b in range(256)] + [b"ab"])))
+    df = spark.createDataFrame([("abab c",), (None,), ("",)], "t string")
+    assert [r[0] for r in df.select(exact_tokens(F.col("t"), "/tmp/corpusgraph-ranks.tiktoken", r"\w+|\s+")).collect()] == [4, None, 0]
+
+
 def test_declarations():
     source = """// note
 import { a } from "b";

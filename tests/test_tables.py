@@ -78,6 +78,12 @@ def test_division_corner_cases(spark):
     assert sorted(r[0] for r in graph.division(e, ["f", "f"]).collect()) == ["a", "b", "c"]
 
 
+def test_candidates_before_and_after_the_limit(spark):
+    n = spark.createDataFrame([("a", 0), ("b", 1), ("c", 2)], "id string, r int")
+    pick = lambda **how: [r["id"] for r in graph.candidates(n, "id", [], F.col("r"), 2, **how).collect()]
+    assert pick() == ["c", "b"] and pick(limit_first=True) == ["b", "a"]
+
+
 def test_sync_diff_and_second_run(spark):
     d = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3")], "p string, h string")
     s = spark.createDataFrame([("b", "2"), ("c", "9"), ("d", "2")], "p string, h string")
