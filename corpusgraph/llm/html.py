@@ -1,10 +1,10 @@
 """HTML main-text extraction by a tree-structured graphical model.
 
 A tolerant parser makes a tree of block-level elements and of the text runs in them. Each node is a binary variable:
-it is, or holds, main text. Node potentials are linear in features of tag, class, id and role names, length and links;
+it is, or holds, main text. Node potentials are linear in features of tag, parts of names, length and links;
 parent-child potentials are a table for each kind of parent. Messages pass upward, then downward; a run is kept if its
-marginal is above one half. Both kinds of potentials are trained by exact likelihood on labelled pages, which are made
-by rule (labelled_page), because the tables have no labels.
+marginal is above one half. Both kinds of potentials, and which parts of names count, are learned by exact likelihood on
+labelled pages, which are made by rule (labelled_page), because the tables have no labels.
 
 A null html, or one without main text, gives the empty text. Scripts, styles, controls and the like never are text.
 Unclosed and crossed tags are closed as browsers do for the common cases, and a head or body tag may be absent; controls
@@ -18,7 +18,9 @@ import html as entities
 import math
 import random
 import re
+from collections import Counter
 from functools import cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -55,33 +57,21 @@ IMPLIED = {
     "th": (frozenset(["td", "th"]), frozenset(["tr", "table"])),
 }
 SCOPES = frozenset(["td", "th", "table", "button", "object"])
-#: Parts of class, id and role names, by what they tell.
-NAMES = {
-    "menu": "nav navbar navigation menu menubar breadcrumb breadcrumbs toc pagination pager skip tabs toolbar",
-    "head": "header masthead banner topbar branding logo hero",
-    "foot": "footer foot copyright colophon contentinfo legal bottom",
-    "side": "sidebar side aside widget widgets related recommended recommendations more rail complementary trending popular archive tags tagcloud author bio meta byline",
-    "advert": "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion promoted banner dfp adsense affiliate",
-    "notice": "cookie cookies notice notices consent gdpr alert popup modal overlay newsletter subscribe subscription signup login paywall message toast",
-    "comment": "comment comments commentlist disqus reply replies respond discussion reader responses feedback reviews",
-    "social": "share sharing social follow like buttons",
-    "form": "search form input",
-    "text": "content article post entry main story body text page copy prose blog",
-}
-GROUP = {w: g for g, words in enumerate(NAMES.values()) for w in words.split()}
 TAGS = "html body article main section div form p nav header footer aside h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tr td th blockquote pre figure figcaption address details summary #run".split()
 TAG = {t: i for i, t in enumerate(TAGS)}
-N_TAGS, N_NAMES = len(TAGS) + 1, len(NAMES)
-#: Tag, names, names of an element inside an article, the parent's tag for runs, lengths and links.
-N_FEATURES = N_TAGS + N_NAMES + 2 + N_TAGS + 8
+N_TAGS = len(TAGS) + 1
+#: Tag, whether the element is inside an article, the parent's tag for runs, lengths and links. Then come the names.
+N_FIXED = N_TAGS + 2 + N_TAGS + 8
+#: A part of class, id and role names is a feature if so many labelled pages have it.
+LEAST_PAGES = 4
 ROOT, OUTER, INNER = 0, 1, 2
 
 
 class Node:
-    __slots__ = ("tag", "parent", "groups", "label", "children", "words", "chars", "linked", "text", "article", "ends")
+    __slots__ = ("tag", "parent", "names", "label", "children", "words", "chars", "linked", "text", "article", "ends")
 
-    def __init__(self, tag: str, parent: int, groups: tuple = (), label: str | None = None, article: bool = False):
-        self.tag, self.parent, self.groups, self.label, self.article = tag, parent, groups, label, article
+    def __init__(self, tag: str, parent: int, names: tuple = (), label: str | None = None, article: bool = False):
+        self.tag, self.parent, self.names, self.label, self.article = tag, parent, names, label, article
         self.words = self.chars = self.linked = self.children = self.ends = 0
         self.text = ""
 
@@ -133,7 +123,7 @@ def tree(page: str) -> list[Node]:
             run.clear()
             if text:
                 where = stack[-1][1]
-                node = Node("#run", where, nodes[where].groups, nodes[where].label, nodes[where].article)
+                node = Node("#run", where, nodes[where].names, nodes[where].label, nodes[where].article)
                 node.text, node.chars, node.words, node.linked = text, len(text), text.count(" ") + 1, min(linked, len(text))
                 node.ends = sum(map(text.count, ".!?:;,"))
                 nodes.append(node)
@@ -232,12 +222,12 @@ def tree(page: str) -> list[Node]:
         where = stack[-1][1]
         if tag in BLOCKS:
             flush()
-            groups, label = (), None
+            names, label = (), None
             if attrs:
                 found = [(a.lower(), b or c or d) for a, b, c, d in ATTRIBUTE.findall(attrs)]
-                groups = tuple({GROUP[w] for k, v in found if k != "data-y" for w in NAME_PART.findall(v.lower()) if w in GROUP})
+                names = tuple({w for k, v in found if k != "data-y" for w in NAME_PART.findall(v.lower())})
                 label = next((v for k, v in found if k == "data-y"), None)
-            node = Node(tag, where, groups, label or nodes[where].label, nodes[where].article or nodes[where].tag == "article")
+            node = Node(tag, where, names, label or nodes[where].label, nodes[where].article or nodes[where].tag == "article")
             nodes.append(node)
             where = len(nodes) - 1
             blocks.append(len(stack))
@@ -260,16 +250,14 @@ def tree(page: str) -> list[Node]:
     return nodes
 
 
-def active(node: Node, nodes: list[Node]) -> list[tuple[int, float]]:
-    """The features of a node that aren't zero."""
-    out = [(TAG.get(node.tag, N_TAGS - 1), 1.0)]
-    if node.tag != "#run":
-        out += [(N_TAGS + g, 1.0) for g in node.groups]
-    at = N_TAGS + N_NAMES
-    out.append((at + node.article, 1.0))
-    at += 2
+def active(node: Node, nodes: list[Node], names: dict[str, int]) -> list[tuple[int, float]]:
+    """The features of a node that aren't zero. names: the feature of each known part of a name."""
+    out = [(TAG.get(node.tag, N_TAGS - 1), 1.0), (N_TAGS + node.article, 1.0)]
+    at = N_TAGS + 2
     if node.tag == "#run":
         out.append((at + TAG.get(nodes[node.parent].tag, N_TAGS - 1), 1.0))
+    else:
+        out += [(names[x], 1.0) for x in node.names if x in names]
     at += N_TAGS
     share = node.linked / node.chars if node.chars else 0.0
     out += [(at, min(1.0, math.log1p(node.words) / 6)), (at + 1, share), (at + 2, float(share > 0.5)), (at + 3, float(node.words > 12)), (at + 4, min(1.0, 8 * node.ends / (node.words + 1)))]
@@ -325,6 +313,21 @@ def marginals(nodes: list[Node], unary: list[float], pair: list) -> tuple[list[f
     return out, edges
 
 
+#: Names that made pages give to their elements, by what the element is.
+NAMES = {
+    "menu": "nav navbar navigation menu menubar breadcrumb breadcrumbs toc pagination pager skip tabs toolbar",
+    "head": "header masthead banner topbar branding logo hero",
+    "foot": "footer foot copyright colophon contentinfo legal bottom",
+    "side": "sidebar side aside widget widgets related recommended recommendations more rail complementary trending popular archive tags tagcloud author bio meta byline",
+    "advert": "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion promoted banner dfp adsense affiliate",
+    "notice": "cookie cookies notice notices consent gdpr alert popup modal overlay newsletter subscribe subscription signup login paywall message toast",
+    "comment": "comment comments commentlist disqus reply replies respond discussion reader responses feedback reviews",
+    "social": "share sharing social follow like buttons",
+    "form": "search form input",
+    "text": "content article post entry main story body text page copy prose blog",
+}
+
+
 def labelled_page(rng: random.Random) -> str:
     """A made page whose elements say in data-y what is main text."""
     word = lambda: "".join(rng.choice("aeiou") + rng.choice("bcdfglmnprst") for _ in range(rng.randint(1, 4)))
@@ -401,16 +404,23 @@ def truth(nodes: list[Node]) -> list[int]:
     return out
 
 
+class Model(NamedTuple):
+    weights: list[float]
+    #: Of each kind of parent, the table of (parent, child), row-major.
+    pair: list[list[float]]
+    names: dict[str, int]
+
+
 @cache
-def trained(pages: int = 400, rounds: int = 14, seed: int = 3) -> tuple[list[float], list[list[float]]]:
-    """Weights of the features and tables of the edges: gradient ascent on the likelihood, whose gradient is what was seen less what is expected."""
+def trained(pages: int = 800, rounds: int = 10, seed: int = 3) -> Model:
+    """Gradient ascent on the likelihood of labelled pages, whose gradient is what was seen less what is expected."""
     rng, order = random.Random(seed), np.random.default_rng(seed)
-    made = []
-    for _ in range(pages):
-        nodes = tree(labelled_page(rng))
-        made.append((nodes, [active(x, nodes) for x in nodes], truth(nodes)))
-    w, pair = np.zeros(N_FEATURES), np.zeros((3, 4))
-    seen_w, seen_pair = np.full(N_FEATURES, 1.0), np.full((3, 4), 1.0)
+    trees = [tree(labelled_page(rng)) for _ in range(pages)]
+    seen = Counter(x for nodes in trees for x in {x for node in nodes for x in node.names})
+    names = {x: N_FIXED + i for i, x in enumerate(sorted(x for x, n in seen.items() if n >= LEAST_PAGES))}
+    made = [(nodes, [active(x, nodes, names) for x in nodes], truth(nodes)) for nodes in trees]
+    w, pair = np.zeros(N_FIXED + len(names)), np.zeros((3, 4))
+    seen_w, seen_pair = np.full(len(w), 1.0), np.full((3, 4), 1.0)
     for _ in range(rounds):
         for k in order.permutation(pages):
             nodes, feats, y = made[k]
@@ -428,14 +438,15 @@ def trained(pages: int = 400, rounds: int = 14, seed: int = 3) -> tuple[list[flo
             seen_pair += gp * gp
             w += 0.4 * gw / np.sqrt(seen_w)
             pair += 0.4 * gp / np.sqrt(seen_pair)
-    return w.tolist(), pair.tolist()
+    return Model(w.tolist(), pair.tolist(), names)
 
 
-def main_text(page: str | None, weights: list[float], pair: list) -> str:
+def main_text(page: str | None, model: Model) -> str:
     nodes = tree(page or "")
     if len(nodes) == 1:
         return ""
-    p, _ = marginals(nodes, [sum(weights[f] * v for f, v in active(x, nodes)) for x in nodes], pair)
+    w = model.weights
+    p, _ = marginals(nodes, [sum(w[f] * v for f, v in active(x, nodes, model.names)) for x in nodes], model.pair)
     return "\n\n".join(x.text for x, y in zip(nodes, p, strict=True) if x.tag == "#run" and y > 0.5)
 
 
@@ -444,7 +455,7 @@ def extract(pages: DataFrame) -> DataFrame:
     model = pages.sparkSession.sparkContext.broadcast(trained())
 
     def run(batch: pa.RecordBatch) -> dict:
-        texts = [main_text(h, *model.value) for h in batch.column("html").to_pylist()]
+        texts = [main_text(h, model.value) for h in batch.column("html").to_pylist()]
         return {"page_id": batch.column("page_id"), "url": batch.column("url"), "text": texts, "n_chars": [len(t) for t in texts]}
 
     return map_slices(pages.select(F.col("page_id").cast("long"), "url", "html"), run, "page_id long, url string, text string, n_chars long", "html")

@@ -344,11 +344,11 @@ def test_no_letter_is_undetermined(spark, odd):
 
 
 def test_pages_lose_clutter_only():
-    w, pair = html.trained()
+    model = html.trained()
     page = '<html><head><title>T</title><style>x</style></head><body><nav><a href=1>Home</a></nav><div class="cookie-notice">We use cookies</div><article><h1>A &lt;b&gt;</h1><p>One<br>two &amp; <b>three<p>Four.<div class="ad">Buy now</div><script>var t="</p>";</script><ul><li>x<li>y</ul></article><section id="comments"><p>nice read!</p></section><aside class=sidebar><p>Other things to see here today.</p></aside><form>Search<input></form><footer>© us</footer>'
-    assert html.main_text(page, w, pair) == "A <b>\n\nOne two & three\n\nFour.\n\nx\n\ny"
-    assert html.main_text(None, w, pair) == html.main_text("<nav><a href=x>y</a></nav>", w, pair) == ""
-    assert html.main_text("<div>" * 3000 + "deep", w, pair) in ("", "deep")
+    assert html.main_text(page, model) == "A <b>\n\nOne two & three\n\nFour.\n\nx\n\ny"
+    assert html.main_text(None, model) == html.main_text("<nav><a href=x>y</a></nav>", model) == ""
+    assert html.main_text("<div>" * 3000 + "deep", model) in ("", "deep")
 
 
 def test_marginals_are_exact_on_a_small_tree():
