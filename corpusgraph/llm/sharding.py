@@ -23,8 +23,8 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 from .common import materialize, read, scratch
 
-#: Rows of a hash bucket, on average.
-BUCKET_ROWS = 2000
+#: Rows of a hash bucket, on average: few beside those of a partition, so that partitions fill evenly.
+BUCKET_ROWS = 250
 
 
 def min_cost_flow(n: int, arcs: list[tuple[int, int, int, int]], source: int, sink: int) -> tuple[list[int], int]:
