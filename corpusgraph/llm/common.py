@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
@@ -110,10 +112,23 @@ def forget() -> None:
     _kept.clear()
 
 
-def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str, column: str = "text", whole: bool = False) -> DataFrame:
+def give_back() -> None:
+    """A worker returns freed memory to the system, for it outlives its task. Where the C library can't, it keeps it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def left(owner: str) -> object | None:
+    """What an operator keeps in this worker, if it is there."""
+    return _kept["value"] if _kept.get("of", ("",))[0] == owner else None
+
+
+def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str, column: str = "text", whole: bool = False, done: Callable[[], None] | None = None) -> DataFrame:
     """mapInArrow over slices: fn gets a RecordBatch and returns a dict of columns, in the order of schema.
 
-    whole: the rows' own columns stand before those of schema, so that a row needn't be found again by a join."""
+    whole: the rows' own columns stand before those of schema, so that a row needn't be found again by a join. done: called
+    in the worker at a task's end."""
     own = StructType(list(df.schema.fields) if whole else [])
     more = StructType.fromDDL(schema)
     kind = StructType(own.fields + more.fields)
@@ -125,5 +140,8 @@ def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str,
                 out = fn(part)
                 columns = [part.column(c) for c in kept] + [pa.array(out[f.name], type=f.type, from_pandas=True) for f in arrow]
                 yield pa.RecordBatch.from_arrays(columns, names=out_schema.names)
+        if done:
+            done()
+        give_back()
 
     return df.mapInArrow(run, kind)

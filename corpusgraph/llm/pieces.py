@@ -8,7 +8,7 @@ is reached has its best score. A unigram model allows every step. Both give the
 Characters outside the vocabulary become byte pieces, or the unknown piece.
 
 Texts are cut before runs of the space mark, which no piece of the vocabulary spans (else they stay whole). Short
-stretches and the answers to possible steps are kept in caches bounded by bytes. Null texts have null ids, empty texts none; texts of any length are whole.
+stretches and the answers to possible steps are kept, within a task, in caches bounded by bytes. Null texts have null ids, empty texts none; texts of any length are whole.
 Repeated rows each get a row; an empty table gives no rows; other columns are not read.
 """
 
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held, map_slices, read
+from .common import held, left, map_slices, read
 
 #: The default vocabulary: a parameter everywhere.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -86,6 +86,10 @@ class Cache(dict):
         self.bytes += ENTRY_BYTES + self.size(key, value)
         return value
 
+    def drop(self) -> None:
+        self.clear()
+        self.older, self.bytes = {}, 0
+
 
 class Model:
     def __init__(self, data: bytes):
@@ -233,6 +237,13 @@ def model_of(data: bytes) -> Model:
     return held("pieces", zlib.crc32(data), lambda: Model(data))
 
 
+def rest() -> None:
+    """At a task's end: a worker that goes on to other work shouldn't hold the caches."""
+    if (model := left("pieces")) is not None:
+        model.cache.drop()
+        model.follows.drop()
+
+
 def model_bytes(path: str = MODEL) -> bytes:
     """A vocabulary file is at most a few MB; it is read on the driver and sent to the executors."""
     try:
@@ -263,7 +274,7 @@ def encode_texts(docs: DataFrame, path: str = MODEL) -> DataFrame:
             "round_trip": [None if b is None else b == t for b, t in zip(back, texts, strict=True)],
         }
 
-    return map_slices(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, ids array<int>, n_tokens long, decoded_crc32 long, round_trip boolean")
+    return map_slices(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, ids array<int>, n_tokens long, decoded_crc32 long, round_trip boolean", done=rest)
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

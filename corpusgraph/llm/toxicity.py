@@ -42,7 +42,7 @@ find_words = re.compile(r"[^\W_]+").findall
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the character 3-, 4- and 5-grams of <word>, and the word that each is of. <word> itself is one if it's short."""
     a = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32)
-    of = np.repeat(np.arange(len(words)), [len(w) + 2 for w in words])
+    of = np.repeat(np.arange(len(words), dtype=np.int32), [len(w) + 2 for w in words])
     ids, own = [], []
     h = a * np.uint32(0x9E3779B1)
     for n in range(2, 6):
@@ -53,7 +53,7 @@ def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
             inside = of[n - 1 :] == of[: len(a) - n + 1]
             ids.append(((h ^ h >> np.uint32(13)) * np.uint32(0xC2B2AE35) >> np.uint32(32 - GRAM_BITS))[inside])
             own.append(of[: len(a) - n + 1][inside])
-    return (np.concatenate(ids), np.concatenate(own)) if ids else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+    return (np.concatenate(ids), np.concatenate(own)) if ids else (np.zeros(0, np.uint32), np.zeros(0, np.int32))
 
 
 def word_buckets(words: list[str]) -> np.ndarray:
@@ -189,8 +189,10 @@ def fit(texts: list[str], toxic: list[int], seed: int = 5) -> Net:
         return net
     words, pad = list(vocabulary), len(vocabulary)
     bucket, (ids, own) = word_buckets(words), grams(words)
-    first = np.searchsorted(own_sorted := np.sort(own), np.arange(pad + 1))
-    ids = ids[np.argsort(own, kind="stable")]
+    order = np.argsort(own, kind="stable")
+    ids, own_sorted = ids[order], own[order]
+    first = np.searchsorted(own_sorted, np.arange(pad + 1))
+    del own, order
     every = [windowed(d, pad) for d, _ in pairs]
     of, all_windows = np.repeat(np.arange(len(pairs)), [len(w) for w in every]), np.concatenate(every)
     y_of, starts = np.array([y for _, y in pairs]), np.concatenate(([0], np.cumsum([len(w) for w in every])))
@@ -200,7 +202,8 @@ def fit(texts: list[str], toxic: list[int], seed: int = 5) -> Net:
             pick = rng.integers(starts[:-1], starts[1:])
         else:
             table = net.project(net.inputs(bucket, ids, own_sorted)[0])
-            logits = np.concatenate([net.forward(table, all_windows[i : i + 4096], pad) for i in range(0, len(all_windows), 4096)])
+            logits = np.concatenate([net.forward(table, all_windows[i : i + 2048], pad) for i in range(0, len(all_windows), 2048)])
+            del table
             order = np.lexsort((logits, of))
             pick = order[starts[1:] - 1]
         clean = np.flatnonzero(y_of == 0)
