@@ -53,9 +53,10 @@ def targets(sources: DataFrame) -> DataFrame:
 
 
 def mix(groups: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
-    """Places of groups of alike rows (doc_id, source, size, more, n: how many): adds source_size, target, epochs, rest and
+    """Places of groups of alike rows (doc_id, source, size, n: how many, and more, columns without nulls that tell groups apart): adds source_size, target, epochs, rest and
     before (words of the source's rows that come earlier)."""
-    key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("/"), F.col("size").cast("string")).cast("binary"))
+    told = [F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size").cast("string"), *[F.col(c).cast("string") for c in more]]
+    key = F.md5(F.concat_ws("/", *told).cast("binary"))
     rows = materialize(groups.withColumn("sk", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))).withColumn("key", key).withColumn("all", F.col("n") * F.col("size")))
     buckets = max(1, rows.count() // BUCKET_ROWS)
     rows = rows.withColumn("bucket", F.expr(f"cast(conv(substring(key, 1, 8), 16, 10) as bigint) * {buckets} div 4294967296"))

@@ -228,7 +228,10 @@ def joined(label: DataFrame, edges: DataFrame) -> DataFrame:
     """components of the edges that label (fp, label) comes from and of more edges: those are laid between labels first."""
     of = lambda c: label.select(F.col("fp").alias(c), F.col("label").alias(f"{c}l"))
     between = edges.join(of("u"), "u", "left").join(of("v"), "v", "left").select(F.coalesce("ul", "u").alias("u"), F.coalesce("vl", "v").alias("v"))
-    more = components(between.where("u <> v").distinct())
+    between = materialize(between.where("u <> v").distinct())
+    if between.isEmpty():
+        return label
+    more = components(between)
     moved = more.select(F.col("fp").alias("label"), F.col("label").alias("up"))
     old = label.join(moved, "label", "left").select("fp", F.coalesce("up", "label").alias("label"))
     new = more.join(label.select("fp"), "fp", "left_anti").select("fp", "label")
