@@ -201,7 +201,7 @@ SIDE = "l_returnflag || (l_linenumber % 3)"
 
 
 @query(f"""WITH l AS (SELECT l_orderkey, l_linenumber, {SIDE} AS s, CASE WHEN l_linenumber % 2 = 0 THEN 'get' ELSE 'GET' END AS m, l_returnflag AS p FROM lineitem)
-SELECT l_orderkey, count(DISTINCT s) AS screens, count(DISTINCT p) AS endpoints, count(DISTINCT s) AS rules, 'd' || min(l_linenumber) AS description FROM l GROUP BY l_orderkey HAVING count(*) > 1""")
+SELECT l_orderkey, count(DISTINCT s) AS screens, count(DISTINCT p) AS endpoints, count(DISTINCT s) AS rules, 'd' || min(l_linenumber) AS description FROM l GROUP BY l_orderkey""")
 def merged_modules(spark, sf_dir):
     """Orders as modules, lines as the extractions of their parts."""
     lines = read(spark, sf_dir, "lineitem").withColumn("s", F.concat("l_returnflag", (F.col("l_linenumber") % 3).cast("string")))
@@ -210,8 +210,7 @@ def merged_modules(spark, sf_dir):
     back = F.struct(F.array(F.struct(F.col("m").alias("method"), F.col("l_returnflag").alias("path"))).alias("api_endpoints"))
     one = F.to_json(F.struct(F.struct(F.concat(F.lit("d"), F.col("l_linenumber").cast("string")).alias("description"), front.alias("frontend"), back.alias("backend")).alias("module")))
     parts = lines.select("l_orderkey", F.lit("x").alias("name"), F.col("l_linenumber").alias("part"), one.alias("extraction"))
-    many = parts.groupBy("l_orderkey").agg(F.count("*").alias("n")).where("n > 1").select("l_orderkey")
-    got = workflow.merged_parts(parts.join(many, "l_orderkey"), "both", ("l_orderkey", "name"))
+    got = workflow.merged_parts(parts, "both", ("l_orderkey", "name"))
     at = lambda p: F.json_array_length(F.get_json_object("extraction", f"$.module.{p}")).cast("long")
     return got.select("l_orderkey", at("frontend.screens").alias("screens"), at("backend.api_endpoints").alias("endpoints"), at("frontend.business_rules").alias("rules"), F.get_json_object("extraction", "$.module.description").alias("description"))
 
@@ -247,18 +246,18 @@ def similarity_queries(spark, sf_dir):
     return workflow.similarity_queries(plans).select(F.col("module_name").alias("o_orderkey"), F.array_join("queries", "|").alias("queries"))
 
 
-@query("""SELECT conv_id, n AS modules, CASE WHEN n = 1 THEN 'Application' ELSE 'named' END AS first FROM (SELECT conv_id, greatest(1, count(DISTINCT CASE WHEN role = 'user' AND trim(text) <> '' AND length(trim(text)) <= 150 AND unicode(trim(text)) < 9728 THEN trim(text) END)) AS n,
-count(DISTINCT CASE WHEN role = 'user' AND trim(text) <> '' THEN trim(text) END) AS named FROM conversations GROUP BY conv_id) WHERE named <> 1""")
+@query("""WITH t AS (SELECT conv_id, turn, role, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS title FROM conversations),
+f AS (SELECT conv_id, title, arg_min(role, turn) AS role FROM t WHERE title <> '' AND length(title) <= 150 AND unicode(title) < 9728 AND NOT regexp_matches(title, '(?i)^(module\\s*(name|no\\.?|number|title)|section\\s+title)\\s*[:—\\-]') GROUP BY ALL),
+n AS (SELECT c.conv_id, count(f.title) AS n FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN f ON c.conv_id = f.conv_id AND f.role = 'user' GROUP BY c.conv_id)
+SELECT conv_id, greatest(1, n) AS modules, n = 0 AS whole FROM n""")
 def module_segments(spark, sf_dir):
-    """Messages as headings; the classifier takes the users' ones that are short enough to be headings."""
+    """Messages as headings; the classifier takes the users' ones, and a conversation without any is one module."""
     level = F.when(F.col("role") == "system", 1).when(F.col("role") == "user", 2).otherwise(3)
     h = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("document"), F.col("turn").alias("pos"), level.alias("level"), "text")
     clean = aggregate.clean_headings(h, "document", "pos", "level", "text")
     classified = clean.where("level = 2").select("document", F.col("text").alias("heading"), F.lit("MODULE").alias("type"), F.lit("").alias("module_name"), F.lit("").alias("description"), F.col("pos").alias("n"))
-    several = h.where("level = 2").select("document", F.trim("text").alias("t")).where("t <> ''").groupBy("document").agg(F.count_distinct("t").alias("named"))
-    got = workflow.segments(h, classified).groupBy("document").agg(F.count("*").alias("modules"), F.min_by("name", "position").alias("name"))
-    got = got.join(several, "document", "left").where("coalesce(named, 0) <> 1")
-    return got.select(F.col("document").alias("conv_id"), "modules", F.when(F.col("modules") == 1, F.lit("Application")).otherwise("named").alias("first"))
+    got = workflow.segments(h, classified).groupBy(F.col("document").alias("conv_id"))
+    return got.agg(F.count("*").alias("modules"), F.max(F.col("heading") == "").alias("whole"))
 
 
 @query("SELECT s.s_suppkey, n.n_name FROM supplier s JOIN nation n ON s_nationkey = n_nationkey WHERE n_regionkey = 1")
