@@ -8,6 +8,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextvars import ContextVar
 
 import pyarrow as pa
 import pyarrow.compute
@@ -35,15 +36,23 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-#: Folders that scratch gave out and that aren't yet released, oldest first.
-_written: list[str] = []
+#: The tables that were written since the innermost `tables_of` began; None outside.
+_scope: ContextVar[list[DataFrame] | None] = ContextVar("corpusgraph_tables", default=None)
+
+
+@contextlib.contextmanager
+def tables_of() -> Iterator[list[DataFrame]]:
+    """The tables that materialize writes inside, and no one else's: the list fills as they are written."""
+    token = _scope.set(own := [])
+    try:
+        yield own
+    finally:
+        _scope.reset(token)
 
 
 def scratch(spark: SparkSession) -> str:
     """A new folder's path in the shared folder, for an operator to write to."""
-    at = f"{shared_dir(spark)}/corpusgraph/{uuid.uuid4().hex}"
-    _written.append(at)
-    return at
+    return f"{shared_dir(spark)}/corpusgraph/{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -53,26 +62,39 @@ def materialize(df: DataFrame) -> DataFrame:
     df.write.parquet(at)
     out = spark.read.schema(df.schema).parquet(at)
     out._written_at = at
+    if (own := _scope.get()) is not None:
+        own.append(out)
     return out
 
 
-def release(*tables: DataFrame) -> None:
-    """Delete tables of materialize that nothing reads any more."""
+def release(*tables: DataFrame, keep: DataFrame | None = None) -> None:
+    """Delete tables of materialize that nothing reads any more, but for `keep`; those that are gone already are left out."""
     for df in tables:
-        if (at := getattr(df, "_written_at", None)) in _written:
-            _delete(df.sparkSession, at)
-
-
-def release_before(df: DataFrame) -> None:
-    """Delete every table that materialize wrote before df, which is one of its own."""
-    for at in _written[: _written.index(df._written_at)]:
-        _delete(df.sparkSession, at)
-
-
-def _delete(spark: SparkSession, at: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(at)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    _written.remove(at)
+        if df is not keep and (at := getattr(df, "_written_at", None)):
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+            df._written_at = None
+
+
+#: A key counts as hot if it has more than one of so many parts of all rows; so there are no more hot keys than this.
+HOT_PARTS = 1000
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], counts: DataFrame | None = None, rows: int | None = None) -> DataFrame:
+    """Inner join of left with right, whose keys are unique, where a key may have any share of left's rows.
+
+    A hot key's rows of left are dealt into parts by a hash of the whole row, each as large as a key can be that isn't hot,
+    and its row of right is repeated for each part. counts (on, _n) and rows: how many rows of left a key has, and all
+    of them; else left is counted, and should be written. Only the hot keys are broadcast: HOT_PARTS rows at most."""
+    if counts is None:
+        counts = left.groupBy(*on).agg(F.count("*").alias("_n"))
+    part = (left.count() if rows is None else rows) / HOT_PARTS
+    if part < 1:  # every key would count as hot
+        return left.join(right, on)
+    hot = F.broadcast(materialize(counts.where(F.col("_n") > part).select(*on, F.ceil(F.col("_n") / part).cast("long").alias("_parts"))))
+    dealt = left.join(hot, on, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(*left.columns), F.col("_parts")), F.lit(0)))
+    again = right.join(hot, on, "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_parts", F.lit(1)) - 1)))
+    return dealt.drop("_parts").join(again.drop("_parts"), [*on, "_part"]).drop("_part")
 
 
 def row_key(*columns: str) -> Column:

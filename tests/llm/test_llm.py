@@ -83,7 +83,7 @@ def empty(tmp_path_factory):
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_odd_and_empty_tables(spark, odd, empty, name):
-    table = {"op2_html_tree_model": "pages", "op8_impact_topk": None}.get(name, "documents")
+    table = {"op2_html_tree_model": "pages", "op8_impact_topk": None, "op12_phrases": None}.get(name, "documents")
     got = QUERIES[name](spark, odd).collect()
     if table:
         assert len(got) == pq.read_metadata(f"{odd}/{table}.parquet").num_rows

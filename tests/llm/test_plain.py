@@ -314,12 +314,30 @@ def test_the_class_prior_of_a_known_mixture(share):
 def test_tables_are_released(spark):
     import os
 
-    a, b = common.materialize(spark.range(3)), common.materialize(spark.range(4))
     place = lambda t: t._written_at.removeprefix("file:")
-    common.release_before(b)
-    assert not os.path.exists(place(a)) and os.path.exists(place(b))
-    common.release(b, b, spark.range(2))
-    assert not os.path.exists(place(b))
+    other = common.materialize(spark.range(2))
+    with common.tables_of() as own:
+        a, b = common.materialize(spark.range(3)), common.materialize(spark.range(4))
+        with common.tables_of() as inner:
+            c = common.materialize(spark.range(5))
+    after = common.materialize(spark.range(6))
+    assert own == [a, b] and inner == [c]
+    gone = place(a)
+    common.release(*own, keep=b)
+    assert not os.path.exists(gone) and all(os.path.exists(place(t)) for t in (b, c, other, after))
+    gone = place(b)
+    common.release(b, b, a, spark.range(2))
+    assert not os.path.exists(gone)
+
+
+def test_a_frequent_key_is_dealt_into_parts(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_PARTS", 8)
+    left = spark.range(400).selectExpr("CASE WHEN id < 250 THEN 7 ELSE id END AS k", "id AS v")
+    right = spark.range(390).selectExpr("id AS k", "id * 2 AS w")
+    got = common.spread_join(common.materialize(left), right, ["k"])
+    want = left.join(right, "k")
+    assert got.columns == ["k", "v", "w"] and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert common.spread_join(left.limit(0), right, ["k"]).count() == 0
 
 
 def test_row_keys_tell_rows_apart(spark):
