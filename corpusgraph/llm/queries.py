@@ -1,6 +1,6 @@
 """The queries of this subpackage, and SQL for those that it can express."""
 
-from . import html, langid, mixing, phrases, pieces, quality, runs, sharding, simhash, topk, toxicity, transport
+from . import html, langid, mixing, phrases, pieces, quality, runs, sharding, simhash, substrings, topk, toxicity, transport
 
 QUERIES = {
     f.__name__: f
@@ -15,6 +15,7 @@ QUERIES = {
         topk.op8_impact_topk,
         toxicity.op9_gru_toxicity,
         quality.op10_pu_quality,
+        substrings.op11_substrings,
         phrases.op12_phrases,
         runs.op13_runs,
     )

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
-from corpusgraph.llm import phrases, runs, suffixes
+from corpusgraph.llm import phrases, runs, substrings, suffixes
 from tests.llm.test_llm import empty, odd, plain, write  # noqa: F401
 
 
@@ -123,7 +123,7 @@ def test_phrases_counted_by_hand(spark):
     got = {(r["lang"], r["phrase"]): (r["a"], r["l"], r["r"], r["n"], r["score"], r["rank"]) for r in phrases.collocations(docs, 3, 2, 5).collect()}
     # "new york" isn't covered: 100 * 2 >= 50 * 4 holds, so it is; "york city" is too; cuts of "new york city": 4, 2 and 4, 2
     assert got == {
-        ("en", "new york city"): (2, 4, 2, 10, 500_000, 1),
+        ("en", "new york city"): (2, 4, 2, 11, 500_000, 1),
         ("und", "x y"): (3, 3, 3, 6, 1_000_000, 1),
         ("fr", "É é"): (2, 2, 2, 4, 1_000_000, 1),
     }
@@ -139,3 +139,91 @@ def test_scores_of_huge_counts_are_exact(spark):
 def test_a_phrase_goes_at_half_of_its_occurrences(spark):
     rows = spark.createDataFrame([("en", "a b", 20), ("en", "b c", 21), ("en", "a b c", 10), ("de", "a b", 20)], "lang string, phrase string, a long")
     assert {(r["lang"], r["phrase"]) for r in phrases.uncovered(rows).collect()} == {("en", "b c"), ("en", "a b c"), ("de", "a b")}
+
+
+# substrings
+
+def plain_cut(texts, width=200):
+    """Of each text: bytes, removed bytes, removed runs, digest of what stays."""
+    data = [(t or "").encode() for t in texts]
+    seen = {}
+    for b in data:
+        for k in range(len(b) - width + 1):
+            seen[b[k : k + width]] = seen.get(b[k : k + width], 0) + 1
+    out = []
+    for b in data:
+        gone = bytearray(len(b))
+        for k in range(len(b) - width + 1):
+            if seen[b[k : k + width]] > 1:
+                gone[k : k + width] = b"\1" * width
+        kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
+        out.append((len(b), sum(gone), sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone)), hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+def sharing(seed, n):
+    """Texts that share passages of about WIDTH bytes with unlike surroundings, copies, periodic texts, short ones."""
+    rng = random.Random(seed)
+    noise = lambda k: "".join(rng.choice("abcdeé \n") for _ in range(k))
+    shared = [noise(k) for k in (150, 180, 199, 200, 201, 260, 700)]
+    texts = []
+    for _ in range(n):
+        t = noise(rng.randint(0, 300))
+        for _ in range(rng.randint(0, 2)):
+            x = rng.choice(shared)
+            t += x[rng.randint(0, 20) :] + noise(rng.randint(0, 250))
+        texts.append(t)
+    texts += [texts[0] * 2, texts[1], texts[1], noise(220), "ab" * 200, "ab" * 99 + "a", "ab" * 100 + "c", "x" * 1000, None, "", "y" * 199, "z" * 200, "z" * 200]
+    return texts
+
+
+@pytest.mark.parametrize("shard, range_", [(3000, 150_000), (8, 300)])
+def test_repeated_bytes_go(spark, tmp_path, monkeypatch, shard, range_):
+    monkeypatch.setattr(substrings, "SHARD", shard)  # small: pieces of an anchor are dealt over shards and their runs merged
+    monkeypatch.setattr(substrings, "RANGE", range_)
+    texts = sharing(shard, 120)
+    at = write(tmp_path, [(i if i % 9 else None, t, "en", "s") for i, t in enumerate(texts)])
+    got = substrings.op11_substrings(spark, at)
+    assert got.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    want = plain_cut(texts)
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(repr((i if i % 9 else None, *w)) for i, w in enumerate(want))
+    assert sum(0 < w[1] < w[0] for w in want) > 40
+    kept = substrings.kept_bytes(substrings.placed(spark.read.parquet(f"{at}/documents.parquet")).withColumn("kept", substrings.F.lit(1)))
+    assert "source" in kept.columns and sorted(hashlib.sha256(r["kept"]).hexdigest() for r in kept.collect()) == sorted(w[3] for w in want)
+
+
+@pytest.mark.parametrize("width, gram", [(200, 64), (9, 4), (5, 5)])
+def test_equal_windows_have_equal_anchors(width, gram):
+    rng = np.random.default_rng(width)
+    data = rng.integers(97, 100, 4000).astype(np.uint8)
+    data[1000:1600], data[2000:2400] = data[200:800], 97
+    begins = np.array([0, 700, 1203, 1210, 2300])
+    ends = np.append(begins[1:], 4000)
+    at, windows, place, anchor = substrings.anchors(data, begins, ends, width, gram)
+    owned = np.concatenate([np.arange(a, a + n) for a, n in zip(at, windows, strict=True)])
+    assert owned.tolist() == [k for a, b in zip(begins, ends, strict=True) for k in range(a, b - width + 1)]
+    of = {}
+    for a, n, p, h in zip(at.tolist(), windows.tolist(), place.tolist(), anchor.tolist(), strict=True):
+        for k in range(a, a + n):
+            assert k <= p <= k + width - gram
+            assert of.setdefault(data[k : k + width].tobytes(), (p - k, h)) == (p - k, h)
+
+
+def test_long_texts_are_read_in_parts(monkeypatch):
+    import pyarrow as pa
+
+    text = "".join(random.Random(2).choice("abc def") for _ in range(3000))
+    batch = pa.RecordBatch.from_pydict({"_f": [1, 1], "_r": [0, 1], "text": [text, "é" * 300]})
+    owned = lambda got: sorted({(r, a + k, h) for r, a, n, h in zip(got["_r"].tolist(), got["at"].tolist(), got["windows"].tolist(), got["anchor"].tolist(), strict=True) for k in range(n)})
+    whole = owned(substrings.pieces_of(batch))
+    monkeypatch.setattr(substrings, "PART", 700)
+    assert owned(substrings.pieces_of(batch)) == whole and len(whole) == 3000 - 199 + 600 - 199
+
+
+def test_runs_of_digests_are_merged():
+    entry = np.dtype([("mark", "S32"), ("n", int)])
+    rng = random.Random(3)
+    for _ in range(50):
+        a, b = (np.array(sorted((rng.choice("abcdef").encode(), k) for k in range(rng.randint(0, 9))), entry) for _ in range(2))
+        got = substrings.merged(a, b)
+        assert got["mark"].tolist() == sorted(a["mark"].tolist() + b["mark"].tolist()) and sorted(got["n"].tolist()) == sorted(a["n"].tolist() + b["n"].tolist())
