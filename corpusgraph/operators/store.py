@@ -1,7 +1,6 @@
-"""Collections of points as versioned Parquet tables, their synchronisation with files, vectors, and stores of records and jobs.
+"""Synchronisation of collections of points with files, vectors, and stores of records and jobs.
 
-A collection is a folder with a folder for each version; the newest version that Spark finished (its _SUCCESS file is
-there) is the collection. A change writes a new version beside the old one, so that a lost job leaves the old one whole.
+Collections are those of `buckets`: points lie by their file's path, so that a changed file rewrites one bucket.
 """
 
 from __future__ import annotations
@@ -14,52 +13,21 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sync
+from . import buckets, sync
 
 #: Versions that stay beside the newest one, for readers that still hold them.
 KEPT_VERSIONS = 1
 #: Texts of a batch at most, and the status codes after which a call is tried again.
 BATCH = 100
+#: The columns that points are told apart and laid out by.
+KEY, BY = "point_id", "file_path"
 
+current, versions = buckets.current, buckets.versions
 
-def _folder(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
 
-
-def versions(spark: SparkSession, path: str) -> list[int]:
-    """Numbers of the finished versions, oldest first."""
-    p, fs = _folder(spark, path)
-    if not fs.exists(p):
-        return []
-    found = [s.getPath() for s in fs.listStatus(p)]
-    done = [f for f in found if f.getName().startswith("v") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f, "_SUCCESS"))]
-    return sorted(int(f.getName()[1:]) for f in done)
-
-
-def current(spark: SparkSession, path: str) -> DataFrame | None:
-    """The collection; None if it was never made."""
-    found = versions(spark, path)
-    return spark.read.parquet(f"{path}/v{found[-1]}") if found else None
-
-
-def replace(spark: SparkSession, path: str, points: DataFrame, partition: Sequence[str] = ()) -> DataFrame:
-    """Write a new version; older ones than KEPT_VERSIONS go."""
-    found = versions(spark, path)
-    n = (found[-1] if found else 0) + 1
-    points.write.mode("overwrite").partitionBy(*partition).parquet(f"{path}/v{n}")
-    for old in found[: max(0, len(found) - KEPT_VERSIONS)]:
-        p, fs = _folder(spark, f"{path}/v{old}")
-        fs.delete(p, True)
-    return spark.read.parquet(f"{path}/v{n}")
-
-
-def ensure(spark: SparkSession, path: str, schema: str, partition: Sequence[str] = ()) -> bool:
-    """Make an empty collection unless there is one; whether it was made."""
-    if versions(spark, path):
-        return False
-    replace(spark, path, spark.createDataFrame([], schema))
-    return True
+def ensure(spark: SparkSession, path: str, schema: str, n: int = buckets.BUCKETS) -> bool:
+    """Make an empty collection of points unless there is one; whether it was made."""
+    return buckets.create(spark, path, schema, KEY, BY, n)
 
 
 def ensure_all(spark: SparkSession, root: str, names: Mapping[str, str], schemas: Mapping[str, str]) -> dict[str, str]:
@@ -122,21 +90,22 @@ def plan_of(disk: DataFrame, stored: DataFrame, path: str = "file_path", digest:
 
 def synchronise(spark: SparkSession, path: str, files: DataFrame, points_of: Callable[[DataFrame], DataFrame], schema: str, dry_run: bool = False, keep_if_empty: bool = False) -> dict[str, int]:
     """Bring a collection in line with files (file_path, file_id, ...): points of deleted and changed files go, those of
-    new and changed ones are made by points_of (chunks, enrichment, vectors) and added. Returns how many files are added,
-    updated and deleted, and how many points came in. dry_run: only the numbers, no point is made."""
-    stored = current(spark, path)
-    if stored is None:
-        stored = spark.createDataFrame([], schema)
+    new and changed ones are made by points_of (chunks, enrichment, vectors) and added. Only the buckets of those files are
+    written anew; if another writer commits meanwhile, this one fails with buckets.Conflict. Returns how many files are
+    added, updated and deleted, and how many points came in. dry_run: only the numbers, no point is made."""
+    if not dry_run:
+        ensure(spark, path, schema)
+    v = buckets.version(spark, path)
+    stored = spark.createDataFrame([], schema) if v is None else buckets.rows_of(spark, path, v)
     ops = plan_of(files, stored, keep_if_empty=keep_if_empty)
     n = {r["op"]: r["count"] for r in ops.groupBy("op").count().collect()}
     told = {"added": n.get("add", 0), "updated": n.get("update", 0), "deleted": n.get("delete", 0), "upserted": 0}
     if dry_run or not (told["added"] or told["updated"] or told["deleted"]):
         return told
     fresh = points_of(files.join(ops.where("op IN ('add', 'update')").select("file_path"), "file_path", "left_semi"))
-    rest = sync.delete(stored, ops.where("op IN ('delete', 'update')").select("file_path"), "file_path")
-    before = rest.count()
-    told["upserted"] = replace(spark, path, rest.unionByName(fresh, allowMissingColumns=True)).count() - before
-    return told
+    done = buckets.change(spark, path, fresh, files=ops.where("op <> 'keep'"), parent=v.number)
+    buckets.vacuum(spark, path, 1 + KEPT_VERSIONS)
+    return told | {"upserted": done.added}
 
 
 def synchronise_all(spark: SparkSession, jobs: Mapping[str, dict], only: Sequence[str] | None = None, dry_run: bool = False) -> dict[str, dict[str, int]]:

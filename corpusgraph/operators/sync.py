@@ -1,26 +1,39 @@
-"""Incremental synchronisation: three-way differences, keyed upserts and deletes, folder checks, orphans."""
+"""Incremental synchronisation: three-way differences, keyed upserts and deletes, folder checks, orphans.
+
+Null keys are a key like any other, and a null digest is a digest that equals only itself: whether a file is on a side is
+told by a mark, not by its digest."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .buckets import last_rows
+
 
 def diff(disk: DataFrame, stored: DataFrame, key: str, digest: str, full_sync: bool = False) -> DataFrame:
-    """key and op (add, update, delete, keep) by one full outer join; full_sync takes the store to be empty."""
+    """key and op (add, update, delete, keep) by one full outer join; full_sync takes the store to be empty. Each side has
+    a key once."""
     if full_sync:
         stored = stored.limit(0)
-    d, s = disk.select(key, F.col(digest).alias("_d")), stored.select(key, F.col(digest).alias("_s"))
-    op = F.when(F.col("_s").isNull(), "add").when(F.col("_d").isNull(), "delete").when(F.col("_s") != F.col("_d"), "update").otherwise("keep")
-    return d.join(s, key, "full_outer").select(key, op.alias("op"))
+    d = disk.select(F.col(key).alias("_k"), F.col(digest).alias("_d"), F.lit(True).alias("_disk"))
+    s = stored.select(F.col(key).alias("_l"), F.col(digest).alias("_s"), F.lit(True).alias("_stored"))
+    op = F.when(F.col("_stored").isNull(), "add").when(F.col("_disk").isNull(), "delete").when(F.col("_s").eqNullSafe(F.col("_d")), "keep").otherwise("update")
+    return d.join(s, F.col("_k").eqNullSafe(F.col("_l")), "full_outer").select(F.coalesce("_k", "_l").alias(key), op.alias("op"))
 
 
-def upsert(target: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-    return target.join(rows.select(key), key, "left_anti").unionByName(rows, allowMissingColumns=True)
+def upsert(target: DataFrame, rows: DataFrame, key: str, order: Sequence[str] = ()) -> DataFrame:
+    """target with rows in place of those of their keys; of several rows of a key the last by `order`, then by all columns."""
+    last = last_rows(rows, key, order)
+    keys = last.select(F.col(key).alias("_k"))
+    return target.join(keys, F.col(key).eqNullSafe(F.col("_k")), "left_anti").unionByName(last, allowMissingColumns=True)
 
 
 def delete(target: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    return target.join(keys.select(key), key, "left_anti")
+    keys = keys.select(F.col(key).alias("_k"))
+    return target.join(keys, F.col(key).eqNullSafe(F.col("_k")), "left_anti")
 
 
 def stored_hashes(points: DataFrame, path: str, digest: str, order: str) -> DataFrame:

@@ -138,10 +138,8 @@ def file_imports(spark, sf_dir):
     s = F.col("source")
     scoped, loose = modules.scoped_imports(s, "@x/"), modules.scoped_imports(s, "@x/", loose=True)
     # `from` is a word of its own in the pattern of specifiers, so exports from elsewhere count too
-    names = F.filter(modules.exports(s), lambda x: x != "default")
-    exported = part(spark, sf_dir, source=SOURCE).select(K, joined(modules.imports(s)).alias("specifiers"), scoped.alias("a"), loose.alias("b"), names.alias("e"))
-    order = F.array(*[F.lit(x) for x in ("first", "Page", "later", "Props", "Kind", "far", "here", "second", "fourth")])
-    return exported.select(K, "specifiers", joined("a.symbols").alias("symbols"), joined("a.packages").alias("packages"), joined("b.symbols").alias("loose_symbols"), joined(F.filter(order, lambda x: F.array_contains(F.col("e"), x))).alias("exports"))
+    found = part(spark, sf_dir, source=SOURCE).select(K, joined(modules.imports(s)).alias("specifiers"), scoped.alias("a"), loose.alias("b"), joined(modules.exports(s)).alias("exports"))
+    return found.select(K, "specifiers", joined("a.symbols").alias("symbols"), joined("a.packages").alias("packages"), joined("b.symbols").alias("loose_symbols"), "exports")
 
 
 EXPORTED = [
@@ -167,15 +165,14 @@ def import_statements(spark, sf_dir):
     return loads.statements(files).select(F.split_part("file", F.lit("::"), F.lit(2)).cast("long").alias(K), "kind", "specifier", joined("names").alias("names"))
 
 
-@query(f"""SELECT {K}, concat_ws(',', CASE WHEN {K} % 2 = 0 THEN 'a' END, CASE WHEN {K} % 3 = 0 THEN 'b$' END) AS exports,
+@query(f"""SELECT {K}, concat_ws(',', CASE WHEN {K} % 2 = 0 THEN 'a' END, CASE WHEN {K} % 3 = 0 THEN 'b$,c' END) AS exports,
 concat_ws(',', CASE WHEN {K} % 5 = 0 THEN '@x/data' END, CASE WHEN {K} % 2 = 0 THEN '@x/ui' END) AS dependencies FROM part""")
 def chunk_exports(spark, sf_dir):
     segment = lines({"'use a here'": f"{K} % 2 = 0", "'use b$c b$ here'": f"{K} % 3 = 0", "'alphabet bc'": "", """'import "@x/ui/button"'""": f"{K} % 2 = 0", """'import "@x/data"'""": f"{K} % 5 = 0", """'import x from "@x/ui"'""": f"{K} % 2 = 0", """'import "react"'""": ""})
     rows = part(spark, sf_dir, segment=segment)
-    # a whole word ends at a boundary: "b$" before a blank has none
-    names = modules.exports_within(F.col("segment"), F.array(F.lit("a"), F.lit("c")))
-    shown = F.transform(names, lambda x: F.when(x == "c", F.lit("b$")).otherwise(x))
-    return rows.select(K, joined(shown).alias("exports"), joined(modules.dependencies(F.col("segment"), {"@x/ui": "@x/ui", "@x/data": "@x/data"})).alias("dependencies"))
+    # a word ends at a boundary: "b$" has one before "c", not before a blank
+    names = modules.exports_within(F.col("segment"), F.array(*[F.lit(x) for x in ("a", "b$", "c", "here$", "alpha")]))
+    return rows.select(K, joined(names).alias("exports"), joined(modules.dependencies(F.col("segment"), {"@x/ui": "@x/ui", "@x/data": "@x/data"})).alias("dependencies"))
 
 
 # Examples.
@@ -485,18 +482,18 @@ def enriched_files(spark, sf_dir):
 
 
 @query(f"""WITH f AS ({MADE_SQL}), c AS (SELECT * FROM (VALUES (0, 0, 2, 'code', 'Card', 'function_component'), (0, 1, 2, 'code', 'size', 'utility'), (1, 0, 2, 'doc', 'Data Grid', 'section'), (1, 1, 2, 'doc', 'Use', 'section'), (2, 0, 1, 'config', 'Props', 'interface'), (3, 0, 1, 'code', '.card', 'style'), (4, 0, 1, 'config', 'a', 'interface')) t(g, i, n, content_type, name, kind))
-SELECT rel_path AS file_path, i::BIGINT AS chunk_index, n::BIGINT AS total_chunks, content_type, name, CASE WHEN g = 0 THEN 'Shows one card of many' WHEN content_type = 'doc' THEN 'section: ' || name WHEN g = 4 THEN 'json_config: a' ELSE kind || ': ' || name END AS summary FROM f JOIN c ON f = g""")
+SELECT rel_path AS file_path, i::BIGINT AS chunk_index, n::BIGINT AS total_chunks, content_type, name, CASE WHEN g = 0 AND i = 0 THEN 'Shows one card of many' WHEN content_type = 'doc' THEN 'section: ' || name WHEN g = 4 THEN 'json_config: a' ELSE kind || ': ' || name END AS summary FROM f JOIN c ON f = g""")
 def unified_points(spark, sf_dir):
     p = enrich.unified_points(made_files(spark, sf_dir), PREFIXES, LAYERS)
     name = F.coalesce("symbol_name", "section_title", "schema_name")
-    # the second chunk of a script has the imports in front, and with them no comment
-    summary = F.when(F.endswith("file_path", F.lit("Card.tsx")), F.lit("Shows one card of many")).otherwise(F.col("summary"))
-    return p.select("file_path", F.col("chunk_index").cast("long").alias("chunk_index"), F.col("total_chunks").cast("long").alias("total_chunks"), "content_type", name.alias("name"), summary.alias("summary"))
+    # the second chunk of a script has the imports in front, but not the comment before them
+    return p.select("file_path", F.col("chunk_index").cast("long").alias("chunk_index"), F.col("total_chunks").cast("long").alias("total_chunks"), "content_type", name.alias("name"), "summary")
 
 
-@query(f"""WITH f AS (SELECT {K}, {LOOSE_ROLE} AS role FROM part) SELECT {K}, count(*) AS points, any_value(role) AS file_role FROM f GROUP BY {K}""")
+@query(f"""SELECT {EXAMPLE_PATH} AS file_path, {FILE_NAME} AS file_name, CAST({K} AS VARCHAR) AS file_id, 'E' || CAST({K} % 50 AS VARCHAR) AS example_id, 'G' AS example_group, 0 AS chunk_index, 1 AS total_chunks, 'typescript' AS language,
+{LOOSE_ROLE} AS file_role, sha256(trim({EXAMPLE}, chr(10) || ' ')) AS text_hash, CASE WHEN {K} % 10 = 0 THEN 'B' ELSE '' END AS demonstrated_symbols, CASE WHEN {K} % 10 = 0 THEN '@x/kit' ELSE '' END AS packages, true AS is_verified, 'x' AS related_files FROM part""")
 def example_points(spark, sf_dir):
     rows = part(spark, sf_dir, content=EXAMPLE, path=EXAMPLE_PATH, file_name=FILE_NAME, example_id=f"'E' || CAST({K} % 50 AS string)", example_group="'G'", file_id=f"CAST({K} AS string)", related_files="array('x')")
-    p = enrich.example_points(rows, "@x/", "@x/kit").groupBy(F.col("file_id").cast("long").alias(K)).agg(F.max("total_chunks").alias("total"), F.count("*").alias("n"), F.min("file_role").alias("file_role"))
-    # files have one chunk or more, all of them counted in each
-    return p.select(K, F.when(F.col("n") == F.col("total"), 1).otherwise(0).cast("long").alias("points"), "file_role")
+    p = enrich.example_points(rows, "@x/", "@x/kit")
+    same = ("file_path", "file_name", "file_id", "example_id", "example_group", "chunk_index", "total_chunks", "language", "file_role", "text_hash", "is_verified")
+    return p.select(*same, *[joined(c).alias(c) for c in ("demonstrated_symbols", "packages", "related_files")])
