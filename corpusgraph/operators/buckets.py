@@ -44,6 +44,8 @@ class Version(NamedTuple):
     buckets: int
     #: Of each bucket that has rows: files (below data/), rows, and the version that wrote them.
     files: dict[int, tuple[list[str], int, int]]
+    #: Of each stream that writes here, the last batch that is in.
+    batches: dict[str, int] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -84,7 +86,7 @@ def version(spark: SparkSession, path: str, number: int | None = None) -> Versio
     finally:
         stream.close()
     m = json.loads(text)
-    return Version(number, StructType.fromJson(m["schema"]), m["key"], m["by"], m["buckets"], {int(k): tuple(v) for k, v in m["files"].items()})
+    return Version(number, StructType.fromJson(m["schema"]), m["key"], m["by"], m["buckets"], {int(k): tuple(v) for k, v in m["files"].items()}, m["batches"])
 
 
 def _commit(spark: SparkSession, path: str, v: Version) -> None:
@@ -92,7 +94,7 @@ def _commit(spark: SparkSession, path: str, v: Version) -> None:
     name = f"{path}/manifest/v{v.number}.json"
     tmp, fs = _path(spark, f"{path}/manifest/.{uuid.uuid4().hex}")
     stream = fs.create(tmp, False)
-    stream.write(bytearray(json.dumps({"schema": v.schema.jsonValue(), "key": v.key, "by": v.by, "buckets": v.buckets, "files": v.files}).encode()))
+    stream.write(bytearray(json.dumps({"schema": v.schema.jsonValue(), "key": v.key, "by": v.by, "buckets": v.buckets, "files": v.files, "batches": v.batches}).encode()))
     stream.close()
     to, _ = _path(spark, name)
     to, tmp = fs.makeQualified(to), fs.makeQualified(tmp)
@@ -163,15 +165,20 @@ class Change(NamedTuple):
 
 def change(
     spark: SparkSession, path: str, rows: DataFrame | None = None, keys: DataFrame | None = None, files: DataFrame | None = None,
-    order: Sequence[str] = (), parent: int | None = None, tries: int = 1,
+    order: Sequence[str] = (), parent: int | None = None, tries: int = 1, batch: tuple[str, int] | None = None,
 ) -> Change:
     """One new version: without the rows of some keys (`keys` has the key and `by`) and of some files (`files` has `by`),
     and with `rows` in place of those of their keys.
 
     A key's rows have one value of `by`: what changes it is deleted under the old one. parent: the version that the
-    change is made for, the newest unless given; a Conflict if another came meanwhile, after so many tries."""
+    change is made for, the newest unless given; a Conflict if another came meanwhile, after so many tries. batch: a
+    stream's name and its batch; one that is in already changes nothing."""
     for left in range(tries - 1, -1, -1):
         v = version(spark, path, parent)
+        if batch is not None:
+            if v.batches.get(batch[0], -1) >= batch[1]:
+                return Change(v.number, [], 0, 0)
+            v = v._replace(batches=v.batches | {batch[0]: batch[1]})
         try:
             return _changed(spark, path, v, rows, keys, files, order)
         except Conflict:

@@ -146,22 +146,31 @@ def cascaded(children: DataFrame, parents: DataFrame, foreign: str, key: str = "
 NEXT = {"pending": ("processing", "failed"), "processing": ("completed", "failed")}
 
 
+def longest_life() -> int:
+    """How many events a job can have at most: NEXT has no cycles."""
+    def after(state: str) -> int:
+        return 1 + max((after(x) for x in NEXT.get(state, ())), default=0)
+
+    return after("pending")
+
+
 def job_events(log: DataFrame, job: str = "id", status: str = "status", at: Sequence[str] = ("updated_at",)) -> DataFrame:
-    """The log's events that are allowed after the last allowed one of their job, a fold over each job's few events: a job
-    begins as pending and never leaves completed or failed."""
-
-    def fold(done: Column, x: Column) -> Column:
-        last = F.element_at(done, -1)[status]
-        fits = F.lit(False)
-        for state, follow in NEXT.items():
-            fits = fits | ((last == state) & x[status].isin(*follow))
-        return F.when(F.when(F.size(done) == 0, x[status] == "pending").otherwise(fits), F.array_append(done, x)).otherwise(done)
-
-    cols = [c for c in log.columns if c not in (job, *at)]
-    events = F.array_sort(F.collect_list(F.struct(*at, *cols)))
-    seen = log.groupBy(job).agg(events.alias("e"))
-    kind = seen.schema["e"].dataType.simpleString()
-    return seen.select(job, F.explode(F.aggregate("e", F.array().cast(kind), lambda d, x: fold(d, x).cast(kind))).alias("x")).select(job, "x.*")
+    """The log's events that are allowed after the last allowed one of their job, in the order of `at`: a job begins as
+    pending and never leaves completed or failed.
+
+    A job's next event is the least of those that its last one allows, so each step is an aggregate with one row a job;
+    no task holds a job's events, however many they are."""
+    cols = [c for c in log.columns if c != job]
+    event = F.struct(*at, *[c for c in cols if c not in at])
+    when = lambda x: F.struct(*[x[c] for c in at])
+    last = log.where(F.col(status) == "pending").groupBy(job).agg(F.min(event).alias("_last"))
+    steps = [last]
+    for _ in range(longest_life() - 1):
+        allowed = reduce(lambda a, b: a | b, [(F.col("_last")[status] == state) & F.col(status).isin(*follow) for state, follow in NEXT.items()])
+        later = when({c: F.col(c) for c in at}) > when({c: F.col("_last")[c] for c in at})
+        last = log.join(last, job).where(later & allowed).groupBy(job).agg(F.min(event).alias("_last"))
+        steps.append(last)
+    return union(steps).select(job, "_last.*").select(job, *cols)
 
 
 def job_answer(states: DataFrame, job: str, kind: str) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import coercion, text, validate
-from ..operators import aggregate, search, store, workflow
+from ..operators import aggregate, buckets, search, store, workflow
+from ..streaming import jobs
 from .tables import SCORED, probe, query, read
 
 # Lookups.
@@ -143,11 +144,34 @@ def cascaded_children(spark, sf_dir):
 STATES = "CASE event_type WHEN 'signup' THEN 'pending' WHEN 'view' THEN 'pending' WHEN 'click' THEN 'processing' WHEN 'purchase' THEN 'completed' ELSE 'failed' END"
 
 
-@query(None)
+JOB_LOG = f"""log AS (SELECT user_id AS id, event_id, {STATES} AS status, ts FROM events),
+e1 AS (SELECT * FROM log WHERE status = 'pending' QUALIFY row_number() OVER (PARTITION BY id ORDER BY ts, event_id) = 1),
+e2 AS (SELECT log.* FROM log JOIN e1 ON e1.id = log.id AND (log.ts, log.event_id) > (e1.ts, e1.event_id) WHERE log.status IN ('processing', 'failed') QUALIFY row_number() OVER (PARTITION BY log.id ORDER BY log.ts, log.event_id) = 1),
+e3 AS (SELECT log.* FROM log JOIN e2 ON e2.id = log.id AND (log.ts, log.event_id) > (e2.ts, e2.event_id) WHERE e2.status = 'processing' AND log.status IN ('completed', 'failed') QUALIFY row_number() OVER (PARTITION BY log.id ORDER BY log.ts, log.event_id) = 1),
+kept AS (SELECT * FROM e1 UNION ALL SELECT * FROM e2 UNION ALL SELECT * FROM e3)"""
+
+
+@query(f"WITH {JOB_LOG} SELECT id, event_id, status FROM kept")
 def job_log(spark, sf_dir):
     """Events of users as events of jobs: what a job's state allows."""
-    log = read(spark, sf_dir, "events").select(F.col("user_id").alias("id"), "event_id", F.expr(STATES).alias("status"), "ts")
-    return store.job_events(log, at=("ts", "event_id")).select("id", "event_id", "status")
+    return store.job_events(job_events(spark, sf_dir), at=("ts", "event_id")).select("id", "event_id", "status")
+
+
+def job_events(spark, sf_dir):
+    return read(spark, sf_dir, "events").select(F.col("user_id").alias("id"), "event_id", F.expr(STATES).alias("status"), "ts")
+
+
+@query(f"WITH {JOB_LOG} SELECT id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(status, (ts, event_id)) AS status FROM kept GROUP BY id")
+def job_stream(spark, sf_dir):
+    """The same events as a stream in two parts, by time; the table of states that the stream keeps."""
+    log = job_events(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    at, seconds = buckets.shared_folder(spark), F.unix_micros("ts")
+    middle = log.agg(((F.min(seconds) + F.max(seconds)) / 2).alias("m")).first()["m"] or 0.0
+    for part in (seconds <= middle, seconds > middle):
+        log.where(part).write.mode("append").parquet(f"{at}/log")
+    stream = spark.readStream.schema(log.schema).parquet(f"{at}/log")
+    jobs.keep_states(jobs.states(stream, ("ts", "event_id")), f"{at}/states", f"{at}/checkpoint", ("ts", "event_id")).awaitTermination()
+    return buckets.current(spark, f"{at}/states").select("id", "event_id", "status")
 
 
 # Checks and answers.

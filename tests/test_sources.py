@@ -2,7 +2,7 @@ import zlib
 
 from pyspark.sql import functions as F
 
-from corpusgraph.operators import store
+from corpusgraph.operators import buckets, store
 from corpusgraph.sources import files, pdf, uploads
 from corpusgraph.streaming import jobs
 
@@ -52,12 +52,41 @@ def test_manifest_and_ranked_union(spark):
     assert {tuple(r) for r in files.ranked_union([a, b], "k").collect()} == {("x", 1), ("y", 3)}
 
 
-def test_job_stream(spark, tmp_path):
-    log = spark.createDataFrame([("a", "pending", 1), ("a", "completed", 3), ("b", "pending", 2)], "job string, status string, s long").withColumn("ts", F.timestamp_seconds("s"))
-    log.write.parquet(f"{tmp_path}/log")
-    stream = spark.readStream.schema(log.schema).parquet(f"{tmp_path}/log")
-    jobs.keep_table(jobs.latest_states(stream, "job", "status", "ts"), f"{tmp_path}/t", f"{tmp_path}/c").awaitTermination(60)
-    assert {(r["job"], r["status"]) for r in store.current(spark, f"{tmp_path}/t").collect()} == {("a", "completed"), ("b", "pending")}
+JOB_LOG = [
+    ("a", "pending", 1), ("a", "completed", 3), ("b", "pending", 2), ("c", "processing", 1), ("c", "pending", 4), ("c", "failed", 5), ("c", "processing", 6),
+    ("a", "processing", 11), ("a", "completed", 12), ("a", "failed", 13), ("b", "failed", 11), ("d", "pending", 14), ("d", "processing", 15), ("d", "pending", 16),
+]
+
+
+def test_job_stream_equals_the_fold_also_after_a_restart(spark, tmp_path):
+    log = spark.createDataFrame(JOB_LOG, "id string, status string, s int").withColumn("ts", F.timestamp_seconds("s"))
+    stream = lambda: spark.readStream.schema(log.schema).parquet(f"{tmp_path}/log")
+    run = lambda: jobs.keep_states(jobs.states(stream(), ("ts",)), f"{tmp_path}/t", f"{tmp_path}/c", ("ts",), n=4).awaitTermination()
+    for part in ("s < 10", "s >= 10"):
+        log.where(part).coalesce(1).write.mode("append").parquet(f"{tmp_path}/log")
+        run()  # the second run goes on from the first one's states
+        seen = log.where("s < 10") if part == "s < 10" else log
+        want = store.job_events(seen, at=("ts",)).groupBy("id").agg(F.max_by(F.struct("status", "s"), "ts").alias("x")).select("id", "x.*")
+        assert {tuple(r) for r in store.current(spark, f"{tmp_path}/t").select("id", "status", "s").collect()} == {tuple(r) for r in want.collect()}
+    before = store.versions(spark, f"{tmp_path}/t")
+    run()  # nothing new
+    assert store.versions(spark, f"{tmp_path}/t") == before
+    v = buckets.version(spark, f"{tmp_path}/t")
+    again = buckets.change(spark, f"{tmp_path}/t", log.limit(1), batch=(f"{tmp_path}/c", v.batches[f"{tmp_path}/c"]))  # a batch that comes once more
+    assert again.number == v.number and again.rewritten == []
+
+
+def test_stuck_jobs_fail_by_a_timer(spark, tmp_path):
+    log = spark.createDataFrame([("a", "pending", 1), ("a", "processing", 2), ("b", "pending", 1)], "id string, status string, s int")
+    later = spark.createDataFrame([("b", "processing", 5000), ("a", "completed", 5001)], "id string, status string, s int")
+    last = spark.createDataFrame([("z", "pending", 9000)], "id string, status string, s int")
+    kind = log.withColumn("ts", F.timestamp_seconds("s")).schema
+    for part in (log, later, last):
+        part.withColumn("ts", F.timestamp_seconds("s")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/log")
+        stream = spark.readStream.schema(kind).parquet(f"{tmp_path}/log")
+        jobs.keep_states(jobs.states(stream, ("ts",), late="1 second", limit=600_000), f"{tmp_path}/t", f"{tmp_path}/c", ("ts",), n=2).awaitTermination()
+    got = {r["id"]: r["status"] for r in store.current(spark, f"{tmp_path}/t").collect()}
+    assert got["b"] == "failed" and got["z"] == "pending" and got["a"] in ("failed", "completed")
 
 
 def made_pdf(streams, packed=True, fonts=b"", tree=True):
