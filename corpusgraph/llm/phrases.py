@@ -14,7 +14,9 @@ by the phrase's UTF-8 bytes, so ranks are the same in each run.
 
 from __future__ import annotations
 
+import contextlib
 import string
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -29,10 +31,32 @@ LEAST_COUNT, FIRST = 10, 2000
 COVERED = 50
 
 
+#: Texts where lower-casing A-Z isn't what lower() does, or may not be.
+NOT_PLAIN = r"[^\x00-\u024F]|[\p{IsUppercase}\p{Lt}&&[^A-Z]]"
+#: Of phrases whose rank is sought, each of so many parts of a language gives its best first.
+RANK_PARTS = 16
+
+
+def lowered(text: Column) -> Column:
+    """text with A-Z in lower case and nothing else changed; where no other letter has a case to lose, by the faster way."""
+    return F.when(text.rlike(NOT_PLAIN), F.translate(text, string.ascii_uppercase, string.ascii_lowercase)).otherwise(F.lower(text))
+
+
+@contextlib.contextmanager
+def one_map(spark: SparkSession) -> Iterator[None]:
+    """Inside, hash aggregates don't look into a small map before the large one, which is lost work where most keys are rare."""
+    name = "spark.sql.codegen.aggregate.map.twolevel.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def phrase_rows(docs: DataFrame, max_n: int) -> DataFrame:
     """lang and phrase of every occurrence of 1 to max_n words in a row."""
-    low = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
-    pieces = docs.select("lang", F.explode(F.split(low, CUTS)).alias("piece"))
+    pieces = docs.select("lang", F.explode(F.split(lowered(F.col("text")), CUTS)).alias("piece"))
     words = pieces.select("lang", F.regexp_extract_all("piece", F.lit(PHRASE_WORD), F.lit(0)).alias("words"))
     # a word and those after it become columns of one row, so that no row carries its piece
     later = [F.slice("words", k + 1, F.greatest(F.size("words") - k, F.lit(0))).alias(f"w{k}") for k in range(1, max_n)]
@@ -80,10 +104,13 @@ def uncovered(phrases: DataFrame, covered: int = COVERED) -> DataFrame:
 def collocations(docs: DataFrame, max_n: int = 3, least: int = LEAST_COUNT, first: int = FIRST) -> DataFrame:
     """The best phrases of 2 to max_n words of each language of docs (text, lang): lang, rank, phrase, a, l, r, n, score."""
     docs = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    counts = materialize(counted(docs, max_n, least))
-    left = uncovered(materialize(scored(counts)))
-    best = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), "phrase")
-    ranked = left.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= first)
+    with one_map(docs.sparkSession):
+        counts = materialize(counted(docs, max_n, least))
+    left = uncovered(materialize(scored(counts))).withColumn("_part", F.pmod(F.xxhash64("phrase"), F.lit(RANK_PARTS)))
+    order = F.col("score").desc(), F.col("a").desc(), F.col("phrase")
+    for within in (["lang", "_part"], ["lang"]):  # a language's phrases are ranked in parts first
+        left = left.withColumn("rank", F.row_number().over(Window.partitionBy(*within).orderBy(*order))).where(F.col("rank") <= first)
+    ranked = left.drop("_part")
     # words are what neither ends a piece nor stands between words
     word = F.regexp_count("text", F.lit(r"[^\x20\x09.,;:!?\x0A-\x0D]+"))
     sizes = docs.groupBy("lang").agg(F.sum(word).cast("long").alias("n"))

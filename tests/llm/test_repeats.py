@@ -129,6 +129,12 @@ def test_phrases_counted_by_hand(spark):
     }
 
 
+def test_only_latin_capitals_are_lowered(spark):
+    texts = ["ABC xyz É", "ABC", "ÄbC", "Straße AB", "ǅ A", "İ A", "Σ A", "日本 AB", "Ⓐ A", "é ñ ABC", "", "ſ A K"]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(phrases.lowered(phrases.F.col("t"))).collect()]
+    assert got == ["".join(c.lower() if "A" <= c <= "Z" else c for c in t) for t in texts]
+
+
 def test_scores_of_huge_counts_are_exact(spark):
     big = 9_999_999_999_999_999
     counts = spark.createDataFrame([("en", "a b", big - 1), ("en", "a", big), ("en", "b", big - 1), ("en", "c", 3), ("en", "a c", 1)], "lang string, phrase string, a long")
