@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import matcher
+
 
 def approx_tokens(text: Column) -> Column:
     """A quarter of the characters, one at least."""
@@ -54,8 +56,10 @@ def capitalised(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(r"\b([A-Z][a-z]+(?:[A-Z][a-z]+)+)\b"), 1)))
 
 
-def contained(text: Column, names: list[str]) -> Column:
-    """Those of a short list of names that the text contains."""
+def contained(text: Column, names: list[str], few: int = 16) -> Column:
+    """Those of a list of names that the text contains; more than a few by one pass over the text."""
+    if len(names) > few:
+        return F.transform(matcher.matched(text, names), lambda i: F.get(F.array(*[F.lit(n) for n in names]), i))
     return F.filter(F.array(*[F.lit(n) for n in names]), lambda n: F.contains(text, n))
 
 

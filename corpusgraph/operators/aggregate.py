@@ -50,7 +50,8 @@ def numbered_merge(results: DataFrame, modules: DataFrame, name: str, order: str
 
 
 def descendants(headings: DataFrame, document: str, pos: str, level: str, levels: int = 12) -> DataFrame:
-    """How many headings follow each before one of its own level or above. Levels are integers from 0 to `levels` - 1.
+    """How many headings follow each before one of its own level or above. Levels are integers from 0 to `levels` - 1;
+    another one is an error.
 
     A document's headings are one window, read backwards: the next place of each level is a running minimum, so the work
     grows with headings times levels, never with their square."""
@@ -58,7 +59,10 @@ def descendants(headings: DataFrame, document: str, pos: str, level: str, levels
     later = Window.partitionBy(document).orderBy(F.col(pos).desc()).rowsBetween(Window.unboundedPreceding, -1)
     h = headings.withColumn("_i", F.row_number().over(by)).withColumn("_n", F.count("*").over(Window.partitionBy(document)))
     stops = [F.when(F.col(level) >= k, F.min(F.when(F.col(level) == k, F.col("_i"))).over(later)) for k in range(levels)]
-    return h.withColumn("descendants", (F.coalesce(F.least(*stops), F.col("_n") + 1) - F.col("_i") - 1).cast("int")).drop("_i", "_n")
+    fits = F.coalesce(F.col(level).between(0, levels - 1), F.lit(False))
+    found = (F.coalesce(F.least(*stops), F.col("_n") + 1) - F.col("_i") - 1).cast("int")
+    told = F.concat(F.lit(f"levels are from 0 to {levels - 1}, not "), F.coalesce(F.col(level).cast("string"), F.lit("null")))
+    return h.withColumn("descendants", F.when(fits, found).otherwise(F.raise_error(told).cast("int"))).drop("_i", "_n")
 
 
 def module_level(headings: DataFrame, document: str, level: str, least: int = 2, most: int = 25) -> DataFrame:

@@ -148,6 +148,7 @@ def knowledge_graph(knowledge: DataFrame, typedefs: DataFrame, uses_type: DataFr
 
 def context_text(knowledge: DataFrame) -> DataFrame:
     """import_path and text: what a prompt says of a package, its components in the order of their names."""
+    # The labels.
     some = lambda head, x, sep: F.when(F.size(x) > 0, F.concat(F.lit(head), F.array_join(x, sep)))
     lines = F.concat_ws(
         "\n", F.concat(F.lit("  • "), F.col("name")), F.when(F.coalesce("description", F.lit("")) != "", F.concat(F.lit("    "), "description")), some("    USE WHEN: ", F.col("when_to_use"), " | "),

@@ -64,7 +64,7 @@ def valid_answer(model: Model, prompt: str, schema: Mapping, name: str, mend: Ca
         except ValueError as e:
             if n > retries:
                 raise RuntimeError(f"no valid answer for '{name}' after {n} calls: {e}") from e
-            asked = f"{prompt}\n\nIMPORTANT: Your previous response was invalid. Return ONLY valid JSON that satisfies the required schema. Validation error: {e}"
+            asked = f"{prompt}\n\nThe last answer could not be used ({e}). Answer again with nothing but one JSON value in the form that was asked for."
     raise AssertionError
 
 

@@ -1,10 +1,11 @@
-"""Queries of the bucketed store, of the search of many queries, of matchers and bitmaps."""
+"""Queries of the bucketed store, of the search of many queries, of the matcher and of bitmaps."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import buckets, neighbours
+from ..functions import matcher
+from ..operators import bitmaps, buckets, neighbours
 from .tables import query, read
 
 # A collection of all documents as points of files, and changes of it.
@@ -70,3 +71,49 @@ def every_vector_searches(spark, sf_dir):
     lanes = queries.select("query_id", F.posexplode("lanes").alias("i", "lane"))
     weights = lanes.select("query_id", "lane", F.when(F.col("i") == 0, 1.0).otherwise(0.7).alias("weight"))
     return neighbours.weighted(best, weights, 5, "query_id", "lane", "vec_id").select("query_id", "lane", "vec_id", F.round("score", 6).alias("score"), "rank")
+
+
+# Texts of the benchmark, and the beginnings of them, in all documents.
+
+STRINGS = "SELECT item_id AS id, text FROM benchmark UNION ALL SELECT -item_id - 1, regexp_extract(text, '^([^ ]+ [^ ]+ [^ ]+)', 1) FROM benchmark"
+
+
+@query(f"WITH s AS ({STRINGS}) SELECT doc_id, id FROM documents d JOIN s ON contains(d.text, s.text)")
+def benchmark_strings(spark, sf_dir):
+    items = read(spark, sf_dir, "benchmark")
+    starts = items.select((-F.col("item_id") - 1).alias("id"), F.regexp_extract("text", "^([^ ]+ [^ ]+ [^ ]+)", 1).alias("text"))
+    strings = items.select(F.col("item_id").alias("id"), "text").unionByName(starts)
+    return matcher.match_table(read(spark, sf_dir, "documents").select("doc_id", "text"), "text", strings, "id", "text")
+
+
+# Wish lists of all customers: orders with a line of one of two flags, a line of a number, and a line of a status.
+
+WISHES = """SELECT c_custkey AS list, 0 AS k, CASE c_custkey % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'R' ELSE 'none' END AS feature FROM customer
+UNION ALL SELECT c_custkey, 0, CASE WHEN c_nationkey % 2 = 0 THEN 'N' ELSE 'A' END FROM customer
+UNION ALL SELECT c_custkey, 1, 'line ' || (c_custkey % 9) FROM customer
+UNION ALL SELECT c_custkey, 2, CASE WHEN c_acctbal < 0 THEN 'O' ELSE 'F' END FROM customer"""
+FEATURES = """SELECT l_orderkey AS src, l_returnflag AS dst FROM lineitem UNION ALL SELECT l_orderkey, l_linestatus FROM lineitem UNION ALL SELECT l_orderkey, 'line ' || l_linenumber FROM lineitem"""
+LISTS = f"""w AS (SELECT DISTINCT * FROM ({WISHES})), e AS (SELECT DISTINCT * FROM ({FEATURES})),
+kinds AS (SELECT list, string_agg(k || ':' || feature, ',' ORDER BY k, feature) AS kind FROM w GROUP BY list),
+one AS (SELECT kind, min(list) AS list FROM kinds GROUP BY kind),
+x AS (SELECT w.list, e.src FROM one JOIN w ON w.list = one.list JOIN e ON e.dst = w.feature GROUP BY w.list, e.src HAVING count(DISTINCT w.k) = 3)"""
+
+
+def wish_lists(spark, sf_dir, kept=None):
+    wishes = spark.sql(WISHES.replace("FROM customer", "FROM {customer}"), customer=read(spark, sf_dir, "customer")).withColumnRenamed("k", "any")
+    edges = spark.sql(FEATURES.replace("FROM lineitem", "FROM {lineitem}"), lineitem=read(spark, sf_dir, "lineitem"))
+    return bitmaps.divided(bitmaps.index(edges), wishes if kept is None else wishes.join(kept, "list", "left_semi"))
+
+
+@query(f"WITH {LISTS}, n AS (SELECT kind, count(src) AS n FROM one JOIN x USING (list) GROUP BY kind) SELECT list, n FROM kinds JOIN n USING (kind)")
+def wish_list_sizes(spark, sf_dir):
+    """How many orders each customer's wishes leave; the SQL answers equal lists once."""
+    return bitmaps.sizes(wish_lists(spark, sf_dir))
+
+
+@query(f"""WITH w AS (SELECT DISTINCT * FROM ({WISHES}) WHERE list IN (SELECT min(c_custkey) FROM customer GROUP BY c_nationkey)), e AS (SELECT DISTINCT * FROM ({FEATURES}))
+SELECT w.list, e.src FROM w JOIN e ON e.dst = w.feature GROUP BY w.list, e.src HAVING count(DISTINCT w.k) = 3""")
+def wish_list_members(spark, sf_dir):
+    """The orders of the first customer of each nation."""
+    first = read(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.min("c_custkey").alias("list"))
+    return bitmaps.members(wish_lists(spark, sf_dir, first))
