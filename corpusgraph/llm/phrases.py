@@ -1,7 +1,8 @@
 """Phrase collocations of each language, with DataFrame operations.
 
-All runs of 1 to max_n words inside a piece become rows, and one hash aggregate counts them for each language; rows that
-are alike are counted where they arise, before the shuffle. A phrase that is frequent enough is cut at each place, and
+All runs of 1 to max_n words inside a piece become rows, and one hash aggregate counts them for each language (phrase and
+language are one string there, which makes its rows smaller); rows that are alike are counted where they arise, before
+the shuffle. A phrase that is frequent enough is cut at each place, and
 the counts of both parts are joined; frequent parts are salted there. Scores are decimals of 38 digits without a
 fraction, so they are exact for counts below 10^16. A phrase goes if an extension by one word has enough of its
 occurrences; that is enough, for one inside a longer extension is also inside one of those by one word, which occurs at
@@ -55,24 +56,22 @@ def one_map(spark: SparkSession) -> Iterator[None]:
 
 
 def phrase_rows(docs: DataFrame, max_n: int) -> DataFrame:
-    """lang and phrase of every occurrence of 1 to max_n words in a row."""
+    """key of every occurrence of 1 to max_n words in a row: the phrase, a tab, its language (a phrase has no tab)."""
     pieces = docs.select("lang", F.explode(F.split(lowered(F.col("text")), CUTS)).alias("piece"))
-    words = pieces.select("lang", F.regexp_extract_all("piece", F.lit(PHRASE_WORD), F.lit(0)).alias("words"))
+    words = pieces.select(F.concat(F.lit("\t"), "lang").alias("end"), F.regexp_extract_all("piece", F.lit(PHRASE_WORD), F.lit(0)).alias("words"))
     # a word and those after it become columns of one row, so that no row carries its piece
     later = [F.slice("words", k + 1, F.greatest(F.size("words") - k, F.lit(0))).alias(f"w{k}") for k in range(1, max_n)]
-    each = words.select("lang", F.inline(F.arrays_zip(F.col("words").alias("w0"), *later)))
-    space = lambda k: [x for j in range(1, k) for x in (F.lit(" "), F.col(f"w{j}"))]
-    phrases = F.array(*[F.concat("w0", *space(k)) for k in range(1, max_n + 1)])  # null beyond the piece
-    return each.select("lang", F.explode(phrases).alias("phrase")).where(F.col("phrase").isNotNull())
+    each = words.select("end", F.inline(F.arrays_zip(F.col("words").alias("w0"), *later)))
+    more = lambda k: [x for j in range(1, k) for x in (F.lit(" "), F.col(f"w{j}"))]
+    keys = F.array(*[F.concat("w0", *more(k), "end") for k in range(1, max_n + 1)])  # null beyond the piece
+    return each.select(F.explode(keys).alias("key")).where(F.col("key").isNotNull())
 
 
 def counted(docs: DataFrame, max_n: int, least: int) -> DataFrame:
-    """lang, phrase, a: how often it occurs, where that is `least` or more."""
-    return phrase_rows(docs, max_n).groupBy("lang", "phrase").agg(F.count("*").alias("a")).where(F.col("a") >= least)
-
-
-def exact(x: Column | str) -> Column:
-    return (F.col(x) if isinstance(x, str) else x).cast("decimal(38,0)")
+    """lang, phrase, a: how often it occurs, of all words and of phrases that occur `least` times or more."""
+    phrase = F.substring_index("key", "\t", 1)
+    counts = phrase_rows(docs, max_n).groupBy("key").agg(F.count("*").alias("a")).where((F.col("a") >= least) | ~F.contains(phrase, F.lit(" ")))
+    return counts.select(F.substr("key", F.length(phrase) + 2).alias("lang"), phrase.alias("phrase"), "a")
 
 
 def scored(counts: DataFrame) -> DataFrame:
@@ -111,9 +110,7 @@ def collocations(docs: DataFrame, max_n: int = 3, least: int = LEAST_COUNT, firs
     for within in (["lang", "_part"], ["lang"]):  # a language's phrases are ranked in parts first
         left = left.withColumn("rank", F.row_number().over(Window.partitionBy(*within).orderBy(*order))).where(F.col("rank") <= first)
     ranked = left.drop("_part")
-    # words are what neither ends a piece nor stands between words
-    word = F.regexp_count("text", F.lit(r"[^\x20\x09.,;:!?\x0A-\x0D]+"))
-    sizes = docs.groupBy("lang").agg(F.sum(word).cast("long").alias("n"))
+    sizes = counts.where(~F.contains("phrase", F.lit(" "))).groupBy("lang").agg(F.sum("a").cast("long").alias("n"))
     return ranked.join(sizes, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
