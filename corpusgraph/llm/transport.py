@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_slices, read
+from .common import map_slices, materialize, read
 
 PACKET, UNIT, RAP_EVERY = 188, 4096, 16
 #: 90 kHz ticks of an access unit.
@@ -197,32 +197,34 @@ def padded(text: bytes | None) -> bytes:
 
 
 def media_column(docs: DataFrame) -> DataFrame:
-    """doc_id, media (the stream), pts (array<long>) and rap_packets (array<long>) of each text."""
+    """doc_id, n_bytes (of the text), media (the stream), pts and rap_packets (array<long>, where the units' timestamps and
+    the random-access points are) of each text."""
 
     def run(batch: pa.RecordBatch) -> dict:
-        media = [mux(padded(t)) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+        texts = batch.column("text").cast(pa.binary()).to_pylist()
+        media = [mux(padded(t)) for t in texts]
         streams = [demux(m) for m in media]
-        return {"doc_id": batch.column("doc_id"), "media": media, "pts": [s.pts for s in streams], "rap_packets": [s.rap_packet for s in streams]}
+        return {"doc_id": batch.column("doc_id"), "n_bytes": [len(t or b"") for t in texts], "media": media, "pts": [s.pts for s in streams], "rap_packets": [s.rap_packet for s in streams]}
 
-    return map_slices(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, media binary, pts array<long>, rap_packets array<long>")
+    return map_slices(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n_bytes long, media binary, pts array<long>, rap_packets array<long>")
 
 
-def media_features(docs: DataFrame) -> DataFrame:
-    """Store every text, read the stored bytes back and describe them."""
+def media_features(stored: DataFrame) -> DataFrame:
+    """Describe stored streams (doc_id, n_bytes, media): what is parsed out of their bytes."""
 
     def run(batch: pa.RecordBatch) -> dict:
-        out: dict = {c: [] for c in ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")}
-        for text in batch.column("text").cast(pa.binary()).to_pylist():
-            media = mux(padded(text))
+        out: dict = {c: [] for c in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")}
+        for media in batch.column("media").to_pylist():
             s = demux(media)
             feature = f"pid={s.pid} type={s.kind} packets={s.packets} units={len(s.pts)} pts={s.pts[0]}-{s.pts[-1]} rap={len(s.rap)} last_rap={s.rap_packet[-1]}"
-            row = len(text or b""), len(s.payload), hashlib.sha256(s.payload).hexdigest(), zlib.crc32(s.payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature
+            row = len(s.payload), hashlib.sha256(s.payload).hexdigest(), zlib.crc32(s.payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature
             for c, v in zip(out, row, strict=True):
                 out[c].append(v)
-        return {"doc_id": batch.column("doc_id"), **out}
+        return {"doc_id": batch.column("doc_id"), "n_bytes": batch.column("n_bytes"), **out}
 
-    return map_slices(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return map_slices(stored.select("doc_id", "n_bytes", "media"), run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string", column="media")
 
 
 def op7_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_features(read(spark, sf_dir, "documents"))
+    """Every text as a stream in a table of media columns, written to the shared folder; the rows come from what is read there."""
+    return media_features(materialize(media_column(read(spark, sf_dir, "documents"))))
