@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import matcher
-from ..operators import bitmaps, buckets, neighbours
+from ..operators import bitmaps, buckets, neighbours, signatures
 from .tables import query, read
 
 # A collection of all documents as points of files, and changes of it.
@@ -117,3 +117,31 @@ def wish_list_members(spark, sf_dir):
     """The orders of the first customer of each nation."""
     first = read(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.min("c_custkey").alias("list"))
     return bitmaps.members(wish_lists(spark, sf_dir, first))
+
+
+# Trees of files: documents by source and number; German ones of some sources have changed, one source is new, one is gone.
+
+TREE_PATH = "source || '/' || (doc_id % 10) || '/' || (doc_id % 7) || '/' || doc_id"
+GERMAN = "lang = 'de' AND source IN ('src2', 'src3') AND doc_id % 10 < 2"
+TREES = f"""d AS (SELECT {TREE_PATH} AS p, CASE WHEN {GERMAN} THEN md5(text) || '!' ELSE md5(text) END AS h FROM documents WHERE source <> 'src4'),
+s AS (SELECT {TREE_PATH} AS p, md5(text) AS h FROM documents WHERE source <> 'src5'),
+c AS (SELECT coalesce(d.p, s.p) AS p, CASE WHEN s.p IS NULL THEN 'add' WHEN d.p IS NULL THEN 'delete' ELSE 'update' END AS op FROM d FULL JOIN s ON d.p = s.p WHERE d.h IS DISTINCT FROM s.h)"""
+
+
+def two_trees(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").withColumn("file_path", F.expr(TREE_PATH)).withColumn("file_id", F.md5(F.col("text").cast("binary")))
+    disk = docs.where("source <> 'src4'").withColumn("file_id", F.when(F.expr(GERMAN), F.concat("file_id", F.lit("!"))).otherwise(F.col("file_id")))
+    kept = docs.where("source <> 'src5'")
+    a, b = (signatures.stored(spark, signatures.signatures(x)) for x in (disk, kept))
+    return disk, kept, signatures.differing(spark, a, b)[0]
+
+
+@query(f"""WITH {TREES}, f AS (SELECT DISTINCT unnest(['', string_split(p, '/')[1], array_to_string(string_split(p, '/')[1:2], '/'), array_to_string(string_split(p, '/')[1:3], '/')]) AS folder FROM c)
+SELECT folder, folder IN (SELECT array_to_string(string_split(p, '/')[1:3], '/') FROM c) AS own FROM f""")
+def differing_folders(spark, sf_dir):
+    return two_trees(spark, sf_dir)[2]
+
+
+@query(f"WITH {TREES} SELECT p AS file_path, op FROM c")
+def changed_tree_files(spark, sf_dir):
+    return signatures.changed_files(*two_trees(spark, sf_dir))
