@@ -64,16 +64,18 @@ N_TAGS = len(TAGS) + 1
 N_FIXED = N_TAGS + 2 + N_TAGS + 8
 #: A part of class, id and role names is a feature if so many labelled pages have it.
 LEAST_PAGES = 4
-ROOT, OUTER, INNER = 0, 1, 2
+#: The weight of a part of a name from which on it speaks against main text inside a block too.
+AGAINST = -0.5
+ROOT, OUTER, INNER, INLINE = 0, 1, 2, 3
 
 
 class Node:
-    __slots__ = ("tag", "parent", "names", "label", "children", "words", "chars", "linked", "text", "article", "ends")
+    __slots__ = ("tag", "parent", "names", "label", "children", "words", "chars", "linked", "text", "article", "ends", "block", "inline")
 
     def __init__(self, tag: str, parent: int, names: tuple = (), label: str | None = None, article: bool = False):
         self.tag, self.parent, self.names, self.label, self.article = tag, parent, names, label, article
-        self.words = self.chars = self.linked = self.children = self.ends = 0
-        self.text = ""
+        self.words = self.chars = self.linked = self.children = self.ends = self.block = 0
+        self.text, self.inline = "", False
 
 
 class Tags:
@@ -103,8 +105,15 @@ def raw_end(tag: str) -> re.Pattern:
     return re.compile(rf"</{tag}\s*/?>", re.I)
 
 
-def tree(page: str) -> list[Node]:
-    """Nodes in page order, parents first; runs are nodes with tag #run."""
+def is_block(tag: str) -> bool:
+    """Elements that HTML doesn't know, whose names have a hyphen, are blocks: a page's own menus and notices."""
+    return tag in BLOCKS or "-" in tag
+
+
+def tree(page: str, apart: frozenset[str] = frozenset()) -> list[Node]:
+    """Nodes in page order, parents first; runs are nodes with tag #run, and those of one block have its number.
+
+    apart: an inline element with one of these parts of names is a node too, so that its text is judged by itself."""
     nodes = [Node("html", -1)]
     stack = [("html", 0)]  # open elements, inline ones too, with the node that each is in
     opened: dict[str, list[int]] = {"html": [0]}  # of each tag, where it stands in the stack
@@ -113,21 +122,26 @@ def tree(page: str) -> list[Node]:
     tags = Tags(page)
     links = 0
     run: list[str] = []
-    linked = 0
+    linked = block = 0
     at, n = 0, len(page)
 
-    def flush() -> None:
-        nonlocal linked
+    def flush(ends_block: bool = True) -> None:
+        nonlocal linked, block
         if run:
-            text = " ".join("".join(run).split())
+            whole = "".join(run)
+            text = " ".join(whole.split())
             run.clear()
             if text:
                 where = stack[-1][1]
                 node = Node("#run", where, nodes[where].names, nodes[where].label, nodes[where].article)
                 node.text, node.chars, node.words, node.linked = text, len(text), text.count(" ") + 1, min(linked, len(text))
                 node.ends = sum(map(text.count, ".!?:;,"))
+                node.block = block
+                if not ends_block or nodes[-1].block == block and apart:  # white space at its ends stands between runs
+                    node.text = " " * whole[:1].isspace() + text + " " * whole[-1:].isspace()
                 nodes.append(node)
         linked = 0
+        block += ends_block
 
     def nearest(of) -> int:
         """Where the innermost open element of some tags stands, or 0."""
@@ -152,6 +166,8 @@ def tree(page: str) -> list[Node]:
         nonlocal links
         if blocks[-1] >= k:
             flush()
+        elif any(a[1] != b[1] for a, b in zip(stack[k - 1 :], stack[k:], strict=False)):
+            flush(False)  # the end of an inline node
         for t, _ in stack[k:]:
             opened[t].pop()
             if t == "a":
@@ -196,7 +212,7 @@ def tree(page: str) -> list[Node]:
         if closing:
             if tag == "br":
                 add(" ")
-            elif (k := nearest((tag,))) and (tag in BLOCKS or k > blocks[-1]):  # an inline end tag doesn't end blocks
+            elif (k := nearest((tag,))) and (is_block(tag) or k > blocks[-1]):  # an inline end tag doesn't end blocks
                 close_to(k)
             elif tag == "p":
                 flush()
@@ -220,19 +236,24 @@ def tree(page: str) -> list[Node]:
             if (k := nearest(over)) > nearest(stops):
                 close_to(k)
         where = stack[-1][1]
-        if tag in BLOCKS:
+        named = [(a.lower(), b or c or d) for a, b, c, d in ATTRIBUTE.findall(attrs)] if attrs and (apart or is_block(tag)) else []
+        names = tuple({w for k, v in named if k != "data-y" for w in NAME_PART.findall(v.lower())})
+        if is_block(tag):
             flush()
-            names, label = (), None
-            if attrs:
-                found = [(a.lower(), b or c or d) for a, b, c, d in ATTRIBUTE.findall(attrs)]
-                names = tuple({w for k, v in found if k != "data-y" for w in NAME_PART.findall(v.lower())})
-                label = next((v for k, v in found if k == "data-y"), None)
-            node = Node(tag, where, names, label or nodes[where].label, nodes[where].article or nodes[where].tag == "article")
+            label = next((v for k, v in named if k == "data-y"), None)
+            if "-" in tag:
+                names = tuple({*names, *NAME_PART.findall(tag)})
+            node = Node("div" if "-" in tag else tag, where, names, label or nodes[where].label, nodes[where].article or nodes[where].tag == "article")
             nodes.append(node)
             where = len(nodes) - 1
             blocks.append(len(stack))
         elif attrs.endswith("/"):
             continue
+        elif not drops and not apart.isdisjoint(names):
+            flush(False)
+            nodes.append(Node(tag, where, names, nodes[where].label, nodes[where].article or nodes[where].tag == "article"))
+            where = len(nodes) - 1
+            nodes[where].inline = True
         if tag == "a":
             links += 1
         if tag in DROPPED:
@@ -273,6 +294,11 @@ def kind(node: Node) -> int:
     return ROOT if node.parent < 0 else OUTER if node.tag in ("body", "div", "section", "main", "form") else INNER
 
 
+def edge(nodes: list[Node], i: int) -> int:
+    """Which potential joins a node to its parent: by the parent's kind. An inline node says nothing of the block that it is in."""
+    return INLINE if nodes[i].inline else kind(nodes[nodes[i].parent])
+
+
 def marginals(nodes: list[Node], unary: list[float], pair: list) -> tuple[list[float], list]:
     """Of each node the probability of 1, and of each edge the table of (parent, child) probabilities (row-major)."""
     n = len(nodes)
@@ -285,7 +311,7 @@ def marginals(nodes: list[Node], unary: list[float], pair: list) -> tuple[list[f
     m0, m1 = [0.0] * n, [0.0] * n  # messages to the parent
     for i in range(n - 1, 0, -1):
         p = nodes[i].parent
-        t = pair[kind(nodes[p])]
+        t = pair[edge(nodes, i)]
         a, b = up0[i], up1[i]
         m0[i], m1[i] = plus(t[0] + a, t[1] + b), plus(t[2] + a, t[3] + b)
         up0[p] += m0[i]
@@ -295,7 +321,7 @@ def marginals(nodes: list[Node], unary: list[float], pair: list) -> tuple[list[f
     for i in range(n):
         if i:
             p = nodes[i].parent
-            t = pair[kind(nodes[p])]
+            t = pair[edge(nodes, i)]
             a, b = all0[p] - m0[i], all1[p] - m1[i]  # what the parent believes without this child
             all0[i] += plus(a + t[0], b + t[2])
             all1[i] += plus(a + t[1], b + t[3])
@@ -406,10 +432,14 @@ def truth(nodes: list[Node]) -> list[int]:
 
 class Model(NamedTuple):
     weights: list[float]
-    #: Of each kind of parent, the table of (parent, child), row-major.
+    #: Of each kind of edge, the table of (parent, child), row-major.
     pair: list[list[float]]
     names: dict[str, int]
 
+    def apart(self) -> frozenset[str]:
+        """Parts of names that speak against main text so much that inline elements of them are judged by themselves."""
+        return frozenset(x for x, f in self.names.items() if self.weights[f] < AGAINST)
+
 
 @cache
 def trained(pages: int = 800, rounds: int = 10, seed: int = 3) -> Model:
@@ -438,24 +468,30 @@ def trained(pages: int = 800, rounds: int = 10, seed: int = 3) -> Model:
             seen_pair += gp * gp
             w += 0.4 * gw / np.sqrt(seen_w)
             pair += 0.4 * gp / np.sqrt(seen_pair)
-    return Model(w.tolist(), pair.tolist(), names)
+    return Model(w.tolist(), [*pair.tolist(), [0.0] * 4], names)
 
 
-def main_text(page: str | None, model: Model) -> str:
-    nodes = tree(page or "")
+def main_text(page: str | None, model: Model, apart: frozenset[str] | None = None) -> str:
+    """apart: model.apart(), if it is at hand."""
+    nodes = tree(page or "", model.apart() if apart is None else apart)
     if len(nodes) == 1:
         return ""
     w = model.weights
     p, _ = marginals(nodes, [sum(w[f] * v for f, v in active(x, nodes, model.names)) for x in nodes], model.pair)
-    return "\n\n".join(x.text for x, y in zip(nodes, p, strict=True) if x.tag == "#run" and y > 0.5)
+    blocks: dict[int, list[str]] = {}
+    for x, y in zip(nodes, p, strict=True):
+        if x.tag == "#run" and y > 0.5:
+            blocks.setdefault(x.block, []).append(x.text)
+    found = (" ".join("".join(b).split()) for b in blocks.values())
+    return "\n\n".join(t for t in found if t)
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
-    model = pages.sparkSession.sparkContext.broadcast(trained())
+    model, apart = pages.sparkSession.sparkContext.broadcast(trained()), trained().apart()
 
     def run(batch: pa.RecordBatch) -> dict:
-        texts = [main_text(h, model.value) for h in batch.column("html").to_pylist()]
+        texts = [main_text(h, model.value, apart) for h in batch.column("html").to_pylist()]
         return {"page_id": batch.column("page_id"), "url": batch.column("url"), "text": texts, "n_chars": [len(t) for t in texts]}
 
     return map_slices(pages.select(F.col("page_id").cast("long"), "url", "html"), run, "page_id long, url string, text string, n_chars long", "html")
