@@ -133,12 +133,23 @@ def dependencies(source: Column, prefixes: Mapping[str, str]) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.transform(found(source, PLAIN_IMPORT), of), lambda x: x.isNotNull())))
 
 
-def candidate_paths(folder: Column, specifier: Column) -> Column:
-    """Where a relative import may point to; the first that exists counts: file, declaration, index of a folder."""
+def named_path(folder: Column, specifier: Column) -> Column:
+    """The path that a relative import names, without what it may leave out."""
     parts = F.aggregate(
         F.split(F.concat_ws("/", folder, specifier), "/"),
         F.array().cast("array<string>"),
         lambda done, x: F.when(x.isin("", "."), done).when((x == "..") & (F.size(done) > 0), F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.array_append(done, x)),
     )
-    base = F.array_join(parts, "/")
+    return F.array_join(parts, "/")
+
+
+def candidate_paths(folder: Column, specifier: Column) -> Column:
+    """Where a relative import may point to; the first that exists counts: file, declaration, index of a folder."""
+    base = named_path(folder, specifier)
     return F.array(*[F.concat(base, F.lit(e)) for e in ENDINGS])
+
+
+def names_of_path(path: Column) -> Column:
+    """array<struct<base, rank>>: under which paths an import may name a file, and how early it is then tried."""
+    named = [F.when(F.endswith(path, F.lit(e)), F.struct(F.substr(path, F.lit(1), F.length(path) - len(e)).alias("base"), F.lit(k).alias("rank"))) for k, e in enumerate(ENDINGS)]
+    return F.filter(F.array(*named), lambda x: x.isNotNull())

@@ -69,12 +69,13 @@ def statements(files: DataFrame) -> DataFrame:
 
 
 def resolved(found: DataFrame, files: DataFrame) -> DataFrame:
-    """Statements with a relative specifier whose target exists, with target (the id): the first candidate path that is a file."""
-    near = found.where(F.startswith("specifier", F.lit(".")))
-    asked = near.select("path", "specifier").distinct().select("path", "specifier", F.posexplode(modules.candidate_paths(folder_of(F.col("path")), F.col("specifier"))).alias("rank", "at"))
-    places = files.select(F.col("path").alias("at"), node_id(F.col("package_name"), F.col("rel_path")).alias("target"))
-    first = asked.join(places, "at").groupBy("path", "specifier").agg(F.min_by("target", "rank").alias("target"))
-    return near.join(first, ["path", "specifier"])
+    """Statements with a relative specifier whose target exists, with target (the id): the first candidate path that is a file.
+
+    Each path that an import may name has its best file, by an aggregate of the files; statements join that once."""
+    near = found.where(F.startswith("specifier", F.lit("."))).withColumn("_base", modules.named_path(folder_of(F.col("path")), F.col("specifier")))
+    places = files.select(node_id(F.col("package_name"), F.col("rel_path")).alias("target"), F.explode(modules.names_of_path(F.col("path"))).alias("x"))
+    best = places.groupBy(F.col("x.base").alias("_base")).agg(F.min_by("target", F.struct("x.rank", "target")).alias("target"))
+    return near.join(best, "_base").drop("_base")
 
 
 def first_edges(rows: DataFrame) -> DataFrame:

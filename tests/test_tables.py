@@ -123,6 +123,18 @@ def test_source_files(spark):
     assert one(spark, modules.candidate_paths(F.lit("src/a"), F.lit("../b/./c")))[0] == ["src/b/c.ts", "src/b/c.tsx", "src/b/c.d.ts", "src/b/c/index.ts", "src/b/c/index.tsx"]
 
 
+def test_an_import_takes_the_first_file_that_it_may_name(spark):
+    from corpusgraph.operators import loads
+
+    paths = ["s/a.ts", "s/a.tsx", "s/b.d.ts", "s/c/index.ts", "s/c/index.tsx", "s/c.tsx", "s/d/index.tsx", "s/e.d.d.ts", "index.ts", "s/index.ts", "x.js"]
+    names = ["./a", "./b", "./b.d", "./c", "./c/index", "./d", "./d/", "./e.d", "./e", ".", "..", "../s", "../s/./a", "../index", "./none", "../x.js", "lib"]
+    files = spark.createDataFrame([(p, "p", p) for p in paths], "path string, package_name string, rel_path string")
+    found = spark.createDataFrame([("f", "s/q.ts", "p", "import", 0, n, []) for n in names], "file string, path string, package_name string, kind string, pos int, specifier string, names array<string>")
+    got = {r["specifier"]: r["target"] for r in loads.resolved(found, files).collect()}
+    asked = {n: one(spark, modules.candidate_paths(F.lit("s"), F.lit(n)))[0] for n in names if n.startswith(".")}
+    assert got == {n: f"p::{hit}" for n, c in asked.items() if (hit := next((x for x in c if x in paths), None))}
+
+
 def test_descendants_and_latest(spark):
     h = spark.createDataFrame([(1, i, lv) for i, lv in enumerate([1, 2, 3, 2, 1])], "d int, p int, l int")
     assert [r["descendants"] for r in aggregate.descendants(h, "d", "p", "l").orderBy("p").collect()] == [3, 1, 0, 0, 0]
