@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusgraph.functions import syntax, validate
-from corpusgraph.operators import loads, store, workflow
+from corpusgraph.operators import buckets, loads, store, workflow
 
 POINTS = "point_id string, file_path string, file_id string, chunk_index int, text string"
 
@@ -39,9 +39,12 @@ def test_a_collection_follows_its_files(spark, tmp_path):
 
 def test_an_unfinished_version_is_not_read(spark, tmp_path):
     at = str(tmp_path / "c")
-    store.replace(spark, at, spark.range(3))
-    (tmp_path / "c" / "v2").mkdir()
-    assert store.current(spark, at).count() == 3 and store.replace(spark, at, spark.range(5)).count() == 5
+    rows = lambda n: spark.range(n).selectExpr("id", "id AS k")
+    assert buckets.create(spark, at, "id long, k long", "k", buckets=2) and buckets.change(spark, at, rows(3)).number == 2
+    (tmp_path / "c" / "manifest" / ".half").write_text('{"files": {')
+    (tmp_path / "c" / "data" / "v3").mkdir()
+    assert store.current(spark, at).count() == 3 and store.versions(spark, at) == [1, 2]
+    assert buckets.change(spark, at, rows(5)).number == 3 and store.current(spark, at).count() == 5
 
 
 def test_equal_files_share_a_digest(spark):
