@@ -32,6 +32,8 @@ LEAST_COUNT, FIRST = 10, 2000
 COVERED = 50
 
 
+#: Splits of the input that a task counts together: the more, the fewer rows are left to shuffle.
+SPLITS = 2
 #: Texts where lower-casing A-Z isn't what lower() does, or may not be.
 NOT_PLAIN = r"[^\x00-\u024F]|[\p{IsUppercase}\p{Lt}&&[^A-Z]]"
 #: Of phrases whose rank is sought, each of so many parts of a language gives its best first.
@@ -104,8 +106,8 @@ def collocations(docs: DataFrame, max_n: int = 3, least: int = LEAST_COUNT, firs
     """The best phrases of 2 to max_n words of each language of docs (text, lang): lang, rank, phrase, a, l, r, n, score."""
     docs = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     with one_map(docs.sparkSession):
-        counts = materialize(counted(docs, max_n, least))
-    left = uncovered(materialize(scored(counts))).withColumn("_part", F.pmod(F.xxhash64("phrase"), F.lit(RANK_PARTS)))
+        counts = materialize(counted(docs.coalesce(max(1, docs.rdd.getNumPartitions() // SPLITS)), max_n, least))
+    left = uncovered(materialize(scored(counts.where(F.col("a") >= least)))).withColumn("_part", F.pmod(F.xxhash64("phrase"), F.lit(RANK_PARTS)))
     order = F.col("score").desc(), F.col("a").desc(), F.col("phrase")
     for within in (["lang", "_part"], ["lang"]):  # a language's phrases are ranked in parts first
         left = left.withColumn("rank", F.row_number().over(Window.partitionBy(*within).orderBy(*order))).where(F.col("rank") <= first)

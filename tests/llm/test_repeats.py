@@ -10,7 +10,7 @@ import pyarrow.parquet as pq
 import pytest
 
 from corpusgraph.llm import phrases, runs, substrings, suffixes
-from tests.llm.test_llm import empty, odd, plain, write  # noqa: F401
+from tests.llm.test_llm import write
 
 
 # suffix arrays
