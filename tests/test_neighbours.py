@@ -63,3 +63,14 @@ def test_nothing_to_search(spark):
     p = spark.createDataFrame([], "id long, embedding array<double>, lane string")
     q = spark.createDataFrame([(1, [1.0], None)], "query_id long, embedding array<double>, lanes array<string>")
     assert nb.top_of_lanes(p, q, "id", 3)[0].collect() == []
+
+
+def test_a_visit_is_a_row_for_each_block_not_each_cell(spark):
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(3000, 32))  # without clusters, so no cell is excluded
+    p = spark.createDataFrame([(i, x.tolist(), "a") for i, x in enumerate(v)], "id long, embedding array<double>, lane string")
+    c = nb.cells(p, "id", "embedding", "lane", most=100)
+    asked = p.where("id < 50").selectExpr("id AS query_id", "lane", "embedding AS _q")
+    assert nb.visits(asked, c, 5, "query_id", None).count() <= 50
+    floors = asked.selectExpr("query_id", "lane", "cast(-1 AS double) AS floor")
+    assert nb.visits(asked, c, 5, "query_id", floors).count() <= 50
