@@ -1,8 +1,9 @@
 """Relational division of many wish lists at once, by bitmaps.
 
 An index has, for each feature and each range of 32,768 nodes, one bitmap of the nodes that have the feature. A wish list is
-answered by OR and AND of bitmaps, range by range, so edges are read once for all lists, and a list costs a bitmap (4 KB)
-for each of its features and ranges. Nodes are longs; other keys are numbered first.
+answered by OR and AND of bitmaps, range by range, so edges are read once for all lists. Equal lists are answered once (list_sizes,
+list_members), and so is an OR that several lists have; what is answered costs a bitmap (4 KB) for each of its ORs and
+ranges. Nodes are longs; other keys are numbered first.
 
 Repeated edges and wishes count once; edges and wishes with nulls are left out; a list without wishes has no nodes. A
 feature that no node has makes its AND empty.
@@ -27,16 +28,44 @@ def index(edges: DataFrame) -> DataFrame:
     return rows.groupBy("feature", "bucket").agg(F.bitmap_construct_agg("_at").alias("bits"))
 
 
+def kinds(wishes: DataFrame) -> DataFrame:
+    """list and kind of each list: its ORs (sorted arrays of features), sorted; equal lists have one kind."""
+    if "any" not in wishes.columns:
+        wishes = wishes.withColumn("any", F.col("feature"))
+    wishes = wishes.where("list IS NOT NULL AND feature IS NOT NULL AND any IS NOT NULL")
+    ors = wishes.groupBy("list", "any").agg(F.array_sort(F.collect_set("feature")).alias("_or"))
+    return ors.groupBy("list").agg(F.array_sort(F.collect_set("_or")).alias("kind"))
+
+
+def divided_kinds(found: DataFrame, kinds: DataFrame) -> DataFrame:
+    """kind, bucket, bits: the nodes that fulfil each kind of list."""
+    told = kinds.select("kind").distinct()
+    asked = told.select("kind", F.explode("kind").alias("_or"))
+    features = asked.select("_or").distinct().select("_or", F.explode("_or").alias("feature"))
+    one = features.join(found, "feature").groupBy("_or", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+    whole = asked.join(one, "_or").groupBy("kind", "bucket").agg(F.bitmap_and_agg("bits").alias("bits"), F.count("*").alias("_n"))
+    return whole.where(F.col("_n") == F.size("kind")).select("kind", "bucket", "bits")
+
+
 def divided(found: DataFrame, wishes: DataFrame) -> DataFrame:
     """list, bucket, bits: the nodes that fulfil a list's wishes. wishes: list, feature and, if it has it, `any`: of wishes with one
-    value of it one is enough; all others must hold."""
-    if "any" not in wishes.columns:
-        wishes = wishes.withColumn("any", F.xxhash64("feature"))
-    wishes = wishes.where("list IS NOT NULL AND feature IS NOT NULL AND any IS NOT NULL").select("list", "any", "feature").distinct()
-    needed = wishes.groupBy("list").agg(F.count_distinct("any").alias("_needed"))
-    one = wishes.join(found, "feature").groupBy("list", "any", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
-    whole = one.groupBy("list", "bucket").agg(F.bitmap_and_agg("bits").alias("bits"), F.count("*").alias("_n"))
-    return whole.join(needed, "list").where("_n = _needed").select("list", "bucket", "bits")
+    value of it one is enough; all others must hold. Each list has bitmaps of its own here; list_sizes and list_members need none."""
+    every = kinds(wishes)
+    return every.join(divided_kinds(found, every), "kind").select("list", "bucket", "bits")
+
+
+def list_sizes(found: DataFrame, wishes: DataFrame) -> DataFrame:
+    """sizes of divided, counted once for each kind of list."""
+    every = kinds(wishes)
+    counted = sizes(divided_kinds(found, every).withColumnRenamed("kind", "list")).withColumnRenamed("list", "kind")
+    return every.join(counted, "kind").select("list", "n")
+
+
+def list_members(found: DataFrame, wishes: DataFrame) -> DataFrame:
+    """members of divided, unpacked once for each kind of list."""
+    every = kinds(wishes).withColumn("_kind", F.md5(F.to_json(F.struct("kind")).cast("binary")))
+    nodes = divided_kinds(found, every).select(F.md5(F.to_json(F.struct("kind")).cast("binary")).alias("list"), "bucket", "bits")
+    return every.join(members(nodes).withColumnRenamed("list", "_kind"), "_kind").select("list", "src")
 
 
 def sizes(divided: DataFrame) -> DataFrame:

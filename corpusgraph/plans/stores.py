@@ -102,13 +102,13 @@ x AS (SELECT w.list, e.src FROM one JOIN w ON w.list = one.list JOIN e ON e.dst
 def wish_lists(spark, sf_dir, kept=None):
     wishes = spark.sql(WISHES.replace("FROM customer", "FROM {customer}"), customer=read(spark, sf_dir, "customer")).withColumnRenamed("k", "any")
     edges = spark.sql(FEATURES.replace("FROM lineitem", "FROM {lineitem}"), lineitem=read(spark, sf_dir, "lineitem"))
-    return bitmaps.divided(bitmaps.index(edges), wishes if kept is None else wishes.join(kept, "list", "left_semi"))
+    return bitmaps.index(edges), wishes if kept is None else wishes.join(kept, "list", "left_semi")
 
 
 @query(f"WITH {LISTS}, n AS (SELECT kind, count(src) AS n FROM one JOIN x USING (list) GROUP BY kind) SELECT list, n FROM kinds JOIN n USING (kind)")
 def wish_list_sizes(spark, sf_dir):
-    """How many orders each customer's wishes leave; the SQL answers equal lists once."""
-    return bitmaps.sizes(wish_lists(spark, sf_dir))
+    """How many orders each customer's wishes leave; equal lists are answered once."""
+    return bitmaps.list_sizes(*wish_lists(spark, sf_dir))
 
 
 @query(f"""WITH w AS (SELECT DISTINCT * FROM ({WISHES}) WHERE list IN (SELECT min(c_custkey) FROM customer GROUP BY c_nationkey)), e AS (SELECT DISTINCT * FROM ({FEATURES}))
@@ -116,7 +116,7 @@ SELECT w.list, e.src FROM w JOIN e ON e.dst = w.feature GROUP BY w.list, e.src H
 def wish_list_members(spark, sf_dir):
     """The orders of the first customer of each nation."""
     first = read(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.min("c_custkey").alias("list"))
-    return bitmaps.members(wish_lists(spark, sf_dir, first))
+    return bitmaps.list_members(*wish_lists(spark, sf_dir, first))
 
 
 # Trees of files: documents by source and number; German ones of some sources have changed, one source is new, one is gone.

@@ -61,3 +61,12 @@ def test_wish_lists_over_bitmaps(spark):
     every = bitmaps.divided(bitmaps.index(e), w.drop("any"))  # each wish must hold
     one = {n: {f for x, _, f in wishes if x == n and f} for n in range(12)}
     assert {tuple(r) for r in bitmaps.members(every).collect()} == {(n, s) for n, fs in one.items() for s in nodes if fs and all((s, f) in has for f in fs)}
+
+
+def test_equal_lists_are_answered_once(spark):
+    e = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(10)] + [(i, "c") for i in range(5)], "src long, dst string")
+    w = spark.createDataFrame([(n, k, f) for n in range(40) for k, f in ((0, "a"), (0, "b"), (1 + n % 2, "c"))] + [(99, 0, "zz")], "list int, any int, feature string")
+    index = bitmaps.index(e)
+    assert bitmaps.divided_kinds(index, bitmaps.kinds(w)).count() == 2  # one list and its two ranges of nodes, 0 and the rest
+    assert {tuple(r) for r in bitmaps.list_sizes(index, w).collect()} == {(n, 5) for n in range(40)}
+    assert {tuple(r) for r in bitmaps.list_members(index, w).collect()} == {(n, i) for n in range(40) for i in range(5)}
