@@ -71,11 +71,12 @@ def statements(files: DataFrame) -> DataFrame:
 def resolved(found: DataFrame, files: DataFrame) -> DataFrame:
     """Statements with a relative specifier whose target exists, with target (the id): the first candidate path that is a file.
 
-    Each path that an import may name has its best file, by an aggregate of the files; statements join that once."""
+    Each path that an import may name has its best file, by an aggregate of the files; statements join that once. The join
+    is one by a shuffle: files are made by expressions and exploded, so sizes of their tables are guessed far too low."""
     near = found.where(F.startswith("specifier", F.lit("."))).withColumn("_base", modules.named_path(folder_of(F.col("path")), F.col("specifier")))
     places = files.select(node_id(F.col("package_name"), F.col("rel_path")).alias("target"), F.explode(modules.names_of_path(F.col("path"))).alias("x"))
     best = places.groupBy(F.col("x.base").alias("_base")).agg(F.min_by("target", F.struct("x.rank", "target")).alias("target"))
-    return near.join(best, "_base").drop("_base")
+    return near.join(best.hint("merge"), "_base").drop("_base")
 
 
 def first_edges(rows: DataFrame) -> DataFrame:
@@ -107,7 +108,7 @@ def code_graph(files: DataFrame, known: DataFrame, components: DataFrame, scope:
         "imports_from": first_edges(near.where("kind <> 'star'")),
         "imports_package": package_imports(found, known, scope),
         "re_exports_from": load_edges(near.where("kind = 'star'").select("src", "dst")),
-        "symbol_linked_to_component": first.join(last, "name").select(F.col("id").alias("src"), "dst"),
+        "symbol_linked_to_component": first.join(last.hint("merge"), "name").select(F.col("id").alias("src"), "dst"),
     }
 
 

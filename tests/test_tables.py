@@ -150,3 +150,11 @@ def test_module_candidates_of_crowded_and_single_levels(spark):
     for r in aggregate.module_candidates(h, "d", "p", "l").orderBy("d", "p").collect():
         got[r["d"]].append(r["p"])
     assert got == {1: [1, 3, 5], 2: [0, 1, 2], 3: list(range(26)), 4: [24, 29], 5: [26, 27], 6: [1, 2, 3, 4, 30]}
+
+
+def test_imports_are_not_joined_by_a_broadcast(spark):
+    from corpusgraph.operators import loads
+
+    files = spark.createDataFrame([("packages/a/src/x.ts", "a", "src/x.ts", "import { y } from './y';"), ("packages/a/src/y.ts", "a", "src/y.ts", "")], "path string, package_name string, rel_path string, content string")
+    plan = loads.resolved(loads.statements(files), files)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
