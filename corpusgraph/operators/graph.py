@@ -81,14 +81,16 @@ def siblings(files: DataFrame, parent: str, path: str) -> DataFrame:
 def hygiene(nodes: DataFrame, edges: DataFrame, valid: DataFrame, inbound: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Valid nodes (missing ones added), edges with both ends valid, and entry points: nodes that no `inbound` edge reaches.
 
-    All have id; edges also kind.
+    All have id; edges also kind. The joins are hash joins by a shuffle: what is built is a part of the ids, while edges
+    stream past it unsorted, and neither is broadcast by a guess of its size.
     """
+    by_hash = lambda df: df.hint("shuffle_hash")
     ids = valid.select("id").distinct()
-    known = nodes.join(ids, "id", "left_semi").select("id").distinct()
-    whole = known.unionByName(ids.join(known, "id", "left_anti"))
-    sound = edges.join(ids.select(F.col("id").alias("src")), "src", "left_semi").join(ids.select(F.col("id").alias("dst")), "dst", "left_semi")
-    reached = sound.where(F.col("kind").isin(inbound)).select(F.col("dst").alias("id"))
-    return whole, sound, whole.join(reached, "id", "left_anti")
+    known = nodes.join(by_hash(ids), "id", "left_semi").select("id").distinct()
+    whole = known.unionByName(ids.join(by_hash(known), "id", "left_anti"))
+    sound = edges.join(by_hash(ids.select(F.col("id").alias("src"))), "src", "left_semi").join(by_hash(ids.select(F.col("id").alias("dst"))), "dst", "left_semi")
+    reached = sound.where(F.col("kind").isin(inbound)).select(F.col("dst").alias("id")).distinct()
+    return whole, sound, whole.join(by_hash(reached), "id", "left_anti")
 
 
 def dangling(references: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:

@@ -251,7 +251,7 @@ e AS (SELECT l_partkey AS src, l_partkey + l_linenumber AS dst, l_returnflag AS
 @query(f"WITH {SOUND} SELECT id, id NOT IN (SELECT dst FROM e WHERE kind IN ('A', 'R')) AS entry FROM v")
 def graph_hygiene(spark, sf_dir):
     nodes, _, first = hygiene(spark, sf_dir)
-    return nodes.join(first.withColumn("entry", F.lit(True)), "id", "left").select("id", F.coalesce("entry", F.lit(False)).alias("entry"))
+    return nodes.join(first.withColumn("entry", F.lit(True)).hint("shuffle_hash"), "id", "left").select("id", F.coalesce("entry", F.lit(False)).alias("entry"))
 
 
 @query(f"WITH {SOUND} SELECT src, dst, kind FROM e")

@@ -285,3 +285,14 @@ def test_graph_tables_are_written_apart(spark, tmp_path):
     files = spark.createDataFrame([(f"packages/{p}", "c") for p in ("a/src/x.ts", "a/y.ts", "b/z.ts", "b/z.test.ts", "b/dist/q.ts")], "path string, content string")
     known = spark.createDataFrame([("packages/a", "A"), ("packages/b", "B")], "folder string, package_name string")
     assert sorted((r["package_name"], r["rel_path"]) for r in loads.package_files(files, known).collect()) == [("A", "src/x.ts"), ("B", "z.ts")]
+
+
+def test_hygiene_broadcasts_nothing_and_sorts_no_edges(spark):
+    from corpusgraph.operators import graph
+
+    ids = spark.createDataFrame([(i,) for i in range(5)], "id long")
+    edges = spark.createDataFrame([(0, 1, "A"), (1, 2, "B"), (3, 9, "A"), (2, 1, "A")], "src long, dst long, kind string")
+    nodes, sound, first = graph.hygiene(ids.where("id < 3"), edges, ids, ["A"])
+    plan = first._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" not in plan
+    assert {r[0] for r in nodes.collect()} == set(range(5)) and sound.count() == 3 and {r[0] for r in first.collect()} == {0, 2, 3, 4}
