@@ -319,37 +319,60 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
 
 
 def near_pairs(col: dict[str, np.ndarray], task: np.ndarray, nearest: bool, below: bool, most: int = 1 << 17) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of positions, an asking and an indexed row of one task, whose labels differ and that may be SIMILAR.
+    """Pairs of positions, an asking and an indexed row of one task, whose labels differ and that may be SIMILAR. Those
+    within WIDE_RADIUS come from a BK-tree over each task's indexed fingerprints; sizes and parities then rule out others.
 
     nearest: of each asking row only the nearest partner. below: only partners of a smaller label."""
     words, n, label = np.stack(col["w"]) if len(col["w"]) else np.zeros((0, DECIDING + PARITIES), np.int64), col["n"], col["label"]
     prints, odd = np.ascontiguousarray(words[:, :DECIDING]), np.ascontiguousarray(words[:, DECIDING:])
     stand, ask = np.flatnonzero(col["indexed"]), np.flatnonzero(col["asks"])
-    low = np.searchsorted(task[stand], task[ask])
-    many = np.searchsorted(task[stand], task[ask], side="right") - low
     found: list = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-    for part in np.split(np.arange(len(ask)), np.flatnonzero(np.diff(np.cumsum(many) // most)) + 1):
-        m = many[part]
-        a = np.repeat(ask[part], m)
-        b = stand[np.arange(len(a)) + np.repeat(low[part] - (np.cumsum(m) - m), m)]
-        may = label[b] < label[a] if below else label[b] != label[a]
-        may &= SIMILAR[1] * np.minimum(n[a], n[b]) >= SIMILAR[0] * np.maximum(n[a], n[b])
-        a, b = a[may], b[may]
-        d = distance(prints[a], prints[b])
-        may = d <= WIDE_RADIUS
-        a, b, d = a[may], b[may], d[may]
-        # unshared shingles of a SIMILAR pair are a ninth of both sets at most
-        may = (SIMILAR[0] + SIMILAR[1]) * distance(odd[a], odd[b]) <= (SIMILAR[1] - SIMILAR[0]) * (n[a] + n[b])
-        a, b, d = a[may], b[may], d[may]
+    if not len(stand) or not len(ask):
+        return found[0]
+    # a tree holds each fingerprint of a task once, and so do the queries; rows that share it are met after the search
+    trees, tree_of = distinct_prints(prints[stand], task[stand])
+    queries, query_of = distinct_prints(prints[ask], task[ask])
+    forest = Forest(prints[stand[trees]], task[stand[trees]])
+    owners, askers = (np.argsort(x, kind="stable") for x in (tree_of, query_of))
+    held, asked = (np.bincount(x) for x in (tree_of, query_of))
+    first, begin = np.cumsum(held) - held, np.cumsum(asked) - asked
+    low = np.searchsorted(task[stand], task[ask[queries]])
+    many = (np.searchsorted(task[stand], task[ask[queries]], side="right") - low) * asked
+    for part in np.split(np.arange(len(queries)), np.flatnonzero(np.diff(np.cumsum(many) // most)) + 1):
+        near: list = [(np.zeros(0, np.int64),) * 3]
+        for q, node in forest.search(prints[ask[queries[part]]], task[ask[queries[part]]], WIDE_RADIUS):
+            q = part[q]
+            m = asked[q] * held[node]
+            pair, i = np.repeat(np.arange(len(q)), m), np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+            a = ask[askers[begin[q[pair]] + i // held[node[pair]]]]
+            b = stand[owners[first[node[pair]] + i % held[node[pair]]]]
+            may = label[b] < label[a] if below else label[b] != label[a]
+            may &= SIMILAR[1] * np.minimum(n[a], n[b]) >= SIMILAR[0] * np.maximum(n[a], n[b])
+            a, b = a[may], b[may]
+            # unshared shingles of a SIMILAR pair are a ninth of both sets at most
+            may = (SIMILAR[0] + SIMILAR[1]) * distance(odd[a], odd[b]) <= (SIMILAR[1] - SIMILAR[0]) * (n[a] + n[b])
+            a, b = a[may], b[may]
+            near.append((a, b, distance(prints[a], prints[b])))
+        a, b, d = (np.concatenate(x) for x in zip(*near, strict=True))
         if nearest:
             order = np.lexsort((col["id"][b], d, a))
             a, b = a[order], b[order]
-            first = np.concatenate(([True], a[1:] != a[:-1]))[: len(a)]
-            a, b = a[first], b[first]
+            kept = np.concatenate(([True], a[1:] != a[:-1]))[: len(a)]
+            a, b = a[kept], b[kept]
         found.append((a, b))
     return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
 
 
+def distinct_prints(prints: np.ndarray, task: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the first row of each task and fingerprint, by task; and of each row the place of its own among them."""
+    order = np.lexsort((*prints.T, task))
+    new = np.ones(len(order), bool)
+    new[1:] = np.any(prints[order[1:]] != prints[order[:-1]], axis=1) | (task[order[1:]] != task[order[:-1]])
+    place = np.zeros(len(order), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return order[new], place
+
+
 def shared_counts(us: pa.ListArray, vs: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     """Of each pair of sets (lists of distinct numbers): how many both have, and how many there are in both lists together."""
     nu, nv = (x.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) for x in (us, vs))

@@ -233,3 +233,31 @@ def test_runs_of_digests_are_merged():
         a, b = (np.array(sorted((rng.choice("abcdef").encode(), k) for k in range(rng.randint(0, 9))), entry) for _ in range(2))
         got = substrings.merged(a, b)
         assert got["mark"].tolist() == sorted(a["mark"].tolist() + b["mark"].tolist()) and sorted(got["n"].tolist()) == sorted(a["n"].tolist() + b["n"].tolist())
+
+
+def test_near_pairs_come_from_the_trees(monkeypatch):
+    import numpy as np
+
+    from corpusgraph.llm import simhash
+
+    rng = np.random.default_rng(5)
+    base = rng.integers(-(2**62), 2**62, (12, simhash.DECIDING + simhash.PARITIES))
+    w = base[rng.integers(0, 12, 90)]
+    w[::3, 0] ^= 1 << rng.integers(0, 60, 30)  # near ones; the rest are exact or far
+    task = np.sort(rng.integers(0, 4, 90))
+    col = {"w": list(w), "n": rng.integers(80, 120, 90), "label": rng.integers(0, 40, 90), "id": np.arange(90), "indexed": rng.random(90) < 0.8, "asks": rng.random(90) < 0.8}
+    built, old = [], simhash.Forest.__init__
+    monkeypatch.setattr(simhash.Forest, "__init__", lambda self, keys, group: (built.append(len(keys)), old(self, keys, group))[1])
+    for nearest in (False, True):
+        for below in (False, True):
+            want = {}
+            for a in np.flatnonzero(col["asks"]):
+                for b in np.flatnonzero(col["indexed"]):
+                    sizes = sorted((col["n"][a], col["n"][b]))
+                    bits = lambda x, y: sum(((i ^ j) & 2**64 - 1).bit_count() for i, j in zip(map(int, x), map(int, y), strict=True))
+                    d, odd = bits(w[a][:4], w[b][:4]), bits(w[a][4:], w[b][4:])
+                    if task[a] == task[b] and (col["label"][b] < col["label"][a] if below else col["label"][b] != col["label"][a]) and 5 * sizes[0] >= 4 * sizes[1] and d <= simhash.WIDE_RADIUS and 9 * odd <= sum(sizes):
+                        want.setdefault(int(a), []).append((d, int(b)))
+            u, v = simhash.near_pairs(col, task, nearest, below, most=200)
+            assert sorted(zip(u.tolist(), v.tolist(), strict=True)) == sorted((a, b) for a, x in want.items() for _, b in (sorted(x)[:1] if nearest else x))
+    assert len(built) == 4
