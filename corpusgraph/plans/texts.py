@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import coercion, ids, indented, sections, syntax
+from ..functions import batches, coercion, ids, indented, sections, syntax
 from .tables import query, read
 
 
@@ -30,19 +30,18 @@ def plan_modules(spark, sf_dir):
 
 @query(None)
 def module_parts(spark, sf_dir):
-    parts = sections.parts_of(F.col("text"), 800, F.col("source"), most=None)
-    out = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(parts).alias("part", "text"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    out = batches.items(docs, "doc_id", "text", ["source"], lambda t, name: ((x,) for x in sections.module_parts(t, 800, name or "", most=None)), "text string", "part")
     return out.select("doc_id", "part", F.length("text").alias("n_chars"), ids.text_hash(F.col("text")).alias("digest"))
 
 
 @query(None)
 def file_pieces(spark, sf_dir):
-    found = syntax.parts(F.col("text"), F.concat("source", F.lit(".md")))
-    out = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(found).alias("pos", "x"))
-    return out.select("doc_id", "pos", F.col("x")["name"].alias("name"), ids.text_hash(F.col("x")["text"]).alias("digest"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", F.concat("source", F.lit(".md")).alias("name"))
+    out = batches.items(docs, "doc_id", "text", ["name"], lambda t, name: ((x[1], x[0]) for x in syntax.file_parts(t, name or "")), "name string, text string")
+    return out.select("doc_id", "pos", "name", ids.text_hash(F.col("text")).alias("digest"))
 
 
 @query(None)
 def text_headings(spark, sf_dir):
-    found = sections.headings_of(F.col("text"))
-    return read(spark, sf_dir, "documents").select("doc_id", F.posexplode(found).alias("pos", "x")).select("doc_id", "pos", "x.level", "x.text")
+    return batches.items(read(spark, sf_dir, "documents"), "doc_id", "text", [], sections.text_headings, "level int, text string")

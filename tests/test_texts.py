@@ -134,3 +134,16 @@ def test_file_pieces(spark):
     df = spark.createDataFrame([(1, "small"), (2, long), (3, None)], "k int, t string")
     got = {r["k"]: r["x"] for r in df.select("k", syntax.parts(F.col("t"), F.lit("n.md")).alias("x")).collect()}
     assert [x["text"] for x in got[1]] == ["small"] and [x["text"] for x in got[2]] == ["p" * 1000, "q" * 1000, "r" * 5000]
+
+
+def test_long_texts_are_taken_a_few_at_a_time(spark, monkeypatch):
+    import pyarrow as pa
+
+    from corpusgraph.functions import batches
+
+    batch = pa.RecordBatch.from_pydict({"t": ["x" * 40, None, "y" * 90, "", "z" * 300, "w"]})
+    parts = [p.column("t").to_pylist() for p in batches.slices(batch, "t", 100)]
+    assert sum(parts, []) == batch.column("t").to_pylist() and max(len(p) for p in parts) <= 3 and len(parts) >= 3
+    df = spark.createDataFrame([(1, "a b", "n"), (2, None, "m"), (None, "c", None), (3, "", "k")], "id long, t string, s string")
+    got = batches.items(df, "id", "t", ["s"], lambda t, s: [(x, s) for x in t.split()], "word string, s string").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, 0, "a", "n"), (1, 1, "b", "n"), (None, 0, "c", None)], key=str)
