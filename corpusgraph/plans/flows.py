@@ -262,11 +262,13 @@ def ordered_plans(spark, sf_dir):
 @query("""SELECT o_orderkey, concat_ws('|', CASE WHEN o_orderstatus <> 'O' THEN o_orderstatus END, string_agg(CASE WHEN l_linenumber % 2 = 0 THEN 's' || l_linenumber || '|c' || l_linenumber ELSE 'c' || l_linenumber END, '|' ORDER BY l_linenumber)) AS queries
 FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey, o_orderstatus""")
 def similarity_queries(spark, sf_dir):
-    n = F.col("l_linenumber")
-    screen = F.struct(n, F.when(n % 2 == 0, F.concat(F.lit("s"), n.cast("string"))).otherwise("").alias("similarity_query"), F.array(F.struct(F.concat(F.lit("c"), n.cast("string")).alias("similarity_query"))).alias("components"))
-    lines = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(screen)).alias("screens"))
-    plans = read(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
-    plans = plans.select(F.col("o_orderkey").alias("module_name"), F.lit(1).alias("document"), F.lit(1).alias("n"), F.when(F.col("o_orderstatus") != "O", F.col("o_orderstatus")).alias("similarity_query"), "screens")
+    # only numbers are shuffled and sorted; screens are made of them after the join
+    lines = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_linenumber").alias("numbers"))
+    plans = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    c = lambda n: F.concat(F.lit("c"), n.cast("string"))
+    screen = lambda n: F.struct(n.alias("l_linenumber"), F.when(n % 2 == 0, F.concat(F.lit("s"), n.cast("string"))).otherwise("").alias("similarity_query"), F.array(F.struct(c(n).alias("similarity_query"))).alias("components"))
+    screens = F.transform(F.array_sort("numbers"), screen).alias("screens")
+    plans = plans.select(F.col("o_orderkey").alias("module_name"), F.lit(1).alias("document"), F.lit(1).alias("n"), F.when(F.col("o_orderstatus") != "O", F.col("o_orderstatus")).alias("similarity_query"), screens)
     return workflow.similarity_queries(plans).select(F.col("module_name").alias("o_orderkey"), F.array_join("queries", "|").alias("queries"))
 
 
