@@ -8,7 +8,8 @@ is reached has its best score. A unigram model allows every step. Both give the
 Characters outside the vocabulary become byte pieces, or the unknown piece.
 
 Texts are cut before runs of the space mark, which no piece of the vocabulary spans (else they stay whole). Short
-stretches and the answers to possible steps are kept, within a task, in caches bounded by bytes. Null texts have null ids, empty texts none; texts of any length are whole.
+stretches and the answers to possible steps are kept in caches bounded by bytes, which a worker takes from task to task
+until another operator runs in it; where spaces stand alone, the text is cut at them and a word is the key. The ids of a slice are decoded at once. Null texts have null ids, empty texts none; texts of any length are whole.
 Repeated rows each get a row; an empty table gives no rows; other columns are not read.
 """
 
@@ -19,7 +20,8 @@ import re
 import struct
 import zlib
 from array import array
-from itertools import groupby
+from collections.abc import Sequence
+from itertools import groupby, pairwise
 
 import ahocorasick
 import numpy as np
@@ -27,13 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held, left, map_slices, read
+from .common import held, map_slices, read
 
 #: The default vocabulary: a parameter everywhere.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Bytes of a generation of the caches of stretches and of steps, about, and characters of a stretch that is kept at most.
-STRETCH_BYTES, STEP_BYTES, CACHED_CHARS = 40 << 20, 24 << 20, 64
+#: Bytes of a generation of the caches of words, other stretches and steps, about, and characters of a key at most.
+WORD_BYTES, STRETCH_BYTES, STEP_BYTES, CACHED_CHARS = 40 << 20, 8 << 20, 24 << 20, 64
 #: What an entry takes besides its key and value.
 ENTRY_BYTES = 120
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -71,25 +73,26 @@ def fields(data: bytes):
 
 
 class Cache(dict):
-    """What make gives, in two generations: when the newer has its bytes, the older goes. size: of a value."""
+    """What make gives, in two generations: when the newer has its bytes, the older goes. size: of a value. keeps: whether
+    a key's value is kept."""
 
-    def __init__(self, make, size, most):
+    def __init__(self, make, size, most, keeps=lambda key: True):
         super().__init__()
-        self.make, self.size, self.most, self.older, self.bytes = make, size, most, {}, 0
+        self.make, self.size, self.most, self.keeps, self.older, self.bytes = make, size, most, keeps, {}, 0
 
     def __missing__(self, key):
+        if not self.keeps(key):
+            return self.make(key)
         if self.bytes >= self.most:
             self.older, self.bytes = dict(self), 0
             self.clear()
         value = self.older.get(key)
-        self[key] = value = self.make(key) if value is None else value
+        if value is None:
+            value = self.make(key)
+        self[key] = value
         self.bytes += ENTRY_BYTES + self.size(key, value)
         return value
 
-    def drop(self) -> None:
-        self.clear()
-        self.older, self.bytes = {}, 0
-
 
 class Model:
     def __init__(self, data: bytes):
@@ -126,8 +129,11 @@ class Model:
         loose = [c for c in "\n\t\r" if not any(c in p and len(p) > 1 for p in self.ids)]
         stop = re.escape("".join(loose))
         self.cut = re.compile(rf"[{stop}]|{MARK}+[^{MARK}{stop}]*|[^{MARK}{stop}]+" if loose else rf"{MARK}+[^{MARK}]*|[^{MARK}]+").findall if not spans else lambda t: [t]
-        self.cache = Cache(self.packed, lambda k, v: 4 * len(k) + len(v), STRETCH_BYTES)
+        size, short = lambda k, v: 4 * len(k) + len(v), lambda k: len(k) <= CACHED_CHARS
+        self.cache = Cache(self.packed, size, STRETCH_BYTES, short)
+        self.words = Cache(self.packed_word, size, WORD_BYTES, short) if self.prefix and not spans else None
         self.raw = [bytes([int(p[3:5], 16)]) if k == BYTE else b" \xe2\x81\x87 " if k == UNKNOWN else b"" if k == CONTROL else p.replace(MARK, " ").encode() for p, k in zip(self.pieces, self.kinds, strict=True)]
+        self.raw_column = pa.array(self.raw, pa.large_binary())
 
     def merged(self, text: str) -> list[int]:
         """By merging the pair of best score, the leftmost of equals, until none is a piece. Defines BPE; used for short texts."""
@@ -158,6 +164,11 @@ class Model:
     def packed(self, text: str) -> bytes:
         return array("i", self.stretch(text)).tobytes()
 
+    def packed_word(self, word: str) -> bytes:
+        """The ids of a word with the space mark in front, where what follows it begins a stretch."""
+        first, *more = self.cut(MARK + word)
+        return self.packed(first) if not more else self.words[first[1:]] + b"".join([self.cache[x] for x in more])
+
     def best_path(self, text: str) -> list[int] | None:
         """The pieces of the best way through a text, -1 for a character outside the vocabulary; None if no way is possible.
 
@@ -222,14 +233,21 @@ class Model:
             text = re.sub(" +", " ", text.strip(" "))
         if not text:
             return np.zeros(0, np.int32)
+        if self.words is not None and text[0] != " " and "  " not in text and MARK not in text:  # each space begins a stretch
+            return np.frombuffer(b"".join(map(self.words.__getitem__, text.split(" "))), np.int32)
         text = (MARK if self.prefix else "") + text.replace(" ", MARK)
-        kept, packed = self.cache, self.packed
-        return np.frombuffer(b"".join([kept[x] if len(x) <= CACHED_CHARS else packed(x) for x in self.cut(text)]), np.int32)
+        return np.frombuffer(b"".join(map(self.cache.__getitem__, self.cut(text))), np.int32)
 
     def decode(self, ids: np.ndarray) -> str:
-        data = b"".join(map(self.raw.__getitem__, ids.tolist()))
-        text = data.decode(errors="replace")
-        return text[1:] if self.prefix and text[:1] == " " else text
+        return self.decoded(ids, [0, len(ids)])[0]
+
+    def decoded(self, ids: np.ndarray, ends: Sequence[int]) -> list[str]:
+        """The texts of ids that lie one after the other: text k has those from ends[k] to ends[k + 1]."""
+        taken = self.raw_column.take(pa.array(ids, pa.int32()))
+        at = np.frombuffer(taken.buffers()[1], np.int64, len(ids) + 1, 8 * taken.offset)[np.asarray(ends)].tolist() if len(ids) else [0] * len(ends)
+        data = taken.buffers()[2].to_pybytes() if len(ids) else b""
+        texts = [data[a:b].decode(errors="replace") for a, b in pairwise(at)]
+        return [t[1:] if self.prefix and t[:1] == " " else t for t in texts]
 
 
 def model_of(data: bytes) -> Model:
@@ -237,13 +255,6 @@ def model_of(data: bytes) -> Model:
     return held("pieces", zlib.crc32(data), lambda: Model(data))
 
 
-def rest() -> None:
-    """At a task's end: a worker that goes on to other work shouldn't hold the caches."""
-    if (model := left("pieces")) is not None:
-        model.cache.drop()
-        model.follows.drop()
-
-
 def model_bytes(path: str = MODEL) -> bytes:
     """A vocabulary file is at most a few MB; it is read on the driver and sent to the executors."""
     try:
@@ -265,7 +276,7 @@ def encode_texts(docs: DataFrame, path: str = MODEL) -> DataFrame:
         whole = np.concatenate([x for x in found if x is not None] or [np.zeros(0, np.int32)])
         ends = np.concatenate(([0], np.cumsum(sizes)))
         offsets = pa.array(ends, pa.int32(), mask=np.array([*[x is None for x in found], False]))
-        back = [None if x is None else model.decode(x) for x in found]
+        back = [None if x is None else b for x, b in zip(found, model.decoded(whole, ends), strict=True)]
         return {
             "doc_id": batch.column("doc_id"),
             "ids": pa.ListArray.from_arrays(offsets, pa.array(whole, pa.int32())),
@@ -274,7 +285,7 @@ def encode_texts(docs: DataFrame, path: str = MODEL) -> DataFrame:
             "round_trip": [None if b is None else b == t for b, t in zip(back, texts, strict=True)],
         }
 
-    return map_slices(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, ids array<int>, n_tokens long, decoded_crc32 long, round_trip boolean", done=rest)
+    return map_slices(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, ids array<int>, n_tokens long, decoded_crc32 long, round_trip boolean")
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -419,3 +419,26 @@ def test_one_document_of_each_group_stays(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     got = [r["doc_id"] for r in corpus_pipeline.dedup_stage(spark, docs, "").collect()]
     assert sorted(x for x in got if x is not None) == [0, 1, 2] and got.count(None) == 1
+
+
+def test_a_worker_takes_its_words_from_task_to_task(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "some words, once\nmore words")], "doc_id long, text string")
+    tasks = []
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, fn, schema: tasks.append(fn) or self)
+    pieces.encode_texts(df)
+    batch = df.toArrow().to_batches()
+    first = [b.to_pydict() for b in tasks[0](iter(batch))]
+    monkeypatch.setattr(pieces.Model, "best_path", lambda self, text: pytest.fail(f"{text} is sought again"))
+    assert [b.to_pydict() for b in tasks[0](iter(batch))] == first and first[0]["round_trip"] == [True]
+
+
+def test_words_and_stretches_give_the_same_ids():
+    model = pieces.model_of(pieces.model_bytes())
+    rng = random.Random(6)
+    for _ in range(3000):
+        t = "".join(rng.choices(["a", "the", "Ünd", " ", " ", "\n", "\t", "▁", "\r", ".", "漢", "\x00", "w" * 70], k=rng.randint(1, 12)))
+        whole = [i for x in model.cut("▁" + t.replace(" ", "▁")) for i in model.stretch(x)]
+        assert model.encode(t).tolist() == whole
+    ids = [model.encode(t) for t in ("a b", "", "퟿x ", " y")]
+    ends = np.cumsum([0, *map(len, ids)])
+    assert model.decoded(np.concatenate(ids), ends) == ["a b", "", "퟿x ", " y"]
