@@ -1,8 +1,10 @@
 """Phrase collocations of each language, with DataFrame operations.
 
-All runs of 1 to max_n words inside a piece become rows, and one hash aggregate counts them for each language (phrase and
+All words and pairs of words inside a piece become rows, and one hash aggregate counts them for each language (phrase and
 language are one string there, which makes its rows smaller); rows that are alike are counted where they arise, before
-the shuffle. A phrase that is frequent enough is cut at each place, and
+the shuffle. Longer phrases are counted a length at a time, and only those whose two parts, shorter by a word, seem
+frequent enough; else they can't be. That is looked up in a bitmap of the frequent parts' hashes, which is broadcast: its
+size is bounded, and a part that only seems frequent costs a row and changes no count. A phrase that is frequent enough is cut at each place, and
 the counts of both parts are joined; frequent parts are salted there. Scores are decimals of 38 digits without a
 fraction, so they are exact for counts below 10^16. A phrase goes if an extension by one word has enough of its
 occurrences; that is enough, for one inside a longer extension is also inside one of those by one word, which occurs at
@@ -34,6 +36,8 @@ COVERED = 50
 
 #: Splits of the input that a task counts together: the more, the fewer rows are left to shuffle.
 SPLITS = 2
+#: Of the bitmap of frequent parts: bits of a row of it, bits for each part, and bits in all (16 MB), whatever the number of parts.
+BLOCK_BITS, BITS_A_PHRASE, MOST_BITS = 1 << 15, 16, 1 << 27
 #: Texts where lower-casing A-Z isn't what lower() does, or may not be.
 NOT_PLAIN = r"[^\x00-\u024F]|[\p{IsUppercase}\p{Lt}&&[^A-Z]]"
 #: Of phrases whose rank is sought, each of so many parts of a language gives its best first.
@@ -57,25 +61,68 @@ def one_map(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
-def phrase_rows(docs: DataFrame, max_n: int) -> DataFrame:
-    """key of every occurrence of 1 to max_n words in a row: the phrase, a tab, its language (a phrase has no tab)."""
+def word_rows(docs: DataFrame, max_n: int) -> DataFrame:
+    """end (a tab and the language), w0, w1, ...: every word and the max_n - 1 words after it, null beyond the piece."""
     pieces = docs.select("lang", F.explode(F.split(lowered(F.col("text")), CUTS)).alias("piece"))
     words = pieces.select(F.concat(F.lit("\t"), "lang").alias("end"), F.regexp_extract_all("piece", F.lit(PHRASE_WORD), F.lit(0)).alias("words"))
     # a word and those after it become columns of one row, so that no row carries its piece
     later = [F.slice("words", k + 1, F.greatest(F.size("words") - k, F.lit(0))).alias(f"w{k}") for k in range(1, max_n)]
-    each = words.select("end", F.inline(F.arrays_zip(F.col("words").alias("w0"), *later)))
-    more = lambda k: [x for j in range(1, k) for x in (F.lit(" "), F.col(f"w{j}"))]
-    keys = F.array(*[F.concat("w0", *more(k), "end") for k in range(1, max_n + 1)])  # null beyond the piece
-    return each.select(F.explode(keys).alias("key")).where(F.col("key").isNotNull())
+    return words.select("end", F.inline(F.arrays_zip(F.col("words").alias("w0"), *later)))
 
 
-def counted(docs: DataFrame, max_n: int, least: int) -> DataFrame:
-    """lang, phrase, a: how often it occurs, of all words and of phrases that occur `least` times or more."""
+def key_of(n: int) -> Column:
+    """A phrase of n words, a tab, its language (a phrase has no tab); null beyond the piece."""
+    return F.concat("w0", *[x for j in range(1, n) for x in (F.lit(" "), F.col(f"w{j}"))], "end")
+
+
+def bit_of(words: list[Column], end: Column, bits: int) -> Column:
+    """The place of a phrase in a bitmap."""
+    return F.xxhash64(*words, end).bitwiseAND(F.lit(bits - 1))
+
+
+def bitmap(phrases: DataFrame, n: int) -> tuple[DataFrame, int]:
+    """block (of BLOCK_BITS) and marks (array<long>) of the bitmap of phrases (lang, phrase) of n words, and its bits."""
+    bits = BLOCK_BITS
+    while bits < min(BITS_A_PHRASE * phrases.count(), MOST_BITS):
+        bits *= 2
+    w = F.split("phrase", " ")
+    set_ = phrases.select(bit_of([w[i] for i in range(n)], F.concat(F.lit("\t"), "lang"), bits).alias("bit"))
+    longs = set_.select(F.shiftright("bit", 6).alias("long"), F.expr("shiftleft(1L, cast(bit & 63 AS int))").alias("mark"))
+    longs = longs.unionByName(phrases.sparkSession.range(bits // 64).select(F.col("id").alias("long"), F.lit(0).cast("long").alias("mark")))
+    longs = longs.groupBy("long").agg(F.bit_or("mark").alias("mark"))
+    blocks = longs.groupBy(F.expr(f"long div {BLOCK_BITS // 64}").alias("block")).agg(F.array_sort(F.collect_list(F.struct("long", "mark")))["mark"].alias("marks"))
+    return materialize(blocks), bits
+
+
+def of_frequent_parts(rows: DataFrame, parts: DataFrame, n: int) -> DataFrame:
+    """rows of word_rows but for those whose first n words can't be a phrase of frequent parts. parts (lang, phrase): those of n - 1 words."""
+    blocks, bits = bitmap(parts, n - 1)
+    rows = rows.where(F.col(f"w{n - 1}").isNotNull())
+    for first in (0, 1):
+        place = bit_of([F.col(f"w{i}") for i in range(first, first + n - 1)], F.col("end"), bits)
+        rows = rows.withColumn("bit", place).withColumn("block", F.expr(f"bit div {BLOCK_BITS}")).join(F.broadcast(blocks), "block")
+        rows = rows.where(F.expr(f"getbit(marks[cast(bit % {BLOCK_BITS} div 64 AS int)], cast(bit & 63 AS int)) = 1")).drop("bit", "block", "marks")
+    return rows
+
+
+def key_counts(keys: DataFrame, least: int) -> DataFrame:
+    """lang, phrase, a of keys: how often a word occurs, or a phrase that occurs `least` times or more."""
     phrase = F.substring_index("key", "\t", 1)
-    counts = phrase_rows(docs, max_n).groupBy("key").agg(F.count("*").alias("a")).where((F.col("a") >= least) | ~F.contains(phrase, F.lit(" ")))
+    counts = keys.groupBy("key").agg(F.count("*").alias("a")).where((F.col("a") >= least) | ~F.contains(phrase, F.lit(" ")))
     return counts.select(F.substr("key", F.length(phrase) + 2).alias("lang"), phrase.alias("phrase"), "a")
 
 
+def counted(docs: DataFrame, max_n: int, least: int) -> DataFrame:
+    """lang, phrase, a: how often it occurs, of all words and of phrases of 2 to max_n words that occur `least` times or more; written."""
+    keys = word_rows(docs, 2).select(F.explode(F.array(key_of(1), key_of(2))).alias("key")).where(F.col("key").isNotNull())
+    out = last = materialize(key_counts(keys, least))
+    for n in range(3, max_n + 1):
+        parts = last.where(F.contains("phrase", F.lit(" ")))
+        last = materialize(key_counts(of_frequent_parts(word_rows(docs, n), parts, n).select(key_of(n).alias("key")), least))
+        out = out.unionByName(last)
+    return out
+
+
 def scored(counts: DataFrame) -> DataFrame:
     """lang, phrase, a, l, r, score: of phrases of two words or more, by their lowest cut. counts should be written."""
     parts = F.split("phrase", " ")
@@ -106,7 +153,7 @@ def collocations(docs: DataFrame, max_n: int = 3, least: int = LEAST_COUNT, firs
     """The best phrases of 2 to max_n words of each language of docs (text, lang): lang, rank, phrase, a, l, r, n, score."""
     docs = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     with one_map(docs.sparkSession):
-        counts = materialize(counted(docs.coalesce(max(1, docs.rdd.getNumPartitions() // SPLITS)), max_n, least))
+        counts = counted(docs.coalesce(max(1, docs.rdd.getNumPartitions() // SPLITS)), max_n, least)
     left = uncovered(materialize(scored(counts.where(F.col("a") >= least)))).withColumn("_part", F.pmod(F.xxhash64("phrase"), F.lit(RANK_PARTS)))
     order = F.col("score").desc(), F.col("a").desc(), F.col("phrase")
     for within in (["lang", "_part"], ["lang"]):  # a language's phrases are ranked in parts first

@@ -149,6 +149,27 @@ def test_a_phrase_goes_at_half_of_its_occurrences(spark):
 
 # substrings
 
+
+@pytest.mark.parametrize("most", [1, 1 << 27])
+def test_longer_phrases_are_counted_where_their_parts_are_frequent(spark, monkeypatch, most):
+    monkeypatch.setattr(phrases, "MOST_BITS", most)  # 1: the smallest bitmap
+    rng = random.Random(3)
+    texts = [" ".join(["often", "said", "twice"] * rng.randint(0, 2) + [f"w{rng.randint(0, 4000)}" for _ in range(300)]) for _ in range(20)]
+    docs = spark.createDataFrame([(t, "en") for t in texts], "text string, lang string")
+    parts = spark.createDataFrame([("en", "often said"), ("en", "said twice"), ("de", "w1 w2")], "lang string, phrase string")
+    rows = phrases.of_frequent_parts(phrases.word_rows(docs, 3), parts, 3).select(phrases.key_of(3)).collect()
+    want = sum(t.count("often said twice") for t in texts)
+    assert sum(r[0] == "often said twice\ten" for r in rows) == want and len(rows) < want + 60
+    seen = {}
+    for t in texts:
+        w = t.split()
+        for k in (1, 2, 3):
+            for j in range(len(w) - k + 1):
+                seen[" ".join(w[j : j + k])] = seen.get(" ".join(w[j : j + k]), 0) + 1
+    got = {r["phrase"]: r["a"] for r in phrases.counted(docs, 3, 3).collect()}
+    assert got == {p: a for p, a in seen.items() if a >= 3 or " " not in p}
+
+
 def plain_cut(texts, width=200):
     """Of each text: bytes, removed bytes, removed runs, digest of what stays."""
     data = [(t or "").encode() for t in texts]
