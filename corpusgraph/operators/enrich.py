@@ -9,9 +9,11 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions import chunking, classify, features, ids, modules, sections, syntax, text
 from . import graph, loads
@@ -65,46 +67,48 @@ ONE = "struct<text:string,name:string,type:string,exports:array<string>,imports:
 def chunks(files: DataFrame, kind: Column) -> DataFrame:
     """files with chunk_index, total_chunks and chunk (ONE): a row for each chunk. Markdown is cut at its headings, its
     sections then bounded in size; types that a file lacks make it code."""
-    body, name = F.col("content"), classify.stem(classify.base_name(F.col("rel_path")))
-    rows = files.withColumn("_kind", kind).withColumn("_stem", name)
-    none = F.lit(None).cast("array<string>")
-
-    def one(x: Column, **more: Column) -> Column:
-        part = {"exports": none, "imports": none, "props": none, "fields": none, "extends": none} | more
-        return F.struct(x["text"].alias("text"), x["name"].alias("name"), x["type"].alias("type"), *[v.alias(k) for k, v in part.items()])
-
-    is_kind = lambda *k: F.when(F.col("_kind").isin(*k), body)
-    types = syntax.types(is_kind("types"))
-    code = syntax.components(F.when((F.col("_kind") == "code") | ((F.col("_kind") == "types") & (F.size("_types") == 0)), body), F.col("_stem"))
-    plain = sections.file_chunks(is_kind("style", "config"), F.col("_stem"), F.col("_kind"))
-    rows = rows.withColumn("_types", types).withColumn("_code", code).withColumn("_plain", plain).withColumn("_sections", section_chunks(is_kind("markdown"), F.col("_stem")))
-    found = F.coalesce(
-        F.when(F.size("_types") > 0, F.transform("_types", lambda x: one(x, fields=x["fields"], extends=x["extends"]))),
-        F.transform("_code", lambda x: one(x, exports=x["exports"], imports=x["imports"], props=x["props"])),
-        F.transform("_plain", lambda x: one(x)), F.transform("_sections", lambda x: one(x)),
-    )
-    rows = rows.select(*files.columns, F.col("_kind").alias("chunk_kind"), found.alias("_chunks"))
+    name = classify.stem(classify.base_name(F.col("rel_path")))
+    rows = files.select(*files.columns, kind.alias("chunk_kind"), chunk_records(F.col("content"), name, kind).alias("_chunks"))
     return rows.select(*files.columns, "chunk_kind", F.size("_chunks").alias("total_chunks"), F.posexplode("_chunks").alias("chunk_index", "chunk"))
 
 
-def section_chunks(body: Column, stem: Column) -> Column:
-    """PIECES of Markdown texts: sections at headings of levels 1 to 3, bounded in size; null for null."""
-    heading = re.compile(r"^(#{1,3})\s+.+$", re.MULTILINE)
+SECTION = re.compile(r"^(#{1,3})\s+.+$", re.MULTILINE)
+
+
+def records(text: str | None, stem: str | None, kind: str | None) -> list[dict] | None:
+    """The chunks of a file of that kind, with the fields of ONE that they have; null for null."""
+    if text is None:
+        return None
+    if kind == "types" and (found := syntax.type_records(text)):
+        return [{"text": text[d.start : d.end].strip(), "name": d.name, "type": d.kind, "fields": d.fields, "extends": d.extends} for d in found]
+    if kind in ("types", "code"):
+        return [c._asdict() for c in syntax.component_chunks(text, stem or "")]
+    if kind in ("style", "config"):
+        pieces = sections.CHUNKERS[kind](text, stem or "")
+    elif kind == "markdown":
+        pieces = section_pieces(text, stem)
+    else:
+        return None
+    return [dict(zip(("text", "name", "type"), p, strict=True)) for p in pieces]
+
+
+def section_pieces(text: str, stem: str | None) -> list[sections.Piece]:
+    """Of a Markdown text: sections at headings of levels 1 to 3, bounded in size."""
+    text = re.sub(chunking.FRONT_MATTER.removeprefix("(?s)"), "", text, count=1, flags=re.DOTALL)
+    parts = [(p, p.partition("\n")[0].lstrip("#").strip(), "section") for _, p in sections.starts(SECTION, text)]
+    return sections.bounded(parts) if parts else [(text.strip(), stem, "section")]
+
 
-    @F.pandas_udf(chunking.PIECES)
-    def run(texts: pd.Series, stems: pd.Series) -> pd.Series:
-        def one(t: str | None, s: str) -> list[dict] | None:
-            if t is None:
-                return None
-            t = re.sub(chunking.FRONT_MATTER.removeprefix("(?s)"), "", t, count=1, flags=re.DOTALL)
-            found = sections.starts(heading, t)
-            parts = [(p, p.partition("\n")[0].lstrip("#").strip(), "section") for _, p in found]
-            parts = sections.bounded(parts) if parts else [(t.strip(), s, "section")]
-            return [dict(zip(("text", "name", "type"), p, strict=True)) for p in parts]
+def chunk_records(body: Column, stem: Column, kind: Column) -> Column:
+    """records as a column: one pass through Python for all kinds, and no pandas."""
+    out = to_arrow_schema(StructType.fromDDL(f"x array<{ONE}>")).field(0).type
 
-        return pd.Series([one(*x) for x in zip(texts, stems, strict=True)], dtype=object)
+    @F.arrow_udf(f"array<{ONE}>")
+    def run(texts: pa.Array, stems: pa.Array, kinds: pa.Array) -> pa.Array:
+        return pa.array([records(*x) for x in zip(texts.to_pylist(), stems.to_pylist(), kinds.to_pylist(), strict=True)], out)
 
-    return run(body, stem)
+    # else the filter that Spark adds below a generator would call it once more for each file
+    return run.asNondeterministic()(body, stem, kind)
 
 
 def unified_points(files: DataFrame, packages: Mapping[str, str], layers: Mapping[str, str], repo: str = "") -> DataFrame:

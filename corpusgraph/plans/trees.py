@@ -31,6 +31,21 @@ def part(spark, sf_dir, **columns: str) -> DataFrame:
     return read(spark, sf_dir, "part").selectExpr(K, *[f"{v} AS {k}" for k, v in columns.items()])
 
 
+#: Tasks for each core where files are read by Python or by many patterns.
+TASKS_A_CORE = 4
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows dealt to all cores by their key, before files are made of them: the keys of many files are few bytes, so that
+    the table's own splits would leave the work on their texts to a few tasks, or to one."""
+    return rows.repartition(TASKS_A_CORE * rows.sparkSession.sparkContext.defaultParallelism, K)
+
+
+def spread_part(spark, sf_dir, **columns: str) -> DataFrame:
+    """As part, with its rows spread."""
+    return spread(read(spark, sf_dir, "part")).selectExpr(K, *[f"{v} AS {k}" for k, v in columns.items()])
+
+
 def joined(x) -> F.Column:
     return F.array_join(x, ",")
 
@@ -221,7 +236,7 @@ USE_SQL = f"'E1' || CASE {ROLE_SQL} WHEN 'page_component' THEN ' page component:
 
 
 def example_rows(spark, sf_dir, loose: bool = False) -> DataFrame:
-    rows = part(spark, sf_dir, content=EXAMPLE, path=EXAMPLE_PATH, file_name=FILE_NAME, example_id=f"'E' || CAST({K} % 50 AS string)", example_group=f"'G' || CAST({K} % 50 AS string)")
+    rows = spread_part(spark, sf_dir, content=EXAMPLE, path=EXAMPLE_PATH, file_name=FILE_NAME, example_id=f"'E' || CAST({K} % 50 AS string)", example_group=f"'G' || CAST({K} % 50 AS string)")
     return loads.analysed(rows, "@x/kit", loose)
 
 
@@ -384,12 +399,12 @@ DECLARED = [("1 = 1", "Card", "function", "function_component", "title,size,...r
 
 @query(" UNION ALL ".join(f"SELECT {K}, '{n}' AS name, '{c}' AS type, '{p}' AS props, {'TRUE' if n in ('Card', 'useCard') else 'FALSE'} AS exported FROM part WHERE {w}" for w, n, _, c, p in DECLARED))
 def component_chunks(spark, sf_dir):
-    return part(spark, sf_dir, source=MADE_CODE).select(K, F.explode(syntax.components(F.col("source"), F.lit("file"))).alias("x")).select(K, "x.name", "x.type", joined("x.props").alias("props"), (F.size("x.exports") > 0).alias("exported"))
+    return spread_part(spark, sf_dir, source=MADE_CODE).select(K, F.explode(syntax.components(F.col("source"), F.lit("file"))).alias("x")).select(K, "x.name", "x.type", joined("x.props").alias("props"), (F.size("x.exports") > 0).alias("exported"))
 
 
 @query(f"""SELECT {K}, 'Props' AS name, 'interface' AS type, 'title,size' AS fields, 'Base<X,Y>,Other' AS extends FROM part WHERE {K} % 3 = 1 UNION ALL SELECT {K}, 'Kind', 'enum', 'A,B', '' FROM part WHERE {K} % 7 = 0""")
 def type_chunks(spark, sf_dir):
-    return part(spark, sf_dir, source=MADE_CODE).select(K, F.explode(syntax.types(F.col("source"))).alias("x")).select(K, "x.name", "x.type", joined("x.fields").alias("fields"), joined("x.extends").alias("extends"))
+    return spread_part(spark, sf_dir, source=MADE_CODE).select(K, F.explode(syntax.types(F.col("source"))).alias("x")).select(K, "x.name", "x.type", joined("x.fields").alias("fields"), joined("x.extends").alias("extends"))
 
 
 MARKDOWN = f"'---' || {NL} || 'x: 1' || {NL} || '---' || {NL} || " + lines({"'before'": "", f"'# A' || {NL} || 'a'": f"{K} % 4 <> 3", f"'## B' || {NL} || 'b'": f"{K} % 3 = 0 AND {K} % 4 <> 3", f"'### C' || {NL} || 'c'": f"{K} % 2 = 0 AND {K} % 4 <> 3", f"'## D' || {NL} || 'd'": f"{K} % 5 = 0 AND {K} % 4 <> 3"})
@@ -466,7 +481,7 @@ PREFIXES = {f"@x/p{i}": f"@x/p{i}" for i in range(5)}
 
 
 def made_files(spark, sf_dir) -> DataFrame:
-    read(spark, sf_dir, "part").select(K, F.explode(F.array(*[F.lit(i) for i in range(5)])).alias("f")).createOrReplaceTempView("_made_points")
+    spread(read(spark, sf_dir, "part")).select(K, F.explode(F.array(*[F.lit(i) for i in range(5)])).alias("f")).createOrReplaceTempView("_made_points")
     out = spark.sql(MADE + " _made_points")
     path = F.col("rel_path")
     name = classify.base_name(path)
@@ -493,7 +508,7 @@ def unified_points(spark, sf_dir):
 @query(f"""SELECT {EXAMPLE_PATH} AS file_path, {FILE_NAME} AS file_name, CAST({K} AS VARCHAR) AS file_id, 'E' || CAST({K} % 50 AS VARCHAR) AS example_id, 'G' AS example_group, 0 AS chunk_index, 1 AS total_chunks, 'typescript' AS language,
 {LOOSE_ROLE} AS file_role, sha256(trim({EXAMPLE}, chr(10) || ' ')) AS text_hash, CASE WHEN {K} % 10 = 0 THEN 'B' ELSE '' END AS demonstrated_symbols, CASE WHEN {K} % 10 = 0 THEN '@x/kit' ELSE '' END AS packages, true AS is_verified, 'x' AS related_files FROM part""")
 def example_points(spark, sf_dir):
-    rows = part(spark, sf_dir, content=EXAMPLE, path=EXAMPLE_PATH, file_name=FILE_NAME, example_id=f"'E' || CAST({K} % 50 AS string)", example_group="'G'", file_id=f"CAST({K} AS string)", related_files="array('x')")
+    rows = spread_part(spark, sf_dir, content=EXAMPLE, path=EXAMPLE_PATH, file_name=FILE_NAME, example_id=f"'E' || CAST({K} % 50 AS string)", example_group="'G'", file_id=f"CAST({K} AS string)", related_files="array('x')")
     p = enrich.example_points(rows, "@x/", "@x/kit")
     same = ("file_path", "file_name", "file_id", "example_id", "example_group", "chunk_index", "total_chunks", "language", "file_role", "text_hash", "is_verified")
     return p.select(*same, *[joined(c).alias(c) for c in ("demonstrated_symbols", "packages", "related_files")])

@@ -5,6 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from corpusgraph import plans
+from corpusgraph.operators import enrich
 from corpusgraph.functions import matcher, text
 from corpusgraph.operators import bitmaps
 
@@ -70,3 +72,25 @@ def test_equal_lists_are_answered_once(spark):
     assert bitmaps.divided_kinds(index, bitmaps.kinds(w)).count() == 2  # one list and its two ranges of nodes, 0 and the rest
     assert {tuple(r) for r in bitmaps.list_sizes(index, w).collect()} == {(n, 5) for n in range(40)}
     assert {tuple(r) for r in bitmaps.list_members(index, w).collect()} == {(n, i) for n in range(40) for i in range(5)}
+
+
+def test_made_files_are_dealt_to_all_cores_and_read_in_one_pass(spark):
+    for name in ("unified_points", "example_points"):
+        rows = plans.QUERIES[name](spark, "/root/testdata/sf0.001")
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+        assert plan.count("ArrowEvalPython") == 1
+
+
+def test_chunks_of_each_kind(spark):
+    files = [("a/b.ts", "types", "interface A extends B { x: string }"), ("a/c.ts", "types", "const z = 1"), ("a/d.tsx", "code", ""), ("a/e.css", "style", ".k { a: b }"), ("a/f.json", "config", "{}"), ("a/g.md", "markdown", "words"), ("a/h.md", "markdown", None), ("a/i", "other", "x"), ("a/j", None, "x")]
+    rows = enrich.chunks(spark.createDataFrame(files, "rel_path string, k string, content string"), F.col("k")).select("rel_path", "chunk_kind", "total_chunks", "chunk_index", "chunk.*")
+    got = {r["rel_path"]: (r["chunk_kind"], r["total_chunks"], r["chunk_index"], r["text"], r["name"], r["type"], r["exports"], r["imports"], r["props"], r["fields"], r["extends"]) for r in rows.collect()}
+    assert got == {
+        "a/b.ts": ("types", 1, 0, "interface A extends B { x: string }", "A", "interface", None, None, None, ["x"], ["B"]),
+        "a/c.ts": ("types", 1, 0, "const z = 1", "z", "utility", [], [], [], None, None),
+        "a/d.tsx": ("code", 1, 0, "", "d", "module", [], [], [], None, None),
+        "a/e.css": ("style", 1, 0, ".k { a: b }", ".k", "style", None, None, None, None, None),
+        "a/f.json": ("config", 1, 0, "{}", "f", "json_config", None, None, None, None, None),
+        "a/g.md": ("markdown", 1, 0, "words", "g", "section", None, None, None, None, None),
+    }
