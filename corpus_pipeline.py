@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusgraph.llm import langid, mixing, pieces, simhash, toxicity
-from corpusgraph.llm.common import give_back, materialize, read, release, row_key, tables_of
+from corpusgraph.llm.common import driver_gives_back, give_back, materialize, read, release, row_key, tables_of
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Words of a shingle where near duplicates are found.
@@ -50,6 +50,7 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates: that of the least doc_id, of several such the first by content.
     Texts without words are one group."""
     give_back()  # what the stages before left in the driver's Python
+    driver_gives_back(spark)
     rows = docs.select(*COLUMNS)
     keyed = rows.withColumn("key", ordered_key())
     first = simhash.similar(keyed.select("key", "text"), SHINGLE).where(F.col("key") == F.col("component_id"))

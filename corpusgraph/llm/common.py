@@ -12,6 +12,7 @@ from contextvars import ContextVar
 
 import pyarrow as pa
 import pyarrow.compute
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -76,6 +77,12 @@ def release(*tables: DataFrame, keep: DataFrame | None = None) -> None:
             df._written_at = None
 
 
+def met_by_shuffle(df: DataFrame) -> DataFrame:
+    """df for the right of a join that meets it by a shuffle, however small it is: a broadcast would be built in the driver, and
+    an operator of many small joins leaves dozens of them there."""
+    return df.hint("merge")
+
+
 #: A key counts as hot if it has more than one of so many parts of all rows; so there are no more hot keys than this.
 HOT_PARTS = 1000
 
@@ -141,6 +148,14 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def driver_gives_back(spark: SparkSession) -> None:
+    """The driver's JVM returns memory that its compilers and ended threads have freed. Where the JVM can't, it keeps it."""
+    jvm = spark._jvm
+    with contextlib.suppress(Py4JError):
+        name = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer().invoke(name, "systemTrimNativeHeap", None, None)
+
+
 def left(owner: str) -> object | None:
     """What an operator keeps in this worker, if it is there."""
     return _kept["value"] if _kept.get("of", ("",))[0] == owner else None

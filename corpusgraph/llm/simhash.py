@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_slices, materialize, read, release
+from .common import driver_gives_back, map_slices, materialize, met_by_shuffle, read, release
 
 RADIUS = 3
 #: Fingerprints of a part of a shard.
@@ -212,9 +212,9 @@ def components(edges: DataFrame) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         p = materialize(both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("p")))
         for _ in range(2):
-            p = p.join(p.select(F.col("u").alias("p"), F.col("p").alias("up")), "p", "left").select("u", F.coalesce("up", "p").alias("p"))
+            p = p.join(met_by_shuffle(p.select(F.col("u").alias("p"), F.col("p").alias("up"))), "p", "left").select("u", F.coalesce("up", "p").alias("p"))
         p = materialize(p)
-        to = lambda c: p.select(F.col("u").alias(c), F.col("p").alias(f"{c}p"))
+        to = lambda c: met_by_shuffle(p.select(F.col("u").alias(c), F.col("p").alias(f"{c}p")))
         old, edges = edges, materialize(edges.join(to("u"), "u").join(to("v"), "v").where("up <> vp").select(F.col("up").alias("u"), F.col("vp").alias("v")).distinct())
         release(old)
         if label is None:
@@ -226,15 +226,15 @@ def components(edges: DataFrame) -> DataFrame:
 
 def joined(label: DataFrame, edges: DataFrame) -> DataFrame:
     """components of the edges that label (fp, label) comes from and of more edges: those are laid between labels first."""
-    of = lambda c: label.select(F.col("fp").alias(c), F.col("label").alias(f"{c}l"))
+    of = lambda c: met_by_shuffle(label.select(F.col("fp").alias(c), F.col("label").alias(f"{c}l")))
     between = edges.join(of("u"), "u", "left").join(of("v"), "v", "left").select(F.coalesce("ul", "u").alias("u"), F.coalesce("vl", "v").alias("v"))
     between = materialize(between.where("u <> v").distinct())
     if between.isEmpty():
         return label
     more = components(between)
     moved = more.select(F.col("fp").alias("label"), F.col("label").alias("up"))
-    old = label.join(moved, "label", "left").select("fp", F.coalesce("up", "label").alias("label"))
-    new = more.join(label.select("fp"), "fp", "left_anti").select("fp", "label")
+    old = label.join(met_by_shuffle(moved), "label", "left").select("fp", F.coalesce("up", "label").alias("label"))
+    new = more.join(met_by_shuffle(label.select("fp")), "fp", "left_anti").select("fp", "label")
     return materialize(old.unionByName(new))
 
 
@@ -386,9 +386,9 @@ def shared_counts(us: pa.ListArray, vs: pa.ListArray) -> tuple[np.ndarray, np.nd
 
 def bodies(docs: DataFrame, owners: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     """(id, hashes): the whole sets of shingles of some ids, made again from the text of the row that owners (id, key) names."""
-    first = materialize(owners.join(ids, "id", "left_semi"))
+    first = materialize(owners.join(met_by_shuffle(ids), "id", "left_semi"))
     few = first.count() <= BROADCAST_IDS
-    rows = docs.join(F.broadcast(first) if few else first, "key").select("id", "text")
+    rows = docs.join(F.broadcast(first) if few else met_by_shuffle(first), "key").select("id", "text")
 
     def run(batch: pa.RecordBatch) -> dict:
         return {"id": batch.column("id"), "hashes": [shingle_set(t, width) for t in batch.column("text").cast(pa.binary()).to_pylist()]}
@@ -399,7 +399,7 @@ def bodies(docs: DataFrame, owners: DataFrame, ids: DataFrame, width: int) -> Da
 def verified(pairs: DataFrame, of_id: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The pairs (u, v) whose shingles are SIMILAR or more. of_id gets ids and gives (id, hashes)."""
     found = of_id(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct())
-    of = lambda c: found.select(F.col("id").alias(c), F.col("hashes").alias(f"{c}h"))
+    of = lambda c: met_by_shuffle(found.select(F.col("id").alias(c), F.col("hashes").alias(f"{c}h")))
     both = pairs.join(of("u"), "u").join(of("v"), "v").select("u", "v", "uh", "vh")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -426,32 +426,33 @@ def similar(docs: DataFrame, width: int = 5) -> DataFrame:
     spread = sets.groupBy("id").agg(F.first("keys").alias("keys")).select("id", F.explode("keys").alias("shard"))
     spread = materialize(spread)
     sizes = spread.groupBy("shard").agg(F.count("*").alias("size")).where("size > 1")
-    met = spread.join(sizes, "shard").withColumn("parts", F.ceil(F.col("size") / SHARD_ROWS).cast("int"))
+    met = spread.join(met_by_shuffle(sizes), "shard").withColumn("parts", F.ceil(F.col("size") / SHARD_ROWS).cast("int"))
     met = materialize(met.withColumn("i", F.pmod(F.xxhash64("id", "shard"), F.col("parts")).cast("int")).withColumn("j", F.lit(0)).drop("size"))
     release(spread)
     yes, no = F.lit(True), F.lit(False)
 
     def decided(tasks: DataFrame, nearest: bool, below: bool, tried: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        pairs = tasked(tasks.join(nodes.select("id", "n", "w"), "id"), lambda col, task: near_pairs(col, task, nearest, below))
+        pairs = tasked(tasks.join(met_by_shuffle(nodes.select("id", "n", "w")), "id"), lambda col, task: near_pairs(col, task, nearest, below))
         pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-        pairs = materialize(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"))
+        pairs = materialize(pairs if tried is None else pairs.join(met_by_shuffle(tried), ["u", "v"], "left_anti"))
         return pairs, materialize(verified(pairs, lambda ids: bodies(docs, nodes.select("id", F.col("least").alias("key")), ids, width)))
 
     own = met.withColumn("label", F.col("id")).withColumn("indexed", yes).withColumn("asks", yes).drop("parts")
     tried, links = decided(own, True, True, None)
     label = components(links)
     for nearest in (True, False):
-        now = materialize(met.join(label.withColumnRenamed("fp", "id"), "id", "left").withColumn("label", F.coalesce("label", "id")))
+        now = materialize(met.join(met_by_shuffle(label.withColumnRenamed("fp", "id")), "id", "left").withColumn("label", F.coalesce("label", "id")))
         large = now.groupBy("shard", "label").agg(F.count("*").alias("m")).groupBy("shard").agg(F.max_by("label", F.struct("m", "label")).alias("largest"), F.count("*").alias("labels"))
-        outside = now.join(large.where("labels > 1").select("shard", "largest"), "shard").where(F.col("label") != F.col("largest")).drop("largest")
+        outside = now.join(met_by_shuffle(large.where("labels > 1").select("shard", "largest")), "shard").where(F.col("label") != F.col("largest")).drop("largest")
         asking = outside.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("indexed", no).withColumn("asks", yes)
-        standing = now.join(outside.select("shard").distinct(), "shard", "left_semi").withColumn("indexed", yes).withColumn("asks", no)
+        standing = now.join(met_by_shuffle(outside.select("shard").distinct()), "shard", "left_semi").withColumn("indexed", yes).withColumn("asks", no)
+        driver_gives_back(docs.sparkSession)  # here the driver has planned some twenty jobs since the last time
         more, links = decided(standing.unionByName(asking).drop("parts"), nearest, False, tried)
         tried, label = tried.unionByName(more), joined(label, links)
-    named = materialize(nodes.select("id", "least").join(label.withColumnRenamed("fp", "id"), "id", "left").select("id", "least", F.coalesce("label", "id").alias("label")))
+    named = materialize(nodes.select("id", "least").join(met_by_shuffle(label.withColumnRenamed("fp", "id")), "id", "left").select("id", "least", F.coalesce("label", "id").alias("label")))
     first = named.groupBy("label").agg(F.min("least").alias("component_id"))
     release(met)
-    return sets.select("key", "id").join(named.join(first, "label").select("id", "component_id"), "id").select("key", "component_id")
+    return sets.select("key", "id").join(met_by_shuffle(named.join(met_by_shuffle(first), "label").select("id", "component_id")), "id").select("key", "component_id")
 
 
 def op4_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:

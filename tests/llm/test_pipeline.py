@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from corpusgraph.llm import langid, pieces, simhash, toxicity
+from corpusgraph.llm import common, langid, pieces, simhash, toxicity
 from tests.llm.test_llm import corpus, empty, odd, plain  # noqa: F401
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -68,6 +68,27 @@ def test_one_row_of_each_group_stays(spark, request, where):
         assert r[0] == min(ids, default=None)
 
 
+def test_near_duplicates_broadcast_nothing_by_themselves(spark, plain, monkeypatch):  # noqa: F811
+    """Tables of any size meet by shuffles: dozens of small broadcasts would pile up in the driver."""
+    plans, write = [], simhash.materialize
+
+    def spy(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df)
+
+    monkeypatch.setattr(simhash, "materialize", spy)
+    monkeypatch.setattr(simhash, "BROADCAST_IDS", -1)
+    last = simhash.similar(docs_of(spark, plain).select(F.col("doc_id").cast("string").alias("key"), "text"))
+    plans.append(last._jdf.queryExecution().executedPlan().toString())
+    assert sum("Join" in p for p in plans) > 10
+    assert not [p for p in plans if "Broadcast" in p]
+
+
+def test_the_driver_gives_memory_back(spark):
+    common.driver_gives_back(spark)
+    assert spark.range(3).count() == 3
+
+
 def test_tokens_of_every_row(spark, odd):  # noqa: F811
     docs, model = docs_of(spark, odd), pieces.model_of(pieces.model_bytes())
     want = sorted(((r[0], None if r[1] is None else model.encode(r[1]).tolist()) for r in rows_of(docs)), key=str)
