@@ -148,12 +148,20 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def driver_gives_back(spark: SparkSession) -> None:
-    """The driver's JVM returns memory that its compilers and ended threads have freed. Where the JVM can't, it keeps it."""
-    jvm = spark._jvm
-    with contextlib.suppress(Py4JError):
-        name = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
-        jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer().invoke(name, "systemTrimNativeHeap", None, None)
+def driver_gives_back(spark: SparkSession) -> bool:
+    """The driver's JVM returns memory that its compilers and ended threads have freed; whether it did. Where the JVM can't, it keeps it."""
+    jvm, new = spark._jvm, spark.sparkContext._gateway.new_array
+    of = jvm.java.lang.Class.forName
+    try:
+        # by its interface: the server's own class isn't open to Py4J, which finds no method in it
+        types, args = new(jvm.java.lang.Class, 4), new(jvm.java.lang.Object, 4)
+        for i, name in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+            types[i] = of(name)
+        args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        of("javax.management.MBeanServer").getMethod("invoke", types).invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), args)
+    except Py4JError:
+        return False
+    return True
 
 
 def left(owner: str) -> object | None:

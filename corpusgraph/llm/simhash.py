@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import driver_gives_back, map_slices, materialize, met_by_shuffle, read, release
+from .common import driver_gives_back, give_back, map_slices, materialize, met_by_shuffle, read, release
 
 RADIUS = 3
 #: Fingerprints of a part of a shard.
@@ -172,12 +172,12 @@ def tasked(tasks: DataFrame, solve: Callable[[dict[str, np.ndarray], np.ndarray]
         if held:
             yield solved(pa.concat_tables(held))
 
-    return tasks.mapInArrow(run, "u long, v long").distinct()
+    return tasks.mapInArrow(run, "u long, v long")
 
 
 def linked(tasks: DataFrame, words: list[str], radius: int) -> DataFrame:
     """(u, v): a spanning forest of the links in each task. tasks: id, shard, i, j, indexed, asks and the fingerprint's words."""
-    return tasked(tasks, lambda col, task: local_links(np.stack([col[w] for w in words], axis=1), task, col["indexed"], col["asks"], radius))
+    return tasked(tasks, lambda col, task: local_links(np.stack([col[w] for w in words], axis=1), task, col["indexed"], col["asks"], radius)).distinct()
 
 
 def agreeing(n: int, radius: int) -> int:
@@ -204,11 +204,31 @@ def links(nodes: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS,
     return linked(tasks.withColumn("indexed", F.col("own") == F.col("i")).withColumn("asks", F.col("own") == F.col("j")).drop("own"), ["fp"], radius)
 
 
+#: Edges that one task joins at most, 16 bytes each; more are contracted before.
+LOCAL_EDGES = 1 << 19
+
+
+def labelled(edges: DataFrame) -> DataFrame:
+    """components of LOCAL_EDGES edges or fewer, by one task; label is the least of a component."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = [np.stack([b.column("u").to_numpy(), b.column("v").to_numpy()]) for b in batches]
+        fp, at = np.unique(np.concatenate([np.zeros((2, 0), np.int64), *pairs], axis=1), return_inverse=True)
+        label, at = np.arange(len(fp)), at.reshape(2, -1)
+        union(label, at[0], at[1])
+        yield pa.RecordBatch.from_arrays([pa.array(fp), pa.array(fp[label])], ["fp", "label"])
+        give_back()
+
+    return materialize(edges.select("u", "v").coalesce(1).mapInArrow(run, "fp long, label long"))
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(fp, label) for every fp in edges; label is the same over a component. Each round maps nodes to smaller neighbours and contracts."""
+    """(fp, label) for every fp in edges; label is the same over a component. Each round maps nodes to smaller neighbours and
+    contracts, until the edges are few enough for one task: a round has a dozen shuffles, which the driver plans and keeps
+    threads and records of however few the edges are."""
     edges = materialize(edges)
     label = None
-    while edges.limit(1).count():
+    while (n := edges.count()) > LOCAL_EDGES:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         p = materialize(both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("p")))
         for _ in range(2):
@@ -221,7 +241,12 @@ def components(edges: DataFrame) -> DataFrame:
             label = p.select(F.col("u").alias("fp"), F.col("p").alias("label"))
         else:
             label = materialize(label.join(to("label"), "label", "left").select("fp", F.coalesce("labelp", "label").alias("label")))
-    return edges.select(F.col("u").alias("fp"), F.col("v").alias("label")) if label is None else label
+    if label is None:
+        return labelled(edges)
+    if not n:
+        return label
+    last = labelled(edges).select(F.col("fp").alias("label"), F.col("label").alias("up"))
+    return materialize(label.join(met_by_shuffle(last), "label", "left").select("fp", F.coalesce("up", "label").alias("label")))
 
 
 def joined(label: DataFrame, edges: DataFrame) -> DataFrame:
@@ -435,6 +460,7 @@ def similar(docs: DataFrame, width: int = 5) -> DataFrame:
         pairs = tasked(tasks.join(met_by_shuffle(nodes.select("id", "n", "w")), "id"), lambda col, task: near_pairs(col, task, nearest, below))
         pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
         pairs = materialize(pairs if tried is None else pairs.join(met_by_shuffle(tried), ["u", "v"], "left_anti"))
+        driver_gives_back(docs.sparkSession)
         return pairs, materialize(verified(pairs, lambda ids: bodies(docs, nodes.select("id", F.col("least").alias("key")), ids, width)))
 
     own = met.withColumn("label", F.col("id")).withColumn("indexed", yes).withColumn("asks", yes).drop("parts")
@@ -452,6 +478,7 @@ def similar(docs: DataFrame, width: int = 5) -> DataFrame:
     named = materialize(nodes.select("id", "least").join(met_by_shuffle(label.withColumnRenamed("fp", "id")), "id", "left").select("id", "least", F.coalesce("label", "id").alias("label")))
     first = named.groupBy("label").agg(F.min("least").alias("component_id"))
     release(met)
+    driver_gives_back(docs.sparkSession)
     return sets.select("key", "id").join(met_by_shuffle(named.join(met_by_shuffle(first), "label").select("id", "component_id")), "id").select("key", "component_id")
 
 

@@ -246,6 +246,34 @@ def test_more_links_join_components(spark):
     assert sorted(map(sorted, groups.values())) == [[1, 2, 3, 4], [5, 6], [7, 8, 9]]
 
 
+@pytest.mark.parametrize("most", [0, 25, simhash.LOCAL_EDGES])
+def test_components_by_rounds_by_one_task_and_by_both(spark, monkeypatch, most):
+    """A long chain with shuffled names, two rings, a star and a loop; however few edges one task takes."""
+    monkeypatch.setattr(simhash, "LOCAL_EDGES", most)
+    rng = random.Random(3)
+    name = rng.sample(range(-1000, 1000), 120)
+    links = [(i, i + 1) for i in range(39)] + [(40 + i, 40 + (i + 1) % 20) for i in range(20)] + [(60 + i, 60 + (i + 1) % 20) for i in range(20)]
+    links += [(119, i) for i in range(80, 118)] + [(118, 118)]
+    edges = [(name[i], name[j]) for i, j in rng.sample(links, len(links))]
+    got = [(r["fp"], r["label"]) for r in simhash.components(spark.createDataFrame(edges, "u long, v long")).collect()]
+    assert len(got) == len(dict(got))
+    groups = {}
+    for node, of in got:
+        groups.setdefault(of, set()).add(node)
+    want = [name[:40], name[40:60], name[60:80], [*name[80:118], name[119]], [name[118]]]
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want))
+    assert not simhash.components(spark.createDataFrame([], "u long, v long")).collect()
+
+
+def test_few_edges_are_joined_without_shuffles(spark, monkeypatch):
+    """Rounds of shuffles over a handful of edges fill the driver with plans, threads and records of tasks."""
+    plans, write = [], simhash.materialize
+    monkeypatch.setattr(simhash, "materialize", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), write(df))[1])
+    edges = spark.createDataFrame([(i, i + 1) for i in range(9)], "u long, v long")
+    assert {r["label"] for r in simhash.components(edges).collect()} == {0}
+    assert plans and not [p for p in plans if "Exchange" in p or "Join" in p]
+
+
 def test_large_shards_lose_no_near_duplicates(spark, monkeypatch):
     monkeypatch.setattr(simhash, "SHARD_ROWS", 2)
     texts = {k: " ".join(f"w{k // 8}x{j}" for j in range(200)) + f" end{k}" for k in range(24)}
